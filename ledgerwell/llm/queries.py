@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from ledgerwell.llm.decontam import OP1_SQL, op1_decontamination
 from ledgerwell.llm.mixing import op10_mix_sources
+from ledgerwell.llm.quality import OP5_SQL, op5_quality_rules
+from ledgerwell.llm.secrets import op3_secret_scan
 
-QUERIES = {"op10_mix_sources": op10_mix_sources}
+QUERIES = {"op1_decontamination": op1_decontamination, "op3_secret_scan": op3_secret_scan, "op5_quality_rules": op5_quality_rules, "op10_mix_sources": op10_mix_sources}
 
-ORACLE: dict[str, str] = {}
+ORACLE = {"op1_decontamination": OP1_SQL, "op5_quality_rules": OP5_SQL}
