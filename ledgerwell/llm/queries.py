@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ledgerwell.llm.decontam import OP1_SQL, op1_decontamination
+from ledgerwell.llm.langid import op8_language
 from ledgerwell.llm.mixing import op10_mix_sources
 from ledgerwell.llm.neardup import OP9_SQL, op9_minhash_groups
 from ledgerwell.llm.quality import OP5_SQL, op5_quality_rules
@@ -10,6 +11,6 @@ from ledgerwell.llm.secrets import op3_secret_scan
 from ledgerwell.llm.substrings import op6_substring_dedup
 from ledgerwell.llm.warc import OP2_SQL, op2_warc_archive
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op2_warc_archive": op2_warc_archive, "op3_secret_scan": op3_secret_scan, "op5_quality_rules": op5_quality_rules, "op6_substring_dedup": op6_substring_dedup, "op9_minhash_groups": op9_minhash_groups, "op10_mix_sources": op10_mix_sources}
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_warc_archive": op2_warc_archive, "op3_secret_scan": op3_secret_scan, "op5_quality_rules": op5_quality_rules, "op6_substring_dedup": op6_substring_dedup, "op8_language": op8_language, "op9_minhash_groups": op9_minhash_groups, "op10_mix_sources": op10_mix_sources}
 
 ORACLE = {"op2_warc_archive": OP2_SQL, "op1_decontamination": OP1_SQL, "op5_quality_rules": OP5_SQL, "op9_minhash_groups": OP9_SQL}
