@@ -117,28 +117,62 @@ def _length_class(n: Column) -> Column:
     return F.when(n < 32, 0).when(n < 64, 1).otherwise(2)
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, base (spans of the patterns) and found (spans of random candidates) for each row of docs; the texts are read once."""
+def _tested(rows: DataFrame) -> DataFrame:
+    """Adds base (spans of the patterns) and tested (other candidates with their tests) to rows with a text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"))
-    base = [_spans(F.col("text"), p, g, least, k) for k, (_, p, g, least) in enumerate(KINDS)]
-    cand = _spans(F.col("text"), CANDIDATE, 0, 20, len(KINDS))
-    rows = rows.select("doc_id", "text", F.array_sort(F.concat(*base)).alias("base"), cand.alias("cand"))
+    base = [_spans(text, p, g, least, k) for k, (_, p, g, least) in enumerate(KINDS)]
+    rows = rows.withColumn("base", F.array_sort(F.concat(*base))).withColumn("cand", _spans(text, CANDIDATE, 0, 20, len(KINDS)))
     clear = F.filter("cand", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    tested = F.transform(clear, lambda c: F.struct(c.alias("span"), _battery(F.substr("text", c["start"] + 1, c["end"] - c["start"])).alias("t")))
-    rows = written(rows.select("doc_id", "base", tested.alias("tested")), "secrets")
-    level = F.floor(-F.log10(F.greatest(F.col("t.p_text"), F.lit(1e-15))) / BIN).cast("int")
-    bins = rows.select(F.explode("tested.t").alias("t")).groupBy(_length_class(F.col("t.n")).alias("c"), level.alias("level")).agg(F.count("*").alias("n"))
+    tested = F.transform(clear, lambda c: F.struct(c.alias("span"), _battery(F.substr(text, c["start"] + 1, c["end"] - c["start"])).alias("t")))
+    return rows.withColumn("tested", tested).drop("cand")
+
+
+def _level(p: Column) -> Column:
+    return F.floor(-F.log10(F.greatest(p, F.lit(1e-15))) / BIN).cast("int")
+
+
+def cutoffs(tested: DataFrame) -> dict[int, int]:
+    """By length class, the bin from which on p_text is small enough; counts of bins stand for the ranking of all candidates."""
+    bins = tested.select(F.explode("tested.t").alias("t")).groupBy(_length_class(F.col("t.n")).alias("c"), _level(F.col("t.p_text")).alias("level")).agg(F.count("*").alias("n"))
     per_class = Window.partitionBy("c")
     at_most = F.sum("n").over(per_class.orderBy(F.col("level").desc()))
     passed = bins.withColumn("ok", F.pow(F.lit(10.0), -F.col("level") * BIN) * F.sum("n").over(per_class) <= FDR * at_most)
-    cuts = {c: lv for c, lv in passed.where("ok").groupBy("c").agg(F.min("level")).collect()}  # three classes at most
+    return {c: lv for c, lv in passed.where("ok").groupBy("c").agg(F.min("level")).collect()}  # three classes at most
+
+
+def _found(cuts: dict[int, int]) -> Column:
+    """The spans of tested candidates that count as random."""
 
     def random(x: Column) -> Column:
         own = F.element_at(F.array(*(F.lit(cuts.get(c, 10**6)) for c in range(3))), _length_class(x["t"]["n"]) + 1)
-        return (x["t"]["p_random"] >= ALPHA) & (F.floor(-F.log10(F.greatest(x["t"]["p_text"], F.lit(1e-15))) / BIN) >= own)
+        return (x["t"]["p_random"] >= ALPHA) & (_level(x["t"]["p_text"]) >= own)
+
+    return F.transform(F.filter("tested", random), lambda x: x["span"])
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """doc_id, base (spans of the patterns) and found (spans of random candidates) for each row of docs; the texts are read once."""
+    rows = written(_tested(docs.select("doc_id", "text")).drop("text"), "secrets")
+    return rows.select("doc_id", "base", _found(cutoffs(rows)).alias("found"))
+
+
+def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
+    """docs with every found span replaced in text, and n_chars, where there is one, counted again.
+
+    The texts are read twice, once for the cutoffs; that needs no join of spans and texts.
+    """
+    cuts = cutoffs(written(_tested(docs.select("text")).drop("text"), "secrets"))
+    inner = _tested(docs.select(F.struct("*").alias("row"), "text"))
+    inner = inner.select("row", "text", F.array_sort(F.concat("base", _found(cuts))).alias("spans"))
+
+    def step(a: Column, s: Column) -> Column:
+        kept = F.concat(a["out"], F.substr("text", a["at"] + 1, s["start"] - a["at"]), F.lit(mask))
+        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], kept).otherwise(a["out"]).alias("out"))
 
-    return rows.select("doc_id", "base", F.transform(F.filter("tested", random), lambda x: x["span"]).alias("found"))
+    masked = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substr("text", a["at"] + 1, F.length("text"))))
+    inner = inner.withColumn("masked", F.when(F.size("spans") > 0, masked).otherwise(F.col("text")))
+    new = {"text": F.col("masked"), "n_chars": F.when(F.size("spans") > 0, F.length("masked").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return inner.select(*(new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def _joined(spans: Column) -> Column:
