@@ -248,7 +248,7 @@ def groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) ->
     pairs = _dealt(rows, _KEYS).mapInArrow(_candidates(least_matches(num / den)), "a bigint, b bigint")
     coarse = written(components(pairs.where("a <> b").distinct()), "coarse")
     sizes = coarse.groupBy("root").agg(F.count("*").alias("n"))
-    texts = docs.join(coarse.join(sizes, "root"), docs["doc_id"] == F.col("node")).select("root", "node", "n", "text")
+    texts = docs.join(coarse.join(sizes, "root").hint("shuffle_merge"), docs["doc_id"] == F.col("node")).select("root", "node", "n", "text")
     rows = _blocked(texts, "node", F.col("n"), TEXT_BLOCK).select("root", "i", "j", "side", "node", "text")
     links = _dealt(rows, ["root", "i", "j"]).mapInArrow(_exact(shingle, num, den), "a bigint, b bigint")
     final = components(links)
