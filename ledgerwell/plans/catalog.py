@@ -329,3 +329,477 @@ def ivf_topk(spark, sf_dir):
 @query()
 def encode_documents(spark, sf_dir):
     return dense.encode(_docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", "embedding")
+
+
+# --- grounding -------------------------------------------------------------------------------------------------------
+
+QUESTIONS = (
+    (1, "What are the side effects of the blue anvil?"),
+    (2, "how does zorbex work with a cold gizmo"),
+    (3, "What is the dosage of Skyplate?"),
+    (4, "tell me about side effects"),
+    (5, "does flurbex interact with glonk"),
+    (6, "Is AZUL-widget safe to take with ring?"),
+    (7, "what is the mechanism of action of the bolt and how does it work"),
+    (8, "how much of the gear should patients take per day, 500 mg bid?"),
+    (9, "who should not take red rod during pregnancy"),
+    (10, None),
+)
+BRANDS = (("skyplate", "plate", "resolve"), ("zorbex", "zorbium", "absent"), ("flurbex", "blue mix", "combination"), ("azul-widget", "widget", "resolve"), ("glonk", "nowhere", "resolve"))
+
+
+def _inline(spark) -> DataFrame:
+    return spark.createDataFrame(QUESTIONS, "query_id bigint, query string")
+
+
+def _brands(spark) -> DataFrame:
+    return spark.createDataFrame(BRANDS, "brand string, generic string, kind string")
+
+
+_DROP = list(dict.fromkeys((*lists.STOP_WORDS, *lists.QUESTION_WORDS, *lists.SALT_WORDS)))
+_GROUND = f"""qs(query_id, query) AS (SELECT * FROM {_values(QUESTIONS)}), vocab AS (SELECT DISTINCT unnest({_ID.format('p_name')}) AS token FROM part),
+br(brand, generic, kind) AS (SELECT * FROM {_values(BRANDS)}),
+al AS (SELECT query_id, list_filter(regexp_extract_all(lower(coalesce(query, '')), '[a-z][a-z\\-]{{2,}}'), lambda x: NOT list_contains({_sql_list(_DROP)}, x)) AS ts FROM qs),
+tm AS (SELECT query_id, term, min(pos) AS pos FROM (SELECT query_id, unnest(ts) AS term, unnest(range(len(ts))) AS pos FROM al) GROUP BY ALL),
+gr AS (SELECT query_id, term, rank() OVER (PARTITION BY query_id ORDER BY pos) - 1 AS position,
+  CASE WHEN v.token IS NOT NULL THEN 'matched' WHEN br.kind = 'resolve' AND g.token IS NOT NULL THEN 'alias' ELSE 'unknown' END AS kind,
+  CASE WHEN v.token IS NOT NULL THEN term WHEN br.kind = 'resolve' AND g.token IS NOT NULL THEN br.generic END AS entity,
+  CASE WHEN v.token IS NULL AND br.kind <> 'resolve' THEN br.generic || ': ' || br.kind END AS note
+  FROM tm LEFT JOIN vocab v ON v.token = term LEFT JOIN br ON br.brand = term LEFT JOIN vocab g ON g.token = br.generic)"""
+
+
+def _grounded(spark, sf_dir) -> DataFrame:
+    return grounding.ground(_inline(spark), grounding.vocabulary(_read(spark, sf_dir, "part"), "p_name"), _brands(spark))
+
+
+@query(f"WITH {_GROUND} SELECT query_id, term, position::INT AS position, kind, entity, note FROM gr")
+def ground_terms(spark, sf_dir):
+    return _grounded(spark, sf_dir).select("query_id", "term", "position", "kind", "entity", "note")
+
+
+@query(f"WITH {_GROUND} SELECT query_id, string_agg(term, ',' ORDER BY position) AS unknown FROM gr WHERE kind = 'unknown' GROUP BY 1")
+def unknown_terms(spark, sf_dir):
+    out = grounding.outcomes(_inline(spark), _grounded(spark, sf_dir))
+    return out.where(F.size("unknown") > 0).select("query_id", F.array_join("unknown", ",").alias("unknown"))
+
+
+@query(f"""
+WITH {_GROUND}, h AS (SELECT *, string_split(generic, ' ')[1] AS head FROM br),
+one AS (SELECT t[1] AS token, min_by(name, (length(name), name)) AS name FROM (SELECT trim(p_type) AS name, {_ID.format('p_type')} AS t FROM part) WHERE len(t) = 1 GROUP BY 1),
+anyt AS (SELECT DISTINCT unnest({_ID.format('p_type')}) AS token FROM part), bb(brand, generic) AS (SELECT * FROM (VALUES ('a', 'economy'), ('b', 'promo pack'), ('c', 'nothing')))
+SELECT brand, CASE WHEN one.token IS NOT NULL THEN string_split(generic, ' ')[1] ELSE generic END AS generic, one.name AS record,
+  CASE WHEN one.token IS NOT NULL THEN 'resolve' WHEN anyt.token IS NOT NULL THEN 'combination' ELSE 'absent' END AS kind
+FROM bb LEFT JOIN one ON one.token = string_split(generic, ' ')[1] LEFT JOIN anyt ON anyt.token = string_split(generic, ' ')[1]""")
+def brand_resolution(spark, sf_dir):
+    wanted = spark.createDataFrame([("a", "economy"), ("b", "promo pack"), ("c", "nothing")], "brand string, generic string")
+    return grounding.brand_map(wanted, _read(spark, sf_dir, "part"), "p_type")
+
+
+@query(f"""
+WITH {_GROUND} SELECT query_id, list_aggregate(list_sort(list_distinct(list(entity) FILTER (kind <> 'unknown'))), 'string_agg', ',') AS matched,
+  count(*) FILTER (kind = 'alias') AS n_aliases FROM gr GROUP BY 1""")
+def matched_entities(spark, sf_dir):
+    out = grounding.outcomes(_inline(spark), _grounded(spark, sf_dir)).where((F.size("matched") > 0) | (F.size("unknown") > 0))
+    return out.select("query_id", F.nullif(F.array_join("matched", ","), F.lit("")).alias("matched"), F.size("aliases").cast("long").alias("n_aliases"))
+
+
+@query("SELECT * FROM (VALUES (3, 'What is the dosage of plate?'), (6, 'Is widget safe to take with ring?')) AS t(query_id, rewritten)")
+def alias_rewrite(spark, sf_dir):
+    out = grounding.outcomes(_inline(spark), _grounded(spark, sf_dir)).where(F.size("aliases") > 0)
+    return out.select(F.col("query_id").cast("int").alias("query_id"), "rewritten")
+
+
+@query()
+def fuzzy_suggestions(spark, sf_dir):
+    asked = spark.createDataFrame([("wigdet",), ("anvill",), ("qqqq",), ("plat",)], "term string")
+    return grounding.suggestions(asked, grounding.vocabulary(_read(spark, sf_dir, "part"), "p_name"))
+
+
+# --- hybrid ----------------------------------------------------------------------------------------------------------
+
+_BOTH = _BM25 + ", " + _TFIDF.replace("tf AS (", "tf2 AS (", 1).replace("FROM tf GROUP", "FROM tf2 GROUP").replace("FROM tf JOIN", "FROM tf2 JOIN")
+_BLEND = _BOTH + """,
+bb AS (SELECT query_id, CASE WHEN count(*) < (SELECT count(*) FROM documents) THEN least(min(bm25), 0) ELSE min(bm25) END AS blo, CASE WHEN count(*) < (SELECT count(*) FROM documents) THEN greatest(max(bm25), 0) ELSE max(bm25) END AS bhi FROM bm GROUP BY 1),
+cb AS (SELECT query_id, CASE WHEN count(*) < (SELECT count(*) FROM documents) THEN least(min(cosine), 0) ELSE min(cosine) END AS clo, CASE WHEN count(*) < (SELECT count(*) FROM documents) THEN greatest(max(cosine), 0) ELSE max(cosine) END AS chi FROM tfs GROUP BY 1),
+al2 AS (SELECT coalesce(bm.query_id, tfs.query_id) AS query_id, coalesce(bm.doc_id, tfs.doc_id) AS doc_id, coalesce(bm25, 0) AS bm25, coalesce(cosine, 0) AS dense FROM bm FULL JOIN tfs ON bm.query_id = tfs.query_id AND bm.doc_id = tfs.doc_id),
+mix AS (SELECT al2.*, 0.2 * CASE WHEN bhi - blo < 1e-12 THEN 0.5 ELSE (bm25 - blo) / (bhi - blo) END + 0.8 * CASE WHEN chi - clo < 1e-12 THEN 0.5 ELSE (dense - clo) / (chi - clo) END AS score FROM al2 JOIN bb USING (query_id) JOIN cb USING (query_id))"""
+
+
+def _blended(spark, sf_dir, alpha=0.2) -> DataFrame:
+    return hybrid.blend(_bm25(spark, sf_dir), _tfidf(spark, sf_dir).withColumnRenamed("cosine", "dense"), _cleaned(spark, sf_dir), alpha)
+
+
+@query(f"WITH {_BLEND} SELECT query_id, count(*) AS n, round(max(score), 6) AS best, round(avg(score), 6) AS mean FROM mix GROUP BY 1")
+def minmax_blend(spark, sf_dir):
+    return _blended(spark, sf_dir).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best"), F.round(F.avg("score"), 6).alias("mean"))
+
+
+@query(f"WITH {_BLEND}, r AS (SELECT *, {_TOP.format('score', 'doc_id')} AS rank FROM mix WHERE dense >= 0.25 OR bm25 >= 1.0) SELECT query_id, doc_id AS chunk_id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 5")
+def hybrid_topk(spark, sf_dir):
+    return hybrid.ranked(_blended(spark, sf_dir), 5).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"""
+WITH {_BLEND}, bo AS (SELECT query_id, doc_id, bm25, dense, score * CASE lang WHEN 'fr' THEN 1.2 WHEN 'de' THEN 1.1 ELSE 1.0 END AS score FROM mix JOIN documents USING (doc_id)),
+r AS (SELECT *, {_TOP.format('score', 'doc_id')} AS rank FROM bo WHERE dense >= 0.25 OR bm25 >= 1.0) SELECT query_id, doc_id AS chunk_id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 5""")
+def field_boost_topk(spark, sf_dir):
+    weights = _questions(spark, sf_dir).select("query_id", F.explode(F.array(F.struct(F.lit("fr").alias("field"), F.lit(1.0).alias("weight")), F.struct(F.lit("de").alias("field"), F.lit(0.5).alias("weight")))).alias("x")).select("query_id", "x.*")
+    boosted = hybrid.boost(_blended(spark, sf_dir), _cleaned(spark, sf_dir), weights)
+    return hybrid.ranked(boosted, 5).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"""
+WITH {_BLEND}, al3 AS (SELECT mix.*, source = 'src' || (query_id % 25) AS ok FROM mix JOIN documents USING (doc_id)), re AS (SELECT *, bool_or(ok) OVER (PARTITION BY query_id) AS any_ok FROM al3),
+r AS (SELECT *, {_TOP.format('score', 'doc_id')} AS rank FROM re WHERE (ok OR NOT any_ok) AND (dense >= 0.25 OR bm25 >= 1.0)) SELECT query_id, doc_id AS chunk_id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 3""")
+def restricted_topk(spark, sf_dir):
+    docs = _cleaned(spark, sf_dir)
+    wanted = _questions(spark, sf_dir).select("query_id", F.concat(F.lit("src"), F.col("query_id") % 25).alias("token"))
+    kept = hybrid.restrict(_blended(spark, sf_dir), wanted, docs.select("chunk_id", F.col("title").alias("token")))
+    return hybrid.ranked(kept, 3).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"""
+WITH {_BLEND}, a AS (SELECT *, {_TOP.format('score', 'doc_id')} AS r1 FROM mix), p AS (SELECT query_id, doc_id, dense AS score FROM a WHERE r1 <= 40 AND (dense >= 0.25 OR bm25 >= 1.0)),
+r AS (SELECT *, {_TOP.format('score', 'doc_id')} AS rank FROM p) SELECT query_id, doc_id AS chunk_id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 5""")
+def rerank_cascade(spark, sf_dir):
+    return hybrid.reranked(_blended(spark, sf_dir), 5, F.col("dense")).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"""
+WITH {_GROUND}, per AS (SELECT query_id, count(*) FILTER (kind <> 'unknown') AS m, count(*) FILTER (kind = 'unknown') AS u FROM gr GROUP BY 1),
+res AS (SELECT query_id, count(*) AS n FROM gr JOIN (SELECT DISTINCT p_name FROM part) ON contains(p_name, entity) AND kind <> 'unknown' WHERE query_id <> 7 GROUP BY 1)
+SELECT qs.query_id, CASE WHEN coalesce(m, 0) = 0 AND coalesce(u, 0) > 0 THEN 'unknown_entity' WHEN coalesce(m, 0) = 0 THEN 'no_entity' WHEN coalesce(n, 0) = 0 THEN 'no_relevant_context' ELSE 'ok' END AS status,
+  CASE WHEN coalesce(m, 0) = 0 THEN 0 ELSE coalesce(n, 0) END AS n_results FROM qs LEFT JOIN per USING (query_id) LEFT JOIN res USING (query_id)""")
+def floor_abstain_status(spark, sf_dir):
+    grounded = _grounded(spark, sf_dir)
+    names = _read(spark, sf_dir, "part").select("p_name").distinct()
+    hits = grounded.where("kind <> 'unknown' and query_id <> 7").join(names.withColumn("entity", F.explode(F.split("p_name", " "))), "entity").select("query_id", "p_name")
+    out = hybrid.statuses(grounding.outcomes(_inline(spark), grounded), hits)
+    return out.select("query_id", "status", "n_results")
+
+
+@query(f"""
+WITH {_BLEND}, r AS (SELECT *, {_TOP.format('score', 'doc_id')} AS rank FROM mix), s AS (SELECT *, greatest(0.2 * bm25 + 0.8 * dense, 1e-9) AS tot FROM r WHERE rank <= 3)
+SELECT query_id, doc_id AS chunk_id, round(0.2 * bm25 / tot, 6) AS lexical_share, round(0.8 * dense / tot, 6) AS dense_share FROM s""")
+def score_shares(spark, sf_dir):
+    best = lexical.top(_blended(spark, sf_dir), 3, "score")
+    out = best.select("query_id", "chunk_id", *hybrid.shares(0.2))
+    return out.select("query_id", "chunk_id", F.round("lexical_share", 6).alias("lexical_share"), F.round("dense_share", 6).alias("dense_share"))
+
+
+@query(f"""
+WITH {_BLEND}, a AS (SELECT query_id, doc_id FROM (SELECT *, {_TOP.format('bm25', 'doc_id')} AS rank FROM bm) WHERE rank <= 5), b AS (SELECT query_id, doc_id FROM (SELECT *, {_TOP.format('cosine', 'doc_id')} AS rank FROM tfs) WHERE rank <= 5)
+SELECT query_id, doc_id AS chunk_id, 'only_a' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT query_id, doc_id, 'only_b' FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT query_id, doc_id, 'both' FROM (SELECT * FROM a INTERSECT SELECT * FROM b)""")
+def result_set_diff(spark, sf_dir):
+    a = lexical.top(_bm25(spark, sf_dir), 5, "bm25").select("query_id", "chunk_id")
+    b = lexical.top(_tfidf(spark, sf_dir), 5, "cosine").select("query_id", "chunk_id")
+    return hybrid.differences(a, b)
+
+
+# --- intents and personas --------------------------------------------------------------------------------------------
+
+_SCORES = ", ".join(f"({k}, '{i}', {w}, '{p.replace(chr(39), chr(39) * 2)}')" for k, (i, w, p) in enumerate(lists.INTENT_RULES))
+_INTENTS = f"""qs(query_id, query) AS (SELECT * FROM {_values(QUESTIONS)}), rules(k, intent, w, p) AS (VALUES {_SCORES}),
+hit AS (SELECT query_id, intent, sum(w::DOUBLE) AS w, min(k) AS k FROM qs JOIN rules ON regexp_matches(query, p, 'i') GROUP BY ALL),
+dist AS (SELECT query_id, intent, round(w / sum(w) OVER (PARTITION BY query_id), 4) AS confidence, k FROM hit)"""
+
+
+@query(f"WITH {_INTENTS} SELECT query_id, intent, confidence FROM dist")
+def intent_distribution(spark, sf_dir):
+    return routing.intent_rows(_inline(spark))
+
+
+@query(f"WITH {_INTENTS} SELECT query_id, arg_min(intent, (-confidence, k)) AS intent FROM dist GROUP BY 1")
+def top_intents(spark, sf_dir):
+    return _inline(spark).select("query_id", routing.top_intent(routing.intents(F.col("query"))).alias("intent")).where("intent is not null")
+
+
+_FIELDS = f"fw(intent, field, weight) AS (SELECT * FROM {_values(lists.INTENT_FIELDS)})"
+_ALLOWED = ", ".join(f"'{f}'" for f in sorted(routing.PATIENT.allowed))
+
+
+@query(f"WITH {_INTENTS}, {_FIELDS} SELECT query_id, field, round(sum(confidence * weight), 6)::DOUBLE AS weight FROM dist JOIN fw USING (intent) WHERE field IN ({_ALLOWED}) GROUP BY ALL")
+def patient_field_weights(spark, sf_dir):
+    return routing.field_weights(_inline(spark), routing.PATIENT).select("query_id", "field", F.round("weight", 6).alias("weight"))
+
+
+_PICK = "s AS (SELECT vec_id % 7 AS query_id, vec_id AS chunk_id, 'drug-corpus' AS origin, ['description', 'mechanism', 'indications', 'dosage', 'side_effects', 'contraindications', 'interactions'][label % 7 + 1] AS field, embedding[1]::DOUBLE AS score FROM embeddings)"
+
+
+def _candidates(spark, sf_dir) -> DataFrame:
+    names = F.array(*map(F.lit, lists.RECORD_FIELDS))
+    return _read(spark, sf_dir, "embeddings").select((F.col("vec_id") % 7).alias("query_id"), F.col("vec_id").alias("chunk_id"), F.lit("drug-corpus").alias("origin"), F.element_at(names, (F.col("label") % 7 + 1).cast("int")).alias("field"), F.col("embedding")[0].cast("double").alias("score"))
+
+
+@query(f"""
+WITH {_PICK}, a AS (SELECT *, {_TOP.format('score', 'chunk_id')} AS r FROM s WHERE field IN ({_ALLOWED}))
+SELECT query_id, chunk_id, field, row_number() OVER (PARTITION BY query_id ORDER BY CASE field WHEN 'contraindications' THEN 0 WHEN 'side_effects' THEN 1 WHEN 'description' THEN 2 WHEN 'indications' THEN 3 ELSE 9 END, r)::INT AS position FROM a WHERE r <= 4""")
+def persona_select(spark, sf_dir):
+    return routing.select_for(routing.PATIENT, _candidates(spark, sf_dir)).select("query_id", "chunk_id", "field", "position")
+
+
+@query(f"WITH {_PICK}, a AS (SELECT *, {_TOP.format('score', 'chunk_id')} AS r FROM s WHERE field IN ({_ALLOWED})) SELECT query_id, string_agg(field, ',' ORDER BY field) AS dropped FROM (SELECT DISTINCT query_id, field FROM s EXCEPT SELECT DISTINCT query_id, field FROM a WHERE r <= 4) GROUP BY 1")
+def dropped_fields(spark, sf_dir):
+    rows = _candidates(spark, sf_dir)
+    return routing.dropped_fields(rows, routing.select_for(routing.PATIENT, rows)).select("query_id", F.array_join("dropped", ",").alias("dropped"))
+
+
+SCREENED = ((1, "I have chest pain since noon", "red_flag"), (2, "should I increase my dose?", "medication_change"), (3, "does ring interact with rod?", "interaction"), (4, "what is the ring used for?", None), (5, "can I just stop", "medication_change"), (6, None, None))
+
+
+@query(f"SELECT * FROM (SELECT a::INT AS query_id, b AS query, c AS screen FROM {_values(SCREENED)} AS t(a, b, c))")
+def persona_screens(spark, sf_dir):
+    rows = spark.createDataFrame([r[:2] for r in SCREENED], "query_id int, query string")
+    return rows.select("query_id", "query", answers.screen(F.col("query"), routing.top_intent(routing.intents(F.col("query")))).alias("screen"))
+
+
+# --- answers ---------------------------------------------------------------------------------------------------------
+
+
+@query("""
+WITH o AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank, '(drug=' || source || ', field=' || lang || ', score=0.500)' || chr(10) || text AS tail FROM documents),
+b AS (SELECT *, '[Source ' || rank || '] ' || tail AS block FROM o), u AS (SELECT *, sum(length(block)) OVER (PARTITION BY source ORDER BY rank) AS upto FROM b)
+SELECT source AS query_id, count(*) AS n_sources, length(string_agg(block, chr(10) || chr(10) ORDER BY rank)) AS n_chars, md5(string_agg(block, chr(10) || chr(10) ORDER BY rank)) AS digest FROM u WHERE rank = 1 OR upto <= 12000 GROUP BY 1""")
+def pack_context(spark, sf_dir):
+    from pyspark.sql import Window
+
+    rows = _docs(spark, sf_dir).select(F.col("title").alias("query_id"), F.col("title").alias("drug"), "field", "text", F.lit(0.5).alias("score"), F.row_number().over(Window.partitionBy("title").orderBy("doc_id")).alias("rank"))
+    return answers.packed(rows).select("query_id", "n_sources", F.length("context").cast("long").alias("n_chars"), F.md5("context").alias("digest"))
+
+
+_CW = "list_filter(regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+'), lambda x: length(x) > 2 AND NOT list_contains(" + _sql_list(lists.OVERLAP_STOP_WORDS) + ", x))"
+
+
+def _turns(spark, sf_dir) -> DataFrame:
+    from pyspark.sql import Window
+
+    c = _read(spark, sf_dir, "conversations")
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return c.withColumn("context", before).where("role = 'assistant'")
+
+
+@query(f"""
+WITH c AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS context FROM conversations), a AS (SELECT conv_id, turn, {_CW.format('text')} AS ws, list_distinct(regexp_extract_all(lower(coalesce(context, '')), '[a-z0-9]+')) AS ctx FROM c WHERE role = 'assistant')
+SELECT conv_id, turn, round(CASE WHEN len(ws) = 0 THEN 0.0 ELSE len(list_filter(ws, lambda x: list_contains(ctx, x))) / len(ws) END, 6)::DOUBLE AS overlap FROM a""")
+def answer_overlap(spark, sf_dir):
+    return _turns(spark, sf_dir).select("conv_id", "turn", F.round(text.overlap(F.col("text"), F.col("context")), 6).alias("overlap"))
+
+
+ANSWERED = ((1, "Take care [Source 1] and [Source 3]. This is NOT medical advice.", "alpha beta 12.5 mg", 2), (2, "No citation, 40 mg", "40 mg daily", 1), (3, "[Source 2][Source  2] fine 7 and 8.25", "fine 8.25", 2), (4, "<think>[Source 9]</think> ok [Source 1]", None, 1))
+
+
+@query("SELECT * FROM (VALUES (1, '1', '3', true, false), (2, '', '', false, false), (3, '2', '', false, true), (4, '1', '', false, true)) AS t(query_id, citations, invalid, has_disclaimer, grounded)")
+def citation_verify(spark, sf_dir):
+    rows = spark.createDataFrame(ANSWERED, "query_id int, answer string, context string, n int")
+    v = answers.verification(text.without_scratchpad(F.col("answer")), F.col("context"), F.col("n"))
+    return rows.withColumn("v", v).select("query_id", F.array_join(F.transform("v.citations", lambda x: x.cast("string")), ",").alias("citations"), F.array_join(F.transform("v.invalid", lambda x: x.cast("string")), ",").alias("invalid"), "v.has_disclaimer", "v.grounded")
+
+
+@query(rf"""
+WITH a(query_id, answer, context) AS (SELECT a::INT, b, c FROM {_values([r[:3] for r in ANSWERED])} AS t(a, b, c)), n AS (SELECT query_id, regexp_extract_all(answer, '[0-9]+(?:\.[0-9]+)?') AS x, regexp_extract_all(coalesce(context, ''), '[0-9]+(?:\.[0-9]+)?') AS y FROM a)
+SELECT query_id, array_to_string(list_sort(list_distinct(list_filter(x, lambda v: NOT list_contains(y, v)))), ',') AS unsupported FROM n""")
+def unsupported_numbers(spark, sf_dir):
+    rows = spark.createDataFrame(ANSWERED, "query_id int, answer string, context string, n int")
+    return rows.select("query_id", F.array_join(text.unsupported_numbers(F.col("answer"), F.col("context")), ",").alias("unsupported"))
+
+
+def _redact_sql(column: str) -> str:
+    for pattern, mark in lists.REDACTIONS:
+        column = f"regexp_replace({column}, '{pattern}', '{mark}', 'g')"
+    return column
+
+
+@query(f"SELECT doc_id, md5({_redact_sql('text')}) AS digest FROM documents")
+def redact_pii(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.md5(text.redact(F.col("text"))).alias("digest"))
+
+
+@query("SELECT conv_id, turn, md5(text || CASE WHEN contains(lower(text), 'not medical advice') THEN '' ELSE chr(10) || chr(10) || '" + answers.DISCLAIMER + "' END) AS digest, substring(text, 1, 40) || CASE WHEN length(text) > 40 THEN '…' ELSE '' END AS snippet FROM conversations")
+def disclaimers_and_snippets(spark, sf_dir):
+    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(text.with_disclaimer(F.col("text"), answers.DISCLAIMER)).alias("digest"), text.snippet(F.col("text"), 40).alias("snippet"))
+
+
+@query(r"WITH c AS (SELECT doc_id, source || ' — ' || lang || ': ' || text AS text FROM documents) SELECT doc_id, md5(regexp_replace(text, '^.*? — .*?:\s*', '')) AS digest FROM c")
+def prefix_strip(spark, sf_dir):
+    rows = _docs(spark, sf_dir).withColumn("text", F.concat("title", F.lit(" — "), "field", F.lit(": "), "text"))
+    return rows.select("doc_id", F.md5(text.without_prefix(F.col("text"))).alias("digest"))
+
+
+NOTES = ((1, "SOB and htn, 5 mg bid."), (2, "  What about   (CKD)? "), (3, ""), (4, "po prn!"))
+
+
+@query("SELECT * FROM (VALUES (1, 'shortness of breath and hypertension, 5 mg twice daily.'), (2, 'what about (chronic kidney disease)?'), (3, ''), (4, 'by mouth as needed!')) AS t(note_id, normalised)")
+def query_normalise(spark, sf_dir):
+    return spark.createDataFrame(NOTES, "note_id int, note string").select("note_id", text.normalise(F.col("note")).alias("normalised"))
+
+
+@query("SELECT user_id AS persona, count(*) AS answers, count(*) FILTER (event_type <> 'view') AS refused, count(*) FILTER (event_type = 'click') AS grounded, count(DISTINCT event_type) AS personas FROM events GROUP BY 1")
+def audit_rollup(spark, sf_dir):
+    e = _read(spark, sf_dir, "events")
+    return e.groupBy(F.col("user_id").alias("persona")).agg(F.count("*").alias("answers"), F.count_if(F.col("event_type") != "view").alias("refused"), F.count_if(F.col("event_type") == "click").alias("grounded"), F.countDistinct("event_type").alias("personas"))
+
+
+@query("SELECT count(*) AS answers, count(*) FILTER (event_type <> 'ok') AS refused, count(*) FILTER (value > 50) AS grounded, count(DISTINCT user_id) AS personas FROM events")
+def audit_metrics(spark, sf_dir):
+    e = _read(spark, sf_dir, "events").select(F.col("event_type").alias("status"), F.when(F.col("value") > 50, "yes").otherwise("no").alias("grounded"), F.col("user_id").alias("persona"))
+    return answers.audit_rollup(e)
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
+def audit_stream_windows(spark, sf_dir):
+    from ledgerwell.streaming import audit
+
+    out = audit.windowed(_read(spark, sf_dir, "events"))
+    return out.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+# --- pairs -----------------------------------------------------------------------------------------------------------
+
+_PAIRS = """li AS (SELECT DISTINCT l_orderkey, p_name, CASE l_returnflag WHEN 'A' THEN 'Minor' WHEN 'N' THEN 'Moderate' ELSE 'odd' END AS level FROM lineitem JOIN part ON p_partkey = l_partkey),
+pr AS (SELECT least(a.p_name, b.p_name) AS a, greatest(a.p_name, b.p_name) AS b, max(CASE a.level WHEN 'Moderate' THEN 2 WHEN 'Minor' THEN 1 ELSE 0 END) AS rank FROM li a JOIN li b ON a.l_orderkey = b.l_orderkey AND a.p_name < b.p_name GROUP BY ALL)"""
+
+
+def _pair_rows(spark, sf_dir) -> DataFrame:
+    level = F.when(F.col("l_returnflag") == "A", "Minor").when(F.col("l_returnflag") == "N", "Moderate").otherwise("odd")
+    li = _read(spark, sf_dir, "lineitem").join(_read(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey")).select("l_orderkey", "p_name", level.alias("level")).distinct()
+    a, b = li.select("l_orderkey", F.col("p_name").alias("a_name"), "level"), li.select("l_orderkey", F.col("p_name").alias("b_name"))
+    return a.join(b, "l_orderkey").where("a_name < b_name").withColumn("ord", F.struct(F.lit("f").alias("file"), F.col("l_orderkey").alias("row")))
+
+
+@query(f"WITH {_PAIRS} SELECT a, b, CASE rank WHEN 2 THEN 'Moderate' WHEN 1 THEN 'Minor' ELSE 'Unknown' END AS level, rank::INT AS rank FROM pr")
+def pair_dedupe_max_severity(spark, sf_dir):
+    return pairs.severest(_pair_rows(spark, sf_dir))
+
+
+def _resolved(spark, sf_dir, column: str, inputs: DataFrame) -> DataFrame:
+    p = _read(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct().withColumn("tokens", F.array_sort(text.identity_tokens(F.col("name"), lists.PAIR_SALT_WORDS)))
+    return pairs.resolve(inputs.select(F.col(column).alias("input")), p)
+
+
+ASKED = (("Blue Anvil", "cold gizmo"), ("blue anvil", "BLUE ANVIL "), ("anvil blue tablets", "red rod"), ("zorbium", "red rod"), ("plate", "small ring"))
+
+
+@query(f"""
+WITH {_PAIRS}, asked(input_a, input_b, ca, cb) AS (VALUES ('Blue Anvil', 'cold gizmo', 'blue anvil', 'cold gizmo'), ('blue anvil', 'BLUE ANVIL ', 'blue anvil', 'blue anvil'), ('anvil blue tablets', 'red rod', 'blue anvil', 'red rod'), ('zorbium', 'red rod', NULL, 'red rod'), ('plate', 'small ring', 'hot plate', 'small ring'))
+SELECT input_a, input_b, CASE WHEN ca IS NULL OR cb IS NULL THEN 'unknown_drug' WHEN ca = cb THEN 'same_drug' WHEN rank IS NULL THEN 'no_interaction' ELSE 'ok' END AS status, coalesce(rank, -1)::INT AS rank FROM asked LEFT JOIN pr ON pr.a = least(ca, cb) AND pr.b = greatest(ca, cb)""")
+def pair_lookup_status(spark, sf_dir):
+    asked = spark.createDataFrame(ASKED, "input_a string, input_b string")
+    names = asked.select(F.explode(F.array("input_a", "input_b")).alias("input"))
+    out = pairs.check(asked, _resolved(spark, sf_dir, "input", names), pairs.severest(_pair_rows(spark, sf_dir)))
+    return out.select("input_a", "input_b", "status", F.coalesce("rank", F.lit(-1)).alias("rank"))
+
+
+@query("SELECT * FROM (VALUES ('Blue Anvil', 'blue anvil', 1), ('anvil blue tablets', 'blue anvil', 2), ('plate', 'hot plate', 3), ('cold gizmoo', 'cold gizmo', 5)) AS t(input, name, step)")
+def name_resolution_ladder(spark, sf_dir):
+    asked = spark.createDataFrame([("Blue Anvil",), ("anvil blue tablets",), ("plate",), ("cold gizmoo",), ("zorbium",), ("",)], "input string")
+    return _resolved(spark, sf_dir, "input", asked)
+
+
+@query(f"""
+WITH {_PAIRS}, items AS (SELECT l_orderkey AS list_id, l_linenumber AS pos, p_name FROM lineitem JOIN part ON p_partkey = l_partkey),
+ck AS (SELECT a.list_id, CASE WHEN a.p_name = b.p_name THEN 'same' WHEN pr.rank IS NULL THEN 'none' ELSE 'ok' END AS status, pr.rank FROM items a JOIN items b ON a.list_id = b.list_id AND a.pos < b.pos LEFT JOIN pr ON pr.a = least(a.p_name, b.p_name) AND pr.b = greatest(a.p_name, b.p_name)),
+c AS (SELECT list_id, count(*) FILTER (status = 'ok' AND rank = 2) AS moderate, count(*) FILTER (status = 'ok' AND rank = 1) AS minor, count(*) FILTER (status = 'ok' AND rank = 0) AS unknown, count(*) FILTER (status = 'none') AS safe_pairs FROM ck GROUP BY 1)
+SELECT list_id, count(*) AS n_drugs, 0::BIGINT AS major, coalesce(any_value(moderate), 0) AS moderate, coalesce(any_value(minor), 0) AS minor, coalesce(any_value(unknown), 0) AS unknown, coalesce(any_value(safe_pairs), 0) AS safe_pairs FROM items LEFT JOIN c USING (list_id) GROUP BY 1""")
+def list_pairs_summary(spark, sf_dir):
+    items = _read(spark, sf_dir, "lineitem").join(_read(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey")).select(F.col("l_orderkey").alias("list_id"), F.col("l_linenumber").alias("pos"), F.col("p_name").alias("input"))
+    _, summary = pairs.check_lists(items, _resolved(spark, sf_dir, "input", items), pairs.severest(_pair_rows(spark, sf_dir)))
+    return summary.select("list_id", "n_drugs", "major", "moderate", "minor", "unknown", "safe_pairs")
+
+
+# --- evaluation ------------------------------------------------------------------------------------------------------
+
+_TRUTH = "truth AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
+
+
+def _truth(spark, sf_dir) -> DataFrame:
+    """Verbatim matches, found through the operator for word windows of whole items: the text of an item, then a containment check."""
+    words = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
+    b = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), F.array_join(F.slice(words(F.col("text")), 2, 4), " ").alias("key"))
+    d = _read(spark, sf_dir, "documents").select("doc_id", "text", words(F.col("text")).alias("w"))
+    keyed = d.select("doc_id", "text", F.explode(F.array_distinct(F.when(F.size("w") < 4, F.array(F.lit(""))).otherwise(F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.array_join(F.slice("w", i, F.lit(4)), " "))))).alias("key"))
+    return keyed.join(b, "key").where(F.contains("text", "passage")).select("query_id", F.col("doc_id").alias("chunk_id")).distinct()
+
+
+@query(f"""
+WITH {_BM25}, {_TRUTH}, r AS (SELECT *, {_TOP.format('bm25', 'doc_id')} AS rank FROM bm), f AS (SELECT query_id, min(rank) AS first_rank FROM truth JOIN r USING (query_id, doc_id) WHERE rank <= 20 GROUP BY 1), c AS (SELECT DISTINCT query_id FROM truth)
+SELECT count(*) AS cases, round(avg(CASE WHEN first_rank <= 5 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS recall, round(avg(coalesce(1.0 / first_rank, 0.0)), 6)::DOUBLE AS mrr FROM c LEFT JOIN f USING (query_id)""")
+def recall_and_mrr(spark, sf_dir):
+    results = lexical.top(_bm25(spark, sf_dir), 20, "bm25")
+    out = evaluation.recall_mrr(_truth(spark, sf_dir), results, ["query_id", "chunk_id"])
+    return out.select("cases", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"))
+
+
+@query(f"""
+WITH {_BM25}, {_TRUTH}, r AS (SELECT *, {_TOP.format('bm25', 'doc_id')} AS rank FROM bm), h AS (SELECT query_id, count(*) AS hits FROM (SELECT DISTINCT * FROM truth) JOIN r USING (query_id, doc_id) WHERE rank <= 5 GROUP BY 1), w AS (SELECT query_id, count(*) AS n FROM (SELECT DISTINCT * FROM truth) GROUP BY 1)
+SELECT round(avg(coalesce(hits, 0) / 5), 6) AS precision, round(avg(coalesce(hits, 0) / n), 6) AS recall, round(avg(CASE WHEN coalesce(hits, 0) > 0 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS hit_rate FROM w LEFT JOIN h USING (query_id)""")
+def precision_recall_at_5(spark, sf_dir):
+    results = lexical.top(_bm25(spark, sf_dir), 5, "bm25").select("query_id", "chunk_id", "rank")
+    out = evaluation.precision_at(_truth(spark, sf_dir), results, ["query_id", "chunk_id"])
+    return out.select(*(F.round(c, 6).alias(c) for c in ("precision", "recall", "hit_rate")))
+
+
+@query(f"""
+WITH {_BM25}, {_TRUTH}, s AS (SELECT item_id AS query_id, item_id NOT IN (SELECT query_id FROM truth) AS must_refuse, coalesce((SELECT max(bm25) FROM bm WHERE bm.query_id = item_id), 0) >= 60 AS ok FROM benchmark)
+SELECT round(avg(CASE WHEN must_refuse THEN CASE WHEN ok THEN 0.0 ELSE 1.0 END END), 6)::DOUBLE AS refusal_accuracy, round(avg(CASE WHEN NOT must_refuse THEN CASE WHEN ok THEN 0.0 ELSE 1.0 END END), 6)::DOUBLE AS false_refusals FROM s""")
+def refusal_accuracy(spark, sf_dir):
+    best = _bm25(spark, sf_dir).groupBy("query_id").agg(F.max("bm25").alias("best"))
+    known = _truth(spark, sf_dir).select("query_id").distinct().withColumn("known", F.lit(True))
+    rows = _questions(spark, sf_dir).select("query_id").join(best, "query_id", "left").join(known, "query_id", "left")
+    rows = rows.select(F.when(F.coalesce("best", F.lit(0.0)) >= 60, "ok").otherwise("refused").alias("status"), F.col("known").isNull().alias("must_refuse"))
+    return evaluation.refusals(rows).select(F.round("refusal_accuracy", 6).alias("refusal_accuracy"), F.round("false_refusals", 6).alias("false_refusals"))
+
+
+SWEEP = ((0.0, 0.95, 0.95, 0.867), (0.2, 1.0, 0.91, 0.822), (0.4, 1.0, 0.91, 0.822), (0.6, 1.0, 0.68, 0.502), (1.0, 1.0, 0.41, 0.409))
+
+
+@query("SELECT 0.2::DOUBLE AS alpha, 1.0::DOUBLE AS recall, 0.91::DOUBLE AS field_recall, 0.822::DOUBLE AS mrr")
+def alpha_sweep_select(spark, sf_dir):
+    return evaluation.choose(spark.createDataFrame(SWEEP, "alpha double, recall double, field_recall double, mrr double"), "alpha")
+
+
+@query(f"""
+WITH {_BM25}, r AS (SELECT *, {_TOP.format('bm25', 'doc_id')} AS rank FROM bm), best AS (SELECT query_id, lang AS guess FROM r JOIN documents USING (doc_id) WHERE rank = 1), t AS (SELECT query_id, lang AS truth FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS k FROM (SELECT item_id AS query_id, doc_id, lang FROM benchmark b JOIN documents d ON contains(d.text, b.text))) WHERE k = 1)
+SELECT round(avg(CASE WHEN truth = guess THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS accuracy, count(*) FILTER (guess IS NULL) AS unmatched FROM t LEFT JOIN best USING (query_id)""")
+def field_accuracy(spark, sf_dir):
+    docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "field")
+    guess = lexical.top(_bm25(spark, sf_dir), 1, "bm25").join(docs, "chunk_id").select("query_id", F.col("field").alias("guess"))
+    truth = _truth(spark, sf_dir).groupBy("query_id").agg(F.min("chunk_id").alias("chunk_id")).join(docs, "chunk_id").select("query_id", F.col("field").alias("truth"))
+    return evaluation.accuracy(truth.join(guess, "query_id", "left"), "truth", "guess").select(F.round("accuracy", 6).alias("accuracy"), "unmatched")
+
+
+# --- end to end ------------------------------------------------------------------------------------------------------
+
+_CHUNK_BM25 = f"""{_CHUNKS}, kc AS (SELECT *, row_number() OVER (ORDER BY doc_id, win) - 1 AS chunk_id, {FLAT.format(_LOWER)} AS lo FROM chunks),
+kt AS (SELECT chunk_id, list_filter(string_split(lo, ' '), lambda x: x <> '' AND NOT list_contains({_sql_list(_KEEP)}, x)) AS ws2 FROM kc),
+post AS (SELECT term, chunk_id, count(*) AS tf FROM (SELECT chunk_id, unnest(ws2) AS term FROM kt) GROUP BY ALL), dfreq AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
+dl AS (SELECT chunk_id, len(ws2) AS dl FROM kt), tot AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), {_QUERY_CTE},
+bm AS (SELECT query_id, chunk_id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) AS bm25 FROM q JOIN dfreq USING (term) JOIN post USING (term) JOIN dl USING (chunk_id), tot GROUP BY ALL),
+r AS (SELECT *, {_TOP.format('bm25', 'chunk_id')} AS rank FROM bm WHERE bm25 >= 1.0),
+bl AS (SELECT query_id, rank, bm25, '[Source ' || rank || '] (drug=' || drug || ', field=' || field || ', score=' || printf('%.3f', round(bm25, 9)) || ')' || chr(10) || text AS block FROM r JOIN kc USING (chunk_id) WHERE rank <= 5),
+up AS (SELECT *, sum(length(block)) OVER (PARTITION BY query_id ORDER BY rank) AS upto FROM bl)"""
+
+
+@query(f"""
+WITH {_CHUNK_BM25} SELECT query_id, count(*) AS n_sources, round(max(bm25), 6) AS best, length(string_agg(block, chr(10) || chr(10) ORDER BY rank)) AS n_chars, md5(string_agg(block, chr(10) || chr(10) ORDER BY rank)) AS digest
+FROM up WHERE rank = 1 OR upto <= 12000 GROUP BY 1""")
+def grounded_context(spark, sf_dir):
+    """Documents to windows, index, scores, floor, top 5 and a packed context for every question."""
+    chunks = chunking.numbered(chunking.chunk_table(_docs(spark, sf_dir), profile="stopwords"))
+    scores = lexical.bm25(lexical.build_index(chunks), _questions(spark, sf_dir))
+    best = lexical.top(scores.where("bm25 >= 1.0"), 5, "bm25").join(chunks.select("chunk_id", "drug", "field", "text"), "chunk_id")
+    packed = answers.packed(best.withColumn("score", F.round("bm25", 9)))
+    top = best.groupBy("query_id").agg(F.round(F.max("bm25"), 6).alias("best"))
+    return packed.join(top, "query_id").select("query_id", "n_sources", "best", F.length("context").cast("long").alias("n_chars"), F.md5("context").alias("digest"))
+
+
+@query()
+def grounded_answers(spark, sf_dir):
+    """The engine over part names as records: grounding, hybrid scores with hashed vectors, personas, quoting, verification."""
+    from ledgerwell.plans.engine import Engine
+
+    p = _read(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_brand").alias("b"), F.min("p_type").alias("t"))
+    field_texts = [F.concat_ws(" ", "p_name", F.lit(word), "b", "t").alias(name) for name, word in (("description", "is made by"), ("mechanism", "works by the mechanism of"), ("indications", "is indicated for"), ("dosage", "dose per day of"), ("side_effects", "has side effects like"), ("contraindications", "should not be used with"), ("interactions", "interacts with"))]
+    records = p.select(F.col("p_name").alias("name"), F.col("t").alias("category"), *field_texts)
+    engine = Engine(chunking.documents_from_records(records), _brands(spark), dense.hashing_encoder())
+    out = engine.answer(_inline(spark), routing.PATIENT)
+    return out.select("query_id", "status", "mode", "answer", "n_sources", F.array_join("dropped_fields", ",").alias("dropped"), "verification.grounded")
