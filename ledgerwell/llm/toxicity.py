@@ -275,13 +275,15 @@ def _apply(model: Model | None):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, longest: int = LONGEST) -> list[tuple[str, int]]:
-    """At most per_label labelled documents of each label outside the held-out part."""
-    known = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("label"))
-    rows = docs.where("doc_id is not null and text is not null").where(F.length("text") <= longest).where(~held_out(F.col("doc_id"), 5, 0)).select("doc_id", "text")
-    first = Window.partitionBy("label").orderBy("h", "doc_id", "text")
-    ids = known.distinct().withColumn("h", F.xxhash64("doc_id"))
-    few = rows.join(ids, "doc_id").withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_label)
-    found = few.select("label", "h", "doc_id", "text").collect()
+    """Texts of at most per_label documents of each label outside the held-out part.
+
+    The ids are chosen among the labels alone; those are few by the parameter, so they are broadcast to the texts.
+    """
+    known = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"), 5, 0)).select("doc_id", F.col("toxic").cast("int").alias("label")).distinct()
+    first = Window.partitionBy("label").orderBy("h", "doc_id")
+    few = known.withColumn("h", F.xxhash64("doc_id")).withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_label)
+    rows = docs.where("text is not null").where(F.length("text") <= longest).select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    found = rows.select("label", "h", "doc_id", "text").collect()
     return [(r.text, r.label) for r in sorted(found, key=lambda r: (r.label, r.h, r.doc_id, r.text))]
 
 
