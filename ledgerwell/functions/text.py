@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ledgerwell.functions import lists
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: A word: letters and digits, with single inner hyphens, dots and apostrophes.
+WORD = r"([\p{L}\p{N}]+(?:[-.'][\p{L}\p{N}]+)*)"
 _TOKEN = r"([a-z][a-z\-]{2,})"
 
 
@@ -57,7 +59,7 @@ def _stemmed(word: Column) -> Column:
 
 
 def clean(text: Column, urls: bool = True, lower: bool = True, punctuation: bool = False, numbers: bool = False, spaces: bool = True, stop_words: bool = False, keep_negation: bool = True, stem: bool = False, lemmatize: bool = False) -> Column:
-    """The cleaner with its switches, in fixed order; tokens are made only where a token switch is on."""
+    """The cleaner with its switches, in fixed order. Only a token switch cuts words, and so drops the punctuation between them."""
     out = F.coalesce(text, F.lit(""))
     if urls:
         out = F.regexp_replace(out, r"https?://\S+", "")
@@ -71,7 +73,7 @@ def clean(text: Column, urls: bool = True, lower: bool = True, punctuation: bool
         out = collapse(out)
     if stop_words or stem or lemmatize:
         safe = _array(lists.NEGATIONS)
-        words = tokens(collapse(out))
+        words = F.regexp_extract_all(out, F.lit(WORD), F.lit(1))
         if stop_words:
             drop = _array([w for w in lists.STOP_WORDS if not keep_negation or w not in lists.NEGATIONS])
             words = F.filter(words, lambda w: ~F.array_contains(drop, w))

@@ -96,7 +96,7 @@ def check(asked: DataFrame, resolved: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def split_list(column: Column) -> Column:
-    return F.filter(F.transform(F.split(column, r"[\n,;]+"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(column, r"[\n,;]+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def check_lists(items: DataFrame, resolved: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:

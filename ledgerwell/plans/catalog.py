@@ -159,7 +159,8 @@ def clean_minimal(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.md5(text.cleaned(F.col("text"), "minimal")).alias("digest"))
 
 
-_CLEAN_CTE = f"m AS (SELECT doc_id, lang, source, text, {FLAT.format(_LOWER)} AS flat FROM documents), k AS (SELECT *, CASE WHEN flat = '' THEN []::VARCHAR[] ELSE list_filter(string_split(flat, ' '), lambda x: NOT list_contains({_sql_list(_KEEP)}, x)) END AS ws FROM m)"
+_WORD = text.WORD.replace("'", "''")
+_CLEAN_CTE = f"m AS (SELECT doc_id, lang, source, text, {FLAT.format(_LOWER)} AS flat FROM documents), k AS (SELECT *, list_filter(regexp_extract_all(flat, '{_WORD}'), lambda x: NOT list_contains({_sql_list(_KEEP)}, x)) AS ws FROM m)"
 
 
 @query(f"WITH {_CLEAN_CTE} SELECT doc_id, len(ws) AS n_tokens, md5(array_to_string(ws, ' ')) AS digest FROM k")
@@ -211,7 +212,7 @@ def standalone_names(spark, sf_dir):
 # --- lexical ---------------------------------------------------------------------------------------------------------
 
 _INDEX = f"{_CLEAN_CTE}, post AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(ws) AS term FROM k) GROUP BY ALL), dfreq AS (SELECT term, count(*) AS df FROM post GROUP BY 1), dl AS (SELECT doc_id, len(ws) AS dl FROM k), tot AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl)"
-_QUERY_CTE = f"q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest(list_filter(string_split({FLAT.format(_LOWER)}, ' '), lambda x: x <> '' AND NOT list_contains({_sql_list(_KEEP)}, x))) AS term FROM benchmark) GROUP BY ALL)"
+_QUERY_CTE = f"q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest(list_filter(regexp_extract_all({FLAT.format(_LOWER)}, '{_WORD}'), lambda x: NOT list_contains({_sql_list(_KEEP)}, x))) AS term FROM benchmark) GROUP BY ALL)"
 _BM25 = f"{_INDEX}, {_QUERY_CTE}, bm AS (SELECT query_id, doc_id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) AS bm25 FROM q JOIN dfreq USING (term) JOIN post USING (term) JOIN dl USING (doc_id), tot GROUP BY ALL)"
 
 
@@ -770,7 +771,7 @@ def field_accuracy(spark, sf_dir):
 # --- end to end ------------------------------------------------------------------------------------------------------
 
 _CHUNK_BM25 = f"""{_CHUNKS}, kc AS (SELECT *, row_number() OVER (ORDER BY doc_id, win) - 1 AS chunk_id, {FLAT.format(_LOWER)} AS lo FROM chunks),
-kt AS (SELECT chunk_id, list_filter(string_split(lo, ' '), lambda x: x <> '' AND NOT list_contains({_sql_list(_KEEP)}, x)) AS ws2 FROM kc),
+kt AS (SELECT chunk_id, list_filter(regexp_extract_all(lo, '{_WORD}'), lambda x: NOT list_contains({_sql_list(_KEEP)}, x)) AS ws2 FROM kc),
 post AS (SELECT term, chunk_id, count(*) AS tf FROM (SELECT chunk_id, unnest(ws2) AS term FROM kt) GROUP BY ALL), dfreq AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
 dl AS (SELECT chunk_id, len(ws2) AS dl FROM kt), tot AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), {_QUERY_CTE},
 bm AS (SELECT query_id, chunk_id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) AS bm25 FROM q JOIN dfreq USING (term) JOIN post USING (term) JOIN dl USING (chunk_id), tot GROUP BY ALL),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerwell.config import Config
 from ledgerwell.functions import text
 from ledgerwell.operators import answers, chunking, dense, grounding, hybrid, lexical, routing
+from ledgerwell.session import stored
 
 
 @dataclass
@@ -27,26 +28,26 @@ class Engine:
     config: Config = field(default_factory=Config)
 
     def __post_init__(self):
+        """Builds the tables that every batch of queries reads."""
         c = self.config
-        self.chunks = chunking.numbered(chunking.chunk_table(self.documents, c.chunking.size, c.chunking.overlap)).persist()
-        self.index = lexical.build_index(self.chunks)
-        self.vectors = dense.encode(self.chunks.select("chunk_id", "text"), self.encoder).select("chunk_id", "embedding").persist() if self.encoder else None
-        corpus = self.chunks.where(F.col("origin") == chunking.CORPUS)
-        self.vocabulary = grounding.vocabulary(corpus).persist()
+        self.chunks = stored(chunking.numbered(chunking.chunk_table(self.documents, c.chunking.size, c.chunking.overlap)), "engine-chunks")
+        built = lexical.build_index(self.chunks)
+        postings = stored(built.postings, "engine-postings")
+        frequencies = stored(postings.groupBy("term").agg(F.count("*").alias("df")), "engine-frequencies")
+        lengths = stored(built.lengths, "engine-lengths")
+        self.index = lexical.Index(postings, lengths, frequencies, lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+        self.vectors = stored(dense.encode(self.chunks.select("chunk_id", "text"), self.encoder).select("chunk_id", "embedding"), "engine-vectors") if self.encoder else None
+        self.vocabulary = stored(grounding.vocabulary(self.chunks.where(F.col("origin") == chunking.CORPUS)), "engine-vocabulary")
         self.uploads = self.chunks.where(F.col("origin") != chunking.CORPUS).select("chunk_id")
         self.has_uploads = not self.uploads.isEmpty()
 
-    def close(self) -> None:
-        for df in (self.chunks, self.vocabulary, *([self.vectors] if self.vectors is not None else [])):
-            df.unpersist()
-
     def retrieve(self, queries: DataFrame, persona: routing.Persona | None = None, k: int | None = None, rerank=None) -> tuple[DataFrame, DataFrame]:
         """(results, outcomes) for query_id, query. Scores are scaled over the whole corpus, then restricted, boosted, floored
         and cut; every query has an outcome with a status."""
         r = self.config.retrieval
         k = (persona.fetch_k(k) if persona else k) or r.top_k
-        grounded = grounding.ground(queries, self.vocabulary, self.brands)
-        out = grounding.outcomes(queries, grounded)
+        grounded = stored(grounding.ground(queries, self.vocabulary, self.brands), "engine-grounded")
+        out = stored(grounding.outcomes(queries, grounded), "engine-outcomes")
         open_ = out if self.has_uploads else out.where(F.size("matched") > 0)
         asked = open_.select("query_id", F.col("rewritten").alias("text"), text.cleaned(F.col("rewritten")).alias("clean"))
         lex = lexical.bm25(self.index, asked, r.k1, r.b, r.idf)
@@ -57,22 +58,23 @@ class Engine:
             den = self.vectors.crossJoin(wanted).select("query_id", "chunk_id", dense.cosine(F.col("embedding"), F.col("q")).alias("dense"))
         scored = hybrid.blend(lex, den, self.chunks, r.alpha)
         wanted = grounded.where("entity is not null").select("query_id", F.col("entity").alias("token")).distinct()
-        kept = hybrid.restrict(scored, wanted, grounding.chunk_tokens(self.chunks), self.uploads)
+        kept = hybrid.restrict(stored(scored, "engine-scores"), wanted, grounding.chunk_tokens(self.chunks), self.uploads)
         kept = hybrid.boost(kept, self.chunks, routing.field_weights(queries, persona), persona.field_boost if persona else r.field_boost)
         rows = hybrid.reranked(kept, k, rerank, r.pool, r.emb_floor, r.bm25_floor) if rerank is not None else hybrid.ranked(kept, k, r.emb_floor, r.bm25_floor)
         results = rows.drop("field").join(self.chunks.select("chunk_id", "drug", "title", "field", "origin", "text"), "chunk_id")
+        results = stored(results, "engine-results")
         return results, hybrid.statuses(out, results, self.has_uploads)
 
     def answer(self, queries: DataFrame, persona: routing.Persona = routing.PRACTITIONER, k: int | None = None) -> DataFrame:
         """One row a query: status, mode, answer, context, aliases, dropped fields and verification."""
         top = routing.top_intent(routing.intents(F.col("query")))
-        screened = queries.withColumn("screen", answers.screen(F.col("query"), top) if persona.plain else F.lit(None).cast("string"))
+        screened = stored(queries.withColumn("screen", answers.screen(F.col("query"), top) if persona.plain else F.lit(None).cast("string")), "engine-asked")
         results, out = self.retrieve(screened.where("screen is null").select("query_id", "query"), persona, k)
         chosen = routing.select_for(persona, results, k).withColumn("rank", F.col("position"))
         packed = answers.packed(chosen, self.config.answering.max_context_chars)
         rows = screened.join(out.drop("query"), "query_id", "left").join(packed, "query_id", "left").join(answers.quoted(chosen), "query_id", "left").join(routing.dropped_fields(results, chosen), "query_id", "left")
         status = F.when(F.col("screen").isNotNull(), F.col("screen")).when((F.col("status") == "ok") & F.col("context").isNull(), "persona_field_policy").otherwise(F.col("status"))
-        rows = rows.withColumn("status", status)
+        rows = stored(rows.withColumn("status", status), "engine-rows")
         fixed = F.lit(None).cast("string")
         for name, message in answers.SCREENS.items():
             fixed = F.when(F.col("screen") == name, message).otherwise(fixed)

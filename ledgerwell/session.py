@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "ledgerwell", master: str | None = None, partitions: int | None = None) -> SparkSession:
@@ -19,3 +22,20 @@ def session(app: str = "ledgerwell", master: str | None = None, partitions: int
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     return builder.getOrCreate()
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """df as a Parquet table in the folder that all executors share (spark.checkpoint.dir): built once, read by every query.
+
+    A folder of our own is made only where none is set, on a local master.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="ledgerwell-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
