@@ -74,7 +74,7 @@ class Kernel:
     landmarks: list[str]
     n_toxic: int
     index: np.ndarray = field(init=False)
-    gate: np.ndarray = field(init=False)
+    largest: np.ndarray = field(init=False)
     weight: np.ndarray = field(init=False)
 
     def __post_init__(self):
@@ -87,19 +87,17 @@ class Kernel:
         used = np.unique(np.concatenate([t for _, t, _ in parts])) if parts else np.zeros(0, np.int64)
         self.index = np.full(64**3, -1, np.int32)
         self.index[used] = np.arange(len(used))
-        self.gate = np.zeros(len(used), bool)
-        for w, t, _ in parts:
-            self.gate[self.index[t[w < self.n_toxic]]] = True
         self.weight = np.zeros((len(used), n), np.float32)
         for w, t, x in parts:
             np.add.at(self.weight, (self.index[t], w), x)
         self.weight /= np.sqrt(np.maximum(norm, 1e-12))[None, :].astype(np.float32)
+        self.largest = self.weight[:, : self.n_toxic].max(1, initial=0.0)
 
     def rows(self, words: list[str]) -> np.ndarray:
         """(words, landmarks) kernel values, normalised, small ones as 0; all 0 for a word that is near no toxic landmark.
 
-        By the Cauchy-Schwarz inequality, the share of a word's own kernel on subsequences of toxic landmarks bounds its
-        values with them, so most words are left before any product.
+        Two bounds on the values with toxic landmarks leave most words before any product: the share of a word's own kernel
+        on their subsequences (by the Cauchy-Schwarz inequality), and the sum over its subsequences of the largest weight.
         """
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
         for at in range(0, len(words), 8192):
@@ -114,7 +112,8 @@ class Kernel:
             if not who:
                 continue
             who, what, how = np.concatenate(who), np.concatenate(what), np.concatenate(how)
-            enough = np.bincount(who, np.where(self.gate[what], how, 0).astype(float) ** 2, len(part)) >= FLOOR**2 * norm * 0.999
+            enough = np.bincount(who, np.where(self.largest[what] > 0, how, 0).astype(float) ** 2, len(part)) >= FLOOR**2 * norm * 0.999
+            enough &= np.bincount(who, how * self.largest[what], len(part)) >= FLOOR * np.sqrt(norm) * 0.999
             keep = enough[who]
             who, what, how = who[keep], what[keep], how[keep]
             if not len(who):
@@ -164,9 +163,9 @@ class Model:
 
 def _without_copies(docs: list[tuple[str, int]]) -> list[tuple[list[list[str]], int]]:
     """Sentences and label of each document but near copies, told by two pairs of least word hashes."""
-    seen, out = set(), []
+    seen, out, names = set(), [], {}
     for text, label in docs:
-        cut = sentences(text)
+        cut = [[names.setdefault(w, w) for w in s] for s in sentences(text)]
         words = {w.encode() for s in cut for w in s}
         if not words:
             continue
@@ -231,10 +230,14 @@ def fit(labelled: list[tuple[str, int]]) -> Model | None:
     value, vector = np.linalg.eigh((own + own.T) / 2 + 1e-3 * np.eye(len(own)))
     root = (vector / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
     words = sorted({w for cut, _ in docs for s in cut for w in s})
-    number = {w: k for k, w in enumerate(words)}
-    values = np.concatenate([kernel.rows(words[k : k + 65536]) for k in range(0, len(words), 65536)])
-    busy = values.any(1)
-    bags = [[[k for w in s if busy[k := number[w]]] for s in cut] for cut, _ in docs]
+    values, place = [], {}
+    for at in range(0, len(words), 65536):
+        part = kernel.rows(words[at : at + 65536])
+        busy = np.flatnonzero(part.any(1))
+        place |= {words[at + k]: len(place) + j for j, k in enumerate(busy)}
+        values.append(part[busy])
+    values = np.concatenate(values)
+    bags = [[[place[w] for w in s if w in place] for s in cut] for cut, _ in docs]
     vectors = [np.array([values[b].sum(0) for b in bag if b]).reshape(-1, len(landmarks)) for bag in bags]
     label = np.array([y for _, y in docs])
     zero = np.zeros((1, len(landmarks)), np.float32)
