@@ -241,6 +241,39 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, prefix_length: int =
     return out.select(F.when(F.col("did") != LAST, F.col("did")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
 
 
+def _positions(first: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for did, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                raw = np.frombuffer((text or "").encode("utf-8"), np.uint8).astype(np.int64)
+                n = max(0, len(raw) - first + 1)
+                code = np.zeros(n, np.int64)
+                for k in range(first):
+                    code = (code << 8) | raw[k : k + n]
+                yield pa.RecordBatch.from_arrays([pa.array([did] * n, pa.int64()), pa.array(np.arange(n)), pa.array(code), pa.array(np.zeros(n, np.int64))], ["did", "p", "r", "q"])
+
+    return run
+
+
+def doubled_ranks(docs: DataFrame, length: int = LENGTH, first: int = 7) -> DataFrame:
+    """(did, p, first_did, first_p): every place whose `length` bytes recur, with the earliest place of the same bytes.
+
+    Plain prefix doubling over all places, for small tables: Spark sorts the pairs of ranks at offsets 7, 14, 28 ... and
+    names each pair by its earliest place; places with a unique pair are dropped; the last offset makes up the length.
+    """
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"), "text")
+    ranks = texts.mapInArrow(_positions(first), "did bigint, p bigint, r bigint, q bigint")
+    have = first
+    while have < length:
+        step = min(have, length - have)
+        later = ranks.select("did", (F.col("p") - step).alias("p"), F.col("r").alias("r2"), F.col("q").alias("q2"))
+        pairs = ranks.join(later, ["did", "p"])
+        names = pairs.groupBy("r", "q", "r2", "q2").agg(F.min(F.struct("did", "p")).alias("name"), F.count("*").alias("n")).where("n > 1").drop("n")
+        ranks = written(pairs.join(names, ["r", "q", "r2", "q2"]).select("did", "p", F.col("name.did").alias("r"), F.col("name.p").alias("q")), "doubling")
+        have += step
+    return ranks.select("did", "p", F.col("r").alias("first_did"), F.col("q").alias("first_p"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_substrings(table(spark, sf_dir, "documents"), digest=True)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"))

@@ -46,3 +46,16 @@ def test_other_lengths(spark):
     rows = spark.createDataFrame(docs, "doc_id bigint, text string")
     got = sorted((r.doc_id, r.n_removed, r.n_spans) for r in substrings.dedup_substrings(rows, length=12, prefix_length=6, digest=True).collect())
     assert got == sorted((w[0], w[2], w[3]) for w in brute_force(docs, 12))
+
+
+def test_plain_doubling_agrees(spark):
+    docs = made(random.Random(12))
+    rows = spark.createDataFrame(docs, "doc_id bigint, text string")
+    later = substrings.doubled_ranks(rows).where("did <> first_did or p <> first_p").groupBy("did").count().collect()
+    seen, want = set(), {}
+    for d, t in sorted(docs, key=lambda x: x[0]):
+        raw = (t or "").encode()
+        for p in range(len(raw) - 99):
+            want[d] = want.get(d, 0) + (raw[p : p + 100] in seen)
+            seen.add(raw[p : p + 100])
+    assert {r.did: r["count"] for r in later} == {d: n for d, n in want.items() if n}
