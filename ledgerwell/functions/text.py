@@ -72,15 +72,14 @@ def clean(text: Column, urls: bool = True, lower: bool = True, punctuation: bool
     if spaces:
         out = collapse(out)
     if stop_words or stem or lemmatize:
-        safe = _array(lists.NEGATIONS)
         words = F.regexp_extract_all(out, F.lit(WORD), F.lit(1))
         if stop_words:
-            drop = _array([w for w in lists.STOP_WORDS if not keep_negation or w not in lists.NEGATIONS])
-            words = F.filter(words, lambda w: ~F.array_contains(drop, w))
+            drop = [w for w in lists.STOP_WORDS if not keep_negation or w not in lists.NEGATIONS]
+            words = F.filter(words, lambda w: ~w.isin(*drop))
         if stem:
-            words = F.transform(words, lambda w: F.when(F.array_contains(safe, w), w).otherwise(_stemmed(w)))
+            words = F.transform(words, lambda w: F.when(w.isin(*lists.NEGATIONS), w).otherwise(_stemmed(w)))
         if lemmatize:
-            words = F.transform(words, lambda w: F.when(F.array_contains(safe, w), w).otherwise(_plural(w)))
+            words = F.transform(words, lambda w: F.when(w.isin(*lists.NEGATIONS), w).otherwise(_plural(w)))
         out = F.array_join(words, " ")
     return out
 
@@ -94,15 +93,14 @@ def windows(text: Column, size: int = 90, overlap: int = 25) -> Column:
     if overlap >= size:
         raise ValueError("the overlap must be smaller than the window")
     step = size - overlap
-    flat = collapse(text)
 
     def cut(w: Column) -> Column:
         n = F.size(w)
-        count = F.when(n <= size, 1).otherwise(F.ceil((n - size) / step).cast("int") + 1)
-        return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.array_join(F.slice(w, i * step + 1, F.lit(size)), " "))
+        last = F.when(n <= size, 0).otherwise(F.ceil((n - size) / step).cast("int"))
+        many = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(w, i * step + 1, F.lit(size)), " "))
+        return F.when(n == 0, F.array().cast("array<string>")).when(n <= size, F.array(text)).otherwise(many)
 
-    many = F.transform(F.array(tokens(flat)), cut)[0]
-    return F.when(flat == "", F.array().cast("array<string>")).when(F.size(tokens(flat)) <= size, F.array(text)).otherwise(many)
+    return F.transform(F.array(F.transform(F.array(collapse(text)), tokens)[0]), cut)[0]
 
 
 def identity_tokens(name: Column, drop=lists.SALT_WORDS) -> Column:
@@ -114,7 +112,7 @@ def salient_terms(query: Column) -> Column:
     """Distinct words of a query that could name an entity, in order."""
     drop = dict.fromkeys((*lists.STOP_WORDS, *lists.QUESTION_WORDS, *lists.SALT_WORDS))
     found = F.regexp_extract_all(F.lower(F.coalesce(query, F.lit(""))), F.lit(_TOKEN), F.lit(1))
-    return F.array_distinct(F.filter(found, lambda t: ~F.array_contains(_array(drop), t)))
+    return F.array_distinct(F.filter(found, lambda t: ~t.isin(*drop)))
 
 
 def normalise(query: Column) -> Column:
@@ -153,7 +151,7 @@ def citations(answer: Column) -> Column:
 
 def content_words(text: Column) -> Column:
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1))
-    return F.filter(found, lambda w: (F.length(w) > 2) & ~F.array_contains(_array(lists.OVERLAP_STOP_WORDS), w))
+    return F.filter(found, lambda w: (F.length(w) > 2) & ~w.isin(*lists.OVERLAP_STOP_WORDS))
 
 
 def overlap(answer: Column, context: Column) -> Column:

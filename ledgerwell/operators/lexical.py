@@ -48,7 +48,11 @@ def idf_table(index: Index, kind: str = "plus1") -> DataFrame:
 def bm25(index: Index, queries: DataFrame, k1: float = 1.5, b: float = 0.75, idf: str = "plus1") -> DataFrame:
     """(query_id, chunk_id, bm25) for query_id, clean; repeated query terms count again; chunks without a term are absent."""
     wanted = terms_of(queries, "query_id", "clean").withColumnRenamed("tf", "qtf")
-    hits = wanted.join(idf_table(index, idf), "term").join(index.postings, "term").join(index.lengths, "chunk_id").crossJoin(index.totals.select("avgdl"))
+    asked = wanted.select("term").distinct()
+    # the semi joins move below the grouping of an index that isn't stored, so only query terms are counted
+    postings = index.postings.join(asked, "term", "left_semi")
+    known = index if idf != "plus1" else Index(postings, index.lengths, index.frequencies.join(asked, "term", "left_semi"), index.totals)
+    hits = wanted.join(idf_table(known, idf), "term").join(postings, "term").join(index.lengths, "chunk_id").crossJoin(index.totals.select("avgdl"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("bm25"))
 
