@@ -3,7 +3,9 @@
 Every document of a source wants target / source_size copies, a whole part plus a fraction. Two documents with fractions
 duel: word mass moves from one to the other, in a random direction that keeps each one's expected copies, until one
 fraction is 0 or 1. The sum of fraction * size never changes, so a source ends within one document of its target. Duels
-run inside small nodes; what is left of a node goes up a tree of nodes, a grouped fold at each level.
+run inside small nodes; what is left of a node goes up a tree of nodes, a grouped fold at each level. The few documents with
+a large share of their source duel first, and what the last of them gains or owes by rounding is spread over the fractions
+of the others, so that a source ends within half a small document of its target.
 
 Null text counts no words; a null source is a source of its own, ordered last; repeated rows are rounded one by one; an
 empty table gives an empty result; other columns are ignored.
@@ -20,6 +22,8 @@ from ledgerwell.llm.common import let, table, word_count, written
 
 #: Documents to a node of the tree.
 FAN = 64
+#: Documents with more than 1 / n of their source's words are settled before the others, for each n in turn.
+LARGE = (50, 200)
 ITEM = "struct<doc_id:bigint,nth:int,size:bigint,p:double>"
 DECIDED = "struct<doc_id:bigint,nth:int,size:bigint,picked:int>"
 
@@ -83,6 +87,16 @@ def _fold(seed: int, items: Column) -> Column:
     return F.aggregate(items, start, step)
 
 
+def _folded(rows: DataFrame, key: list[str], seed: int) -> DataFrame:
+    """One row for each key: its items after their duels, in an order fixed by the seed."""
+    order = F.array_sort(F.collect_list(F.struct(F.xxhash64(F.lit(seed), "item.doc_id", "item.nth").alias("h"), "item")))
+    return rows.groupBy(*key).agg(order.alias("items")).select(*key, _fold(seed, F.transform("items", lambda x: x["item"])).alias("out"))
+
+
+def _settled(folded: DataFrame) -> DataFrame:
+    return folded.select("source", "source_size", "target", "whole", F.explode("out.done").alias("x")).select("x.doc_id", "source", "x.size", "source_size", "target", (F.col("whole") + F.col("x.picked")).alias("copies"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed: int = 20240607) -> DataFrame:
     """One row for each row of docs (doc_id, text, source): doc_id, source, size, source_size, target, copies, taken.
 
@@ -104,19 +118,30 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, see
     )
     open_ = (F.col("p") > 0) & (F.col("size") > 0)
     closed = rows.where(~open_).select("doc_id", "source", "size", "source_size", "target", F.col("whole").alias("copies"))
+    of = ["source", "source_size", "target", "whole"]
+    item = F.struct("doc_id", F.col("nth").cast("int").alias("nth"), "size", "p").cast(ITEM)
+    parts, left, rest = [closed], rows.where(open_), F.col("out.rest")
+    for n in LARGE:
+        large = F.col("size") * n > F.col("source_size")
+        first = written(_folded(left.where(large).select(*of, item.alias("item")), of, seed - n), f"mix-large{n}")
+        picked = F.round(rest["p"]).cast("int")  # one document a source, to the nearer side; the others make up for it
+        undecided = first.where("out.rest is not null")
+        parts += [_settled(first), undecided.select(rest["doc_id"].alias("doc_id"), "source", rest["size"].alias("size"), "source_size", "target", (F.col("whole") + picked).alias("copies"))]
+        owed = undecided.select("source", ((rest["p"] - picked) * rest["size"]).alias("owed"))
+        left = left.where(~large)
+        room = left.groupBy("source").agg(F.sum("size").alias("room"))
+        shift = room.alias("r").join(owed.alias("o"), F.expr("r.source <=> o.source"), "left").select(F.col("r.source").alias("of"), (F.coalesce("owed", F.lit(0.0)) / F.col("room")).alias("shift"))
+        left = left.join(shift, F.expr("source <=> of")).withColumn("p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("p") + F.col("shift")))).drop("of", "shift")
+        left = written(left, f"mix-left{n}")
     leaf = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "nth"), F.col("leaves"))
-    level = rows.where(open_).select("source", "source_size", "target", "whole", leaf.alias("node"), F.struct("doc_id", F.col("nth").cast("int").alias("nth"), "size", "p").cast(ITEM).alias("item"))
+    level = left.select(*of, leaf.alias("node"), item.alias("item"))
     most = targets.agg(F.max("leaves")).first()[0] or 1
-    parts = [closed]
     for k in range(max(1, math.ceil(math.log(most, FAN) - 1e-9) + 1)):
-        key = ["source", "source_size", "target", "whole", "node"]
-        order = F.array_sort(F.collect_list(F.struct(F.xxhash64(F.lit(seed + k), "item.doc_id", "item.nth").alias("h"), "item")))
-        folded = level.groupBy(*key).agg(order.alias("items")).select(*key, _fold(seed + k, F.transform("items", lambda x: x["item"])).alias("out"))
-        folded = written(folded, f"mix-level{k}")
-        parts.append(folded.select("source", "source_size", "target", "whole", F.explode("out.done").alias("x")).select("x.doc_id", "source", "x.size", "source_size", "target", (F.col("whole") + F.col("x.picked")).alias("copies")))
+        folded = written(_folded(level, [*of, "node"], seed + k), f"mix-level{k}")
+        parts.append(_settled(folded))
         level = folded.where("out.rest is not null").select("source", "source_size", "target", "whole", F.floor(F.col("node") / FAN).alias("node"), F.col("out.rest").alias("item"))
         most = -(-most // FAN)
-    last = F.round("item.p").cast("long")  # one document a source; the nearer side keeps the source nearer its target
+    last = F.round("item.p").cast("long")
     parts.append(level.select("item.doc_id", "source", "item.size", "source_size", "target", (F.col("whole") + last).alias("copies")))
     out = parts[0]
     for p in parts[1:]:
