@@ -4,10 +4,13 @@
 2. Of every class, ROWS * BANDS minima are taken. Groups of ROWS full minima make the band keys; of each minimum only the
    low BITS bits are kept, packed in the signature.
 3. Classes that share a band key are compared by counting equal b-bit fields. The share expected from chance, 2**-BITS, is
-   taken off; a pair stays when its corrected similarity could come from the threshold, with an error below 1e-7. A key with
-   many members is split in blocks, and every pair of blocks is a task of its own. Only a spanning forest leaves a task.
-4. Inside each component of these candidates the full sets are compared, in blocks again, and the exact links of a spanning
-   forest make the final components.
+   taken off; a pair stays when its corrected similarity could come from the threshold, with an error below 1e-7. Only a
+   spanning forest leaves a task.
+4. Inside each component of these candidates the full sets are compared, and the exact links of a spanning forest make the
+   final components.
+
+Groups with many members are cut in blocks. Each block meets itself and the first block; then whoever is still outside the
+group's largest component meets all others. No link between components is lost, and what hangs together isn't compared again.
 
 A pair at the threshold of 0.8 misses all bands with a chance of 3e-8. Null and blank texts have no shingles and link with
 nothing; rows with a null id link with nothing; rows that share an id are one document; an empty table gives an empty result;
@@ -222,14 +225,58 @@ def _exact(shingle: int, num: int, den: int):
     return run
 
 
-def _blocked(rows: DataFrame, node: str, n: Column, most: int) -> DataFrame:
-    """Deals the members of large groups to all pairs of blocks: adds side (own block) and the pair i <= j."""
-    blocks = F.ceil(n / most).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64(node), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+def _own_block(node: str, n: Column, most: int) -> Column:
+    return F.pmod(F.xxhash64(node), F.ceil(n / most).cast("int")).cast("int")
+
+
+def _first_pairs(rows: DataFrame, node: str, most: int) -> DataFrame:
+    """Deals a group of n members to tasks: each block with itself and with block 0. Adds side and the pair i <= j."""
+    rows = rows.withColumn("side", _own_block(node, F.col("n"), most))
+    every = F.when(F.col("n") <= most, F.array(F.lit(0))).when(F.col("side") > 0, F.array(F.lit(0), F.col("side"))).otherwise(F.sequence(F.lit(0), F.ceil(F.col("n") / most).cast("int") - 1))
+    rows = rows.withColumn("other", F.explode(every))
     return rows.withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
 
 
+def _later_pairs(rows: DataFrame, key: str, node: str, linked: DataFrame, most: int) -> DataFrame | None:
+    """For groups of several blocks: members outside the group's largest component so far, in blocks, with all members.
+
+    Members inside it are connected, so no pair of those is needed. None when nobody is left outside.
+    """
+    large = rows.where(F.col("n") > most).join(linked.select(F.col("node").alias("_n"), F.col("root").alias("_r")), F.col(node) == F.col("_n"), "left")
+    large = large.withColumn("_r", F.coalesce("_r", node)).drop("_n")
+    main = large.groupBy(key, "_r").agg(F.count("*").alias("c")).groupBy(key).agg(F.max(F.struct("c", "_r"))["_r"].alias("_main"))
+    large = large.join(main, key)
+    outside = large.where("_r <> _main")
+    left = outside.groupBy(key).agg(F.count("*").alias("_out"))
+    if left.isEmpty():
+        return None
+    large = large.join(left, key)
+    blocks = F.ceil(F.col("_out") / most).cast("int")
+    asked = large.where("_r <> _main").withColumn("i", -1 - F.pmod(F.xxhash64(node), blocks)).withColumn("side", F.lit(0)).withColumn("j", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / most).cast("int") - 1)))
+    every = large.withColumn("j", _own_block(node, F.col("n"), most)).withColumn("side", F.lit(1)).withColumn("i", F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: -1 - b)))
+    cols = [c for c in rows.columns] + ["i", "j", "side"]
+    narrow = lambda df: df.select(*(F.col(c).cast("int").alias(c) if c in ("i", "j", "side") else c for c in cols))
+    return narrow(asked).unionByName(narrow(every))
+
+
+def _linked(rows: DataFrame, key: str, node: str, most: int, compare, tag: str) -> DataFrame:
+    """(node, root): components of the links that compare finds inside the groups of rows (key, n, node, ...).
+
+    Two rounds: blocks against themselves and the first block, then whoever is outside the largest component against all.
+    So a group whose members mostly hang together costs its size, not its square, and no link between components is lost.
+    """
+    fields = [c for c in rows.columns if c != "n"]
+    keys = [key, "i", "j"]
+
+    def found(dealt: DataFrame) -> DataFrame:
+        return _dealt(dealt.select(*fields, "i", "j", "side"), keys).mapInArrow(compare, "a bigint, b bigint").where("a <> b").distinct()
+
+    links = written(found(_first_pairs(rows, node, most)), f"{tag}-links")
+    first = written(components(links), f"{tag}-first")
+    later = _later_pairs(rows, key, node, first, most)
+    return first if later is None else components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found(later)))
+
+
 def _dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(parts, *keys).sortWithinPartitions(*keys)
@@ -244,14 +291,12 @@ def groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) ->
     classes = written(classes.select("digest", F.col("m.doc_id").alias("rep"), "m.sig", "m.keys"), "classes")
     banded = classes.select("rep", "sig", F.explode("keys").alias("key"))
     shared = classes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = _blocked(banded.join(shared, "key"), "rep", F.col("n"), BLOCK).select("key", "i", "j", "side", "rep", "sig")
-    pairs = _dealt(rows, _KEYS).mapInArrow(_candidates(least_matches(num / den)), "a bigint, b bigint")
-    coarse = written(components(pairs.where("a <> b").distinct()), "coarse")
+    rows = written(banded.join(shared, "key").select("key", "n", "rep", "sig"), "shared")
+    coarse = written(_linked(rows, "key", "rep", BLOCK, _candidates(least_matches(num / den)), "coarse"), "coarse")
     sizes = coarse.groupBy("root").agg(F.count("*").alias("n"))
-    texts = docs.join(coarse.join(sizes, "root").hint("shuffle_merge"), docs["doc_id"] == F.col("node")).select("root", "node", "n", "text")
-    rows = _blocked(texts, "node", F.col("n"), TEXT_BLOCK).select("root", "i", "j", "side", "node", "text")
-    links = _dealt(rows, ["root", "i", "j"]).mapInArrow(_exact(shingle, num, den), "a bigint, b bigint")
-    final = components(links)
+    members = docs.join(coarse.join(sizes, "root").hint("shuffle_merge"), docs["doc_id"] == F.col("node"))
+    texts = written(members.select("root", "n", "node", "text"), "members")
+    final = _linked(texts, "root", "node", TEXT_BLOCK, _exact(shingle, num, den), "exact")
     leader = classes.join(final, classes["rep"] == F.col("node"), "left").select("digest", F.coalesce("root", "rep").alias("leader"))
     out = signed.select("doc_id", "n_shingles", "digest").join(leader, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("leader", "doc_id"))
