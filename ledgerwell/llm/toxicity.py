@@ -203,14 +203,18 @@ def choose_landmarks(docs: list[tuple[list[list[str]], int]]) -> tuple[list[str]
 
 
 def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Squared hinge loss with an L2 penalty, by Newton steps on the rows inside the margin."""
-    x = np.c_[x, np.ones(len(x))]
-    w = np.zeros(x.shape[1])
-    ridge = np.diag(np.r_[np.full(x.shape[1] - 1, penalty), 1e-9])
+    """Squared hinge loss with an L2 penalty, by Newton steps on the rows inside the margin, summed over blocks of rows."""
+    w = np.zeros(x.shape[1] + 1)
+    ridge = np.diag(np.r_[np.full(x.shape[1], penalty), 1e-9])
     for _ in range(30):
-        inside = y * (x @ w) < 1
-        xa, ca = x[inside], cost[inside]
-        new = np.linalg.solve(ridge + (xa * ca[:, None]).T @ xa, xa.T @ (ca * y[inside]))
+        curve, pull = ridge.copy(), np.zeros(len(w))
+        for at in range(0, len(x), 8192):
+            part, label = np.c_[x[at : at + 8192], np.ones(len(x[at : at + 8192]))], y[at : at + 8192]
+            inside = label * (part @ w) < 1
+            part, weight = part[inside], cost[at : at + 8192][inside]
+            curve += (part * weight[:, None]).T @ part
+            pull += part.T @ (weight * label[inside])
+        new = np.linalg.solve(curve, pull)
         if np.allclose(new, w, atol=1e-6):
             break
         w = new
@@ -246,7 +250,7 @@ def fit(labelled: list[tuple[str, int]]) -> Model | None:
     beta, bias = np.r_[np.ones(n_toxic), np.zeros(len(landmarks) - n_toxic)], 0.0
     for _ in range(ROUNDS):
         chosen = np.array([v[np.argmax(v @ beta)] for v in toxic])
-        x = np.r_[chosen, rest] @ root
+        x = np.r_[chosen, rest] @ root.astype(np.float32)
         y = np.r_[np.ones(len(chosen)), -np.ones(len(rest))]
         cost = np.r_[np.full(len(chosen), 1 / len(chosen)), np.full(len(rest), 1 / len(rest))]
         w, bias = _machine(x, y, cost)
