@@ -124,13 +124,68 @@ def nearest_cells(rows: DataFrame, centres: list[list[float]], probes: int) -> D
 
 
 def cell_topk(vectors: DataFrame, queries: DataFrame, k: int, probes: int = 8, key: str = "vec_id", centres=None) -> DataFrame:
-    """Top k among the vectors of each query's nearest cells; all vectors are in a cell, the join is on the cell."""
-    centres = centres or train_cells(vectors.select(key, "embedding"))
-    placed = nearest_cells(vectors.select(key, "embedding"), centres, 1).select(key, "embedding", F.col("cells")[0].alias("cell"))
-    asked = nearest_cells(queries.select("query_id", F.col("embedding").alias("q")).withColumnRenamed("q", "embedding"), centres, probes)
-    asked = asked.select("query_id", F.col("embedding").alias("q"), F.explode("cells").alias("cell"))
-    pairs = placed.join(asked, "cell").select("query_id", key, cosine(F.col("embedding"), F.col("q")).alias("score"))
-    return top(pairs, k, "score", key)
+    """(query_id, key, score, rank): exact. The nearest `probes` cells of a query give a k-th score; then every cell is visited
+    whose best possible score, that of its centroid plus its radius times the query's length, reaches that score."""
+    vectors = vectors.select(key, "embedding")
+    centres = centres or train_cells(vectors)
+    c = np.array(centres, np.float64)
+    placed = nearest_cells(vectors, centres, 1).select(key, "embedding", F.col("cells")[0].alias("cell"))
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        far = np.full(len(c), -1.0)
+        for b in batches:
+            if b.num_rows:
+                cell = b.column(2).to_numpy()
+                np.maximum.at(far, cell, np.linalg.norm(np.array(b.column(1).to_pylist(), np.float64) - c[cell], axis=1))
+        held = np.flatnonzero(far >= 0).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(far[held])], ["cell", "radius"])
+
+    radius = np.full(len(c), -np.inf)
+    for cell, r in placed.mapInArrow(reach, "cell int, radius double").groupBy("cell").agg(F.max("radius")).collect():  # a row a cell
+        radius[cell] = r
+
+    def visit(rows: list, wanted: np.ndarray) -> DataFrame:
+        """The best k of each query of a block among the cells it wants (cells by queries), best k of each batch first."""
+        ids = np.array([r[0] for r in rows], np.int64)
+        q = np.array([r[1] for r in rows], np.float64).T
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                names, cell = b.column(0).to_numpy(), b.column(2).to_numpy()
+                x = np.array(b.column(1).to_pylist(), np.float64)
+                scores = np.full((len(x), len(ids)), -np.inf)
+                for one in np.unique(cell):
+                    at, asked = np.flatnonzero(cell == one), np.flatnonzero(wanted[one])
+                    if len(asked):
+                        scores[np.ix_(at, asked)] = x[at] @ q[:, asked]
+                order = np.lexsort((np.broadcast_to(names[:, None], scores.shape), -np.round(scores, 9)), axis=0)[:k]
+                best = np.take_along_axis(scores, order, 0)
+                kept = best > -np.inf
+                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids, best.shape)[kept]), pa.array(names[order][kept]), pa.array(best[kept])], ["query_id", key, "score"])
+
+        return top(placed.mapInArrow(run, f"query_id bigint, {key} bigint, score double"), k, "score", key)
+
+    def add(rows: list) -> DataFrame:
+        q = np.array([r[1] for r in rows], np.float64).T
+        far = (c * c).sum(1)[:, None] - 2 * c @ q
+        near = np.zeros(far.shape, bool)
+        np.put_along_axis(near, np.argsort(far, axis=0, kind="stable")[:probes], True, 0)
+        least = {r.query_id: r.score for r in visit(rows, near).where(F.col("rank") == k).collect()}  # a row a query of the block
+        bound = c @ q + radius[:, None] * np.linalg.norm(q, axis=0)
+        return visit(rows, bound >= np.array([least.get(r[0], -np.inf) for r in rows]) - 1e-8)
+
+    out, block = None, []
+    for row in queries.select("query_id", "embedding").orderBy("query_id").toLocalIterator():
+        block.append(row)
+        if len(block) == BLOCK:
+            out, block = (add(block) if out is None else out.unionByName(add(block))), []
+    if block:
+        out = add(block) if out is None else out.unionByName(add(block))
+    if out is None:
+        out = vectors.sparkSession.createDataFrame([], f"query_id bigint, {key} bigint, score double, rank int")
+    return out
 
 
 def aligned(left: DataFrame, right: DataFrame, key: str) -> bool:

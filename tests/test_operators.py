@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from ledgerwell.config import DISCLAIMER, Config, Retrieval, load
 from ledgerwell.functions import lists
 from ledgerwell.operators import answers, chunking, dense, evaluation, grounding, hybrid, lexical, pairs, routing
@@ -83,6 +84,18 @@ def test_dense_topk_and_cells(spark):
     assert dense.batch_topk(v, q.limit(0), 3).count() == 0
 
 
+def test_cells_by_the_registered_query(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(2000, 32))
+    x[1500:] = x[0] + 0.01 * rng.normal(size=(500, 32))  # one crowded place
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    spark.createDataFrame([(i, r.tolist(), 0) for i, r in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    queries = __spark_entry__.queries()
+    for folder in (str(tmp_path), "/root/testdata/sf0.01"):
+        got, want = ({(r.query_id, r.vec_id) for r in queries[name](spark, folder).collect()} for name in ("ivf_topk", "vector_batch_topk"))
+        assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
+
+
 def test_grounding_ladder(spark):
     vocab = spark.createDataFrame([("alphadrin",), ("betazol",), ("deltin",)], "token string")
     brands = spark.createDataFrame(BRANDS, "brand string, generic string, kind string")
