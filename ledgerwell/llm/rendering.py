@@ -26,6 +26,8 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: What may stand in a head; anything else closes it.
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 RAW = frozenset("script style noscript template textarea title xmp iframe".split())
 #: Never shown, whatever their style.
 UNSEEN = frozenset("head script style template noscript iframe object video audio canvas svg math datalist title xmp".split())
@@ -66,6 +68,8 @@ def parse(page: str) -> Node:
 
     def text(s: str) -> None:
         if s:
+            if open_[-1].tag == "head" and s.strip(" \t\n\r\f"):
+                open_.pop()
             open_[-1].children.append(entities.unescape(s) if "&" in s else s)
 
     def close(tags: set[str], until: set[str]) -> None:
@@ -96,6 +100,8 @@ def parse(page: str) -> Node:
             continue
         if name in ("html", "body", "head") and any(o.tag == name for o in open_):
             continue
+        if open_[-1].tag == "head" and name not in HEAD:
+            open_.pop()
         if name in IMPLIED:
             close(*IMPLIED[name])
         raw = m[3]

@@ -25,6 +25,13 @@ def test_visibility_and_entities():
     assert render("<pre>a  b\n\n  c</pre>") == "a  b\n\n  c"
 
 
+def test_open_head():
+    assert render("<html><head><title>T</title><p>Hello <b>you</b>") == "Hello you"
+    assert render("<head><meta charset=utf-8>\n<title>T</title>\nHello<script>no</script> you") == "Hello you"
+    assert render("<head><style>p{}</style><link rel=x><table><tr><td>a</table><head>b") == "a\n\nb"
+    assert render("<html><head><title>T</title></html>") == ""
+
+
 def test_broken_and_long():
     assert render(None) == render("") == ""
     for page in ("<", "<p", "</p></div>x", "<!-- open", "<a href='x>y", "<script>open", "<" * 1000, "&#xffffffff; &bogus;"):
