@@ -30,10 +30,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 RAW = frozenset("script style noscript template textarea title xmp iframe".split())
 #: Never shown, whatever their style.
-UNSEEN = frozenset("head script style template noscript iframe object video audio canvas svg math datalist title xmp".split())
+UNSEEN = frozenset("head script style template noscript iframe object video audio canvas datalist title annotation annotation-xml".split())
+#: Parts of a drawing whose text is not drawn in place.
+UNDRAWN = frozenset("clippath defs desc lineargradient marker mask metadata pattern radialgradient symbol".split())
 #: Blocks, and the empty lines around them.
 BLOCKS = dict.fromkeys("address article aside body center dd details dialog div dl dt fieldset figcaption figure footer form header hgroup html legend li main menu nav ol optgroup option section select summary table tbody tfoot thead tr ul".split(), 0)
-BLOCKS |= dict.fromkeys("blockquote h1 h2 h3 h4 h5 h6 hr p pre dl figure table ul ol".split(), 1)
+BLOCKS |= dict.fromkeys("blockquote h1 h2 h3 h4 h5 h6 hr p pre dl figure table ul ol xmp".split(), 1)
 #: What a start tag closes when it is open, and the elements past which that doesn't reach.
 _P = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 IMPLIED = {tag: ({"p"}, {"button", "td", "th", "caption"}) for tag in _P}
@@ -44,13 +46,16 @@ IMPLIED |= {
     "tr": ({"tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}),
-    "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
-    "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
-    "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "option": ({"option"}, {"select", "optgroup", "datalist"}),
     "optgroup": ({"option", "optgroup"}, {"select"}),
     "body": ({"head"}, set()),
 }
+SECTIONS = frozenset("tbody thead tfoot colgroup".split())
+#: What a start tag leaves open inside the nearest table; all else in the table is closed.
+INSIDE = dict.fromkeys(("td", "th"), SECTIONS - {"colgroup"} | {"table", "tr"}) | {"tr": SECTIONS - {"colgroup"} | {"table"}}
+INSIDE |= dict.fromkeys(("tbody", "thead", "tfoot", "caption", "colgroup"), frozenset({"table"}))
+#: Where only rows, cells and captions are laid out as such; other content stands before the table.
+GRID = SECTIONS | {"table", "tr"}
 
 
 @dataclass
@@ -80,6 +85,20 @@ def parse(page: str) -> Node:
             if open_[k].tag in until:
                 return None
 
+    def in_table(name: str) -> None:
+        """Closes what a part of a table closes in the nearest one, and opens a row for a cell that has none."""
+        k = len(open_) - 1
+        while k and open_[k].tag != "table":
+            k -= 1
+        if not k:
+            return
+        last = max(j for j in range(k, len(open_)) if open_[j].tag in INSIDE[name])
+        del open_[last + 1 :]
+        if name in ("td", "th") and open_[-1].tag != "tr" and len(open_) < MAX_DEPTH - 1:
+            row = Node("tr")
+            open_[-1].children.append(row)
+            open_.append(row)
+
     while at < n:
         m = _TOKEN.search(page, at)
         if not m:
@@ -97,11 +116,21 @@ def parse(page: str) -> Node:
                     break
                 if open_[k].tag in ("td", "th", "table") and name not in ("tr", "table", "tbody", "thead", "tfoot", "body", "html"):
                     break
+                if open_[k].tag == "table" and name in ("tr", "tbody", "thead", "tfoot"):
+                    break
             continue
         if name in ("html", "body", "head") and any(o.tag == name for o in open_):
             continue
         if open_[-1].tag == "head" and name not in HEAD:
             open_.pop()
+        if name in INSIDE:
+            in_table(name)
+        elif name == "table":
+            k = next((k for k in range(len(open_) - 1, 0, -1) if open_[k].tag in ("td", "th", "caption", "table")), 0)
+            if open_[k].tag == "table":
+                del open_[k:]
+        elif name == "form" and open_[-1].tag in GRID:
+            continue
         if name in IMPLIED:
             close(*IMPLIED[name])
         raw = m[3]
@@ -113,8 +142,9 @@ def parse(page: str) -> Node:
             continue
         if name in RAW:
             stop = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            if name == "textarea":
-                node.children.append(entities.unescape(page[at : stop.start() if stop else n]))
+            if name in ("textarea", "xmp"):
+                inner = page[at : stop.start() if stop else n]
+                node.children.append(inner if name == "xmp" else entities.unescape(inner))
             at = stop.end() if stop else n
             continue
         open_.append(node)
@@ -178,23 +208,44 @@ class Lines:
         return "\n".join(self.out)
 
 
-def _cells(node: Node, rows: list[list[Node]], captions: list[Node]) -> None:
+def _cells(node: Node, rows: list[list[Node]], captions: list[Node], before: list) -> None:
+    """The rows of a table or of a part of it, its captions, and other content, which a browser puts before the table."""
+    stray = None
     for c in node.children:
-        if isinstance(c, str) or hidden(c):
+        if isinstance(c, str):
+            if c.strip(" \t\n\r\f"):
+                before.append(c)
+        elif hidden(c):
             continue
-        if c.tag == "tr":
-            rows.append([x for x in c.children if not isinstance(x, str) and x.tag in ("td", "th") and not hidden(x)])
+        elif c.tag in ("td", "th"):  # a row too deep to be opened
+            if stray is None:
+                rows.append(stray := [])
+            stray.append(c)
+        elif c.tag == "tr":
+            rows.append(row := [])
+            stray = None
+            for x in c.children:
+                if isinstance(x, str):
+                    if x.strip(" \t\n\r\f"):
+                        before.append(x)
+                elif not hidden(x):
+                    (row if x.tag in ("td", "th") else before).append(x)
         elif c.tag == "caption":
             captions.append(c)
-        elif c.tag in ("tbody", "thead", "tfoot"):
-            _cells(c, rows, captions)
+        elif c.tag in SECTIONS:
+            _cells(c, rows, captions, before)
+        else:
+            before.append(c)
 
 
 def _table(node: Node, to: Lines) -> None:
     """Rows of cells in columns as wide as their widest cell; a cell of many lines spreads over as many rows of text."""
     rows: list[list[Node]] = []
     captions: list[Node] = []
-    _cells(node, rows, captions)
+    before: list = []
+    _cells(node, rows, captions, before)
+    _children(Node("span", {}, before), to)
+    to.block(1)
     for c in captions:
         to.block(0)
         _children(c, to)
@@ -250,7 +301,9 @@ def _render(node: Node, to: Lines, marker: str) -> None:
             to.flow(entities.unescape(alt))
     elif tag == "input":
         to.flow(entities.unescape(node.attributes.get("value", "")))
-    elif tag == "pre":
+    elif tag == "svg":
+        _drawn(node, to)
+    elif tag in ("pre", "xmp"):
         to.block(1)
         for k, line in enumerate(_plain(node).strip("\n").split("\n")):
             if k and not line.strip():
@@ -262,7 +315,6 @@ def _render(node: Node, to: Lines, marker: str) -> None:
                 to.word(line.rstrip())
         to.block(1)
     elif tag == "table":
-        to.block(1)
         _table(node, to)
     elif tag == "li":
         to.block(0)
@@ -291,6 +343,19 @@ def _render(node: Node, to: Lines, marker: str) -> None:
         _children(node, to)
 
 
+def _drawn(node: Node, to: Lines) -> None:
+    """The labels of a drawing."""
+    for c in node.children:
+        if isinstance(c, str) or hidden(c) or c.tag in UNDRAWN:
+            continue
+        if c.tag in ("text", "foreignobject"):
+            to.space = True
+            _children(c, to)
+            to.space = True
+        else:
+            _drawn(c, to)
+
+
 def _plain(node: Node) -> str:
     return "".join(c if isinstance(c, str) else "\n" if c.tag == "br" else "" if hidden(c) else _plain(c) for c in node.children)
 

@@ -25,6 +25,21 @@ def test_visibility_and_entities():
     assert render("<pre>a  b\n\n  c</pre>") == "a  b\n\n  c"
 
 
+def test_tables_with_parts_left_out():
+    assert render("<table><td>a<td>b<tr><td>c</table>") == "a  b\nc"
+    assert render("<table><form><tr><td>a<input value=x></td></form><td>b</table>") == "ax  b"
+    assert render("<table><tr><form><td>a<td>b</form></table>") == "a  b"
+    assert render("x <table>one <tr>two<td>a</td><b>three</b><div>four<td>b</div></table>y") == "x one twothree\nfour\n\na  b\n\ny"
+    assert render("<table><tbody><div><tr><td>a</div>c</table><table><tr><table><td>d</table>") == "ac\n\nd"
+    assert render("<table><tr><td>a<table><tr><td>b</tr></table>c<td>d</table>") == "a  d\nb\nc"
+    assert render("<table><td>a" * 3000).count("a") == 3000
+
+
+def test_what_a_browser_shows():
+    assert render('<p>ab<svg><title>t</title><defs><text>d</text></defs><g><path d="M0"/><text x=1>c</text></g></svg><math><mi>x</mi><mo>=</mo><semantics><mn>1</mn><annotation>no</annotation></semantics></math>') == "ab c x=1"
+    assert render("<xmp>a <b>&amp;</xmp>c") == "a <b>&amp;\n\nc"
+
+
 def test_open_head():
     assert render("<html><head><title>T</title><p>Hello <b>you</b>") == "Hello you"
     assert render("<head><meta charset=utf-8>\n<title>T</title>\nHello<script>no</script> you") == "Hello you"
