@@ -4,8 +4,10 @@ Patterns find keyword assignments, access keys and long hex runs. Further candid
 characters. For each, an alphabet is inferred; a chi-squared test of uniform symbols, a runs test about the middle of the
 alphabet and a lag-1 serial correlation test are combined (Fisher). A candidate counts as random when the battery does not
 reject that, and when ordinary text would hardly look so even at this length: the chi-squared value is held against its mean
-and variance under text-like symbol frequencies, which depend on the length, and the resulting p-values pass a
-Benjamini-Hochberg step in each length class, on counts of log-spaced bins, so that no ranking of all candidates is needed.
+and variance under text-like symbol frequencies, which depend on the length; the number of odd neighbours (letter beside
+digit, upper case after lower case, letter pairs that words hardly have) is held against a share of odd ones that names,
+paths and long words stay below; the better of the two, times two, is the p-value. The p-values pass a Benjamini-Hochberg step
+in each length class, on counts of log-spaced bins, so that no ranking of all candidates is needed.
 
 Null text is empty and gives the digest of the empty string; spans count code points, end exclusive; repeated rows are
 judged one by one; an empty table gives an empty result; other columns are ignored.
@@ -13,6 +15,8 @@ judged one by one; an empty table gives an empty result; other columns are ignor
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +40,15 @@ ENCODINGS = (
 )
 #: Chance that two letters of text agree; for small alphabets, so many times the even chance.
 TEXT_KAPPA, SMALL_KAPPA = 0.0667, 1.9
+#: Second letters that are usual after a letter in words of European languages, and the share of odd neighbours in ordinary tokens.
+USUAL = dict(
+    a="bcdefghilmnprstuvyk", b="abeilorsu", c="acehiklorstu", d="adegiorsu", e="abcdefghilmnopqrstuvwxz", f="aefilortu", g="aeghilnorsu",
+    h="aeilmnortu", i="abcdefgklmnoprstvz", j="aeou", k="aeilnorst", l="abcdefgiklmopstuvy", m="abeimopsu", n="acdefgiknostuvz",
+    o="abcdfgiklmnoprstuvw", p="aehiloprstu", q="u", r="abcdefgiklmnoprstuvy", s="aceshiklmopstuw", t="aehilorstuwyz", u="abcdefgilmnprstxz",
+    v="aeior", w="aehiour", x="aceipt", y="aelmnops", z="aeiouzw",
+)
+ODD = "[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])|[a-z](?=[A-Z])|(?i:" + "|".join(f"{a}(?=[a-z])(?![{''.join(b)}])" for a, b in USUAL.items()) + ")"
+ODD_SHARE = 0.15
 #: Level of the battery, and share of false discoveries.
 ALPHA, FDR = 0.001, 0.01
 BIN = 0.05
@@ -75,14 +88,14 @@ def _battery(token: Column) -> Column:
     def with_alphabet(k: Column) -> Column:
         alphabet = F.element_at(F.array(*(F.lit(e[2]) for e in ENCODINGS)), k + 1)
         plain = F.when(k == 1, F.lower(token)).when(k == len(ENCODINGS) - 1, F.translate(token, "-_", "+/")).otherwise(token)
-        return F.struct(alphabet.alias("abc"), plain.alias("t"), F.length(alphabet).cast("double").alias("a"), F.length(token).cast("double").alias("n"))
+        return F.struct(alphabet.alias("abc"), plain.alias("t"), F.length(alphabet).cast("double").alias("a"), F.length(token).cast("double").alias("n"), F.regexp_count(token, F.lit(ODD)).cast("double").alias("odd"), (k == 0).alias("digits"))
 
     def values(e: Column) -> Column:
         symbols = F.transform(F.sequence(F.lit(1), e["n"].cast("int")), lambda i: (F.instr(e["abc"], F.substr(e["t"], i, F.lit(1))) - 1).cast("double"))
         counts = F.transform(F.sequence(F.lit(1), e["a"].cast("int")), lambda i: (F.length(e["t"]) - F.length(F.replace(e["t"], F.substr(e["abc"], i, F.lit(1)), F.lit("")))).cast("double"))
         squares = F.aggregate(counts, F.lit(0.0), lambda s, c: s + c * c)
         mean = F.aggregate(symbols, F.lit(0.0), lambda s, c: s + c) / e["n"]
-        return F.struct(e["a"].alias("a"), e["n"].alias("n"), symbols.alias("v"), (e["a"] / e["n"] * squares - e["n"]).alias("chi"), mean.alias("mean"))
+        return F.struct(e["a"].alias("a"), e["n"].alias("n"), e["odd"].alias("odd"), e["digits"].alias("digits"), symbols.alias("v"), (e["a"] / e["n"] * squares - e["n"]).alias("chi"), mean.alias("mean"))
 
     def moments(e: Column) -> Column:
         high = F.aggregate(e["v"], F.lit(0.0), lambda s, x: s + (x >= e["a"] / 2).cast("double"))
@@ -92,7 +105,7 @@ def _battery(token: Column) -> Column:
             turned = ((x >= e["a"] / 2) != (s["last"] >= e["a"] / 2)).cast("double")
             return F.struct(x.alias("last"), (s["runs"] + F.coalesce(turned, F.lit(0.0))).alias("runs"), (s["lag"] + F.coalesce((x - e["mean"]) * (s["last"] - e["mean"]), F.lit(0.0))).alias("lag"), (s["var"] + (x - e["mean"]) * (x - e["mean"])).alias("var"))
 
-        return F.struct(e["a"].alias("a"), e["n"].alias("n"), e["chi"].alias("chi"), high.alias("n1"), F.aggregate(e["v"], start, step).alias("w"))
+        return F.struct(e["a"].alias("a"), e["n"].alias("n"), e["odd"].alias("odd"), e["digits"].alias("digits"), e["chi"].alias("chi"), high.alias("n1"), F.aggregate(e["v"], start, step).alias("w"))
 
     def tests(e: Column) -> Column:
         a, n, n1 = e["a"], e["n"], e["n1"]
@@ -108,7 +121,12 @@ def _battery(token: Column) -> Column:
         tail = lambda p: F.log(F.greatest(p, F.lit(1e-15)))
         half = -(tail(_phi(-z1)) + tail(2 * _phi(-F.abs(z2))) + tail(2 * _phi(-F.abs(z3))))
         combined = let(half, lambda h: F.exp(-h) * (1 + h + h * h / 2))
-        return F.struct(n.cast("int").alias("n"), combined.alias("p_random"), _phi((e["chi"] - text_mean) / F.sqrt(text_var)).alias("p_text"))
+        by_symbols = _phi((e["chi"] - text_mean) / F.sqrt(text_var))
+        share = e["odd"] / (n - 1)
+        apart = F.when(share >= 1, -math.log(ODD_SHARE)).otherwise(share * F.log(share / ODD_SHARE) + (1 - share) * F.log((1 - share) / (1 - ODD_SHARE)))
+        by_pairs = F.when(share > ODD_SHARE, F.exp(-(n - 1) * apart)).otherwise(1.0)  # Chernoff's bound
+        p_text = F.when(e["digits"], by_symbols).otherwise(F.least(F.lit(1.0), 2 * F.least(by_symbols, by_pairs)))
+        return F.struct(n.cast("int").alias("n"), combined.alias("p_random"), p_text.alias("p_text"))
 
     return let(let(let(let(name, with_alphabet), values), moments), tests)
 

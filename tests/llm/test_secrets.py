@@ -73,6 +73,22 @@ def test_random_tokens_are_found_and_text_is_not(spark, tmp_path):
     assert all(out[30 + k].spans == "" for k in range(len(plain)))
 
 
+def test_short_random_tokens_among_many_plain_ones(spark, tmp_path):
+    import random
+
+    rng = random.Random(11)
+    words = "the rate garden winter strong machine open reader table nichts zwischen arbeit immer siempre ciudad toujours travail nouveau market simple under".split()
+    shapes = (lambda w: "/".join(w), lambda w: "-".join(w) + f"-{rng.randint(1, 2030)}", lambda w: "".join(x.title() for x in w), "_".join, "".join)
+    plain = [rng.choice(shapes)(rng.choices(words, k=6)) for _ in range(6000)]
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    least = {lower.upper() + lower + digits + "+/": 0.8, lower + digits: 0.8, lower.upper() + "234567": 0.75}
+    keys = [(a, "".join(rng.choices(a, k=n))) for a in least for n in (20, 24, 28, 32, 40, 48) for _ in range(10)]
+    out = rows(spark, [f"see {t} here" for t in plain + [k for _, k in keys]], tmp_path)
+    hit = {a: sum(out[len(plain) + i].spans != "" for i, k in enumerate(keys) if k[0] == a) / 60 for a in least}
+    assert all(hit[a] >= x for a, x in least.items()), hit
+    assert sum(out[i].spans != "" for i in range(len(plain))) <= 3
+
+
 @pytest.mark.parametrize("texts", [[]])
 def test_empty_table(spark, tmp_path, texts):
     assert rows(spark, texts, tmp_path) == {}
