@@ -75,6 +75,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_numbers(docs: DataFrame, tag: str) -> DataFrame:
+    """docs, written, with row: a number for each row, rising with doc_id (null last) and a hash of the text."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text"), F.monotonically_increasing_id()]
+    keyed = docs.select("*", *(c.alias(f"_k{k}") for k, c in enumerate(order)))
+    names = [f"_k{k}" for k in range(len(order))]
+    dealt = keyed.repartitionByRange(parts, *names).sortWithinPartitions(*names).withColumn("row", F.monotonically_increasing_id())
+    return written(dealt.drop(*names), tag)
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value computed once per row inside a larger expression."""
     return F.transform(F.array(value), body)[0]

@@ -13,8 +13,9 @@ their anchor are one run, so a text has a run for about 35 bytes. The offsets th
 Task-side, equal runs of a chunk of text are settled before anything is shuffled, so that a passage in a third of all rows
 reaches a sort once a chunk. A prefix with more than HOT kinds of runs spreads its windows by their own hash instead.
 
-Null text is empty; text shorter than LENGTH is kept; a null id comes after all others; rows that share an id count as one
-document, in which equal places don't remove each other; an empty table gives an empty result; other columns are ignored.
+Null text is empty; text shorter than LENGTH is kept; a null id comes after all others. Repeated rows with the same id and text
+count as one document, in which equal places don't remove each other; other rows that share an id, and all rows without one,
+are documents of their own, in the order of a hash of their text; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerwell.llm.bytewise import BYTE, INVERSE, chunks, mix, powers, prefix, stretch
-from ledgerwell.llm.common import table, written
+from ledgerwell.llm.common import row_numbers, table, written
 
 LENGTH, PREFIX = 100, 24
 HOT = 50_000
@@ -216,11 +217,24 @@ def _apply(digest: bool):
     return run
 
 
+def _documents(docs: DataFrame) -> DataFrame:
+    """doc_id, did and text: did is the id where that names one text, and else a number for each document in order."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    hashed = rows.select("doc_id", F.xxhash64("text").alias("h")).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("h").alias("a"), F.max("h").alias("b"))
+    if not hashed.where(f"a <> b or doc_id is null and n > 1 or doc_id = {LAST}").head(1):
+        return rows.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("did"), "text")
+    rows = row_numbers(rows, "rows")
+    first = rows.select("doc_id", F.xxhash64("text").alias("h"), "row").where("doc_id is not null").groupBy("doc_id", "h").agg(F.count("*").alias("n"), F.min("row").alias("first")).where("n > 1").drop("n")
+    same = rows.withColumn("h", F.xxhash64("text")).join(first, ["doc_id", "h"], "left")
+    return written(same.select("doc_id", F.coalesce("first", "row").alias("did"), "text"), "keyed")
+
+
 def dedup_substrings(docs: DataFrame, length: int = LENGTH, prefix_length: int = PREFIX, digest: bool = False, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept, the bytes that remain (digest: their SHA-256), for each row of docs."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"), F.coalesce("text", F.lit("")).alias("text"))
+    own = _documents(docs)
+    texts = own.select("did", "text")
     found = texts.mapInArrow(_cut_runs(length, prefix_length), _RUN).repartition(parts, "key").sortWithinPartitions("key", "content", "did", "at")
     ranked = written(found.mapInArrow(_rank_runs, _STEP1), "runs")
     opened = ranked.where("open").groupBy("did").agg(F.collect_list("key").alias("keys"), F.collect_list("at").alias("ats"))
@@ -237,8 +251,8 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, prefix_length: int =
     dealt = contexts.repartition(parts, "key").sortWithinPartitions("key")
     gone = gone.unionByName(dealt.mapInArrow(_rank_windows(length), "did bigint, at bigint"))
     per_doc = gone.groupBy("did").agg(F.collect_list("at").alias("stretches"))
-    out = texts.join(per_doc, "did", "left").select("did", "text", "stretches").mapInArrow(_apply(digest), "did bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
-    return out.select(F.when(F.col("did") != LAST, F.col("did")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
+    out = own.join(per_doc, "did", "left").select("doc_id", "text", "stretches").mapInArrow(_apply(digest), "did bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    return out.withColumnRenamed("did", "doc_id")
 
 
 def _positions(first: int):

@@ -40,6 +40,22 @@ def test_kept_bytes_and_same_rows(spark):
     assert substrings.dedup_substrings(rows.limit(0)).count() == 0
 
 
+def test_rows_without_or_with_a_shared_id(spark):
+    rng = random.Random(4)
+    made = lambda n: "".join(rng.choice("uvwxyz ") for _ in range(n))
+    shared, twin = made(150), made(200)
+    docs = [(1, shared + made(30)), (2, made(20) + shared), (2, made(180)), (3, twin), (None, made(10) + shared), (None, made(400)), (None, made(5) + twin), (None, "x"), (4, twin), (4, twin)]
+    again = made(300)
+    docs += [(None, again)] * 3
+    rows = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed) for r in substrings.dedup_substrings(rows).collect())
+    want = [(1, 180, 0), (2, 170, 150), (2, 180, 0), (3, 200, 0), (None, 160, 150), (None, 400, 0), (None, 205, 200), (None, 1, 0), (4, 200, 200), (4, 200, 200), (None, 300, 0), (None, 300, 300), (None, 300, 300)]
+    assert got == sorted((str(d), n, gone) for d, n, gone in want)
+    plain = [(1, shared), (1, made(120)), (2, shared)]
+    got = sorted((r.doc_id, r.n_removed) for r in substrings.dedup_substrings(spark.createDataFrame(plain, "doc_id bigint, text string")).collect())
+    assert got == [(1, 0), (1, 0), (2, 150)]
+
+
 def test_other_lengths(spark):
     rng = random.Random(9)
     docs = [(i, "".join(rng.choice("ab") for _ in range(60))) for i in range(30)]
