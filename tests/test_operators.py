@@ -12,6 +12,7 @@ import __spark_entry__
 from ledgerwell.config import DISCLAIMER, Config, Retrieval, load
 from ledgerwell.functions import lists
 from ledgerwell.operators import answers, chunking, dense, evaluation, grounding, hybrid, lexical, pairs, routing
+from ledgerwell.plans import catalog
 from ledgerwell.plans.engine import Engine, health
 from ledgerwell.sources import records, uploads
 
@@ -96,6 +97,17 @@ def test_cells_by_the_registered_query(spark, tmp_path):
         assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
 
 
+def test_verbatim_matches_of_short_items(spark, tmp_path):
+    docs = [(1, "see one two three four five, and six"), (2, "x one two  three fourth five"), (3, "zone two three"), (4, "one\ntwo three"), (5, "solo"), (6, ""), (7, None), (8, "a b c d e f g h")]
+    items = ["one two three four five", "one two three four", "one two three", "one two", "one", "", None, "b c d e f g", "solo", "two  three", "no such thing here at all"]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    schema = "item_id long, text string"
+    for rows in (list(enumerate(items)), [(0, items[0])], []):
+        spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{tmp_path}/benchmark.parquet")
+        got = {(r.query_id, r.chunk_id) for r in catalog._truth(spark, str(tmp_path)).collect()}
+        assert got == {(i, d) for i, item in rows for d, text in docs if item is not None and text is not None and item in text}
+
+
 def test_grounding_ladder(spark):
     vocab = spark.createDataFrame([("alphadrin",), ("betazol",), ("deltin",)], "token string")
     brands = spark.createDataFrame(BRANDS, "brand string, generic string, kind string")
