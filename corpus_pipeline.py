@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwell.llm.common import forget, scope, table, written
+from ledgerwell.llm.common import forget, row_numbers, scope, table, written
 from ledgerwell.llm.decontam import decontaminate
 from ledgerwell.llm.mixing import mix
 from ledgerwell.llm.neardup import groups
@@ -40,9 +40,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group, by five-word shingles and a similarity of 0.8."""
-    gone = groups(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row of each group, that with the least id (null last), by five-word shingles and a similarity of 0.8."""
+    rows = row_numbers(docs.select(F.struct(*docs.columns).alias("own"), "doc_id", "text"), "rows")
+    gone = groups(rows.select(F.col("row").alias("doc_id"), "text")).where("not kept").select(F.col("doc_id").alias("row"))
+    return rows.join(gone, "row", "left_anti").select("own.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,6 +46,16 @@ def test_each_stage(spark, save, prose):
     assert sorted(map(str, corpus_pipeline.run(spark, path).collect())) == sorted(map(str, rows.collect()))
 
 
+def test_near_duplicates_go_by_row(spark, save, prose):
+    copied, lone, twin, third = (prose(60) for _ in range(4))
+    docs = [(1, copied), (5, copied), (5, lone), (6, twin), (6, twin), (None, third), (None, third), (None, copied), (None, None), (None, None)]
+    rows = spark.read.parquet(f"{save(docs)}/documents.parquet")
+    out = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, rows, "")
+    assert out.columns == rows.columns
+    kept = sorted((str(r.doc_id), str(r.text)) for r in out.collect())
+    assert kept == sorted((str(d), str(t)) for d, t in [(1, copied), (5, lone), (6, twin), (None, third), (None, None), (None, None)])
+
+
 def test_empty_tables(spark, save):
     path = tables(spark, save, [], [])
     assert corpus_pipeline.run(spark, path).count() == 0
