@@ -1,3 +1,9 @@
+import random
+import time
+from html.parser import HTMLParser
+
+import pytest
+
 from ledgerwell.llm import rendering
 from ledgerwell.llm.rendering import render
 
@@ -60,3 +66,112 @@ def test_rows(spark):
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id bigint, url string, html string, title string")
     assert sorted((str(r.page_id), r.text, r.title) for r in rendering.extract(pages).collect()) == [("1", "a", None), ("1", "a", None), ("None", "", None)]
     assert rendering.extract(pages.limit(0)).count() == 0
+
+
+def test_attributes_by_the_states_of_html():
+    assert render("<p title=it's>Hello <b>don't</b> bye") == "Hello don't bye"
+    assert render("<p a='x>y' b=\">\"c=d/>e</p><p hidden=>no") == "e"
+    assert render("x<a href='never closed>y") == "x"
+    assert render("1 < 2 <3 </ > <!x>a<!-->b<!--->c<!-- --!>d<?x?>e") == "1 < 2 <3 abcde"
+    assert render("<p style=\"content:'display:none'\">a<p style='Display : none!important'>b<p style='display:none;display:block'>c") == "a\n\nc"
+    assert render("<div style=visibility:hidden>a<p style=visibility:visible>b</p>c</div>d") == "b\n\nd"
+
+
+def test_numbers_never_fail():
+    assert render('<table><tr><td colspan="²">a<td rowspan=x>b</table>') == "a  b"
+    assert render('<ol start="--5"><li>x</ol>') == "1. x"
+    assert render("<ol start=1234567890><li>x<li value=7>y<li>z</ol>") == "1234567890. x\n7. y\n8. z"
+    assert render("<ol reversed><li>x<li>y</ol>") == "2. x\n1. y"
+    assert render("<ol start=" + "9" * 9999 + "><li>x") == "1. x"
+
+
+def test_spans():
+    assert render("<table><tr><td rowspan=2>A<td>b<td>c<tr><td>d<td>e<tr><td>long<td colspan=2>wide text</table>") == "A     b  c\n      d  e\nlong  wide text"
+    assert render("<table><tr><td colspan=3>a<td>b<tr><td>1<td>2<td>3<td>4</table>") == "a        b\n1  2  3  4"
+    assert render("<table><tbody><tr><td rowspan=9>a<td>b<tbody><tr><td>c<td>d</table>") == "a  b\nc  d"
+    assert render("<table><tr><td>漢字<td>a<tr><td>x<td>b</table>") == "漢字  a\nx     b"
+
+
+def test_depth_loses_nothing():
+    assert render("<div>" * 300 + "<p style=display:none>" + "<b>" * 300 + "no") == ""
+    assert render("<div>" * 300 + "<p>a</p>" * 2) == "a\n\na"
+    deep = render("<ul><li>x" * 2000)
+    assert deep.count("x") == 2000 and max(map(len, deep.split("\n"))) < 80
+    assert render("<table><td>a<td>b" * 400).split().count("b") == 400
+
+
+@pytest.mark.parametrize("part", ["<a ", "<div>", "<table><td>a<td>b", "<p><button><div>", "<title ", "<!--", "<a href='", "</p>", "<svg><g>", "&amp"])
+def test_time_grows_with_the_page(part):
+    start = time.time()
+    render(part * (5_000_000 // len(part)) if part == "<a " else part * (500_000 // len(part)))
+    assert time.time() - start < 20
+
+
+def test_mutations_never_fail():
+    rng = random.Random(3)
+    seed = "<html><head><title>t</title></head><body><p class='a'>x &amp; y<ul><li>1<ol start=2><li>2</ol></ul><table><caption>c<tr><td colspan=2 rowspan=3>a<th>b<tr><td>d</table><pre>a\n b</pre><svg><text>s</text></svg><!-- c --><script>z</script><select><option>o</select><dl><dt>q<dd>r</dl></body>"
+    pieces = [seed[a : a + n] for a in range(0, len(seed), 3) for n in (1, 4, 9)] + ["<", ">", "'", '"', "=", "&", "\0", "é", "²", "</", "<table>", "<td>", "</table>", "<li>", "-->"]
+    for _ in range(10_000):
+        page = list(seed)
+        for _ in range(rng.randint(1, 6)):
+            at = rng.randrange(len(page))
+            page[at : at + rng.randint(0, 8)] = rng.choice(pieces)
+        assert isinstance(render("".join(page)), str)
+
+
+class Slow(HTMLParser):
+    """Visible words by a parser of another make, for pages in which all elements are closed."""
+
+    def __init__(self):
+        super().__init__()
+        self.words, self.open = [], []
+
+    def shown(self, data):
+        if not any(gone for _, gone in self.open):
+            self.words.append(data)
+
+    def handle_starttag(self, tag, attrs):
+        self.open.append((tag, tag in ("script", "style", "template") or any(k == "hidden" or k == "style" and "none" in v for k, v in attrs)))
+        self.shown(" " if tag in rendering.BLOCKS or tag in ("td", "th", "caption") else "")
+
+    def handle_endtag(self, tag):
+        self.shown(" " if tag in rendering.BLOCKS or tag in ("td", "th", "caption") else "")
+        assert self.open.pop()[0] == tag
+
+    def handle_data(self, data):
+        self.shown(data)
+
+
+def test_words_against_another_parser():
+    rng = random.Random(11)
+    count = iter(range(10**9))
+
+    def tree(depth, kind="flow"):
+        out = []
+        for _ in range(rng.randint(1, 4)):
+            roll = rng.random()
+            word = f"w{next(count)}" + rng.choice(["", " ", "\n", "&amp;x "])
+            gone = rng.choice([""] * 6 + [" hidden", " style='display:none'"])
+            if depth == 0 or roll < 0.3:
+                out.append(word)
+            elif roll < 0.6:
+                tag = rng.choice(["b", "i", "span", "a", "em"])
+                out.append(f"<{tag}{gone}>{tree(depth - 1, 'inline')}</{tag}>")
+            elif kind == "inline":
+                out.append(rng.choice([word, f"<script>{word}</script>"]))
+            elif roll < 0.85:
+                tag = rng.choice(["div", "section", "blockquote", "article", "ul", "h2"])
+                inner = f"<li>{tree(depth - 1)}</li>" * 1 if tag == "ul" else tree(depth - 1, "inline" if tag == "h2" else "flow")
+                out.append(f"<{tag}{gone}>{inner}</{tag}>")
+            else:
+                rows = "".join("<tr>" + "".join(f"<td{rng.choice(['', ' colspan=2'])}>w{next(count)}</td>" for _ in range(rng.randint(1, 4))) + "</tr>" for _ in range(rng.randint(1, 3)))
+                out.append(f"<table{gone}>{rows}</table>")
+        return "".join(out)
+
+    for _ in range(500):
+        page = tree(4)
+        slow = Slow()
+        slow.feed(page)
+        slow.close()
+        want = "".join(slow.words).split()
+        assert [w for w in render(page).split() if w != "-"] == want, page
