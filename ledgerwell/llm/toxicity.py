@@ -1,16 +1,20 @@
 """Toxicity by a subsequence string kernel and a support vector machine on Nystroem landmarks.
 
-The kernel of two words counts common subsequences of three characters, each weighted by DECAY to the length it spans in
-either word, up to SPAN characters; so `idxiot` stays close to `idiot`. It is normalised, and values below FLOOR count as
-none. A sentence is the sum of its words. Landmarks are words that are found in toxic rather than clean labelled documents,
-words near those that aren't, and common words; the kernel with them, times the inverse root of theirs, is the feature
-space of a linear machine with squared hinge loss. Labels belong to documents: clean documents give all sentences, a toxic
-one gives its most toxic sentence, chosen anew in each of ROUNDS trainings. A document is scored by its most toxic sentence,
-over its whole text, and the score is calibrated to a probability.
-
-Fitting draws on at most PER_LABEL documents of each label (those with the least hashed ids, of at most LONGEST characters),
-without near copies. Null and empty texts have no sentence and get the score of an empty one. When either label is missing,
-every score is 0. Repeated rows are judged one by one; an empty table gives an empty result; other columns are ignored.
+The kernel of two words sums over their common subsequences of three characters, gaps included, each weighted by DECAY to
+the length it spans in either word, up to SPAN characters; so `idxiot` stays close to `idiot`. It is normalised by the
+words' own kernels and raised to POWER, which keeps it a kernel and lets near words stand out. The kernel of two sentences is
+the sum over all pairs of their words. Landmarks are sentences of one word: words that more toxic than clean labelled documents
+hold, so many that every toxic training document with such a word has one, and the clean words nearest to them. The kernel
+with the landmarks, times the inverse root of theirs, is the feature space of a linear machine with squared hinge loss. Labels belong
+to documents: clean documents give all sentences, a toxic one gives its most toxic sentence, chosen anew in each of ROUNDS
+trainings. A document is scored by its most toxic sentence and by all together, over its whole text, and the score is
+calibrated to a probability. A sentence ends at a full stop, a question or exclamation mark or a line end, and at MOST_WORDS words.
+
+Fitting draws on at most PER_LABEL documents of each label, those with the least hashed ids, one row of each id, and on at
+most MOST_SENTENCES sentences of each, those with the least hashes; near copies count once. Ids with both labels and null ids
+are left out. Null and empty texts have no sentence and get the score of an empty one; words of fewer than three characters
+have an empty kernel. When either label is missing, every score is 0. Repeated rows are judged one by one; long texts are worked on
+whole, their words in blocks; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,13 +33,14 @@ from pyspark.sql import functions as F
 from ledgerwell.llm.common import table
 from ledgerwell.llm.langid import held_out
 
-DECAY, SPAN, FLOOR = 0.6, 6, 0.35
-PER_LABEL, LONGEST = 2500, 20_000
-TOXIC_LANDMARKS, NEAR_LANDMARKS = 96, 48
-ROUNDS = 3
-#: Words whose scores a worker keeps.
-KEPT_WORDS = 1_000_000
+DECAY, SPAN, POWER = 0.6, 6, 3
+PER_LABEL, MOST_SENTENCES, MOST_WORDS = 2500, 200, 200
+TOXIC_LANDMARKS, NEAR_LANDMARKS, BAR = 160, 48, 10.0
+ROUNDS, BENT_COST = 3, 0.5
+#: Words whose scores a worker keeps, and words worked on at once (12 bits of a key).
+KEPT_WORDS, BLOCK = 1_000_000, 4096
 _STEPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN) if a + b < SPAN]
+_WEIGHT = np.array([DECAY ** (k + 3) for k in range(SPAN - 2)], np.float32)
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _JUNK = re.compile(r"[\W_]+")
 _SPELLED = re.compile(r"(?<!\S)(?:\S\s){3,}\S(?!\S)")
@@ -46,25 +51,29 @@ def sentences(text: str | None) -> list[list[str]]:
     low = (text or "").lower()
     if _SPELLED.search(low):
         low = _SPELLED.sub(lambda m: "".join(m[0].split()), low)
-    return [ws for s in _SENTENCE.split(low) if (ws := s.split())]
+    cut = (s.split() for s in _SENTENCE.split(low))
+    return [ws[k : k + MOST_WORDS] for ws in cut for k in range(0, len(ws), MOST_WORDS)]
 
 
-def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Character codes 1..63 of all cleaned words, and the number of the word of each."""
+def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """word, subsequence and summed weight of each different subsequence of at most BLOCK words, and the words' own kernels."""
     clean = [_JUNK.sub("", w) for w in words]
-    owner = np.repeat(np.arange(len(clean)), [len(c) for c in clean])
-    points = np.frombuffer("".join(clean).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    return np.where((points >= 97) & (points <= 122), points - 96, 27 + points % 37), owner
-
-
-def _subsequences(codes: np.ndarray, owner: np.ndarray):
-    """(word, subsequence, weight) of every spanned triple."""
-    for a, b in _STEPS:
+    owner = np.repeat(np.arange(len(clean), dtype=np.uint32), [len(c) for c in clean])
+    points = np.frombuffer("".join(clean).encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = np.where((points >= 97) & (points <= 122), points - np.uint32(96), np.uint32(27) + points % np.uint32(37)).astype(np.uint32)
+    keys = [np.zeros(0, np.uint32)]
+    for a, b in _STEPS:  # one number holds word, three characters and the span, so that a plain sort groups them
         n = len(codes) - a - b
-        if n <= 0:
-            continue
-        inside = owner[:n] == owner[a + b :]
-        yield owner[:n][inside], ((codes[:n] << 12) | (codes[a : a + n] << 6) | codes[a + b :])[inside], DECAY ** (a + b + 1)
+        if n > 0:
+            inside = owner[:n] == owner[a + b :]
+            keys.append(((owner[:n] << 20) | (codes[:n] << 14) | (codes[a : a + n] << 8) | (codes[a + b :] << 2) | np.uint32(a + b - 2))[inside])
+    key = np.sort(np.concatenate(keys))
+    if not len(key):
+        return key, key, np.zeros(0, np.float32), np.zeros(len(words))
+    first = np.flatnonzero(np.r_[True, (key[1:] >> 2) != (key[:-1] >> 2)])
+    weight = np.add.reduceat(_WEIGHT[key & 3], first)
+    who = key[first] >> 20
+    return who, (key[first] >> 2) & np.uint32(0x3FFFF), weight, np.bincount(who, weight.astype(float) ** 2, len(words))
 
 
 @dataclass
@@ -72,59 +81,32 @@ class Kernel:
     """The kernel of any word with a fixed list of landmark words."""
 
     landmarks: list[str]
-    n_toxic: int
     index: np.ndarray = field(init=False)
-    largest: np.ndarray = field(init=False)
     weight: np.ndarray = field(init=False)
 
     def __post_init__(self):
-        n = len(self.landmarks)
-        codes, owner = _codes(self.landmarks)
-        parts = list(_subsequences(codes, owner))
-        norm = np.zeros(n)
-        for w, _, x in parts:
-            norm += np.bincount(w, minlength=n) * x * x
-        used = np.unique(np.concatenate([t for _, t, _ in parts])) if parts else np.zeros(0, np.int64)
+        who, what, how, norm = subsequences(self.landmarks)
+        used = np.unique(what)
         self.index = np.full(64**3, -1, np.int32)
         self.index[used] = np.arange(len(used))
-        self.weight = np.zeros((len(used), n), np.float32)
-        for w, t, x in parts:
-            np.add.at(self.weight, (self.index[t], w), x)
-        self.weight /= np.sqrt(np.maximum(norm, 1e-12))[None, :].astype(np.float32)
-        self.largest = self.weight[:, : self.n_toxic].max(1, initial=0.0)
+        self.weight = np.zeros((len(used), len(self.landmarks)), np.float32)
+        self.weight[self.index[what], who] = how / np.sqrt(norm[who])
 
     def rows(self, words: list[str]) -> np.ndarray:
-        """(words, landmarks) kernel values, normalised, small ones as 0; all 0 for a word that is near no toxic landmark.
-
-        Two bounds on the values with toxic landmarks leave most words before any product: the share of a word's own kernel
-        on their subsequences (by the Cauchy-Schwarz inequality), and the sum over its subsequences of the largest weight.
-        """
+        """(words, landmarks) values of the kernel."""
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
-        for at in range(0, len(words), 8192):
-            part = words[at : at + 8192]
-            codes, owner = _codes(part)
-            norm, who, what, how = np.zeros(len(part)), [], [], []
-            for w, t, x in _subsequences(codes, owner):
-                norm += np.bincount(w, minlength=len(part)) * x * x
-                f = self.index[t]
-                hit = f >= 0
-                who.append(w[hit]), what.append(f[hit]), how.append(np.full(int(hit.sum()), x, np.float32))
-            if not who:
-                continue
-            who, what, how = np.concatenate(who), np.concatenate(what), np.concatenate(how)
-            enough = np.bincount(who, np.where(self.largest[what] > 0, how, 0).astype(float) ** 2, len(part)) >= FLOOR**2 * norm * 0.999
-            enough &= np.bincount(who, how * self.largest[what], len(part)) >= FLOOR * np.sqrt(norm) * 0.999
-            keep = enough[who]
-            who, what, how = who[keep], what[keep], how[keep]
-            if not len(who):
-                continue
-            order = np.argsort(who, kind="stable")
-            who, what, how = who[order], what[order], how[order]
-            first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
-            value = np.add.reduceat(self.weight[what] * how[:, None], first, axis=0) / np.sqrt(norm[who[first]])[:, None]
-            value = np.where(value >= FLOOR, value, 0)
-            value[~value[:, : self.n_toxic].any(1)] = 0
-            out[at + who[first]] = value
+        for at in range(0, len(words), BLOCK):
+            who, what, how, norm = subsequences(words[at : at + BLOCK])
+            place = self.index[what]
+            hit = place >= 0
+            who, place, how = who[hit], place[hit], how[hit]
+            count = np.bincount(who, minlength=len(norm))
+            begin = np.cumsum(np.r_[0, count])[:-1]
+            for n in np.unique(count[count > 0]):  # words with as many common subsequences side by side
+                own = np.flatnonzero(count == n)
+                cell = begin[own][:, None] + np.arange(n)
+                value = (how[cell][:, None, :] @ self.weight[place[cell]])[:, 0] / np.sqrt(norm[own])[:, None].astype(np.float32)
+                out[at + own] = np.multiply.reduce([value] * POWER)
         return out
 
 
@@ -161,15 +143,23 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(found @ self.link, -30, 30)))
 
 
+def _sampled(cut: list[list[str]], most: int = MOST_SENTENCES) -> list[list[str]]:
+    """At most so many of the sentences of a document, those with the least hashes, in order."""
+    if len(cut) <= most:
+        return cut
+    ranked = sorted(range(len(cut)), key=lambda k: (zlib.crc32(" ".join(cut[k]).encode("utf-8", "surrogatepass")), k))
+    return [cut[k] for k in sorted(ranked[:most])]
+
+
 def _without_copies(docs: list[tuple[str, int]]) -> list[tuple[list[list[str]], int]]:
-    """Sentences and label of each document but near copies, told by two pairs of least word hashes."""
+    """Sentences and label of each document but near copies, told by two pairs of least hashes of neighbouring words."""
     seen, out, names = set(), [], {}
     for text, label in docs:
-        cut = [[names.setdefault(w, w) for w in s] for s in sentences(text)]
-        words = {w.encode() for s in cut for w in s}
-        if not words:
+        cut = [[names.setdefault(w, w) for w in s] for s in _sampled(sentences(text))]
+        pairs = {f"{a} {b}".encode("utf-8", "surrogatepass") for s in cut for a, b in zip(s, [*s[1:], ""], strict=True)}
+        if not pairs:
             continue
-        least = [min(zlib.crc32(w, salt) for w in words) for salt in (1, 2, 3, 4)]
+        least = [min(zlib.crc32(w, salt) for w in pairs) for salt in (1, 2, 3, 4)]
         keys = {(0, *least[:2]), (1, *least[2:])}
         if not keys & seen:
             out.append((cut, label))
@@ -177,43 +167,61 @@ def _without_copies(docs: list[tuple[str, int]]) -> list[tuple[list[list[str]],
     return out
 
 
-def choose_landmarks(docs: list[tuple[list[list[str]], int]]) -> tuple[list[str], int]:
-    """Landmark words, the toxic ones first, and how many those are."""
-    clean = lambda cut: {c for s in cut for w in s if 3 <= len(c := _JUNK.sub("", w)) <= 40}
+def choose_landmarks(docs: list[tuple[list[list[str]], int]]) -> tuple[list[str], np.ndarray]:
+    """Landmark words, the toxic ones first, and the strengths of those.
+
+    Toxic ones are those whose share of toxic documents is beyond chance by BAR (twice the log likelihood ratio), and for a
+    toxic document that holds none of them its strongest word that another document shares; at most TOXIC_LANDMARKS.
+    """
+    bags = [({c for s in cut for w in s if len(c := _JUNK.sub("", w)) >= 3}, label) for cut, label in docs]
     with_toxic, with_clean = Counter(), Counter()
-    for cut, label in docs:
-        (with_toxic if label else with_clean).update(clean(cut))
+    for bag, label in bags:
+        (with_toxic if label else with_clean).update(bag)
     n1 = sum(label for _, label in docs)
-    n0 = len(docs) - n1
-    share = n1 / (n1 + n0)
+    share = n1 / len(docs)
 
     def strength(w: str) -> float:
-        """Twice the log likelihood ratio of the word's documents against the share of toxic ones."""
         a, b = with_toxic[w], with_clean[w]
         p = a / (a + b)
-        return 2 * (a * np.log(p / share) + (b * np.log((1 - p) / (1 - share)) if b else 0)) if p > share else 0.0
+        return 2 * (a * np.log(p / share) + (b * np.log((1 - p) / (1 - share)) if b else 0)) if p > share and a > 1 else 0.0
 
-    ranked = sorted(((strength(w), w) for w in with_toxic if with_toxic[w] >= 2), reverse=True)
-    toxic = [w for s, w in ranked[:TOXIC_LANDMARKS] if s > 24] or [w for _, w in ranked[:16]]
+    strong = {w: strength(w) for w in with_toxic}
+    toxic = sorted((w for w, s in strong.items() if s > BAR), key=lambda w: (-strong[w], w))[:TOXIC_LANDMARKS]
     chosen = set(toxic)
-    others = [w for w, n in (with_clean + with_toxic).most_common(60_000) if w not in chosen and with_clean[w]]
-    near = Kernel(toxic, len(toxic)).rows(others).max(1) if toxic and others else np.zeros(len(others))
+    for bag, label in bags:
+        if label and len(toxic) < TOXIC_LANDMARKS and not bag & chosen:
+            best = max(bag, key=lambda w: (strong[w], w), default=None)
+            if best and strong[best] > 0:
+                toxic.append(best)
+                chosen.add(best)
+    others = sorted(w for w in with_clean if w not in chosen)
+    near = [np.zeros(0, np.float32)]
+    kernel = Kernel(toxic) if toxic else None
+    for at in range(0, len(others) if kernel else 0, BLOCK):
+        near.append(kernel.rows(others[at : at + BLOCK]).max(1))
+    near = np.concatenate(near)
     closest = [others[i] for i in np.argsort(-near, kind="stable")[:NEAR_LANDMARKS] if near[i] > 0]
-    return toxic + closest, len(toxic)
+    return toxic + closest, np.array([strong[w] for w in toxic])
 
 
-def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Squared hinge loss with an L2 penalty, by Newton steps on the rows inside the margin, summed over blocks of rows."""
-    w = np.zeros(x.shape[1] + 1)
-    ridge = np.diag(np.r_[np.full(x.shape[1], penalty), 1e-9])
+def _machine(parts: list[np.ndarray], root: np.ndarray, y: np.ndarray, cost: np.ndarray, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Squared hinge loss with an L2 penalty on the rows of parts times root, by Newton steps on the rows inside the margin,
+    summed over blocks of rows."""
+    blocks = [p[at : at + 8192] for p in parts for at in range(0, len(p), 8192)]
+    n = root.shape[1]
+    w = np.zeros(n + 1)
+    ridge = np.diag(np.r_[np.full(n, penalty), 1e-9])
     for _ in range(30):
-        curve, pull = ridge.copy(), np.zeros(len(w))
-        for at in range(0, len(x), 8192):
-            part, label = np.c_[x[at : at + 8192], np.ones(len(x[at : at + 8192]))], y[at : at + 8192]
-            inside = label * (part @ w) < 1
-            part, weight = part[inside], cost[at : at + 8192][inside]
+        curve, pull, at = ridge.copy(), np.zeros(n + 1), 0
+        direction = root @ w[:-1]
+        for block in blocks:
+            label, weight = y[at : at + len(block)], cost[at : at + len(block)]
+            inside = label * (block @ direction + w[-1]) < 1
+            at += len(block)
+            label, weight = label[inside], weight[inside]
+            part = np.c_[block[inside] @ root, np.ones(len(label))]
             curve += (part * weight[:, None]).T @ part
-            pull += part.T @ (weight * label[inside])
+            pull += part.T @ (weight * label)
         new = np.linalg.solve(curve, pull)
         if np.allclose(new, w, atol=1e-6):
             break
@@ -221,39 +229,51 @@ def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, penalty: float = 1e
     return w[:-1], float(w[-1])
 
 
+def bent(word: str) -> list[str]:
+    """A word with a letter more, at each place inside: as insults are written to pass a filter."""
+    return [f"{word[:k]}x{word[k:]}" for k in range(1, len(word))]
+
+
+def _bags(kernel: Kernel, docs: list[tuple[list[list[str]], int]]) -> list[np.ndarray]:
+    """Of each document the kernel values of its sentences with the landmarks, and an empty sentence."""
+    out = []
+    for at in range(0, len(docs), 256):
+        part = [cut for cut, _ in docs[at : at + 256]]
+        place = {w: k for k, w in enumerate(sorted({w for cut in part for s in cut for w in s}))}
+        values = kernel.rows(list(place))
+        for cut in part:
+            flat = np.array([place[w] for s in cut for w in s])
+            first = np.cumsum([0, *map(len, cut)])[:-1]
+            out.append(np.r_[np.add.reduceat(values[flat], first, axis=0), np.zeros((1, values.shape[1]), np.float32)])
+    return out
+
+
 def fit(labelled: list[tuple[str, int]]) -> Model | None:
     """A model from (text, label) pairs; None when a label is missing."""
     docs = _without_copies(labelled)
     if len({label for _, label in docs}) < 2:
         return None
-    landmarks, n_toxic = choose_landmarks(docs)
+    landmarks, strength = choose_landmarks(docs)
+    n_toxic = len(strength)
     if not landmarks:
         return None
-    kernel = Kernel(landmarks, n_toxic)
+    kernel = Kernel(landmarks)
     own = kernel.rows(landmarks).astype(float)
     value, vector = np.linalg.eigh((own + own.T) / 2 + 1e-3 * np.eye(len(own)))
     root = (vector / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
-    words = sorted({w for cut, _ in docs for s in cut for w in s})
-    values, place = [], {}
-    for at in range(0, len(words), 65536):
-        part = kernel.rows(words[at : at + 65536])
-        busy = np.flatnonzero(part.any(1))
-        place |= {words[at + k]: len(place) + j for j, k in enumerate(busy)}
-        values.append(part[busy])
-    values = np.concatenate(values)
-    bags = [[[place[w] for w in s if w in place] for s in cut] for cut, _ in docs]
-    vectors = [np.array([values[b].sum(0) for b in bag if b]).reshape(-1, len(landmarks)) for bag in bags]
+    vectors = _bags(kernel, docs)
     label = np.array([y for _, y in docs])
-    zero = np.zeros((1, len(landmarks)), np.float32)
-    rest = np.concatenate([np.r_[v, zero] for v, y in zip(vectors, label, strict=True) if not y])
-    toxic = [np.r_[v, zero] for v, y in zip(vectors, label, strict=True) if y]
+    rest = np.concatenate([v for v, y in zip(vectors, label, strict=True) if not y])
+    toxic = [v for v, y in zip(vectors, label, strict=True) if y]
+    virtual = [kernel.rows(bent(w)) for w in landmarks[:n_toxic]]
+    virtual_cost = np.concatenate([np.full(len(v), x / len(v)) for v, x in zip(virtual, strength, strict=True)])
+    virtual, virtual_cost = np.concatenate(virtual), BENT_COST * virtual_cost / virtual_cost.sum()
     beta, bias = np.r_[np.ones(n_toxic), np.zeros(len(landmarks) - n_toxic)], 0.0
     for _ in range(ROUNDS):
         chosen = np.array([v[np.argmax(v @ beta)] for v in toxic])
-        x = np.r_[chosen, rest] @ root.astype(np.float32)
-        y = np.r_[np.ones(len(chosen)), -np.ones(len(rest))]
-        cost = np.r_[np.full(len(chosen), 1 / len(chosen)), np.full(len(rest), 1 / len(rest))]
-        w, bias = _machine(x, y, cost)
+        y = np.r_[np.ones(len(chosen) + len(virtual)), -np.ones(len(rest))]
+        cost = np.r_[np.full(len(chosen), 1 / len(chosen)), virtual_cost, np.full(len(rest), 1 / len(rest))]
+        w, bias = _machine([chosen, virtual, rest], root, y, cost)
         beta = root @ w
     x = np.array([evidence((v @ beta).tolist(), bias, sum(map(len, cut))) for v, (cut, _) in zip(vectors, docs, strict=True)])
     x = np.r_[x, np.tile(evidence([], bias, 0), (20, 1))]  # the length alone must not speak against an empty text
@@ -281,17 +301,25 @@ def _apply(model: Model | None):
     return run
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, longest: int = LONGEST) -> list[tuple[str, int]]:
-    """Texts of at most per_label documents of each label outside the held-out part.
+def training_rows(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> list[tuple[str, int]]:
+    """(text, label) of at most per_label documents of each label outside the held-out part, one row of each id.
 
-    The ids are chosen among the labels alone; those are few by the parameter, so they are broadcast to the texts.
+    The ids are chosen among the labels alone. A cut of the hashes, from the counts of ids, leaves about three times as many
+    as are wanted before they are ranked, however many rows and partitions there are; the chosen few are broadcast to the texts.
     """
-    known = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"), 5, 0)).select("doc_id", F.col("toxic").cast("int").alias("label")).distinct()
+    usable = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"), 5, 0))
+    known = usable.groupBy("doc_id").agg(F.min("toxic").cast("int").alias("label"), F.max("toxic").alias("other")).where("label = other")
+    known = known.select("doc_id", "label", F.shiftrightunsigned(F.xxhash64("doc_id"), 11).alias("h"))
+    counts = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
+    below = F.lit(False)
+    for label, n in counts.items():
+        below = below | (F.col("label") == label) & (F.col("h") < int(min(1.0, 3 * (per_label + 100) / n) * 2**53))
     first = Window.partitionBy("label").orderBy("h", "doc_id")
-    few = known.withColumn("h", F.xxhash64("doc_id")).withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_label)
-    rows = docs.where("text is not null").where(F.length("text") <= longest).select("doc_id", "text").join(F.broadcast(few), "doc_id")
-    found = rows.select("label", "h", "doc_id", "text").collect()
-    return [(r.text, r.label) for r in sorted(found, key=lambda r: (r.label, r.h, r.doc_id, r.text))]
+    few = known.where(below).withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_label).drop("k")
+    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    one = rows.groupBy("label", "h", "doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("x"), "text")).alias("row"))
+    found = one.select("label", "h", "doc_id", "row.text").collect()
+    return [(r.text, r.label) for r in sorted(found, key=lambda r: (r.label, r.h, r.doc_id))]
 
 
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -75,16 +75,47 @@ def test_kernel_like_its_definition():
         return out
 
     def value(x, y):
-        fx, fy = features(x), features(y)
-        norm = np.sqrt(sum(v * v for vs in fx.values() for v in vs) * sum(v * v for vs in fy.values() for v in vs))
-        return sum(sum(fx[k]) * sum(fy[k]) for k in fx if k in fy) / norm if norm else 0.0
+        fx, fy = ({k: sum(v) for k, v in features(w).items()} for w in (x, y))
+        norm = np.sqrt(sum(v * v for v in fx.values()) * sum(v * v for v in fy.values()))
+        return (sum(fx[k] * fy[k] for k in fx if k in fy) / norm) ** toxicity.POWER if norm else 0.0
 
-    got = Kernel(["idiot", "clown"], 2).rows(words)
+    words += ["hahahaha", "aaaaaa", "éclair éclair", "x" * 300]
+    got = Kernel(words).rows(words)
     for i, w in enumerate(words):
-        want = np.array([value(w, t) for t in ("idiot", "clown")])
-        want[want < toxicity.FLOOR] = 0
-        assert np.allclose(got[i], want, atol=1e-5), w
-    assert got[2, 0] == got[0, 0] and 0.4 < got[1, 0] < 1
+        assert np.allclose(got[i], [value(w, t) for t in words], atol=1e-5), w
+        assert abs(got[i, i] - (len(w) > 2)) < 1e-5, w
+    assert np.linalg.eigvalsh(got.astype(float)).min() > -1e-5
+    root = got ** (1 / toxicity.POWER)
+    assert root[2, 0] > 0.9999 and 0.5 < root[1, 0] < 0.9
+
+
+def test_toxicity_on_shipped_labels(spark):
+    path = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{path}/labels.parquet").collect()}
+    out = [r for r in toxicity.op4_toxicity(spark, path).select("doc_id", "held_out", "predicted").collect() if r.held_out and r.doc_id in labels]
+    hits = sum(r.predicted and labels[r.doc_id] for r in out)
+    recall, precision = hits / sum(labels[r.doc_id] for r in out), hits / sum(r.predicted for r in out)
+    print(f"held-out toxicity on sf0.1: recall {recall:.3f}, precision {precision:.3f}")
+    assert recall >= 0.8 and precision >= 0.9
+
+
+def test_training_rows_are_bounded(spark):
+    docs = [(i, f"text {i}") for i in range(300)] + [(7, f"other {k}") for k in range(500)] + [(None, "x"), (8, None)]
+    labels = [(i, i % 2) for i in range(300)] * 2 + [(9, 0), (None, 1), (11, None), (12, 5)]
+    docs, labels = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    few = toxicity.training_rows(docs, labels, per_label=10)
+    assert sum(y for _, y in few) == 10 and len(few) == 20
+    everything = toxicity.training_rows(docs, labels, per_label=1000)
+    ids = {i for i in range(300) if zlib.crc32(str(i).encode()) % 5 and i != 9}
+    assert len(everything) == len(ids) and {t for t, _ in everything if t[0] == "t"} <= {f"text {i}" for i in ids}
+
+
+def test_long_training_texts_count(spark, prose):
+    docs = [(prose(9) + ". " + prose(9), 0) for _ in range(60)] + [(". ".join(prose(8) for _ in range(900)) + ". you zorgface you. " * 40, 1) for _ in range(40)]
+    model = toxicity.fit(docs)
+    scores = model.scores([". ".join(prose(8) for _ in range(5)), prose(30) + ". you zorgface you. " * 3])
+    assert scores[0] < 0.5 < scores[1]
+    assert len(toxicity.sentences("ww " * 100_000)) == 500
 
 
 def test_toxicity_held_out_and_edges(spark, save, prose):
