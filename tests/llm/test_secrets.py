@@ -1,4 +1,6 @@
 import hashlib
+import math
+import random
 import re
 
 import pytest
@@ -92,3 +94,112 @@ def test_short_random_tokens_among_many_plain_ones(spark, tmp_path):
 @pytest.mark.parametrize("texts", [[]])
 def test_empty_table(spark, tmp_path, texts):
     assert rows(spark, texts, tmp_path) == {}
+
+
+ENCODED = {name: abc for name, _, abc in secrets.ENCODINGS}
+
+
+def upper(z):
+    return math.erfc(z / math.sqrt(2)) / 2
+
+
+def battery(token):
+    """n, p_random, p_text by the formulas, in plain Python."""
+    name = next(name for name, test, _ in secrets.ENCODINGS if re.search(test, token))
+    abc, n = ENCODED[name], len(token)
+    plain = token.lower() if name == "hex" else token.replace("-", "+").replace("_", "/") if name == "base64" else token
+    v, a = [abc.index(c) for c in plain], len(abc)
+    chi = a / n * sum(v.count(k) ** 2 for k in range(a)) - n
+    w = 2 * (1 - 1 / n) / (a - 1) / 9
+    z1 = ((chi / (a - 1)) ** (1 / 3) - (1 - w)) / math.sqrt(w)
+    high = [x >= a / 2 for x in v]
+    n1, runs = sum(high), 1 + sum(x != y for x, y in zip(high, high[1:]))
+    mu = 1 + 2 * n1 * (n - n1) / n
+    spread = (mu - 1) * (mu - 2) / (n - 1)
+    z2 = (runs - mu) / math.sqrt(spread) if spread > 0 else 9.0
+    mean = sum(v) / n
+    var, lag = sum((x - mean) ** 2 for x in v), sum((x - mean) * (y - mean) for x, y in zip(v, v[1:]))
+    z3 = (lag / var + 1 / n) * math.sqrt(n) if var > 0 else 9.0
+    h = -(math.log(max(upper(z1), 1e-300)) + math.log(min(1.0, 2 * upper(abs(z2)))) + math.log(min(1.0, 2 * upper(abs(z3)))))
+    kappa = max(secrets.TEXT_KAPPA, secrets.SMALL_KAPPA / a)
+    text_mean, cube = a * (1 + (n - 1) * kappa) - n, 1.35 * kappa**2
+    text_var = a * a / n**2 * (4 * n * (n - 1) * (n - 2) * (cube - kappa**2) + 2 * n * (n - 1) * (kappa - kappa**2))
+    by_symbols = upper((text_mean - chi) / math.sqrt(text_var))
+    usual = lambda x, y: y in secrets.USUAL[x]
+    odd = 0
+    for x, y in zip(token, token[1:]):
+        letters = x.isalpha() and y.isalpha()
+        odd += x.isdigit() and y.isalpha() or x.isalpha() and y.isdigit() or letters and (x.islower() and y.isupper() or not usual(x.lower(), y.lower()))
+    share = odd / (n - 1)
+    apart = -math.log(secrets.ODD_SHARE) if share >= 1 else (share * math.log(share / secrets.ODD_SHARE) if share else 0) + (1 - share) * math.log((1 - share) / (1 - secrets.ODD_SHARE))
+    by_pairs = math.exp(-(n - 1) * apart) if share > secrets.ODD_SHARE else 1.0
+    return n, math.exp(-h) * (1 + h + h * h / 2), by_symbols if name == "decimal" else min(1.0, 2 * min(by_symbols, by_pairs))
+
+
+def tokens(rng, per=60):
+    out = ["".join(rng.choices(abc, k=n)) for abc in ENCODED.values() for n in (20, 31, 32, 63, 64, 200) for _ in range(per // 6)]
+    return out + ["thisisalongcompoundwordofnosecretwhatsoever", "a" * 40, "ab" * 20, "a/very/long/path/of/lower/case/names", "x" * 5000, "abcdefghijklmnopqrstuvwxyz", "0" * 20 + "A" * 20, "SomeCamelCaseNameOfAClassInAPackage"]
+
+
+def test_battery_against_plain_python(spark):
+    found = tokens(random.Random(2))
+    rows = spark.createDataFrame([(t,) for t in found], "t string").select("t", secrets._battery(secrets.F.col("t")).alias("b")).collect()
+    for r in rows:
+        n, p_random, p_text = battery(r.t)
+        assert r.b.n == n
+        for got, want in ((r.b.p_random, p_random), (r.b.p_text, p_text)):
+            assert got == pytest.approx(want, rel=1e-4, abs=1e-290), r.t
+
+
+def test_p_values_of_random_tokens_are_even(spark):
+    rng = random.Random(8)
+    for name, abc in ENCODED.items():
+        for n in (20, 40, 100):
+            p = [battery(t)[1] for t in ("".join(rng.choices(abc, k=n)) for _ in range(1500)) if next(k for k, test, _ in secrets.ENCODINGS if re.search(test, t)) == name]
+            assert sum(x < 0.01 for x in p) < 0.035 * len(p) and sum(x < 0.5 for x in p) > 0.3 * len(p), (name, n)
+
+
+def all_spans(texts):
+    """The spans column of every text, by plain Python."""
+    base = [expected(t)[2] for t in texts]
+    tested = []
+    for k, t in enumerate(texts):
+        taken = [tuple(map(int, x.split(":")[1:])) for x in base[k]]
+        for m in re.finditer(secrets.CANDIDATE, t or ""):
+            if not any(s < m.end() and m.start() < e for s, e in taken):
+                tested.append((k, m.start(), m.end(), *battery(m[0])))
+    level = lambda p: math.floor(-math.log10(max(p, secrets.LEAST_P)) / secrets.BIN)
+    group = lambda n: (n >= 32) + (n >= 64)
+    cut = {}
+    for c in range(3):
+        for j in (4, 5):
+            levels = [level(x[j]) for x in tested if group(x[3]) == c]
+            ok = [lv for lv in set(levels) if 10 ** (-lv * secrets.BIN) * len(levels) <= secrets.FDR * sum(x >= lv for x in levels)]
+            cut[c, j] = min(ok, default=10**6)
+    out = [list(b) for b in base]
+    for k, s, e, n, p_random, p_text in tested:
+        if level(p_text) >= cut[group(n), 5] and level(p_random) < cut[group(n), 4]:
+            out[k].append(f"random:{s}:{e}")
+    order = [x[0] for x in KINDS] + ["random"]
+    key = lambda x: (int(x.split(":")[1]), order.index(x.split(":")[0]), int(x.split(":")[2]))
+    return [",".join(sorted(x, key=key)) for x in out]
+
+
+def test_spans_like_brute_force(spark, tmp_path):
+    rng = random.Random(9)
+    table = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect()]
+    texts = table + EDGE + [f"{a} {t} {b}" for t, a, b in zip(tokens(rng), "xyz" * 999, "()" * 999)] * 2
+    out = rows(spark, texts, tmp_path)
+    want = all_spans(texts)
+    assert sum("random" in w for w in want) > 200
+    assert [out[k].spans for k in range(len(texts))] == want
+
+
+def test_false_rejections_stay_below_the_share():
+    """Among many plain tokens and random ones, few plain ones are reported, and few random ones are missed as patterned."""
+    rng = random.Random(21)
+    abc = ENCODED["base64"]
+    keys = ["".join(rng.choices(abc, k=rng.choice((40, 64, 90)))) for _ in range(400)]
+    patterned = ["".join(rng.choices(abc[:7], k=45)) for _ in range(400)] + ["".join(sorted(rng.choices(abc, k=70))) for _ in range(400)]
+    spans = all_spans([f" {t} " for t in keys + patterned])
+    assert sum("random" in x for x in spans[:400]) >= 390 and sum("random" in x for x in spans[400:]) <= 8
