@@ -1,7 +1,9 @@
 """Quality rules with host verdicts.
 
 Rules are judged per document; failures are counted per host (the source column), each host's failure rate is shrunk by a
-beta prior fitted to all hosts, and a host whose shrunk rate is above a limit loses its documents.
+beta prior fitted to all hosts, and a host with a shrunk rate far above the prior loses its documents. The limit is SPREADS
+standard deviations of the prior above its mean, held between LEAST and MOST: a host that fails a rule on fewer than a quarter
+of its documents is not rejected, however alike the others are, and one that fails it on more than half always is.
 
 Null text has no words; a null source is a host of its own; repeated rows count each time; an empty table gives an empty
 result; other columns are ignored. Long texts are one row: every step on words is linear, but for the sort of the repeated
@@ -17,8 +19,10 @@ from ledgerwell.llm.common import table, words, written
 
 SYMBOLS = "#*$%&|<>"
 RULES = ("short", "repeats", "symbols", "lines")
-#: A host is rejected when the shrunk rate of one of its rules is above this.
-LIMIT = 0.75
+#: The limit of a rule: the prior's mean and so many of its standard deviations, within two bounds.
+SPREADS, LEAST, MOST = 3.0, 0.25, 0.5
+#: Documents that the prior counts for, at most.
+STRENGTH = 10_000.0
 
 
 def document_metrics(docs: DataFrame) -> DataFrame:
@@ -62,28 +66,36 @@ def rule_failures(metrics: DataFrame) -> DataFrame:
     )
 
 
-def host_verdicts(judged: DataFrame, limit: float = LIMIT) -> DataFrame:
-    """source, n_docs, rate_<rule> (shrunk) and rejected for each host.
+def host_verdicts(judged: DataFrame) -> DataFrame:
+    """source, n_docs, rate_<rule> (shrunk), limit_<rule> and rejected for each host.
 
-    The prior's mean is the mean of the hosts' rates and its strength follows from their variance (method of moments),
-    held between 1 and 10,000 documents; hosts that agree fully get the largest.
+    The prior's mean is the share of all documents that fail. Its strength follows from the spread of the hosts' rates beyond
+    what the chance of so many documents gives (analysis of variance), between 1 and STRENGTH documents; hosts that differ by
+    chance only, or a single host, get the largest.
     """
     hosts = judged.groupBy("source").agg(F.count("*").alias("n_docs"), *(F.sum(F.col(f"fails_{r}").cast("long")).alias(f"bad_{r}") for r in RULES))
-    rate = {r: F.col(f"bad_{r}") / F.col("n_docs") for r in RULES}
-    prior = hosts.agg(*(F.avg(rate[r]).alias(f"mean_{r}") for r in RULES), *(F.var_pop(rate[r]).alias(f"var_{r}") for r in RULES))
-    both = hosts.crossJoin(prior)  # one row of moments
+    n, squares = F.col("n_docs").cast("double"), lambda r: F.col(f"bad_{r}") * F.col(f"bad_{r}") / F.col("n_docs")
+    prior = hosts.agg(F.sum(n).alias("n_all"), F.sum(n * n).alias("n_squares"), F.count("*").alias("n_hosts"), *(F.sum(f"bad_{r}").alias(f"all_{r}") for r in RULES), *(F.sum(squares(r)).alias(f"between_{r}") for r in RULES))
+    both = hosts.crossJoin(prior)  # one row of sums
+    free = F.col("n_hosts") - 1
     for r in RULES:
-        mean, var = F.col(f"mean_{r}"), F.col(f"var_{r}")
-        strength = F.when(var > 0, F.least(F.lit(10000.0), F.greatest(F.lit(1.0), mean * (1 - mean) / var - 1))).otherwise(10000.0)
-        both = both.withColumn(f"rate_{r}", (F.col(f"bad_{r}") + strength * mean) / (F.col("n_docs") + strength))
-    worst = F.greatest(*(F.col(f"rate_{r}") for r in RULES))
-    return both.select("source", "n_docs", *(f"rate_{r}" for r in RULES), (worst > limit).alias("rejected"))
+        mean = F.col(f"all_{r}") / F.col("n_all")
+        chance = mean * (1 - mean)
+        beyond = (F.col(f"between_{r}") - F.col("n_all") * mean * mean) - free * chance
+        share = beyond / (chance * (F.col("n_all") - F.col("n_squares") / F.col("n_all") - free))
+        strength = F.when((chance > 0) & (beyond > 1e-9) & (share > 0), F.least(F.lit(STRENGTH), F.greatest(F.lit(1.0), 1 / share - 1))).otherwise(STRENGTH)
+        both = both.withColumn(f"strength_{r}", strength).withColumn(f"rate_{r}", (F.col(f"bad_{r}") + F.col(f"strength_{r}") * mean) / (F.col("n_docs") + F.col(f"strength_{r}")))
+        both = both.withColumn(f"limit_{r}", F.greatest(F.lit(LEAST), F.least(F.lit(MOST), mean + SPREADS * F.sqrt(chance / (F.col(f"strength_{r}") + 1)))))
+    rejected = F.lit(False)
+    for r in RULES:
+        rejected = rejected | (F.col(f"rate_{r}") > F.col(f"limit_{r}"))
+    return both.select("source", "n_docs", *(f"rate_{r}" for r in RULES), *(f"limit_{r}" for r in RULES), rejected.alias("rejected"))
 
 
-def quality(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
+def quality(docs: DataFrame) -> DataFrame:
     """The metrics, flags, host verdict and kept for each row of docs."""
     judged = rule_failures(written(document_metrics(docs), "quality"))
-    hosts = host_verdicts(judged, limit).select(F.col("source").alias("host"), "rejected", *(f"rate_{r}" for r in RULES))
+    hosts = host_verdicts(judged).select(F.col("source").alias("host"), "rejected", *(f"rate_{r}" for r in RULES))
     return judged.join(hosts, judged["source"].eqNullSafe(hosts["host"])).drop("host").withColumn("kept", ~F.col("base_failed") & ~F.col("rejected"))
 
 
@@ -92,9 +104,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).select(*names)
 
 
-_RATES = ",\n".join(f"avg(bad_{r}::DOUBLE / n_docs) OVER () AS mean_{r}, var_pop(bad_{r}::DOUBLE / n_docs) OVER () AS var_{r}" for r in RULES)
-_SHRUNK = ", ".join(f"(bad_{r} + s_{r} * mean_{r}) / (n_docs + s_{r})" for r in RULES)
-_STRENGTH = ",\n".join(f"CASE WHEN var_{r} > 0 THEN least(10000.0, greatest(1.0, mean_{r} * (1 - mean_{r}) / var_{r} - 1)) ELSE 10000.0 END AS s_{r}" for r in RULES)
+_SUMS = ",\n".join(f"sum(bad_{r}) OVER () / n_all AS mean_{r}, sum(bad_{r} * bad_{r} / n_docs) OVER () AS between_{r}" for r in RULES)
+_BEYOND = ",\n".join(f"between_{r} - n_all * mean_{r} * mean_{r} - free * mean_{r} * (1 - mean_{r}) AS beyond_{r}, mean_{r} * (1 - mean_{r}) AS chance_{r}" for r in RULES)
+_STRENGTH = ",\n".join(f"CASE WHEN chance_{r} > 0 AND beyond_{r} > 1e-9 AND n_all - n_squares / n_all - free > 0 THEN least({STRENGTH}, greatest(1.0, chance_{r} * (n_all - n_squares / n_all - free) / beyond_{r} - 1)) ELSE {STRENGTH} END AS s_{r}" for r in RULES)
+_REJECTED = " OR ".join(f"(bad_{r} + s_{r} * mean_{r}) / (n_docs + s_{r}) > greatest({LEAST}, least({MOST}, mean_{r} + {SPREADS} * sqrt(chance_{r} / (s_{r} + 1))))" for r in RULES)
 OP5_SQL = rf"""
 WITH w AS (
   SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
@@ -116,9 +129,10 @@ WITH w AS (
   SELECT *, n_words < 50 AS fails_short, 100 * n_repeat_words > 50 * n_words AS fails_repeats,
     4 * n_symbols > word_chars AS fails_symbols, 2 * n_dup_lines > n_lines AS fails_lines FROM m
 ), h AS (
-  SELECT source, count(*) AS n_docs, {", ".join(f"sum(fails_{r}::INT) AS bad_{r}" for r in RULES)} FROM j GROUP BY 1
-), p AS (SELECT *, {_RATES} FROM h), s AS (SELECT *, {_STRENGTH} FROM p),
-v AS (SELECT source, greatest({_SHRUNK}) > {LIMIT} AS rejected FROM s)
+  SELECT source, count(*)::DOUBLE AS n_docs, {", ".join(f"sum(fails_{r}::INT)::DOUBLE AS bad_{r}" for r in RULES)} FROM j GROUP BY 1
+), n AS (SELECT *, sum(n_docs) OVER () AS n_all, sum(n_docs * n_docs) OVER () AS n_squares, count(*) OVER () - 1 AS free FROM h),
+p AS (SELECT *, {_SUMS} FROM n), b AS (SELECT *, {_BEYOND} FROM p), s AS (SELECT *, {_STRENGTH} FROM b),
+v AS (SELECT source, {_REJECTED} AS rejected FROM s)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
   n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, (fails_short OR fails_repeats) AS base_failed,
   NOT (fails_short OR fails_repeats) AND NOT rejected AS kept

@@ -1,5 +1,6 @@
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 
 from ledgerwell.llm import mixing, quality
@@ -88,5 +89,31 @@ def test_hosts_are_judged_and_clean_documents_stay(spark, save, prose):
     assert not any(out[1000 + i].kept for i in range(200)) and not out[1000].base_failed
 
 
+@pytest.mark.parametrize(
+    "rates, gone",
+    [
+        # hosts that differ much make a wide prior: only one that fails on most documents goes
+        ({f"good{k}": (0.04, 100) for k in range(12)} | {"most": (0.6, 150), "third": (0.33, 400), "tenth": (0.1, 200), "tiny": (1.0, 1), None: (0.0, 50)}, {"most"}),
+        # among hosts that agree, one that is far off goes earlier, but for few documents or a small share
+        ({f"good{k}": (0.04, 100) for k in range(40)} | {"far": (0.4, 200), "tenth": (0.12, 200), "tiny": (1.0, 2)}, {"far"}),
+    ],
+)
+def test_limits_follow_the_prior(spark, save, prose, rates, gone):
+    good = prose(60)
+    docs = [(k * 1000 + i, "too short" if i < rate * n else f"{good} {k} {i}", None, host) for k, (host, (rate, n)) in enumerate(rates.items()) for i in range(n)]
+    path = save(docs)
+    kept = {r.doc_id: r.kept for r in quality.op5_quality_rules(spark, path).collect()}
+    for host in rates:
+        clean = {kept[d] for d, t, _, h in docs if h == host and t != "too short"}
+        assert clean == (set() if rates[host][0] == 1 else {host not in gone}), host
+    verdict = {r.source: r for r in quality.host_verdicts(quality.rule_failures(quality.document_metrics(spark.read.parquet(f"{path}/documents.parquet")))).collect()}
+    assert {h for h, v in verdict.items() if v.rejected} == gone and verdict["tiny"].rate_short < 0.9
+    assert all(quality.LEAST <= v.limit_short <= quality.MOST for v in verdict.values())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet/*.parquet'")
+    found = con.execute(f"SELECT doc_id, kept FROM ({quality.OP5_SQL})").fetchall()
+    assert dict(found) == kept
+
+
 def test_quality_of_empty_table(spark, save):
     assert quality.op5_quality_rules(spark, save([])).count() == 0
