@@ -5,13 +5,12 @@ bytes. Texts are read whole, in segments of STEPS bytes that are worked on side
 a document's is their mean. Training draws on at most PER_LANGUAGE labelled documents of each language (those with the least
 hashed ids), and on SEGMENTS stretches of each, so the driver holds a few MB.
 
-A null text, or one without a letter, is `und` with score 0; so is every text when nothing is labelled. Null ids are neither
+A null text, or one without a letter (Unicode category L), is `und` with score 0; so is every text when nothing is labelled. Null ids are neither
 trained on nor held out; repeated rows are judged one by one; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +25,8 @@ from ledgerwell.llm.common import table
 STEPS, HIDDEN = 128, 8
 PER_LANGUAGE, SEGMENTS = 400, 6
 ROUNDS, BATCH, RATE = 400, 128, 0.02
-_LETTER = re.compile(r"[^\W\d_]")
+#: So many times as many rows as are wanted pass the cut of hashes before they are ranked.
+SPARE = 4
 
 
 @dataclass
@@ -186,7 +186,7 @@ def _apply(model: Model | None):
             text = batch.column(1)
             names, scores = [], []
             for a, b, raw, offsets in chunks(text):
-                lettered = [_LETTER.search(t.as_py() or "") is not None for t in text[a:b]]
+                lettered = [any(map(str.isalpha, t.as_py() or "")) for t in text[a:b]]
                 if model is None:
                     names += ["und"] * (b - a)
                     scores += [0.0] * (b - a)
@@ -201,13 +201,21 @@ def _apply(model: Model | None):
 
 
 def training_sample(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[bytes, str]]:
-    """Stretches of the documents of each language with the least hashed ids; labelled has doc_id, text, lang."""
+    """Stretches of the documents of each language with the least hashed ids; labelled has doc_id, text, lang.
+
+    A cut of the hashes, from the count of each language's ids, leaves a few times as many as are wanted; of an id that is
+    repeated one row stays, so that what is ranked is bounded by languages and the sample, however many rows and partitions there are.
+    """
     size = F.length("text")
     pieces = F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), lambda i: F.substr("text", (1 + F.floor(i * F.greatest(size - STEPS, F.lit(0)) / (SEGMENTS - 1))).cast("int"), F.lit(STEPS)))
-    rows = labelled.where("text is not null and lang is not null and doc_id is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"), F.array_distinct(pieces).alias("pieces"))
-    first = Window.partitionBy("lang").orderBy("h", "doc_id", "pieces")
-    rows = rows.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_language)
-    found = sorted((r.lang, r.h, r.doc_id, r.pieces) for r in rows.select("lang", "h", "doc_id", "pieces").collect())
+    usable = labelled.where("text is not null and lang is not null and doc_id is not null")
+    counts = usable.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n"))
+    cuts = counts.select("lang", (F.least(F.lit(1.0), SPARE * (per_language + 50) / F.col("n")) * 2.0**53).cast("long").alias("cut"))
+    rows = usable.select("doc_id", "lang", "text", F.shiftrightunsigned(F.xxhash64("doc_id"), 11).alias("h")).join(cuts, "lang").where("h <= cut")
+    one = rows.groupBy("lang", "h", "doc_id").agg(F.min(F.array_distinct(pieces)).alias("pieces"))
+    first = Window.partitionBy("lang").orderBy("h", "doc_id")
+    chosen = one.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_language)
+    found = sorted((r.lang, r.h, r.doc_id, r.pieces) for r in chosen.select("lang", "h", "doc_id", "pieces").collect())
     return [(p.encode("utf-8"), lang) for lang, _, _, pieces in found for p in pieces]
 
 

@@ -34,7 +34,7 @@ def test_gradients_by_differences():
 
 def test_language_held_out_accuracy_and_edges(spark, save):
     docs = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang").collect()]
-    edges = [(90001, None, "en"), (90002, "", "en"), (90003, "12 34 !?", "en"), (None, "the of and", None), (90004, "the and of " * 12000, None)]
+    edges = [(90001, None, "en"), (90002, "", "en"), (90003, "12 34 !?", "en"), (90005, "²½ 12 Ⅻ", "en"), (90006, "_ \u0301", "en"), (None, "the of and", None), (90004, "the and of " * 12000, None)]
     out = langid.op8_language(spark, save([(*d, None) for d in docs + edges + docs[:1]])).collect()
     truth = {d: lang for d, _, lang in docs}
     by_id = {r.doc_id: r for r in out}
@@ -42,7 +42,7 @@ def test_language_held_out_accuracy_and_edges(spark, save):
     assert all(r.held_out == (r.doc_id is not None and held(r.doc_id, 3, 1)) and 0 <= r.score <= 1 for r in out)
     right = [r.lang_pred == truth[r.doc_id] for r in out if r.held_out and r.doc_id in truth]
     assert np.mean(right) > 0.97
-    assert all(by_id[k].lang_pred == "und" and by_id[k].score == 0 for k in (90001, 90002, 90003))
+    assert all(by_id[k].lang_pred == "und" and by_id[k].score == 0 for k in (90001, 90002, 90003, 90005, 90006))
     assert by_id[90004].lang_pred == "en"
 
 
@@ -53,6 +53,15 @@ def test_every_byte_gets_a_language():
     assert langid.train([]) is None
 
 
+def test_language_sample_is_bounded(spark):
+    docs = spark.range(0, 3000, 1, 40).selectExpr("id as doc_id", "concat('text of ', id) as text", "if(id % 3 = 0, 'a', 'b') as lang")
+    hot = spark.range(0, 5000, 1, 40).selectExpr("7L as doc_id", "concat('again ', id) as text", "'b' as lang")
+    found = langid.training_sample(docs.unionByName(hot), 10)
+    assert sorted(lang for _, lang in found) == ["a"] * 10 + ["b"] * 10
+    assert found == langid.training_sample(hot.unionByName(docs).repartition(7), 10)
+    assert len(langid.training_sample(docs.limit(6), 10)) == 6
+
+
 def test_language_without_labels(spark, save):
     out = langid.op8_language(spark, save([(1, "some text", None, None)])).collect()
     assert [(r.lang_pred, r.score) for r in out] == [("und", 0.0)]
