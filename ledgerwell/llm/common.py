@@ -29,20 +29,32 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A path of its own in the shared folder, deleted with its scope, or at the latest when the session's process ends."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    files, where = _file_system(spark, path)
+    files.deleteOnExit(where)
+    if _scopes:
+        _written.setdefault(_scopes[-1], []).append(path)
+    return path
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = new_path(spark, tag)
     df.write.parquet(path)
-    if _scopes:
-        _written.setdefault(_scopes[-1], []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    files, where = _file_system(spark, path)
+    files.delete(where, True)
 
 
 def forget(spark: SparkSession, scope: str) -> None:
@@ -88,3 +100,22 @@ def row_numbers(docs: DataFrame, tag: str) -> DataFrame:
 def let(value: Column, body) -> Column:
     """body(value), with value computed once per row inside a larger expression."""
     return F.transform(F.array(value), body)[0]
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns by name, whatever characters the names hold."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in df.columns]
+
+
+#: Tasks over which spread_join deals the rows of one key.
+SPREAD = 16
+
+
+def spread_join(rows: DataFrame, per_key: DataFrame, key: str, by: str, how: str = "inner", lone: str | None = None) -> DataFrame:
+    """rows joined with per_key (one row a key), whose rows are repeated so that those of a hot key are dealt over SPREAD tasks
+    by the column `by`. lone: a column of per_key with the `by` of a key's only row, null for keys of several; those aren't repeated."""
+    every = F.sequence(F.lit(0), F.lit(SPREAD - 1))
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(SPREAD)).cast("int")
+    parts = every if lone is None else F.when(F.col(lone).isNull(), every).otherwise(F.array(part(lone)))
+    dealt = per_key.withColumn("_part", F.explode(parts))
+    return rows.withColumn("_part", part(by)).join(dealt.drop(lone) if lone else dealt, [key, "_part"], how).drop("_part")
