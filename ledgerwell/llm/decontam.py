@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerwell.llm.common import row_numbers, table, written
+from ledgerwell.llm.common import columns, row_numbers, table, written
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
@@ -345,7 +345,7 @@ def overlaps(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_word
         rows = docs.select(F.struct("*").alias("row"), "text")
         schema = rows.select("row", F.lit(None).cast(REPORT).alias("report")).schema
         return rows.mapInArrow(_pass(block, named, False), schema)
-    rows = row_numbers(docs.select(F.struct(*docs.columns).alias("own"), "doc_id", "text"), "decontam-rows")
+    rows = row_numbers(docs.select(F.struct(*columns(docs)).alias("own"), "doc_id", "text"), "decontam-rows")
     hits = None
     while block is not None:
         schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("report", REPORT)])
