@@ -1,13 +1,14 @@
 """Content-addressed WARC archive: payloads once by SHA-256, record headers apart, records rebuilt by a join.
 
-An archive is two Parquet tables: payloads (sha256, z: deflated bytes), one row for each distinct payload, and headers
-(sha256, header: the exact header block of a record). A record is its header block, its payload where it is a response, and
-two line ends. The join of both tables gives every record back; each payload is hashed again when read, and a mismatch with
-the digest it is stored under, or with the header's, fails the read.
+An archive is two Parquet tables: payloads (sha256, parts, z: deflated bytes), one row for each distinct payload, and headers
+(sha256, part, header: the exact header block of a record). A record is its header block, its payload where it is a response,
+and two line ends. A payload of many records is handed to as many tasks as it has parts, of PART records each, when read. The join of both tables gives every record back; each payload is hashed again when read, and a mismatch with
+the digest it is stored under, or with the header's, or a missing payload fails the read.
 
 Null html is an empty payload; a null url gives no target line; line breaks in a url are percent-escaped; a page with a null
 id is a response under a name of its own and is referred to by none; pages that repeat the largest id are responses alike;
-an empty table gives empty archives; other columns are ignored.
+repeated rows are records of their own; payloads of any length travel whole, one row each; an empty table gives empty
+archives; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -23,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwell.llm.common import shared_dir, table
+from ledgerwell.llm.common import new_path, spread_join, table
 
 DATE = "2020-01-01T00:00:00Z"
+#: Records that a task joins with one payload, on average.
+PART = 1000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _PACKED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("n", pa.int64()), ("sha256", pa.binary()), ("sha1", pa.string()), ("z", pa.binary())])
 
@@ -79,11 +81,14 @@ def header_block(page_id: Column, url: Column, n: Column, sha1: Column, top: Col
 def write_archive(pages: DataFrame, path: str) -> None:
     """Writes the two tables under path. Payloads meet by digest after each task has kept one of each."""
     keyed = _packed(pages, True)
-    keyed.groupBy("sha256").agg(F.min("z").alias("z")).write.option("compression", "none").parquet(f"{path}/payloads")
+    parts = F.ceil(F.count("*") / PART).cast("int").alias("parts")
+    keyed.groupBy("sha256").agg(parts, F.min("z").alias("z")).write.option("compression", "none").parquet(f"{path}/payloads")
     slim = _packed(pages, False).drop("z")
-    tops = slim.groupBy("sha256").agg(F.max("page_id").alias("top"))
-    rows = slim.join(tops, "sha256")
-    rows.select("sha256", header_block(F.col("page_id"), F.col("url"), F.col("n"), F.col("sha1"), F.coalesce("top", "page_id")).alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
+    lone = F.when(F.count("*") == 1, F.max("page_id")).alias("lone")
+    tops = slim.groupBy("sha256").agg(F.max("page_id").alias("top"), parts, lone)
+    rows = spread_join(slim, tops, "sha256", "page_id", lone="lone")
+    part = F.pmod(F.xxhash64("page_id", "url"), F.col("parts")).cast("int").alias("part")
+    rows.select("sha256", part, header_block(F.col("page_id"), F.col("url"), F.col("n"), F.col("sha1"), F.coalesce("top", "page_id")).alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
 
 
 def fields(header: bytes) -> dict[str, str]:
@@ -96,8 +101,10 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         payloads, records = [], []
         for header, digest, z in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            payload = zlib.decompress(z)
             f = fields(header)
+            if z is None:
+                raise ValueError(f"the payload of {f['warc-record-id']} is missing")
+            payload = zlib.decompress(z)
             if hashlib.sha256(payload).digest() != digest or f["warc-payload-digest"] != "sha1:" + base32_sha1(payload):
                 raise ValueError(f"payload of {f['warc-record-id']} does not have its digest")
             payloads.append(payload)
@@ -107,9 +114,10 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """header, payload and record (the exact bytes) of every record of an archive."""
-    headers = spark.read.schema("sha256 binary, header binary").parquet(f"{path}/headers")
-    payloads = spark.read.schema("sha256 binary, z binary").parquet(f"{path}/payloads")
-    return headers.join(payloads, "sha256").select("header", "sha256", "z").mapInArrow(_rebuild, "header binary, payload binary, record binary")
+    headers = spark.read.schema("sha256 binary, part int, header binary").parquet(f"{path}/headers")
+    payloads = spark.read.schema("sha256 binary, parts int, z binary").parquet(f"{path}/payloads")
+    dealt = payloads.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1))).drop("parts")
+    return headers.join(dealt, ["sha256", "part"], "left").select("header", "sha256", "z").mapInArrow(_rebuild, "header binary, payload binary, record binary")
 
 
 def parse_records(raw: bytes) -> Iterator[tuple[bytes, bytes]]:
@@ -139,7 +147,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = new_path(spark, "warc")
     write_archive(table(spark, sf_dir, "pages"), path)
     records = read_archive(spark, path)
     header = F.decode("header", "UTF-8")

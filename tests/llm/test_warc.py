@@ -51,3 +51,21 @@ def test_a_changed_payload_fails(spark, tmp_path):
 
 def test_empty_table(spark, save):
     assert warc.op2_warc_archive(spark, save([], "pages", SCHEMA)).count() == 0
+
+
+def test_payloads_of_many_records(spark, tmp_path, monkeypatch):
+    """Records of one payload are dealt over parts; a payload that is gone fails the read."""
+    monkeypatch.setattr(warc, "PART", 7)
+    pages = [(k, f"u{k}", "same" if k % 3 else f"<p>{k}") for k in range(200)] + [(None, None, None), (None, "x", "same")]
+    path = f"file://{tmp_path}/arc"
+    warc.write_archive(spark.createDataFrame(pages, SCHEMA), path)
+    stored = {bytes(r.sha256): r.parts for r in spark.read.parquet(f"{path}/payloads").collect()}
+    assert len(stored) == 67 + 2 and max(stored.values()) == 20
+    records = warc.read_archive(spark, path).collect()
+    assert len(records) == len(pages) and sum(bytes(r.payload) == b"same" for r in records) == 134
+    assert sum(b"WARC-Type: response" in bytes(r.header) and bytes(r.payload) == b"same" for r in records) == 2
+    spark.read.parquet(f"{path}/payloads").limit(0).write.mode("overwrite").parquet(f"{path}/none")
+    with pytest.raises(Exception, match="missing"):
+        spark.read.parquet(f"{path}/headers").write.parquet(f"file://{tmp_path}/other/headers")
+        spark.read.parquet(f"{path}/none").write.parquet(f"file://{tmp_path}/other/payloads")
+        warc.read_archive(spark, f"file://{tmp_path}/other").collect()
