@@ -33,6 +33,8 @@ from ledgerwell.llm.common import row_numbers, table, written
 
 LENGTH, PREFIX = 100, 24
 HOT = 50_000
+#: Bytes of text that a task cuts at once; equal runs among them are settled before the shuffle.
+CUT_BYTES = 1 << 22
 LAST = 2**63 - 1
 #: A removed stretch is one number: start * 2**SHIFT + length.
 SHIFT = 10
@@ -77,7 +79,7 @@ def _cut_runs(length: int, prefix_length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for a, b, raw, offsets in chunks(batch.column(1), 1 << 23):
+            for a, b, raw, offsets in chunks(batch.column(1), CUT_BYTES):
                 key, content, row, start, count = runs(raw, offsets, length, prefix_length)
                 did = ids[a:b][row]
                 order = np.lexsort((start, did, content, key))
@@ -309,3 +311,19 @@ def brute_force(docs: list[tuple[int, str | None]], length: int = LENGTH) -> lis
         spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
         out[k] = (docs[k][0], len(raw), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest())
     return [out[k] for k in range(len(docs))]
+
+
+#: The same by all positions: strings as hexadecimal text, equal ones told by their MD5.
+OP6_SQL = f"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST) AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+block AS (SELECT k, 512 * j AS b, substr(h, 1024 * j + 1, {1022 + 2 * LENGTH}) AS h FROM (SELECT k, h, unnest(range(0, length(h) // 1024 + 1)) AS j FROM d)),
+s AS (SELECT k, b + i AS i, md5_number(substr(h, 2 * i + 1, {2 * LENGTH})) AS x FROM (SELECT k, b, h, unnest(range(0, length(h) // 2 - {LENGTH} + 1)) AS i FROM block)),
+f AS (SELECT x, min((k::HUGEINT << 40) + i) AS first FROM s GROUP BY x HAVING count(*) > 1),
+later AS (SELECT k, i FROM s JOIN f USING (x) WHERE (k::HUGEINT << 40) + i > first),
+isle AS (SELECT k, i, sum(new) OVER (PARTITION BY k ORDER BY i) AS g FROM (SELECT k, i, CASE WHEN i - lag(i) OVER (PARTITION BY k ORDER BY i) <= {LENGTH} THEN 0 ELSE 1 END AS new FROM later)),
+gone AS (SELECT k, min(i) AS a, max(i) + {LENGTH} AS b FROM isle GROUP BY k, g),
+cut AS (SELECT k, a, b, coalesce(lag(b) OVER (PARTITION BY k ORDER BY a), 0) AS before FROM gone),
+kept AS (SELECT k, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS h, sum(b - a) AS n_removed, count(*) AS n_spans FROM cut JOIN d USING (k) GROUP BY k)
+SELECT doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (k)
+"""
