@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerwell.llm.bytewise import mix, shingle_sets
-from ledgerwell.llm.common import table, written
+from ledgerwell.llm.common import spread_join, table, written
 from ledgerwell.llm.components import components
 
 ROWS, BANDS, BITS = 3, 24, 4
@@ -245,12 +245,12 @@ def _later_pairs(rows: DataFrame, key: str, node: str, linked: DataFrame, most:
     large = rows.where(F.col("n") > most).join(linked.select(F.col("node").alias("_n"), F.col("root").alias("_r")), F.col(node) == F.col("_n"), "left")
     large = large.withColumn("_r", F.coalesce("_r", node)).drop("_n")
     main = large.groupBy(key, "_r").agg(F.count("*").alias("c")).groupBy(key).agg(F.max(F.struct("c", "_r"))["_r"].alias("_main"))
-    large = large.join(main, key)
+    large = spread_join(large, main, key, node)
     outside = large.where("_r <> _main")
     left = outside.groupBy(key).agg(F.count("*").alias("_out"))
     if left.isEmpty():
         return None
-    large = large.join(left, key)
+    large = spread_join(large, left, key, node)
     blocks = F.ceil(F.col("_out") / most).cast("int")
     asked = large.where("_r <> _main").withColumn("i", -1 - F.pmod(F.xxhash64(node), blocks)).withColumn("side", F.lit(0)).withColumn("j", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / most).cast("int") - 1)))
     every = large.withColumn("j", _own_block(node, F.col("n"), most)).withColumn("side", F.lit(1)).withColumn("i", F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: -1 - b)))
@@ -287,18 +287,20 @@ def groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) ->
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = written(docs.mapInArrow(_sign(shingle), SIGNED), "signed")
     usable = signed.where("digest is not null and doc_id is not null")
-    classes = usable.groupBy("digest").agg(F.min(F.struct("doc_id", "sig", "keys")).alias("m"))
-    classes = written(classes.select("digest", F.col("m.doc_id").alias("rep"), "m.sig", "m.keys"), "classes")
+    classes = usable.groupBy("digest").agg(F.min(F.struct("doc_id", "sig", "keys")).alias("m"), F.count("*").alias("n"))
+    classes = written(classes.select("digest", F.col("m.doc_id").alias("rep"), F.when(F.col("n") == 1, F.col("m.doc_id")).alias("lone"), "m.sig", "m.keys"), "classes")
     banded = classes.select("rep", "sig", F.explode("keys").alias("key"))
     shared = classes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     rows = written(banded.join(shared, "key").select("key", "n", "rep", "sig"), "shared")
     coarse = written(_linked(rows, "key", "rep", BLOCK, _candidates(least_matches(num / den)), "coarse"), "coarse")
     sizes = coarse.groupBy("root").agg(F.count("*").alias("n"))
-    members = docs.join(coarse.join(sizes, "root").hint("shuffle_merge"), docs["doc_id"] == F.col("node"))
+    members = docs.join(spread_join(coarse, sizes, "root", "node").hint("shuffle_merge"), docs["doc_id"] == F.col("node"))
     texts = written(members.select("root", "n", "node", "text"), "members")
     final = _linked(texts, "root", "node", TEXT_BLOCK, _exact(shingle, num, den), "exact")
-    leader = classes.join(final, classes["rep"] == F.col("node"), "left").select("digest", F.coalesce("root", "rep").alias("leader"))
-    out = signed.select("doc_id", "n_shingles", "digest").join(leader, "digest", "left")
+    leader = classes.join(final, classes["rep"] == F.col("node"), "left").select("digest", "lone", F.coalesce("root", "rep").alias("leader"))
+    slim = signed.select("doc_id", "n_shingles", "digest")
+    out = spread_join(slim.where("digest is not null"), leader, "digest", "doc_id", "left", "lone")
+    out = out.unionByName(slim.where("digest is null").withColumn("leader", F.lit(None).cast("long")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("leader", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
