@@ -56,6 +56,25 @@ def test_near_duplicates_go_by_row(spark, save, prose):
     assert kept == sorted((str(d), str(t)) for d, t in [(1, copied), (5, lone), (6, twin), (None, third), (None, None), (None, None)])
 
 
+def test_odd_rows_and_names_pass_every_stage(spark, tmp_path, prose):
+    long = " ".join(prose(40) + ".\n" for _ in range(3000))
+    docs = [(1, prose(60), "a", 5), (1, prose(60), None, 5), (2, None, "a", None), (None, None, None, None), (3, "", "a", 0), (4, long, "b", 1), (None, prose(50), "b", 2)]
+    path = f"{tmp_path}/odd"
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string, source string, `a.b``c` int").selectExpr("*", "1 as row", "'x' as `report`", "array(2) as spans", "'y' as `doc.id`")
+    frame.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(1, "nothing like it")], "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
+    rows = frame
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, rows, path)
+        assert out.columns == frame.columns, name
+        out.write.parquet(f"{path}/{name}")
+        rows = spark.read.parquet(f"{path}/{name}")
+        key = lambda r: (str(r[0]), str(r[1]))
+        assert sorted((tuple(r) for r in rows.collect()), key=key) == sorted((tuple(r) for r in frame.collect()), key=key), name
+    assert corpus_pipeline.run(spark, path).count() == len(docs)
+
+
 def test_empty_tables(spark, save):
     path = tables(spark, save, [], [])
     assert corpus_pipeline.run(spark, path).count() == 0
