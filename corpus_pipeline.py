@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each one's rows as Parquet in the shared folder
 and hands them to the next. All but the last return the columns of docs. The last returns one row for each remaining row:
 doc_id, size, source_size, target, copies and taken.
+
+Rows with a null text or id, empty and very long texts, repeated rows and empty tables pass every stage as its operator states:
+a null or empty text is not toxic, near nothing, clean and without secrets; of rows that are copies of each other one stays,
+whatever their ids. Columns that are not used pass through, whatever their names, as long as doc_id, text and source are there.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwell.llm.common import forget, row_numbers, scope, table, written
+from ledgerwell.llm.common import columns, forget, row_numbers, scope, table, written
 from ledgerwell.llm.decontam import decontaminate
 from ledgerwell.llm.mixing import mix
 from ledgerwell.llm.neardup import groups
@@ -41,7 +45,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group, that with the least id (null last), by five-word shingles and a similarity of 0.8."""
-    rows = row_numbers(docs.select(F.struct(*docs.columns).alias("own"), "doc_id", "text"), "rows")
+    rows = row_numbers(docs.select(F.struct(*columns(docs)).alias("own"), "doc_id", "text"), "rows")
     gone = groups(rows.select(F.col("row").alias("doc_id"), "text")).where("not kept").select(F.col("doc_id").alias("row"))
     return rows.join(gone, "row", "left_anti").select("own.*")
 
@@ -52,7 +56,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks secrets in the texts; no document goes."""
+    """Masks secrets in the texts; no document goes. Null and empty texts stay as they are."""
     return redact(docs)
 
 
@@ -69,11 +73,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, body in _BODIES[:-1]:
-        with scope(f"run-{id(docs)}"):
+    """The rows of the last stage. Each stage's own tables, and the rows it read, are deleted once its own rows are written."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, body in _BODIES:
+        tag = f"{name}-{id(docs)}"
+        with scope(f"{tag}-own"):
             out = body(spark, docs, sf_dir)
-        next_docs = written(out, name)
-        forget(spark, f"run-{id(docs)}")
-        docs = next_docs
-    return written(_BODIES[-1][1](spark, docs, sf_dir), _BODIES[-1][0])
+        with scope(tag):
+            docs = written(out, name)
+        forget(spark, f"{tag}-own")
+        if before:
+            forget(spark, before)
+        before = tag
+    return docs
