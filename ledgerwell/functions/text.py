@@ -178,6 +178,26 @@ def snippet(text: Column, size: int = 400) -> Column:
     return F.concat(F.substring(text, 1, size), F.when(F.length(text) > size, "…").otherwise(""))
 
 
+def card_snippet(text: Column, title: Column, field: Column, size: int = 320) -> Column:
+    """The start of a chunk without the heading that names its own title and field, cut to size and trimmed on the right."""
+    heading = F.concat(title, F.lit(" — "), field, F.lit(": "))
+    body = F.when(F.startswith(text, heading), F.substr(text, F.length(heading) + 1)).otherwise(text)
+    return F.when(F.length(body) > size, F.concat(F.regexp_replace(F.substring(body, 1, size), r"\s+$", ""), F.lit("…"))).otherwise(body)
+
+
+def citation_label(title: Column, field: Column) -> Column:
+    return F.concat(title, F.lit(" · "), field)
+
+
+def link(pattern: str, name: Column) -> Column:
+    """A URL with a name in place of {}, percent-encoded but for slashes."""
+    before, _, after = pattern.partition("{}")
+    safe = F.url_encode(name)
+    for raw, code in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
+        safe = F.replace(safe, F.lit(raw), F.lit(code))
+    return F.concat(F.lit(before), safe, F.lit(after))
+
+
 def highlight(text: Column, query: str) -> Column:
     """Text as HTML with the query's words marked, longest first."""
     out = text

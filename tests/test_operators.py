@@ -222,6 +222,34 @@ def test_uploads(spark, tmp_path):
         uploads.sections("x.exe", b"")
 
 
+def test_upload_kinds(spark, tmp_path):
+    """Quoted cells, the order of members, scalars, headings and files that can't be used."""
+    import zipfile
+
+    (tmp_path / "t.csv").write_text('n,m,o\n"a, b","x ""q""\ny",\n\n,,\n1, ,2\n')
+    (tmp_path / "o.json").write_text('{"z": "", "a": 1.5, "m": null, "k": {"x": 1}, "b": false, "l": [1]}')
+    (tmp_path / "l.json").write_text('[{"z": 2, "a": "x"}, {"e": " "}, null, 3, true, "t"]')
+    (tmp_path / "s.json").write_text('"only"')
+    (tmp_path / "h.md").write_text("# Only heading\nbody of it")
+    (tmp_path / "m.markdown").write_text("\n## \ntext\n### " + "x" * 70 + "\nmore\n#no heading")
+    with zipfile.ZipFile(tmp_path / "w.docx", "w") as z:
+        ns = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+        z.writestr("word/document.xml", f'<d xmlns:w="{ns}"><w:p><w:r><w:t>one </w:t><w:t>two</w:t></w:r></w:p><w:p/><w:p><w:r><w:t>three</w:t></w:r></w:p></d>')
+    got = {r.doc_id: r.text for r in uploads.documents(spark, str(tmp_path)).collect()}
+    assert got == {
+        "t.csv::row 1": 'n: a, b | m: x "q" y', "t.csv::row 3": "n: 1 | m: | o: 2", "o.json::body": "z: | a: 1.5 | b: False",
+        "l.json::record 1": "z: 2 | a: x", "l.json::record 3": "None", "l.json::record 4": "3", "l.json::record 5": "True", "l.json::record 6": "t",
+        "s.json::body": "only", "h.md::body": "# Only heading body of it", "m.markdown::section": "## text", "m.markdown::" + "x" * 60: "### " + "x" * 70 + " more #no heading", "w.docx::body": "one two three",
+    }
+    (tmp_path / "blank.txt").write_text(" \n ")
+    with pytest.raises(ValueError, match="blank.txt"):
+        uploads.documents(spark, str(tmp_path))
+    (tmp_path / "x.exe").write_text("?")
+    with pytest.raises(ValueError, match="x.exe"):
+        uploads.documents(spark, str(tmp_path))
+    assert uploads.documents(spark, str(tmp_path), strict=False).count() == len(got)
+
+
 def test_config(tmp_path):
     path = tmp_path / "c.json"
     path.write_text('{"retrieval": {"alpha": 7, "nope": 1, "top_k": "x"}, "answering": {"disclaimer": " "}, "other": {}}')

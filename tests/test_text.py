@@ -56,8 +56,8 @@ def test_identity_and_salient_terms(spark):
 
 def test_redaction_order(spark):
     t = "mail a.b@c.org call +1 555 123 4567 id 123-45-6789 on 2024-01-15 or 1/2/2024 MRN# 77a"
-    assert one(spark, text.redact(F.col("t")), t=t) == "mail [email] call +[phone] id [id] on [phone] or [date] [record-id]"
-    assert "[id]" not in one(spark, text.redact(F.col("t"), lists.REDACTIONS_PHONE_FIRST), t=t)
+    assert one(spark, text.redact(F.col("t"), lists.REDACTIONS_PHONE_LATE), t=t) == "mail [email] call +[phone] id [id] on [phone] or [date] [record-id]"
+    assert one(spark, text.redact(F.col("t")), t=t) == "mail [email] call +[phone] id [phone] on [phone] or [date] [record-id]"
 
 
 def test_scratchpad_disclaimer_prefix_snippet(spark):
@@ -94,3 +94,14 @@ def test_fixed_values():
     assert len(set(lists.SALT_WORDS)) == 52 and len(set(lists.PAIR_SALT_WORDS)) == 49
     assert all(re.compile(p) for _, _, p in lists.INTENT_RULES)
     assert len(lists.RED_FLAGS) == 29 and len(lists.OVERLAP_STOP_WORDS) == 23 and len(lists.HIGHLIGHT_STOP_WORDS) == 28
+
+
+def test_cards(spark):
+    snippet = text.card_snippet(F.col("t"), F.lit("A"), F.lit("f"), 10)
+    assert one(spark, snippet, t="A — f: short") == "short" and one(spark, snippet, t="B — f: short") == "B — f: sho…"
+    assert one(spark, snippet, t="A — f: 12345678  90") == "12345678…"
+    assert one(spark, text.citation_label(F.lit("A"), F.lit("f"))) == "A · f"
+    from urllib.parse import quote
+
+    for name in ("a b", "é/x", "*~()!'", "a+b&c=d", "100%"):
+        assert one(spark, text.link("http://x/?q={}&l=1", F.col("t")), t=name) == f"http://x/?q={quote(name)}&l=1"
