@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerwell.config import DISCLAIMER
@@ -44,10 +44,28 @@ def quoted(results: DataFrame, position: str = "rank") -> DataFrame:
     return results.groupBy("query_id").agg(F.concat(F.lit(QUOTED + "\n\n"), F.array_join(lines, "\n\n"), F.lit("\n\n" + DISCLAIMER)).alias("answer"))
 
 
-def refusal(status: Column, unknown: Column, matched: Column, suggestion: Column) -> Column:
-    """Why nothing is answered, with the nearest known name where there is one."""
+def explained(notes: Column) -> Column:
+    """Of notes (brand -> `generic: kind`), a sentence for each brand that is known but not resolved; null without any."""
+
+    def line(e: Column) -> Column:
+        generic, why = F.regexp_extract(e["value"], "^(.*): ", 1), F.regexp_extract(e["value"], ": ([a-z]+)$", 1)
+        reason = F.when(why == "combination", F.lit(" is held in combination products alone, which are other medicines.")).otherwise(F.lit(" is not held here."))
+        return F.concat(F.lit("**"), F.initcap(e["key"]), F.lit("** is a name of *"), generic, F.lit("*, which"), reason)
+
+    return F.nullif(F.array_join(F.transform(F.array_sort(F.map_entries(notes)), line), "\n\n"), F.lit(""))
+
+
+def source_ids(results: DataFrame, position: str = "rank") -> DataFrame:
+    """(query_id, source_ids): title and field of every source, in order."""
+    one = F.struct(F.col(position).alias("p"), F.concat("title", F.lit("·"), "field").alias("id"))
+    return results.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["id"]), "; ").alias("source_ids"))
+
+
+def refusal(status: Column, unknown: Column, matched: Column, suggestion: Column, notes: Column | None = None) -> Column:
+    """Why nothing is answered: notes on brands where there are any, else the nearest known names."""
     names = F.array_join(unknown, ", ")
-    hint = F.when(suggestion.isNotNull(), F.concat(F.lit("\n\nClosest match: "), suggestion)).otherwise("")
+    said = explained(notes) if notes is not None else F.lit(None).cast("string")
+    hint = F.when(said.isNotNull(), F.concat(F.lit("\n\n"), said)).when(suggestion.isNotNull(), F.concat(F.lit("\n\nClosest match: "), suggestion)).otherwise("")
     message = (
         F.when(status == "unknown_entity", F.concat(F.lit("No information on "), names, F.lit(" is held here."), hint))
         .when(status == "no_relevant_context", F.concat(F.coalesce(F.nullif(F.array_join(matched, ", "), F.lit("")), F.lit("That source")), F.lit(" is held here, but nothing relevant enough to this question.")))
@@ -85,16 +103,29 @@ def enforce_headings(answer: Column, headings=lists.CLINICAL_HEADINGS) -> Column
     return F.when((F.size(missing) == 0) | (F.size(missing) == len(headings)), answer).otherwise(note)
 
 
+def append_audit(rows: DataFrame, path: str) -> None:
+    """Adds audit rows to the log, which is only ever appended to."""
+    rows.write.mode("append").parquet(path)
+
+
+def export_audit(spark: SparkSession, path: str, to: str) -> None:
+    """The log as CSV files with a header, in order of time."""
+    spark.read.parquet(path).orderBy("time", "persona", "query").write.mode("overwrite").csv(to, header=True)
+
+
 def audit_rows(answers: DataFrame) -> DataFrame:
     """Rows for the audit table; the query is redacted on the way in."""
     v = F.col("verification")
+    dash = lambda name: F.coalesce(F.nullif(F.col(name), F.lit("")), F.lit("—")) if name in answers.columns else F.lit("—")
     return answers.select(
         "time", "persona", text.redact(F.col("query")).alias("query"), "status", "mode", F.col("n_sources").cast("int").alias("sources"),
+        dash("source_ids").alias("source_ids"), dash("provider").alias("provider"), dash("model").alias("model"),
         F.coalesce(F.concat(F.size(v["citations"]).cast("string"), F.lit("/"), v["n_sources"].cast("string")), F.lit("—")).alias("cited"),
         F.coalesce(F.format_string("%.0f%%", v["overlap"] * 100), F.lit("—")).alias("overlap"), F.coalesce(F.when(v["grounded"], "yes").otherwise("no"), F.lit("—")).alias("grounded"),
         F.coalesce(F.nullif(F.array_join("dropped_fields", ", "), F.lit("")), F.lit("—")).alias("withheld_fields"),
     )
 
 
-def audit_rollup(rows: DataFrame) -> DataFrame:
-    return rows.agg(F.count("*").alias("answers"), F.count_if(F.col("status") != "ok").alias("refused"), F.count_if(F.col("grounded") == "yes").alias("grounded"), F.countDistinct("persona").alias("personas"))
+def audit_rollup(rows: DataFrame, *by: str) -> DataFrame:
+    """Answers, refusals, grounded answers and personas, of all rows or of each group."""
+    return rows.groupBy(*by).agg(F.count("*").alias("answers"), F.count_if(F.col("status") != "ok").alias("refused"), F.count_if(F.col("grounded") == "yes").alias("grounded"), F.countDistinct("persona").alias("personas"))

@@ -47,6 +47,17 @@ def numbered(chunks: DataFrame) -> DataFrame:
     return rows.join(offsets, "part").withColumn("chunk_id", (F.col("before") + F.col("k") - 1).cast("long")).drop("part", "k", "before")
 
 
+def appended(base: DataFrame, *more: DataFrame) -> DataFrame:
+    """Numbered chunks with further chunk tables after them: those are numbered on from the largest number so far, and the base
+    keeps its numbers. Empty tables add nothing."""
+    out = base
+    for extra in more:
+        start = out.agg(F.coalesce(F.max("chunk_id") + 1, F.lit(0)).alias("_start"))  # one row
+        new = numbered(extra.drop("chunk_id")).crossJoin(start).withColumn("chunk_id", F.col("chunk_id") + F.col("_start")).drop("_start")
+        out = out.unionByName(new)
+    return out
+
+
 def corpus_stats(docs: DataFrame) -> DataFrame:
     n = text.word_count(F.col("text"))
     return docs.agg(F.count("*").alias("documents"), F.countDistinct("title").alias("titles"), F.sum(n).alias("words"), F.round(F.avg(n), 1).alias("mean_words"), F.max(n).alias("max_words"))
@@ -69,7 +80,10 @@ def field_coverage(chunks: DataFrame) -> DataFrame:
     return per.crossJoin(total).select("field", "chunks", "titles", F.round(100.0 * F.col("titles") / F.col("all_titles"), 1).alias("coverage"))
 
 
-def title_sections(chunks: DataFrame) -> DataFrame:
+def title_sections(chunks: DataFrame, titles: DataFrame | None = None) -> DataFrame:
+    """The sections and chunks of each title, or of the titles of a table (title) alone."""
+    if titles is not None:
+        chunks = chunks.join(titles.select("title").distinct(), "title", "left_semi")
     return chunks.groupBy("title").agg(F.array_join(F.array_sort(F.collect_set("field")), ", ").alias("sections"), F.count("*").alias("chunks"))
 
 
@@ -95,6 +109,14 @@ def fingerprint(docs: DataFrame, model: str, order: str = "doc_id") -> DataFrame
     return root.select(F.col("n").alias("n"), F.sha2(F.concat_ws("|", F.lit(model), F.col("n").cast("string"), "h"), 256).alias("fingerprint"))
 
 
+def content_digest(rows: DataFrame, model: str, *columns: str) -> DataFrame:
+    """One digest of model name and all rows, whatever their order: the sums of four parts of the rows' SHA-256 are hashed together,
+    so that each task hands on four numbers."""
+    row = F.sha2(F.to_json(F.struct(*columns)), 256)
+    parts = [F.coalesce(F.sum(F.conv(F.substring("h", 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string") for k in range(4)]
+    return rows.select(row.alias("h")).agg(F.sha2(F.concat_ws("|", F.lit(model), F.count("*").cast("string"), *parts), 256).alias("fingerprint"))
+
+
 def within_budget(sections: DataFrame, group: Column | str, order: str, budget: int) -> DataFrame:
     """Sections in order up to a budget of characters, the last one cut."""
     before = F.coalesce(F.sum(F.length("text")).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

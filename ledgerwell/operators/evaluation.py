@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Statuses of a persona's policy, rather than of a search that failed.
+POLICY_STATUSES = ("red_flag", "medication_change", "persona_field_policy", "interaction_referral", "interaction")
+
+
 def first_hit(cases: DataFrame, results: DataFrame, on: list[str]) -> DataFrame:
     """Every case with the first rank at which its truth is met, or null."""
     hits = cases.join(results, on).groupBy("query_id").agg(F.min("rank").alias("first_rank"))
@@ -43,6 +47,41 @@ def by_policy(cases: DataFrame, allowed: frozenset[str] | None) -> DataFrame:
     return cases.agg(F.count_if(ok).alias("in_policy"), F.count_if(~ok).alias("out_of_policy"), F.avg(F.when(ok, hit)).alias("recall_in_policy"))
 
 
+def persona_metrics(cases: DataFrame, allowed: frozenset[str] | None, blocked: frozenset[str] = frozenset()) -> DataFrame:
+    """One row about the cases of a persona (status, drug_hit, field, first_rank, context_chars, ms, must_refuse).
+
+    A refusal by the persona's policy is no miss of retrieval; recall by field counts only answered cases whose field the
+    persona may read. Shares without any case are null.
+    """
+    asked, refused = ~F.col("must_refuse"), F.col("status") != "ok"
+    by_policy_ = refused & F.col("status").isin(*POLICY_STATUSES)
+    answered = asked & ~refused
+    may = F.coalesce(~F.col("field").isin(*blocked), F.lit(False)) if blocked else F.col("field").isNotNull()
+    may = may & (F.col("field").isin(*allowed) if allowed is not None else F.lit(True))
+    rank = F.coalesce(1.0 / F.col("first_rank"), F.lit(0.0))
+    return cases.agg(
+        F.count_if(answered).alias("answered"), F.count_if(answered & may).alias("in_policy"), F.count_if(answered & ~may).alias("out_of_policy"),
+        F.avg(F.when(answered, F.col("drug_hit").cast("double"))).alias("drug_recall"),
+        F.avg(F.when(answered & may, F.col("first_rank").isNotNull().cast("double"))).alias("field_recall"), F.avg(F.when(answered & may, rank)).alias("field_mrr"),
+        F.count_if(asked & by_policy_).alias("policy_refusals"), F.count_if(asked & refused & ~by_policy_).alias("retrieval_misses"),
+        F.avg(F.when(~asked, refused.cast("double"))).alias("refusal_accuracy"), F.avg(F.when(answered, F.col("context_chars"))).alias("mean_context_chars"), F.avg(F.when(asked, F.col("ms"))).alias("mean_ms"),
+    )
+
+
+def pair_accuracy(cases: DataFrame) -> DataFrame:
+    """Share of right pair lookups (want_level or want_status against level and status)."""
+    right = F.when(F.col("want_level").isNotNull(), (F.col("status") == "ok") & F.col("level").eqNullSafe(F.col("want_level"))).otherwise(F.col("status").eqNullSafe(F.col("want_status")))
+    return cases.agg(F.count("*").alias("pairs"), F.avg(right.cast("double")).alias("interaction_accuracy"))
+
+
+def sweep(cases: DataFrame, results: DataFrame, on: list[str], setting: str, k: int = 5) -> DataFrame:
+    """(setting, recall, mrr) of results at several settings."""
+    hits = cases.join(results, on).groupBy(setting, "query_id").agg(F.min("rank").alias("first_rank"))
+    every = results.select(setting).distinct().crossJoin(cases.select("query_id").distinct())  # a few settings by the cases
+    rows = every.join(hits, [setting, "query_id"], "left")
+    return rows.groupBy(setting).agg(F.avg(F.when(F.col("first_rank") <= k, 1.0).otherwise(0.0)).alias("recall"), F.avg(F.coalesce(1.0 / F.col("first_rank"), F.lit(0.0))).alias("mrr"))
+
+
 def choose(sweep: DataFrame, setting: str) -> DataFrame:
     """The setting with the best first measure, then the best of the others, then the smallest setting."""
     best = sweep.withColumn("r", F.rank().over(Window.orderBy(F.desc(F.round("recall", 9))))).where("r = 1")

@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerwell.operators.dense import cosine
 from ledgerwell.operators.lexical import top
+from ledgerwell.session import stored
 
 
 def minmax(value: Column, low: Column, high: Column) -> Column:
@@ -16,24 +18,54 @@ def minmax(value: Column, low: Column, high: Column) -> Column:
     return F.when(high - low < 1e-12, 0.5).otherwise((value - low) / (high - low))
 
 
-def scaled(scores: DataFrame, column: str, chunks: DataFrame) -> DataFrame:
-    """Adds the query's bounds over all chunks; scores may be sparse, what is absent is 0."""
-    n = chunks.agg(F.count("*").alias("n_chunks"))
-    bounds = scores.groupBy("query_id").agg(F.min(column).alias("lo"), F.max(column).alias("hi"), F.count("*").alias("m")).crossJoin(n)
-    gap = F.col("m") < F.col("n_chunks")
-    return bounds.select("query_id", F.when(gap, F.least("lo", F.lit(0.0))).otherwise(F.col("lo")).alias("lo"), F.when(gap, F.greatest("hi", F.lit(0.0))).otherwise(F.col("hi")).alias("hi"))
+def _with_zero(low: str, high: str, present: str) -> list[Column]:
+    """Bounds over all chunks: what is absent from a sparse score counts as 0."""
+    gap = F.col(present) < F.col("n_chunks")
+    zero = F.lit(0.0)
+    return [F.when(gap, F.least(low, zero)).otherwise(F.col(low)).alias(low), F.when(gap, F.greatest(high, zero)).otherwise(F.col(high)).alias(high)]
+
+
+def scale(bm25: DataFrame, dense: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, bm25, dense, lexical_part, dense_part): raw scores and both scaled over all chunks of a query.
+
+    Both kinds of scores meet in one grouping, which is written once; bounds and parts read that table.
+    """
+    none = F.lit(None).cast("double")
+    rows = bm25.select("query_id", "chunk_id", "bm25", none.alias("dense")).unionByName(dense.select("query_id", "chunk_id", none.alias("bm25"), "dense"))
+    both = stored(rows.groupBy("query_id", "chunk_id").agg(F.max("bm25").alias("bm25"), F.max("dense").alias("dense")), "scores")
+    n = chunks.agg(F.count("*").alias("n_chunks"))  # one row
+    ends = both.groupBy("query_id").agg(F.min("bm25").alias("blo"), F.max("bm25").alias("bhi"), F.count("bm25").alias("bn"), F.min("dense").alias("dlo"), F.max("dense").alias("dhi"), F.count("dense").alias("dn")).na.fill(0.0, ["blo", "bhi", "dlo", "dhi"])
+    ends = ends.crossJoin(n).select("query_id", *_with_zero("blo", "bhi", "bn"), *_with_zero("dlo", "dhi", "dn"))
+    rows = both.na.fill(0.0, ["bm25", "dense"]).join(ends, "query_id")
+    return rows.select("query_id", "chunk_id", "bm25", "dense", minmax(F.col("bm25"), F.col("blo"), F.col("bhi")).alias("lexical_part"), minmax(F.col("dense"), F.col("dlo"), F.col("dhi")).alias("dense_part"))
 
 
 def blend(bm25: DataFrame, dense: DataFrame | None, chunks: DataFrame, alpha: float = 0.20) -> DataFrame:
     """(query_id, chunk_id, bm25, dense, score). Without dense scores, the raw lexical score ranks."""
     if dense is None:
         return bm25.select("query_id", "chunk_id", "bm25", F.lit(None).cast("double").alias("dense"), F.col("bm25").alias("score"))
-    lex = scaled(bm25, "bm25", chunks).select("query_id", F.col("lo").alias("blo"), F.col("hi").alias("bhi"))
-    den = scaled(dense, "dense", chunks).select("query_id", F.col("lo").alias("dlo"), F.col("hi").alias("dhi"))
-    both = bm25.join(dense, ["query_id", "chunk_id"], "full_outer").na.fill(0.0, ["bm25", "dense"])
-    both = both.join(lex, "query_id", "left").join(den, "query_id", "left").na.fill(0.0, ["blo", "bhi", "dlo", "dhi"])
-    score = alpha * minmax(F.col("bm25"), F.col("blo"), F.col("bhi")) + (1 - alpha) * minmax(F.col("dense"), F.col("dlo"), F.col("dhi"))
-    return both.select("query_id", "chunk_id", "bm25", "dense", score.alias("score"))
+    score = alpha * F.col("lexical_part") + (1 - alpha) * F.col("dense_part")
+    return scale(bm25, dense, chunks).select("query_id", "chunk_id", "bm25", "dense", score.alias("score"))
+
+
+def blend_pairs(pairs: DataFrame, bm25: DataFrame, vectors: DataFrame, wanted: DataFrame, ends: DataFrame, chunks: DataFrame, alpha: float = 0.20) -> DataFrame:
+    """blend() for given (query_id, chunk_id) alone: dense scores are computed for those, and their bounds over all chunks
+    (query_id, lo, hi) come from elsewhere, so that no table of all chunks by all queries is made."""
+    n = chunks.agg(F.count("*").alias("n_chunks"))
+    lexical = bm25.groupBy("query_id").agg(F.min("bm25").alias("blo"), F.max("bm25").alias("bhi"), F.count("*").alias("bn")).crossJoin(n).select("query_id", *_with_zero("blo", "bhi", "bn"))
+    rows = pairs.join(wanted, "query_id").join(vectors, "chunk_id").select("query_id", "chunk_id", cosine(F.col("embedding"), F.col("q")).alias("dense"))
+    rows = rows.join(bm25, ["query_id", "chunk_id"], "left").join(lexical, "query_id", "left").join(ends, "query_id", "left").na.fill(0.0, ["bm25", "blo", "bhi", "lo", "hi"])
+    score = alpha * minmax(F.col("bm25"), F.col("blo"), F.col("bhi")) + (1 - alpha) * minmax(F.col("dense"), F.col("lo"), F.col("hi"))
+    return rows.select("query_id", "chunk_id", "bm25", "dense", score.alias("score"))
+
+
+def lab(scaled: DataFrame, alphas: tuple[float, ...], k: int, floor: bool = True, emb: float = 0.25, lex: float = 1.0) -> DataFrame:
+    """(alpha, query_id, chunk_id, score, rank): the ranking at each of several blends, with the floor or without it."""
+    rows = scaled.where(above_floor(emb, lex)) if floor else scaled
+    rows = rows.withColumn("alpha", F.explode(F.array(*map(F.lit, alphas))))
+    rows = rows.withColumn("score", F.col("alpha") * F.col("lexical_part") + (1 - F.col("alpha")) * F.col("dense_part"))
+    order = Window.partitionBy("alpha", "query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("alpha", "query_id", "chunk_id", "score", "rank")
 
 
 def restrict(scored: DataFrame, wanted: DataFrame, tokens: DataFrame, uploads: DataFrame | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerwell.functions import text
+from ledgerwell.session import stored
 
 
 @dataclass
@@ -49,9 +50,10 @@ def bm25(index: Index, queries: DataFrame, k1: float = 1.5, b: float = 0.75, idf
     """(query_id, chunk_id, bm25) for query_id, clean; repeated query terms count again; chunks without a term are absent."""
     wanted = terms_of(queries, "query_id", "clean").withColumnRenamed("tf", "qtf")
     asked = wanted.select("term").distinct()
-    # the semi joins move below the grouping of an index that isn't stored, so only query terms are counted
-    postings = index.postings.join(asked, "term", "left_semi")
-    known = index if idf != "plus1" else Index(postings, index.lengths, index.frequencies.join(asked, "term", "left_semi"), index.totals)
+    # the semi join moves below the grouping of an index that isn't stored, so only query terms are counted; they are written
+    # once, as both their frequencies and the scores read them
+    postings = stored(index.postings.join(asked, "term", "left_semi"), "asked-postings")
+    known = index if idf != "plus1" else Index(postings, index.lengths, postings.groupBy("term").agg(F.count("*").alias("df")), index.totals)
     hits = wanted.join(idf_table(known, idf), "term").join(postings, "term").join(index.lengths, "chunk_id").crossJoin(index.totals.select("avgdl"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("bm25"))
@@ -69,28 +71,56 @@ def grams(words, n: int = 2):
     return F.concat(words, pairs) if n == 2 else words
 
 
-def tfidf(rows: DataFrame, key: str, column: str, min_df: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(key, term, weight) with unit rows, and the learned (term, idf)."""
+def _gram_counts(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, term, tf) of words and pairs of words."""
     words = F.regexp_extract_all(F.lower(F.coalesce(column, F.lit(""))), F.lit("([A-Za-z0-9_]{2,})"), F.lit(1))
-    tf = rows.select(key, words.alias("w")).select(key, F.explode(grams(F.col("w"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return rows.select(key, words.alias("w")).select(key, F.explode(grams(F.col("w"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+
+
+def _idf(tf: DataFrame, rows: DataFrame, min_df: int) -> DataFrame:
     n = rows.agg(F.count("*").alias("n"))
-    idf = tf.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df).crossJoin(n).select("term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    return tf.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df).crossJoin(n).select("term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+def tfidf(rows: DataFrame, key: str, column: str, min_df: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(key, term, weight) with unit rows, and the learned (term, idf)."""
+    tf = _gram_counts(rows, key, column)
+    idf = _idf(tf, rows, min_df)
     return weighted(tf, idf, key), idf
 
 
 def weighted(tf: DataFrame, idf: DataFrame, key: str) -> DataFrame:
+    """Unit rows; the norm is taken over the same dealing of rows by key as the weights."""
     raw = tf.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return raw.select(key, "term", (F.col("w") / norm).alias("weight"))
 
 
 def tfidf_queries(queries: DataFrame, idf: DataFrame, column: str) -> DataFrame:
     """Queries in a learned space; unknown terms are dropped."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(column, F.lit(""))), F.lit("([A-Za-z0-9_]{2,})"), F.lit(1))
-    tf = queries.select("query_id", words.alias("w")).select("query_id", F.explode(grams(F.col("w"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("tf"))
-    return weighted(tf, idf, "query_id")
+    return weighted(_gram_counts(queries, "query_id", column), idf, "query_id")
 
 
 def tfidf_scores(docs: DataFrame, queries: DataFrame, key: str) -> DataFrame:
     q = queries.withColumnRenamed("weight", "qw")
     return docs.join(q, "term").groupBy("query_id", key).agg(F.sum(F.col("weight") * F.col("qw")).alias("cosine"))
+
+
+def tfidf_cosine(rows: DataFrame, queries: DataFrame, key: str, column: str, min_df: int = 1) -> DataFrame:
+    """(query_id, key, cosine) of queries (query_id and the same column) with the rows that share a term.
+
+    The space is learned from all rows, but only weights of query terms are kept: a row's other terms go into its norm where
+    they are summed, so that the shuffle by row carries one partial sum a task and the few weights that can score.
+    """
+    asked = _gram_counts(queries, "query_id", column).withColumnRenamed("tf", "qtf")
+    tf = _gram_counts(rows, key, column)
+    idf = _idf(tf, rows, min_df)
+    known = stored(idf.join(asked.select("term").distinct(), "term", "left_semi"), "idf")  # the terms of the queries
+    q = asked.join(known, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
+    q = q.withColumn("qw", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("query_id"))))
+    wanted = q.select("term").distinct().withColumn("wanted", F.lit(True))
+    w = F.col("tf") * F.col("idf")
+    raw = tf.join(idf, "term").join(wanted, "term", "left").select(key, w.alias("w"), F.when(F.col("wanted"), F.struct("term", w.alias("w"))).alias("hit"))
+    per = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list("hit").alias("hits"))
+    hits = per.select(key, "norm", F.explode("hits").alias("x")).select(key, "x.term", (F.col("x.w") / F.col("norm")).alias("weight"))
+    return hits.join(q.select("query_id", "term", "qw"), "term").groupBy("query_id", key).agg(F.sum(F.col("weight") * F.col("qw")).alias("cosine"))

@@ -99,6 +99,13 @@ def split_list(column: Column) -> Column:
     return F.filter(F.transform(F.split(column, r"[\n,;]+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def list_items(lists_: DataFrame, column: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Items (list_id, pos, input) of lists written in a field, and the lists that name fewer than two, which can't be checked."""
+    rows = lists_.select("list_id", split_list(F.col(column)).alias("names"))
+    short = rows.where(F.size("names") < 2).select("list_id", F.size("names").alias("n_drugs"), F.lit("too_few").alias("status"))
+    return rows.where(F.size("names") >= 2).select("list_id", F.posexplode("names").alias("pos", "input")), short
+
+
 def check_lists(items: DataFrame, resolved: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of (list_id, pos, input): the found pairs in order of severity and place, and a summary of each list."""
     known = items.join(resolved.select("input", "name"), "input", "left")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwell.functions import lists
+from ledgerwell.functions.text import normalise
 
 _ORDER = list(dict.fromkeys(i for i, _, _ in lists.INTENT_RULES))
 
@@ -36,6 +37,15 @@ def top_intent(distribution: Column) -> Column:
     return F.array_min(ranked)["k"]
 
 
+def plan(queries: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """(query_id, plan): what is known of a query before it is answered; outcomes has query_id, matched and unknown."""
+    q = F.col("query")
+    found = queries.join(outcomes.select("query_id", "matched", "unknown"), "query_id", "left")
+    none = F.array().cast("array<string>")
+    entities = F.coalesce("matched", none)
+    return found.select("query_id", F.struct(q.alias("raw"), normalise(q).alias("normalised"), entities.alias("entities"), F.coalesce("unknown", none).alias("unknown"), intents(q).alias("intents"), (F.size(entities) > 1).alias("is_multi_drug")).alias("plan"))
+
+
 @dataclass(frozen=True)
 class Persona:
     id: str

@@ -20,6 +20,11 @@ def step(number: int, name: str, before: DataFrame, after: DataFrame, reason: st
     return rows.select("query_id", F.lit(number).alias("step"), F.lit(name).alias("name"), "rows_in", "rows_out", dropped.alias("dropped"), F.coalesce("top_scores", F.array().cast("array<double>")).alias("top_scores"))
 
 
+def total_ms(steps: list[tuple[str, float]]) -> float:
+    """Milliseconds of all steps of a batch, as measured around their writes."""
+    return float(sum(ms for _, ms in steps))
+
+
 def drop_totals(trace: DataFrame) -> DataFrame:
     """(reason, n) over all steps."""
     return trace.select(F.explode("dropped").alias("reason", "n")).groupBy("reason").agg(F.sum("n").alias("n"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerwell.functions import lists, text
 from ledgerwell.operators import answers, chunking, dense, evaluation, grounding, hybrid, lexical, pairs, routing
+from ledgerwell.session import new_path, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -126,6 +127,32 @@ def chunk_table(spark, sf_dir):
     return rows.select("doc_id", "drug", "title", "category", "field", "win", F.md5("text").alias("digest"), "word_count", F.col("chunk_id").cast("long").alias("chunk_id"))
 
 
+@query(f"WITH {_CHUNKS} SELECT doc_id, win::INT AS win, row_number() OVER (ORDER BY CASE WHEN field = 'es' THEN 1 WHEN field = 'fr' THEN 2 ELSE 0 END, doc_id, win) - 1 AS chunk_id FROM chunks")
+def appended_chunks(spark, sf_dir):
+    """Chunks of one part of the documents, then of two others, numbered on."""
+    chunks = chunking.chunk_table(_docs(spark, sf_dir), profile="minimal")
+    base = chunking.numbered(chunks.where("field not in ('es', 'fr')"))
+    out = chunking.appended(base, chunks.where("field = 'none'"), chunks.where("field = 'es'"), chunks.where("field = 'fr'"))
+    return out.select("doc_id", "win", F.col("chunk_id").cast("long").alias("chunk_id"))
+
+
+@query("SELECT source AS title, array_to_string(list_sort(list_distinct(list(lang))), ', ') AS sections, count(*) AS chunks FROM documents WHERE source IN ('src1', 'src2', 'nowhere') GROUP BY 1")
+def chosen_title_sections(spark, sf_dir):
+    return chunking.title_sections(_docs(spark, sf_dir), spark.createDataFrame([("src1",), ("src2",), ("nowhere",), ("src1",)], "title string"))
+
+
+@query(r"""
+WITH c AS (SELECT doc_id, source, lang, CASE WHEN doc_id % 2 = 0 THEN source || ' — ' || lang || ': ' || text ELSE text END AS text FROM documents),
+b AS (SELECT *, CASE WHEN starts_with(text, source || ' — ' || lang || ': ') THEN substr(text, length(source || ' — ' || lang || ': ') + 1) ELSE text END AS body FROM c)
+SELECT doc_id, source || ' · ' || lang AS label, 'https://x/?q=' || replace(url_encode(substr(text, 1, 40)), '%2F', '/') || '&limit=1' AS link,
+  md5(CASE WHEN length(body) > 320 THEN regexp_replace(substr(body, 1, 320), '\s+$', '') || '…' ELSE body END) AS digest FROM b""")
+def source_cards(spark, sf_dir):
+    heading = F.concat("title", F.lit(" — "), "field", F.lit(": "))
+    rows = _docs(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.concat(heading, "text")).otherwise(F.col("text")))
+    snippet = text.card_snippet(F.col("text"), F.col("title"), F.col("field"))
+    return rows.select("doc_id", text.citation_label(F.col("title"), F.col("field")).alias("label"), text.link("https://x/?q={}&limit=1", F.substring("text", 1, 40)).alias("link"), F.md5(snippet).alias("digest"))
+
+
 @query(f"WITH {_CHUNKS} SELECT count(*) AS chunks, count(DISTINCT drug) AS drugs, coalesce(round(avg(word_count), 1), 0) AS mean_words, coalesce(min(word_count), 0) AS min_words, coalesce(max(word_count), 0) AS max_words, count(*) FILTER (win > 0) AS continued FROM chunks")
 def chunk_stats(spark, sf_dir):
     return chunking.chunk_stats(chunking.chunk_table(_docs(spark, sf_dir), profile="minimal"))
@@ -261,7 +288,7 @@ def bm25_batch(spark, sf_dir):
     return lexical.top(_bm25(spark, sf_dir), 5, "bm25").select("query_id", "chunk_id", F.round("bm25", 6).alias("bm25"), "rank")
 
 
-@query(f"WITH {_INDEX}, raw AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM dfreq, tot) SELECT term, round(CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM raw) ELSE idf END, 6) AS idf FROM raw")
+@query(f"WITH {_INDEX}, raw AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM dfreq, tot) SELECT term, round(CASE WHEN idf < 0 THEN 0.25 * mean ELSE idf END, 6) AS idf FROM (SELECT term, idf, avg(idf) OVER () AS mean FROM raw)")
 def bm25_classic_idf(spark, sf_dir):
     return lexical.idf_table(lexical.build_index(_cleaned(spark, sf_dir)), "okapi").select("term", F.round("idf", 6).alias("idf"))
 
@@ -279,8 +306,7 @@ tfs AS (SELECT query_id, doc_id, sum(rw.w / nrm.norm * (qw.w / qn.norm)) AS cosi
 
 
 def _tfidf(spark, sf_dir) -> DataFrame:
-    rows, idf = lexical.tfidf(_docs(spark, sf_dir), "doc_id", "text")
-    return lexical.tfidf_scores(rows, lexical.tfidf_queries(_questions(spark, sf_dir), idf, "text"), "doc_id").withColumnRenamed("doc_id", "chunk_id")
+    return lexical.tfidf_cosine(_docs(spark, sf_dir), _questions(spark, sf_dir), "doc_id", "text").withColumnRenamed("doc_id", "chunk_id")
 
 
 @query(f"WITH {_TFIDF}, r AS (SELECT *, {_TOP.format('cosine', 'doc_id')} AS rank FROM tfs) SELECT query_id, doc_id AS chunk_id, round(cosine, 6) AS cosine, rank::INT AS rank FROM r WHERE rank <= 5")
@@ -321,10 +347,26 @@ def vector_restricted_topk(spark, sf_dir):
     return lexical.top(rows, 5, "score", "vec_id").select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query()
+@query(ORACLE["vector_batch_topk"])
 def ivf_topk(spark, sf_dir):
-    v = _read(spark, sf_dir, "embeddings")
-    return dense.cell_topk(v, _asked(spark, sf_dir), 5)
+    """The cell index, written, read and searched; its bound makes it exact."""
+    index = dense.write_cells(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), new_path(spark, "cells"))
+    return dense.cell_topk(index, _asked(spark, sf_dir), 5).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"WITH s AS (SELECT b.vec_id AS chunk_id, min({_DOT}) AS lo, max({_DOT}) AS hi FROM embeddings a, embeddings b WHERE b.vec_id % 100 = 0 GROUP BY 1) SELECT chunk_id AS query_id, round(lo, 6) AS lo, round(hi, 6) AS hi FROM s")
+def vector_bounds(spark, sf_dir):
+    ends = dense.bounds(_read(spark, sf_dir, "embeddings"), _asked(spark, sf_dir))
+    return ends.select("query_id", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+
+
+@query("SELECT vec_id AS chunk_id, vec_id < 300 AS kept, round(sqrt(CASE WHEN vec_id < 300 THEN list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) ELSE 1.0 END), 4) AS norm FROM embeddings")
+def appended_vectors(spark, sf_dir):
+    """Vectors at hand stay as they are; rows without one are encoded."""
+    v = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", F.concat(F.lit("row"), "vec_id").alias("text"))
+    out = dense.appended(v.where("chunk_id < 300"), v)
+    same = out.join(v.select("chunk_id", F.col("embedding").alias("old")), "chunk_id")
+    return same.select("chunk_id", (F.col("embedding") == F.col("old")).alias("kept"), F.round(F.sqrt(dense.cosine(F.col("embedding"), F.col("embedding"))), 4).alias("norm"))
 
 
 @query()
@@ -468,14 +510,17 @@ def rerank_cascade(spark, sf_dir):
 
 @query(f"""
 WITH {_GROUND}, per AS (SELECT query_id, count(*) FILTER (kind <> 'unknown') AS m, count(*) FILTER (kind = 'unknown') AS u FROM gr GROUP BY 1),
-res AS (SELECT query_id, count(*) AS n FROM gr JOIN (SELECT DISTINCT p_name FROM part) ON contains(p_name, entity) AND kind <> 'unknown' WHERE query_id <> 7 GROUP BY 1)
+hit AS (SELECT query_id, p_name, count(*) AS bm25 FROM gr JOIN (SELECT DISTINCT p_name, unnest(string_split(p_name, ' ')) AS word FROM part) ON word = entity GROUP BY ALL),
+res AS (SELECT query_id, least(count(*), 3) AS n FROM hit WHERE bm25 >= 1.5 GROUP BY 1)
 SELECT qs.query_id, CASE WHEN coalesce(m, 0) = 0 AND coalesce(u, 0) > 0 THEN 'unknown_entity' WHEN coalesce(m, 0) = 0 THEN 'no_entity' WHEN coalesce(n, 0) = 0 THEN 'no_relevant_context' ELSE 'ok' END AS status,
   CASE WHEN coalesce(m, 0) = 0 THEN 0 ELSE coalesce(n, 0) END AS n_results FROM qs LEFT JOIN per USING (query_id) LEFT JOIN res USING (query_id)""")
 def floor_abstain_status(spark, sf_dir):
+    """Names score by the matched terms they hold; the floor takes those with one term, and a query left with none says so."""
     grounded = _grounded(spark, sf_dir)
     names = _read(spark, sf_dir, "part").select("p_name").distinct()
-    hits = grounded.where("kind <> 'unknown' and query_id <> 7").join(names.withColumn("entity", F.explode(F.split("p_name", " "))), "entity").select("query_id", "p_name")
-    out = hybrid.statuses(grounding.outcomes(_inline(spark), grounded), hits)
+    hits = grounded.where("kind <> 'unknown'").join(names.withColumn("entity", F.explode(F.array_distinct(F.split("p_name", " ")))), "entity")
+    scored = hits.groupBy("query_id", F.col("p_name").alias("chunk_id")).agg(F.count("*").cast("double").alias("bm25")).withColumn("dense", F.lit(None).cast("double")).withColumn("score", F.col("bm25"))
+    out = hybrid.statuses(grounding.outcomes(_inline(spark), grounded), hybrid.ranked(scored, 3, lex=1.5))
     return out.select("query_id", "status", "n_results")
 
 
@@ -515,6 +560,15 @@ def top_intents(spark, sf_dir):
     return _inline(spark).select("query_id", routing.top_intent(routing.intents(F.col("query"))).alias("intent")).where("intent is not null")
 
 
+@query(f"""
+WITH {_GROUND}, {_INTENTS[_INTENTS.index('rules(k'):]}, per AS (SELECT query_id, list_sort(list_distinct(list(entity) FILTER (kind <> 'unknown'))) AS entities, string_agg(term, ',' ORDER BY position) FILTER (kind = 'unknown') AS unknown FROM gr GROUP BY 1),
+di AS (SELECT query_id, count(*) AS n_intents, round(max(confidence), 4) AS best FROM dist GROUP BY 1)
+SELECT qs.query_id, query AS raw, array_to_string(coalesce(entities, []), ',') AS entities, coalesce(unknown, '') AS unknown, coalesce(n_intents, 0) AS n_intents, best, coalesce(len(entities), 0) > 1 AS is_multi_drug FROM qs LEFT JOIN per USING (query_id) LEFT JOIN di USING (query_id)""")
+def query_plans(spark, sf_dir):
+    p = routing.plan(_inline(spark), grounding.outcomes(_inline(spark), _grounded(spark, sf_dir)))
+    return p.select("query_id", "plan.raw", F.array_join("plan.entities", ",").alias("entities"), F.array_join("plan.unknown", ",").alias("unknown"), F.size("plan.intents").cast("long").alias("n_intents"), F.array_max(F.map_values("plan.intents")).alias("best"), "plan.is_multi_drug")
+
+
 _FIELDS = f"fw(intent, field, weight) AS (SELECT * FROM {_values(lists.INTENT_FIELDS)})"
 _ALLOWED = ", ".join(f"'{f}'" for f in sorted(routing.PATIENT.allowed))
 
@@ -548,7 +602,9 @@ def dropped_fields(spark, sf_dir):
 SCREENED = ((1, "I have chest pain since noon", "red_flag"), (2, "should I increase my dose?", "medication_change"), (3, "does ring interact with rod?", "interaction"), (4, "what is the ring used for?", None), (5, "can I just stop", "medication_change"), (6, None, None))
 
 
-@query(f"SELECT * FROM (SELECT a::INT AS query_id, b AS query, c AS screen FROM {_values(SCREENED)} AS t(a, b, c))")
+@query(f"""
+WITH {_INTENTS.replace(_values(QUESTIONS), _values([r[:2] for r in SCREENED]))}, top AS (SELECT query_id, arg_min(intent, (-confidence, k)) AS intent FROM dist GROUP BY 1), rf(flag) AS (SELECT unnest({_sql_list(lists.RED_FLAGS)}))
+SELECT qs.query_id::INT AS query_id, query, CASE WHEN EXISTS (SELECT 1 FROM rf WHERE contains(lower(query), flag)) THEN 'red_flag' WHEN regexp_matches(query, '{lists.MEDICATION_CHANGE.replace(chr(39), chr(39) * 2)}', 'i') THEN 'medication_change' WHEN intent = 'interactions' THEN 'interaction' END AS screen FROM qs LEFT JOIN top USING (query_id)""")
 def persona_screens(spark, sf_dir):
     rows = spark.createDataFrame([r[:2] for r in SCREENED], "query_id int, query string")
     return rows.select("query_id", "query", answers.screen(F.col("query"), routing.top_intent(routing.intents(F.col("query")))).alias("screen"))
@@ -589,7 +645,11 @@ def answer_overlap(spark, sf_dir):
 ANSWERED = ((1, "Take care [Source 1] and [Source 3]. This is NOT medical advice.", "alpha beta 12.5 mg", 2), (2, "No citation, 40 mg", "40 mg daily", 1), (3, "[Source 2][Source  2] fine 7 and 8.25", "fine 8.25", 2), (4, "<think>[Source 9]</think> ok [Source 1]", None, 1))
 
 
-@query("SELECT * FROM (VALUES (1, '1', '3', true, false), (2, '', '', false, false), (3, '2', '', false, true), (4, '1', '', false, true)) AS t(query_id, citations, invalid, has_disclaimer, grounded)")
+@query(rf"""
+WITH a(query_id, answer, context, n) AS (SELECT a::INT, b, c, d FROM {_values(ANSWERED)} AS t(a, b, c, d)), u AS (SELECT query_id, n, trim(regexp_replace(answer, '<think>.*?</think>', '', 'gs')) AS said FROM a),
+c AS (SELECT query_id, n, said, list_sort(list_distinct(list_transform(regexp_extract_all(said, '\[Source\s+([0-9]+)\]', 1), lambda x: x::INT))) AS cited FROM u),
+v AS (SELECT *, list_filter(cited, lambda x: x BETWEEN 1 AND n) AS good, list_filter(cited, lambda x: x NOT BETWEEN 1 AND n) AS bad FROM c)
+SELECT query_id, array_to_string(good, ',') AS citations, array_to_string(bad, ',') AS invalid, contains(lower(said), 'not medical advice') AS has_disclaimer, len(good) > 0 AND len(bad) = 0 AS grounded FROM v""")
 def citation_verify(spark, sf_dir):
     rows = spark.createDataFrame(ANSWERED, "query_id int, answer string, context string, n int")
     v = answers.verification(text.without_scratchpad(F.col("answer")), F.col("context"), F.col("n"))
@@ -604,13 +664,12 @@ def unsupported_numbers(spark, sf_dir):
     return rows.select("query_id", F.array_join(text.unsupported_numbers(F.col("answer"), F.col("context")), ",").alias("unsupported"))
 
 
-def _redact_sql(column: str) -> str:
-    for pattern, mark in lists.REDACTIONS:
-        column = f"regexp_replace({column}, '{pattern}', '{mark}', 'g')"
-    return column
-
-
-@query(f"SELECT doc_id, md5({_redact_sql('text')}) AS digest FROM documents")
+@query(r"""
+WITH a AS (SELECT doc_id, regexp_replace(text, '\b[\w.+-]+@[\w-]+\.[\w.]+\b', '[email]', 'g') AS t FROM documents),
+b AS (SELECT doc_id, regexp_replace(t, '\b\+?\d[\d\s().-]{7,}\d\b', '[phone]', 'g') AS t FROM a),
+c AS (SELECT doc_id, regexp_replace(t, '\b\d{3}-\d\d-\d{4}\b', '[id]', 'g') AS t FROM b),
+d AS (SELECT doc_id, regexp_replace(t, '\b(mrn|nhs|patient\s*id|patient\s*no|patient\s*number)\s*[:#]?\s*\w+\b', '[record-id]', 'gi') AS t FROM c)
+SELECT doc_id, md5(regexp_replace(t, '\b\d\d?[/-]\d\d?[/-]\d{2,4}\b', '[date]', 'g')) AS digest FROM d""")
 def redact_pii(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.md5(text.redact(F.col("text"))).alias("digest"))
 
@@ -629,15 +688,19 @@ def prefix_strip(spark, sf_dir):
 NOTES = ((1, "SOB and htn, 5 mg bid."), (2, "  What about   (CKD)? "), (3, ""), (4, "po prn!"))
 
 
-@query("SELECT * FROM (VALUES (1, 'shortness of breath and hypertension, 5 mg twice daily.'), (2, 'what about (chronic kidney disease)?'), (3, ''), (4, 'by mouth as needed!')) AS t(note_id, normalised)")
+@query(rf"""
+WITH n(note_id, note) AS (SELECT * FROM {_values(NOTES)}), ab(short, long) AS (SELECT * FROM {_values(lists.ABBREVIATIONS.items())}),
+w AS (SELECT note_id, unnest(string_split({FLAT.format('lower(note)')}, ' ')) AS t, generate_subscripts(string_split({FLAT.format('lower(note)')}, ' '), 1) AS pos FROM n),
+x AS (SELECT note_id, pos, t, regexp_replace(t, '^[.,;:?!()]+|[.,;:?!()]+$', '', 'g') AS bare FROM w)
+SELECT note_id, string_agg(CASE WHEN long IS NULL THEN t ELSE replace(t, bare, long) END, ' ' ORDER BY pos) AS normalised FROM x LEFT JOIN ab ON short = bare GROUP BY 1""")
 def query_normalise(spark, sf_dir):
     return spark.createDataFrame(NOTES, "note_id int, note string").select("note_id", text.normalise(F.col("note")).alias("normalised"))
 
 
-@query("SELECT user_id AS persona, count(*) AS answers, count(*) FILTER (event_type <> 'view') AS refused, count(*) FILTER (event_type = 'click') AS grounded, count(DISTINCT event_type) AS personas FROM events GROUP BY 1")
+@query("SELECT user_id, count(*) AS answers, count(*) FILTER (event_type <> 'view') AS refused, count(*) FILTER (event_type = 'click') AS grounded, count(DISTINCT event_type) AS personas FROM events GROUP BY 1")
 def audit_rollup(spark, sf_dir):
-    e = _read(spark, sf_dir, "events")
-    return e.groupBy(F.col("user_id").alias("persona")).agg(F.count("*").alias("answers"), F.count_if(F.col("event_type") != "view").alias("refused"), F.count_if(F.col("event_type") == "click").alias("grounded"), F.countDistinct("event_type").alias("personas"))
+    e = _read(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("persona"), F.when(F.col("event_type") == "view", "ok").otherwise("refused").alias("status"), F.when(F.col("event_type") == "click", "yes").otherwise("no").alias("grounded"))
+    return answers.audit_rollup(e, "user_id")
 
 
 @query("SELECT count(*) AS answers, count(*) FILTER (event_type <> 'ok') AS refused, count(*) FILTER (value > 50) AS grounded, count(DISTINCT user_id) AS personas FROM events")
@@ -723,9 +786,11 @@ def _truth(spark, sf_dir) -> DataFrame:
     out = d.join(b.where("k < 1").select("query_id", "passage"), F.contains("text", "passage")).select("query_id", "doc_id") if 0 in sizes else None
     if any(sizes):
         windows = lambda k: F.when(F.size("w") < k, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda i: F.array_join(F.slice("w", i, F.lit(k)), " ")))
-        keyed = d.select("doc_id", "text", F.explode(F.array_distinct(F.concat(*(windows(k) for k in sizes if k)))).alias("key"))
-        asked = b.where("k >= 1").select("query_id", "passage", F.array_join(F.slice("bw", F.lit(2), F.col("k")), " ").alias("key"))
-        found = keyed.join(asked, "key").where(F.contains("text", "passage")).select("query_id", "doc_id")
+        keyed = d.select("doc_id", F.explode(F.array_distinct(F.concat(*(windows(k) for k in sizes if k)))).alias("key"))
+        asked = b.where("k >= 1").select("query_id", F.array_join(F.slice("bw", F.lit(2), F.col("k")), " ").alias("key"))
+        near = keyed.join(asked, "key").select("query_id", "doc_id").distinct()  # ids alone; texts come back for these pairs
+        texts = d.select("doc_id", "text").join(near, "doc_id").join(b.select("query_id", "passage"), "query_id")
+        found = texts.where(F.contains("text", "passage")).select("query_id", "doc_id")
         out = found if out is None else out.unionByName(found)
     out = d.select(F.lit(0).alias("query_id"), "doc_id").limit(0) if out is None else out
     return out.select("query_id", F.col("doc_id").alias("chunk_id")).distinct()
@@ -760,12 +825,35 @@ def refusal_accuracy(spark, sf_dir):
     return evaluation.refusals(rows).select(F.round("refusal_accuracy", 6).alias("refusal_accuracy"), F.round("false_refusals", 6).alias("false_refusals"))
 
 
-SWEEP = ((0.0, 0.95, 0.95, 0.867), (0.2, 1.0, 0.91, 0.822), (0.4, 1.0, 0.91, 0.822), (0.6, 1.0, 0.68, 0.502), (1.0, 1.0, 0.41, 0.409))
+ALPHAS = (0.0, 0.2, 0.4, 0.6, 1.0)
+_LAB = f"""{_BLEND}, part01 AS (SELECT mix.*, CASE WHEN bhi - blo < 1e-12 THEN 0.5 ELSE (bm25 - blo) / (bhi - blo) END AS lp, CASE WHEN chi - clo < 1e-12 THEN 0.5 ELSE (dense - clo) / (chi - clo) END AS dp FROM mix JOIN bb USING (query_id) JOIN cb USING (query_id)),
+lab AS (SELECT alpha, query_id, doc_id, alpha * lp + (1 - alpha) * dp AS score FROM part01, (SELECT unnest({list(ALPHAS)})::DOUBLE AS alpha) WHERE dense >= 0.25 OR bm25 >= 1.0),
+rk AS (SELECT *, row_number() OVER (PARTITION BY alpha, query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM lab)"""
+
+
+def _lab(spark, sf_dir, floor: bool = True) -> DataFrame:
+    scaled = hybrid.scale(_bm25(spark, sf_dir), _tfidf(spark, sf_dir).withColumnRenamed("cosine", "dense"), _cleaned(spark, sf_dir))
+    return hybrid.lab(scaled, ALPHAS, 5, floor)
+
 
+@query(f"WITH {_LAB} SELECT alpha, query_id, doc_id AS chunk_id, round(score, 6) AS score, rank::INT AS rank FROM rk WHERE rank <= 5")
+def alpha_lab(spark, sf_dir):
+    return _lab(spark, sf_dir).withColumn("score", F.round("score", 6))
 
-@query("SELECT 0.2::DOUBLE AS alpha, 1.0::DOUBLE AS recall, 0.91::DOUBLE AS field_recall, 0.822::DOUBLE AS mrr")
+
+@query(f"""
+WITH {_LAB}, {_TRUTH}, tl AS (SELECT DISTINCT query_id, lang FROM truth JOIN documents USING (doc_id)), cases AS (SELECT DISTINCT query_id FROM truth), al AS (SELECT DISTINCT alpha FROM rk),
+f AS (SELECT alpha, query_id, min(rank) AS first_rank FROM truth JOIN rk USING (query_id, doc_id) WHERE rank <= 5 GROUP BY ALL),
+g AS (SELECT alpha, rk.query_id, min(rank) AS first_field FROM rk JOIN documents USING (doc_id) JOIN tl ON tl.query_id = rk.query_id AND tl.lang = documents.lang WHERE rank <= 1 GROUP BY ALL),
+mm AS (SELECT alpha, avg(CASE WHEN first_rank <= 5 THEN 1.0 ELSE 0.0 END)::DOUBLE AS recall, avg(CASE WHEN first_field <= 1 THEN 1.0 ELSE 0.0 END)::DOUBLE AS field_recall, avg(coalesce(1.0 / first_rank, 0.0))::DOUBLE AS mrr FROM al CROSS JOIN cases LEFT JOIN f USING (alpha, query_id) LEFT JOIN g USING (alpha, query_id) GROUP BY 1)
+SELECT alpha, round(recall, 6) AS recall, round(field_recall, 6) AS field_recall, round(mrr, 6) AS mrr FROM mm WHERE round(recall, 9) = (SELECT max(round(recall, 9)) FROM mm) ORDER BY round(field_recall, 9) DESC, round(mrr, 9) DESC, alpha LIMIT 1""")
 def alpha_sweep_select(spark, sf_dir):
-    return evaluation.choose(spark.createDataFrame(SWEEP, "alpha double, recall double, field_recall double, mrr double"), "alpha")
+    """Recall of verbatim documents and of their language at five blends, and the blend that wins."""
+    ranked, truth = stored(_lab(spark, sf_dir), "lab"), _truth(spark, sf_dir)
+    docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "field")
+    by_field = evaluation.sweep(truth.join(docs, "chunk_id").select("query_id", "field").distinct(), ranked.where("rank <= 1").join(docs, "chunk_id").select("alpha", "query_id", "field", "rank"), ["query_id", "field"], "alpha", 1)
+    both = evaluation.sweep(truth, ranked, ["query_id", "chunk_id"], "alpha").join(by_field.select("alpha", F.col("recall").alias("field_recall")), "alpha")
+    return evaluation.choose(both, "alpha").select("alpha", *(F.round(c, 6).alias(c) for c in ("recall", "field_recall", "mrr")))
 
 
 @query(f"""
@@ -803,14 +891,68 @@ def grounded_context(spark, sf_dir):
     return packed.join(top, "query_id").select("query_id", "n_sources", "best", F.length("context").cast("long").alias("n_chars"), F.md5("context").alias("digest"))
 
 
+_FIELD_WORDS = (("description", "is made by"), ("mechanism", "works by the mechanism of"), ("indications", "is indicated for"), ("dosage", "dose per day of"), ("side_effects", "has side effects like"), ("contraindications", "should not be used with"), ("interactions", "interacts with"))
+
+
+def _part_documents(spark, sf_dir) -> DataFrame:
+    """Part names as records of seven fields, as documents."""
+    p = _read(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_brand").alias("b"), F.min("p_type").alias("t"))
+    field_texts = [F.concat_ws(" ", "p_name", F.lit(word), "b", "t").alias(name) for name, word in _FIELD_WORDS]
+    return chunking.documents_from_records(p.select(F.col("p_name").alias("name"), F.col("t").alias("category"), *field_texts))
+
+
+_SINGULAR = f"""CASE WHEN list_contains({_sql_list(lists.NEGATIONS)}, x) THEN x WHEN regexp_matches(x, '^[a-z]{{2,}}ies$') THEN regexp_replace(x, 'ies$', 'y') WHEN regexp_matches(x, '(ss|us|is)$') THEN x
+  WHEN regexp_matches(x, '(ch|sh|x|z)es$') THEN regexp_replace(x, 'es$', '') WHEN regexp_matches(x, '^[a-z]{{3,}}s$') THEN regexp_replace(x, 's$', '') ELSE x END"""
+_READABLE = f"list_transform(list_filter(regexp_extract_all({FLAT.format(_LOWER)}, '{_WORD}'), lambda x: NOT list_contains({_sql_list(_KEEP)}, x)), lambda x: {_SINGULAR})"
+
+
+@query(rf"""
+WITH {_GROUND}, {_INTENTS[_INTENTS.index('rules(k'):]}, {_FIELDS},
+p AS (SELECT p_name AS name, min(p_brand) AS b, min(p_type) AS t FROM part GROUP BY 1), fd(field, word) AS (SELECT * FROM {_values(_FIELD_WORDS)}),
+ch AS (SELECT row_number() OVER (ORDER BY lower(trim(name)) || '::' || field) - 1 AS chunk_id, lower(trim(name)) AS drug, field, trim(name) || ' — ' || field || ': ' || name || ' ' || word || ' ' || b || ' ' || t AS text FROM p, fd),
+tk AS (SELECT chunk_id, {_READABLE} AS ws FROM ch), post AS (SELECT term, chunk_id, count(*) AS tf FROM (SELECT chunk_id, unnest(ws) AS term FROM tk) GROUP BY ALL),
+dfreq AS (SELECT term, count(*) AS df FROM post GROUP BY 1), dl AS (SELECT chunk_id, len(ws) AS dl FROM tk), tot AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+asked AS (SELECT qs.query_id, CASE WHEN any_value(term) FILTER (kind = 'alias') IS NULL THEN any_value(query) ELSE regexp_replace(any_value(query), '\b' || any_value(term) FILTER (kind = 'alias') || '\b', any_value(entity) FILTER (kind = 'alias'), 'gi') END AS text FROM qs JOIN gr USING (query_id) GROUP BY 1 HAVING count(entity) > 0),
+q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({_READABLE}) AS term FROM asked) GROUP BY ALL),
+bm AS (SELECT query_id, chunk_id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) AS bm25 FROM q JOIN dfreq USING (term) JOIN post USING (term) JOIN dl USING (chunk_id), tot GROUP BY ALL),
+ok AS (SELECT DISTINCT query_id, chunk_id FROM (SELECT chunk_id, unnest({_ID.format('drug')}) AS token FROM ch) JOIN gr ON entity = token),
+fwt AS (SELECT query_id, field, sum(confidence * weight) AS weight FROM dist JOIN fw USING (intent) GROUP BY ALL), best AS (SELECT *, max(weight) OVER (PARTITION BY query_id) AS top FROM fwt),
+sc AS (SELECT bm.query_id, chunk_id, bm25 * CASE WHEN top > 0 THEN 1 + 0.2 * weight / top ELSE 1.0 END AS score FROM bm JOIN ok USING (query_id, chunk_id) JOIN ch USING (chunk_id) LEFT JOIN best ON best.query_id = bm.query_id AND best.field = ch.field WHERE bm25 >= 1.0),
+rk AS (SELECT *, {_TOP.format('score', 'chunk_id')} AS rank FROM sc)
+SELECT query_id, chunk_id, round(score, 6) AS score, rank::INT AS rank FROM rk WHERE rank <= 5""")
+def engine_retrieve(spark, sf_dir):
+    """The engine over part names, by words alone: grounding, aliases, scores, restriction, boost by intent, floor and cut."""
+    from ledgerwell.plans.engine import Engine
+
+    results, _ = Engine(_part_documents(spark, sf_dir), _brands(spark)).retrieve(_inline(spark))
+    return results.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+CHECKED = (("ring", "widget", "Major"), ("ring", "rod", "Minor"), ("widget", "rod", "Unknown"))
+
+
+@query(f"""
+WITH {_GROUND}, ip(a, b, level) AS (SELECT least(a, b), greatest(a, b), c FROM {_values(CHECKED)} AS t(a, b, c)),
+asks AS (SELECT query_id FROM qs WHERE list_has_any(regexp_extract_all(lower(query), '[a-z]+'), {_sql_list(lists.INTERACTION_WORDS)}) OR {" OR ".join(f"contains(lower(query), '{x}')" for x in lists.INTERACTION_PHRASES)}),
+mt AS (SELECT DISTINCT query_id, entity FROM gr JOIN asks USING (query_id) WHERE entity IS NOT NULL),
+pr AS (SELECT x.query_id, level FROM mt x JOIN mt y ON x.query_id = y.query_id AND x.entity < y.entity LEFT JOIN ip ON a = x.entity AND b = y.entity),
+ct AS (SELECT query_id, count(level) AS found, count(*) - count(level) AS clear, array_to_string(list_filter([{", ".join(f"CASE WHEN count(*) FILTER (level = '{n}') > 0 THEN count(*) FILTER (level = '{n}') || ' {n}' END" for n in lists.LEVEL_RANK)}], lambda x: x IS NOT NULL), ', ') AS counts FROM pr GROUP BY 1)
+SELECT query_id, CASE WHEN found > 0 THEN found || ' documented interaction(s) (' || counts || ')' ELSE 'No documented interactions (' || clear || ' pair(s) checked)' END AS interaction FROM ct""")
+def chat_prechecks(spark, sf_dir):
+    """The chat flow: what stands before an answer to a question about an interaction of two known names or more."""
+    from ledgerwell.plans.engine import Engine
+
+    rows = spark.createDataFrame([("ord", *r) for r in CHECKED], "ord string, a_name string, b_name string, level string")
+    known = grounding.vocabulary(_read(spark, sf_dir, "part"), "p_name").select(F.col("token").alias("name"), F.array("token").alias("tokens"))
+    said, _ = Engine(_part_documents(spark, sf_dir), _brands(spark)).chat(_inline(spark), pairs.severest(rows), known)
+    return said.where("interaction is not null").select("query_id", "interaction")
+
+
 @query()
 def grounded_answers(spark, sf_dir):
     """The engine over part names as records: grounding, hybrid scores with hashed vectors, personas, quoting, verification."""
     from ledgerwell.plans.engine import Engine
 
-    p = _read(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_brand").alias("b"), F.min("p_type").alias("t"))
-    field_texts = [F.concat_ws(" ", "p_name", F.lit(word), "b", "t").alias(name) for name, word in (("description", "is made by"), ("mechanism", "works by the mechanism of"), ("indications", "is indicated for"), ("dosage", "dose per day of"), ("side_effects", "has side effects like"), ("contraindications", "should not be used with"), ("interactions", "interacts with"))]
-    records = p.select(F.col("p_name").alias("name"), F.col("t").alias("category"), *field_texts)
-    engine = Engine(chunking.documents_from_records(records), _brands(spark), dense.hashing_encoder())
+    engine = Engine(_part_documents(spark, sf_dir), _brands(spark), dense.hashing_encoder())
     out = engine.answer(_inline(spark), routing.PATIENT)
     return out.select("query_id", "status", "mode", "answer", "n_sources", F.array_join("dropped_fields", ",").alias("dropped"), "verification.grounded")

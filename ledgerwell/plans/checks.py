@@ -34,8 +34,32 @@ def key_literals(spark: SparkSession, path: str) -> DataFrame:
     return lines.where(F.col("line").rlike("|".join(lists.KEY_SHAPES)))
 
 
-if __name__ == "__main__":
-    found = quick(sys.argv[1] if len(sys.argv) > 1 else None)
+def deep(spark: SparkSession, records_path: str, known: str, absent: str) -> dict[str, str]:
+    """Builds an engine from records: a known name must be answered, an absent one refused."""
+    from ledgerwell.operators import chunking, dense
+    from ledgerwell.plans.engine import Engine, health
+    from ledgerwell.sources.records import read_records
+
+    try:
+        engine = Engine(chunking.documents_from_records(read_records(spark, records_path)), encoder=dense.hashing_encoder())
+        return {"records": "ok"} | health(engine, known, absent)
+    except Exception as e:
+        return {"records": "fail", "reason": f"degraded: {type(e).__name__}"}
+
+
+def main(arguments: list[str]) -> int:
+    """[config] [--deep records known absent]: prints the state of each part; the exit code tells the worst."""
+    if "--deep" in arguments:
+        from ledgerwell.session import session
+
+        at = arguments.index("--deep")
+        found = quick(arguments[0] if at else None) | deep(session("checks", "local[*]"), *arguments[at + 1 : at + 4])
+    else:
+        found = quick(arguments[0] if arguments else None)
     for name, state in found.items():
         print(f"{state:9} {name}")
-    sys.exit(exit_code(found))
+    return exit_code(found)
+
+
+if __name__ == "__main__":
+    sys.exit(main(sys.argv[1:]))

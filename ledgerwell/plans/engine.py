@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import time
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwell.config import Config
 from ledgerwell.functions import text
-from ledgerwell.operators import answers, chunking, dense, grounding, hybrid, lexical, routing
+from ledgerwell.operators import answers, chunking, dense, grounding, hybrid, lexical, pairs, routing
+from ledgerwell.operators import trace as steps
 from ledgerwell.session import stored
 
 
@@ -18,7 +20,9 @@ class Engine:
     """Tables of a corpus and the settings that all steps read.
 
     documents: doc_id, title, field, category, text, origin. encoder: texts to unit rows, or None for lexical search alone.
-    generate: (prompt) -> answer on the driver, or None to quote.
+    generate: (prompt) -> answer on the driver, or None to quote. store: a folder in which the tables of a corpus are kept under
+    its fingerprint, so that a later engine of the same corpus and settings reads them. base: an engine whose tables are kept, while
+    documents are added to them.
     """
 
     documents: DataFrame
@@ -26,59 +30,119 @@ class Engine:
     encoder: object | None = None
     generate: object | None = None
     config: Config = field(default_factory=Config)
+    store: str | None = None
+    base: Engine | None = None
 
     def __post_init__(self):
         """Builds the tables that every batch of queries reads."""
-        c = self.config
-        self.chunks = stored(chunking.numbered(chunking.chunk_table(self.documents, c.chunking.size, c.chunking.overlap)), "engine-chunks")
-        built = lexical.build_index(self.chunks)
-        postings = stored(built.postings, "engine-postings")
-        frequencies = stored(postings.groupBy("term").agg(F.count("*").alias("df")), "engine-frequencies")
-        lengths = stored(built.lengths, "engine-lengths")
+        c, base = self.config, self.base
+        self.steps: list[tuple[str, float]] = []
+        self.trace: DataFrame | None = None
+        cut = chunking.chunk_table(self.documents, c.chunking.size, c.chunking.overlap)
+        self._at = self._kept_at() if self.store and base is None else None
+        if base is None:
+            self.chunks = fresh = self._table("chunks", lambda: chunking.numbered(cut))
+        else:
+            self.chunks = stored(chunking.appended(base.chunks, cut), "engine-chunks")
+            fresh = self.chunks.join(base.chunks.select("chunk_id"), "chunk_id", "left_anti")
+        built = lexical.build_index(fresh)
+        postings = self._table("postings", lambda: built.postings if base is None else base.index.postings.unionByName(built.postings))
+        lengths = self._table("lengths", lambda: built.lengths if base is None else base.index.lengths.unionByName(built.lengths))
+        frequencies = self._table("frequencies", lambda: postings.groupBy("term").agg(F.count("*").alias("df")))
         self.index = lexical.Index(postings, lengths, frequencies, lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
-        self.vectors = stored(dense.encode(self.chunks.select("chunk_id", "text"), self.encoder).select("chunk_id", "embedding"), "engine-vectors") if self.encoder else None
-        self.vocabulary = stored(grounding.vocabulary(self.chunks.where(F.col("origin") == chunking.CORPUS)), "engine-vocabulary")
+        self.vectors = None
+        if self.encoder:
+            make = lambda: dense.encode(self.chunks.select("chunk_id", "text"), self.encoder).select("chunk_id", "embedding")
+            if base is not None and base.vectors is not None:
+                make = lambda: dense.appended(base.vectors, self.chunks, self.encoder)
+            self.vectors = dense.require_aligned(self.chunks, dense.require_unit(self._table("vectors", make)))
+        corpus = self.chunks.where(F.col("origin") == chunking.CORPUS)
+        self.vocabulary = self._table("vocabulary", lambda: grounding.vocabulary(corpus))
         self.uploads = self.chunks.where(F.col("origin") != chunking.CORPUS).select("chunk_id")
         self.has_uploads = not self.uploads.isEmpty()
 
+    def _kept_at(self) -> str:
+        """The folder of this corpus under these settings and this encoder."""
+        c = self.config.chunking
+        model = f"{c.size}|{c.overlap}|{getattr(self.encoder, '__qualname__', type(self.encoder).__name__)}"
+        return f"{self.store}/{chunking.content_digest(self.documents, model, 'doc_id', 'title', 'field', 'category', 'text', 'origin').first()['fingerprint']}"
+
+    def _table(self, name: str, make) -> DataFrame:
+        """A table kept under the fingerprint, made where there is none, or one of this session's own."""
+        if self._at is None:
+            return stored(make(), f"engine-{name}")
+        spark, path = self.documents.sparkSession, f"{self._at}/{name}"
+        done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+            make().write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+
+    def extended(self, documents: DataFrame) -> Engine:
+        """An engine with further documents; only their chunks are cut, counted and encoded."""
+        return replace(self, documents=documents, base=self)
+
+    def _measured(self, name: str, df: DataFrame) -> DataFrame:
+        """df, written; the time that took is the step's."""
+        start = time.perf_counter()
+        out = stored(df, f"engine-{name}")
+        self.steps.append((name, 1000 * (time.perf_counter() - start)))
+        return out
+
+    def _allowed(self, asked: DataFrame, grounded: DataFrame) -> DataFrame:
+        """(query_id, chunk_id) a query may draw on: chunks that hold a matched entity, and uploads; all where that is nothing."""
+        wanted = grounded.where("entity is not null").select("query_id", F.col("entity").alias("token")).distinct()
+        allowed = grounding.chunk_tokens(self.chunks).join(wanted, "token").select("query_id", "chunk_id")
+        if self.has_uploads:  # a batch of questions by the few chunks of a user's files
+            allowed = allowed.unionByName(asked.select("query_id").crossJoin(self.uploads))
+        allowed = self._measured("allowed", allowed.join(asked.select("query_id"), "query_id", "left_semi").distinct())
+        without = asked.join(allowed, "query_id", "left_anti").select("query_id")
+        return allowed if without.isEmpty() else allowed.unionByName(without.crossJoin(self.chunks.select("chunk_id")))
+
     def retrieve(self, queries: DataFrame, persona: routing.Persona | None = None, k: int | None = None, rerank=None) -> tuple[DataFrame, DataFrame]:
         """(results, outcomes) for query_id, query. Scores are scaled over the whole corpus, then restricted, boosted, floored
-        and cut; every query has an outcome with a status."""
+        and cut; every query has an outcome with a status. trace and steps tell what each step of the batch took.
+
+        Bounds over all chunks come from one pass over the vectors that keeps two numbers a query; scores are made for the chunks
+        that a query may draw on."""
         r = self.config.retrieval
         k = (persona.fetch_k(k) if persona else k) or r.top_k
-        grounded = stored(grounding.ground(queries, self.vocabulary, self.brands), "engine-grounded")
-        out = stored(grounding.outcomes(queries, grounded), "engine-outcomes")
+        self.steps = []
+        grounded = self._measured("grounded", grounding.ground(queries, self.vocabulary, self.brands))
+        out = self._measured("outcomes", grounding.outcomes(queries, grounded))
         open_ = out if self.has_uploads else out.where(F.size("matched") > 0)
         asked = open_.select("query_id", F.col("rewritten").alias("text"), text.cleaned(F.col("rewritten")).alias("clean"))
         lex = lexical.bm25(self.index, asked, r.k1, r.b, r.idf)
-        den = None
-        if self.vectors is not None:
-            # bounds need every chunk's score, so the product with a block of queries keeps all rows
-            wanted = dense.encode(asked, self.encoder).select("query_id", F.col("embedding").alias("q"))
-            den = self.vectors.crossJoin(wanted).select("query_id", "chunk_id", dense.cosine(F.col("embedding"), F.col("q")).alias("dense"))
-        scored = hybrid.blend(lex, den, self.chunks, r.alpha)
-        wanted = grounded.where("entity is not null").select("query_id", F.col("entity").alias("token")).distinct()
-        kept = hybrid.restrict(stored(scored, "engine-scores"), wanted, grounding.chunk_tokens(self.chunks), self.uploads)
-        kept = hybrid.boost(kept, self.chunks, routing.field_weights(queries, persona), persona.field_boost if persona else r.field_boost)
+        allowed = self._allowed(asked, grounded)
+        if self.vectors is None:
+            scored = hybrid.blend(lex, None, self.chunks, r.alpha).join(allowed, ["query_id", "chunk_id"], "left_semi")
+        else:
+            wanted = self._measured("queries", dense.encode(asked, self.encoder).select("query_id", "embedding"))
+            ends = dense.bounds(self.vectors, wanted)
+            scored = hybrid.blend_pairs(allowed, self._measured("lexical", lex), self.vectors, wanted.withColumnRenamed("embedding", "q"), ends, self.chunks, r.alpha)
+        scored = self._measured("scores", scored)
+        kept = hybrid.boost(scored, self.chunks, routing.field_weights(queries, persona), persona.field_boost if persona else r.field_boost)
         rows = hybrid.reranked(kept, k, rerank, r.pool, r.emb_floor, r.bm25_floor) if rerank is not None else hybrid.ranked(kept, k, r.emb_floor, r.bm25_floor)
         results = rows.drop("field").join(self.chunks.select("chunk_id", "drug", "title", "field", "origin", "text"), "chunk_id")
-        results = stored(results, "engine-results")
+        results = self._measured("results", results)
+        above = scored.where(hybrid.above_floor(r.emb_floor, r.bm25_floor))
+        self.trace = steps.step(1, "floor", scored, above, "below floor").unionByName(steps.step(2, "cut", above, results, "beyond the best"))
         return results, hybrid.statuses(out, results, self.has_uploads)
 
     def answer(self, queries: DataFrame, persona: routing.Persona = routing.PRACTITIONER, k: int | None = None) -> DataFrame:
-        """One row a query: status, mode, answer, context, aliases, dropped fields and verification."""
+        """One row a query: status, mode, answer, context, aliases, dropped fields, sources and verification."""
         top = routing.top_intent(routing.intents(F.col("query")))
         screened = stored(queries.withColumn("screen", answers.screen(F.col("query"), top) if persona.plain else F.lit(None).cast("string")), "engine-asked")
         results, out = self.retrieve(screened.where("screen is null").select("query_id", "query"), persona, k)
         chosen = routing.select_for(persona, results, k).withColumn("rank", F.col("position"))
         packed = answers.packed(chosen, self.config.answering.max_context_chars)
         rows = screened.join(out.drop("query"), "query_id", "left").join(packed, "query_id", "left").join(answers.quoted(chosen), "query_id", "left").join(routing.dropped_fields(results, chosen), "query_id", "left")
+        rows = rows.join(self._suggested(out), "query_id", "left").join(answers.source_ids(chosen), "query_id", "left")
         status = F.when(F.col("screen").isNotNull(), F.col("screen")).when((F.col("status") == "ok") & F.col("context").isNull(), "persona_field_policy").otherwise(F.col("status"))
         rows = stored(rows.withColumn("status", status), "engine-rows")
         fixed = F.lit(None).cast("string")
         for name, message in answers.SCREENS.items():
             fixed = F.when(F.col("screen") == name, message).otherwise(fixed)
-        refused = F.coalesce(fixed, answers.refusal(F.col("status"), F.col("unknown"), F.col("matched"), F.lit(None).cast("string")), F.lit("The sections this persona may read don't answer the question."))
+        refused = F.coalesce(fixed, answers.refusal(F.col("status"), F.col("unknown"), F.col("matched"), F.col("suggestion"), F.col("notes")), F.lit("The sections this persona may read don't answer the question."))
         rows = rows.withColumn("mode", F.when(F.col("status") == "ok", "extractive").otherwise("refused")).withColumn("prompt", answers.prompt(F.coalesce("context", F.lit("")), F.coalesce("query", F.lit(""))))
         if self.generate is not None:
             rows = self._generated(rows)
@@ -87,6 +151,25 @@ class Engine:
         n = F.coalesce("n_sources", F.lit(0))
         return rows.withColumn("answer", said).withColumn("verification", answers.verification(F.col("answer"), F.col("context"), n)).withColumn("n_sources", n).withColumn("dropped_fields", F.coalesce("dropped", F.array().cast("array<string>"))).drop("dropped")
 
+    def _suggested(self, out: DataFrame) -> DataFrame:
+        """(query_id, suggestion): the nearest known word of each unknown one."""
+        terms = out.select("query_id", F.posexplode("unknown").alias("pos", "term"))
+        near = terms.join(grounding.suggestions(terms, self.vocabulary), "term")
+        line = F.concat("term", F.lit(" → "), "match")
+        return near.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]), "; ").alias("suggestion"))
+
+    def chat(self, queries: DataFrame, pair_table: DataFrame, names: DataFrame, persona: routing.Persona = routing.PRACTITIONER) -> tuple[DataFrame, DataFrame]:
+        """(answers, audit rows). A question about an interaction that names two entities or more is checked against the pair
+        table first, and the finding stands before the answer. names: the table's names with their tokens."""
+        rows = stored(self.answer(queries, persona), "engine-answers")
+        asks = text.asks_interaction(F.col("query")) & (F.size("matched") >= 2)
+        items = rows.where(asks).select(F.col("query_id").alias("list_id"), F.posexplode("matched").alias("pos", "input"))
+        _, summary = pairs.check_lists(items, pairs.resolve(items, names), pair_table)
+        found = pairs.summary_text(summary).select(F.col("list_id").alias("query_id"), F.col("message").alias("interaction"))
+        rows = rows.join(found, "query_id", "left")
+        rows = rows.withColumn("answer", F.when(F.col("interaction").isNotNull(), F.concat(F.lit("#### Interaction check\n"), "interaction", F.lit("\n\n---\n"), "answer")).otherwise(F.col("answer")))
+        return rows, answers.audit_rows(rows.withColumn("time", F.current_timestamp()).withColumn("persona", F.lit(persona.id)))
+
     def _generated(self, rows: DataFrame) -> DataFrame:
         """Answers of the generator for queries with a context, one call a query on the driver; a failed call falls back to
         quoting and says so. A batch of questions is small; its answers are the only rows that come to the driver."""

@@ -24,12 +24,11 @@ def session(app: str = "ledgerwell", master: str | None = None, partitions: int
     return builder.getOrCreate()
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """df as a Parquet table in the folder that all executors share (spark.checkpoint.dir): built once, read by every query.
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A path of its own in the folder that all executors share (spark.checkpoint.dir), deleted when the session's process ends.
 
     A folder of our own is made only where none is set, on a local master.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
@@ -37,5 +36,13 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
         base = "file://" + tempfile.mkdtemp(prefix="ledgerwell-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: built once, read by every query."""
+    path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -22,8 +22,9 @@ SCHEMA = ", ".join(f"{c} array<string>" for c in (*NAMES, *CLASSES, *LABEL_FIELD
 
 
 def pages(fetch: Callable[[int, int], list[dict]], per_page: int = 100, target: int = 500) -> Iterator[dict]:
-    """Label objects of a paged feed, fetch(limit, skip), until it ends, fails, or enough have come."""
+    """Label objects of a paged feed, fetch(limit, skip), until it ends, fails, or enough of them make a record of a new name."""
     skip = n = 0
+    names: set[str] = set()
     while n < target and skip < LAST_SKIP:
         try:
             batch = fetch(per_page, skip)
@@ -33,10 +34,25 @@ def pages(fetch: Callable[[int, int], list[dict]], per_page: int = 100, target:
             return
         for item in batch:
             yield item
-            n += 1
+            if (name := usable_name(item)) and name not in names:
+                names.add(name)
+                n += 1
+                if n == target:
+                    return
         skip += per_page
 
 
+def usable_name(item: dict) -> str | None:
+    """The lower-case name of a label that makes a record, by the rules of records_from_labels; else None."""
+    flat = item | next((v for v in item.values() if isinstance(v, dict)), {})
+    shown = lambda v: " ".join(" ".join(map(str, v if isinstance(v, list) else [v])).split()) if v is not None else ""
+    name = next((x for c in NAMES if (x := shown((flat.get(c) or [None])[0] if isinstance(flat.get(c), list) else flat.get(c)))), None)
+    cells = {ours: shown(flat.get(theirs)) for ours, theirs in LABEL_FIELDS.items()}
+    cells["description"] = cells["description"] or cells["indications"]
+    enough = flat.get(LABEL_FIELDS["indications"]) and flat.get(LABEL_FIELDS["mechanism"]) and sum(map(bool, cells.values())) >= LEAST_FIELDS
+    return name.lower() if name and enough else None
+
+
 def label_rows(spark: SparkSession, labels: Iterator[dict]) -> DataFrame:
     """Label objects as rows, their list fields as arrays; the nested name block is flattened."""
     as_list = lambda v: None if v is None else v if isinstance(v, list) else [str(v)]

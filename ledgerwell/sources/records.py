@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerwell.functions import lists, text
+from ledgerwell.operators.chunking import fingerprint
+from ledgerwell.operators.dense import encode
+from ledgerwell.session import stored
 
 RECORD = T.StructType([T.StructField(n, T.StringType()) for n in ("name", "category", *lists.RECORD_FIELDS, "source")])
 BRANDS = "brand string, generic string, kind string"
@@ -16,7 +19,8 @@ BRANDS = "brand string, generic string, kind string"
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Records of a JSON array, all fields as text; an empty or malformed file is an error."""
-    raw = spark.read.schema(T.StructType([*RECORD.fields, T.StructField("_bad", T.StringType())])).json(path, multiLine=True, columnNameOfCorruptRecord="_bad").cache()
+    raw = spark.read.schema(T.StructType([*RECORD.fields, T.StructField("_bad", T.StringType())])).json(path, multiLine=True, columnNameOfCorruptRecord="_bad")
+    raw = stored(raw.select("*"), "records")
     if not raw.where("_bad is not null").isEmpty() or raw.isEmpty():
         raise ValueError(f"{path} holds no list of records")
     return raw.drop("_bad")
@@ -72,6 +76,36 @@ def cached_vectors(spark: SparkSession, path: str, fingerprint: str, count: int)
         return None
 
 
+def embedded(chunks: DataFrame, encoder, path: str, model: str, use_dense: bool = True) -> tuple[DataFrame | None, dict]:
+    """Vectors of chunks (chunk_id, text) and how they came: from the cache where it belongs to these texts, else encoded and
+    written. Without use_dense there are none, whatever the encoder; an encoder of None is the default one."""
+    if not use_dense:
+        return None, {"disabled": True, "cached": False}
+    spark = chunks.sparkSession
+    n, digest = fingerprint(chunks, model, "chunk_id").first()
+    held = cached_vectors(spark, path, digest, n)
+    if held is not None:
+        return held, {"cached": True, "count": n, "model": model}
+    write_vectors(encode(chunks.select("chunk_id", "text"), encoder).select("chunk_id", "embedding"), path, digest, model)
+    return cached_vectors(spark, path, digest, n), {"cached": False, "count": n, "model": model}
+
+
+def write_brands(brands: DataFrame, path: str) -> None:
+    """The brand map as one JSON object: resolve and refuse_only by brand."""
+    entry = F.struct("generic", "record", F.when(F.col("kind") != "resolve", F.col("kind")).alias("reason"))
+    pairs = lambda wanted: F.map_from_entries(F.array_sort(F.collect_list(F.when(wanted, F.struct("brand", entry))), lambda a, b: F.when(a["brand"] < b["brand"], -1).otherwise(1)))
+    kinds = F.col("kind") == "resolve"
+    brands.agg(pairs(kinds).alias("resolve"), pairs(~kinds).alias("refuse_only")).coalesce(1).write.mode("overwrite").json(path)
+
+
+def regenerate_brands(brands: DataFrame, path: str, check: bool = False) -> int:
+    """Writes the map anew; with check, only compares: 0 where the stored one is up to date, else 1."""
+    if check:
+        return 0 if same_as_stored(brands.sparkSession, brands, path) else 1
+    write_brands(brands, path)
+    return 0
+
+
 def to_json(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct("*")).alias("json"))
 

@@ -283,3 +283,103 @@ def test_vector_cache(spark, tmp_path):
     assert records.cached_vectors(spark, str(tmp_path / "v"), "f", 1).count() == 1
     assert records.cached_vectors(spark, str(tmp_path / "v"), "g", 1) is None and records.cached_vectors(spark, str(tmp_path / "none"), "f", 1) is None
     assert records.read_brands(spark, str(tmp_path / "none.json")).count() == 0
+
+
+def test_engine_grows_is_kept_and_tells(spark, corpus, tmp_path):
+    brands = spark.createDataFrame(BRANDS, "brand string, generic string, kind string")
+    low = Config(retrieval=Retrieval(bm25_floor=0.3))
+    calls = []
+
+    def encoder(texts):
+        calls.append(len(texts))
+        return dense.hashing_encoder()(texts)
+
+    engine = Engine(corpus, brands, dense.hashing_encoder(), config=low, store=f"file://{tmp_path}/kept")
+    again = Engine(corpus, brands, dense.hashing_encoder(), config=low, store=f"file://{tmp_path}/kept")
+    assert again.vectors.inputFiles() == engine.vectors.inputFiles() and sorted(map(str, again.chunks.collect())) == sorted(map(str, engine.chunks.collect()))
+    upload = spark.createDataFrame([("p.md::Zeta", "p", "Zeta", "upload", "Zetarin protocol needs 42 drops", "upload:p.md", {"a": "b"})], corpus.schema)
+    more = engine.extended(upload)
+    full = Engine(corpus.unionByName(upload), brands, dense.hashing_encoder(), config=low)
+    n = engine.chunks.count()
+    assert {r.chunk_id for r in more.chunks.collect()} == set(range(n + 1)) and more.chunks.where(f"chunk_id = {n}").first().origin == "upload:p.md"
+    key = lambda e, rows: sorted((r.query_id, r.text, round(r.score, 9), r["rank"]) for r in rows.collect())
+    asked = spark.createDataFrame([(1, "how many drops does the zetarin protocol need"), (2, "side effects of alphadrin")], "query_id long, query string")
+    assert key(more, more.retrieve(asked)[0]) == key(full, full.retrieve(asked)[0])
+    assert {r.term: r.df for r in more.index.frequencies.collect()} == {r.term: r.df for r in full.index.frequencies.collect()}
+    assert [name for name, _ in more.steps][-1] == "results" and all(ms > 0 for _, ms in more.steps)
+    rows = {(r.query_id, r.name): r for r in more.trace.collect()}
+    assert rows[1, "floor"].rows_in >= rows[1, "floor"].rows_out == rows[1, "cut"].rows_in
+    said = {r.query_id: r for r in engine.answer(spark.createDataFrame([(1, "dose of alphadrn"), (2, "what is mixor")], "query_id long, query string")).collect()}
+    assert "alphadrn → alphadrin" in said[1].answer and "**Mixor** is a name of *deltin*" in said[2].answer
+    with pytest.raises(ValueError):
+        dense.require_aligned(engine.chunks, engine.vectors.limit(1))
+
+
+def test_pairs_blend_like_all(spark):
+    """Scores of chosen pairs are those of the whole table of chunks by queries."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 8))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "chunk_id long, embedding array<double>")
+    q = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(3)], "query_id long, embedding array<double>")
+    bm = spark.createDataFrame([(i % 3, i, float(i + 1)) for i in range(0, 40, 4)], "query_id long, chunk_id long, bm25 double")
+    every = v.crossJoin(q.withColumnRenamed("embedding", "q")).select("query_id", "chunk_id", dense.cosine(F.col("embedding"), F.col("q")).alias("dense"))
+    whole = {(r.query_id, r.chunk_id): r for r in hybrid.blend(bm, every, v, 0.3).collect()}
+    some = every.where("chunk_id % 5 = query_id").select("query_id", "chunk_id")
+    got = hybrid.blend_pairs(some, bm, v, q.withColumnRenamed("embedding", "q"), dense.bounds(v, q), v, 0.3).collect()
+    assert len(got) == 24 and all(abs(r.score - whole[r.query_id, r.chunk_id].score) < 1e-9 and r.bm25 == whole[r.query_id, r.chunk_id].bm25 for r in got)
+    lab = {(r.alpha, r.query_id, r["rank"]): r.chunk_id for r in hybrid.lab(hybrid.scale(bm, every, v), (0.0, 0.3), 4, floor=False).collect()}
+    for i in range(3):
+        best = sorted((k for k in whole if k[0] == i), key=lambda k: (-round(whole[k].score, 9), k[1]))[:4]
+        assert [lab[0.3, i, r] for r in range(1, 5)] == [c for _, c in best]
+
+
+def test_cells_are_kept(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 8))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    q = v.where("vec_id % 90 = 0").withColumnRenamed("vec_id", "query_id")
+    path = f"file://{tmp_path}/index"
+    dense.write_cells(v, path)
+    key = lambda df: sorted((r.query_id, r["rank"], r.vec_id) for r in df.collect())
+    assert key(dense.cell_topk(dense.read_cells(spark, path), q, 3, 2)) == key(dense.batch_topk(v, q, 3)) == key(dense.search(v, q, 3, path, True))
+    assert [dense.wants_cells(*a) for a in ((10**6,), (49_999,), (10**6, False), (319, True), (320, True))] == [True, False, False, False, True]
+
+
+def test_persona_and_pair_measures(spark):
+    rows = [("ok", True, "dosage", 2, 100, 10.0, False), ("ok", False, "mechanism", None, 300, 20.0, False), ("red_flag", False, "dosage", None, None, 30.0, False), ("unknown_entity", False, "dosage", None, None, 40.0, False), ("ok", True, None, None, 200, 50.0, False), ("no_entity", False, None, None, None, 1.0, True), ("ok", False, None, None, 5, 1.0, True)]
+    cases = spark.createDataFrame(rows, "status string, drug_hit boolean, field string, first_rank int, context_chars int, ms double, must_refuse boolean")
+    r = evaluation.persona_metrics(cases, frozenset({"dosage"}), frozenset({"mechanism"})).first()
+    assert (r.answered, r.in_policy, r.out_of_policy, r.policy_refusals, r.retrieval_misses) == (3, 1, 2, 1, 1)
+    assert (r.drug_recall, r.field_recall, r.field_mrr, r.refusal_accuracy, r.mean_context_chars, r.mean_ms) == (pytest.approx(2 / 3), 1.0, 0.5, 0.5, 200.0, 30.0)
+    assert evaluation.persona_metrics(cases.limit(0), None).first().field_recall is None
+    pairs_ = spark.createDataFrame([("Major", None, "ok", "Major"), ("Major", None, "ok", "Minor"), (None, "same_drug", "same_drug", None)], "want_level string, want_status string, status string, level string")
+    assert evaluation.pair_accuracy(pairs_).first().interaction_accuracy == pytest.approx(2 / 3)
+
+
+def test_lists_of_few_names(spark):
+    items, short = pairs.list_items(spark.createDataFrame([(1, "a, b;\nc"), (2, "only"), (3, " ,;"), (4, None)], "list_id int, text string"))
+    assert sorted((r.list_id, r.pos, r.input) for r in items.collect()) == [(1, 0, "a"), (1, 1, "b"), (1, 2, "c")]
+    assert {r.list_id: r.status for r in short.collect()} == {2: "too_few", 3: "too_few"}
+
+
+def test_vectors_by_fingerprint_and_brand_maps(spark, tmp_path):
+    chunks = spark.createDataFrame([(1, "a b"), (2, "c")], "chunk_id long, text string")
+    encoder, path = dense.hashing_encoder(8), f"file://{tmp_path}/v"
+    first, how = records.embedded(chunks, encoder, path, "m")
+    assert not how["cached"] and first.count() == 2
+    assert records.embedded(chunks, encoder, path, "m")[1]["cached"] and not records.embedded(chunks.limit(1), encoder, path, "m")[1]["cached"]
+    assert records.embedded(chunks, encoder, path, "m", use_dense=False) == (None, {"disabled": True, "cached": False})
+    brands = spark.createDataFrame([("x", "g", "G", "resolve"), ("y", "h i", None, "combination"), ("z", "k", None, "absent")], "brand string, generic string, record string, kind string")
+    at = f"file://{tmp_path}/brands"
+    assert records.regenerate_brands(brands, at) == 0 and records.regenerate_brands(brands, at, check=True) == 0
+    assert records.regenerate_brands(brands.where("brand <> 'z'"), at, check=True) == 1
+
+
+def test_audit_log(spark, tmp_path):
+    rows = spark.createDataFrame([("t1", "p", "call 555 123 4567 89", "ok", "llm", 2, (["1"], 2, 0.5, True), ["f"], "T·f")], "time string, persona string, query string, status string, mode string, n_sources int, verification struct<citations:array<string>,n_sources:int,overlap:double,grounded:boolean>, dropped_fields array<string>, source_ids string")
+    log, out = f"file://{tmp_path}/log", f"{tmp_path}/csv"
+    for _ in range(2):
+        answers.append_audit(answers.audit_rows(rows), log)
+    answers.export_audit(spark, log, out)
+    got = spark.read.csv(out, header=True).collect()
+    assert len(got) == 2 and (got[0].query, got[0].cited, got[0].source_ids, got[0].provider, got[0].withheld_fields) == ("call [phone]", "1/2", "T·f", "—", "f")

@@ -1,3 +1,6 @@
+import json
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,6 +37,30 @@ def test_replies_and_models():
     assert generation.label("refused", "red_flag").startswith("emergency") and generation.label("llm", "ok") == "generated"
 
 
+def test_shapes_of_replies():
+    sent = []
+
+    def post(url, payload, headers, timeout):
+        sent.append((url, payload, headers))
+        return {"chat": {"choices": [{"message": {"content": "a"}}]}, "parts": {"candidates": [{"content": {"parts": [{"text": "b"}]}}]}, "local": {"response": "c"}}[url.split("/")[2]]
+
+    assert [generation.http_call("p", f"http://{shape}/{{model}}", "k", shape, post=post)("hello", "m1") for shape in generation.SHAPES] == ["a", "b", "c"]
+    assert sent[0][0] == "http://chat/m1" and sent[0][1]["messages"][0]["content"] == "hello" and sent[0][2]["Authorization"] == "Bearer k"
+    assert "hello" in json.dumps(sent[1][1]) and sent[2][1]["model"] == "m1"
+    with pytest.raises(GenerationError, match="402 no credit"):
+        generation.chat_text({"error": {"code": 402, "message": "no credit"}}, "p")
+    assert generation.error_kind("p: 402 no credit") == "account"
+    with pytest.raises(GenerationError, match="length"):
+        generation.chat_text({"choices": [{"message": {"content": " "}, "finish_reason": "length"}]}, "p")
+
+
+def test_labels_until_enough_records():
+    good = lambda n: {"openfda": {"generic_name": [n]}, "indications_and_usage": ["i"], "mechanism_of_action": ["m"], "adverse_reactions": ["s"]}
+    feed = [good("a"), good("A"), {"openfda": {"brand_name": ["x"]}, "indications_and_usage": ["i"]}, {}, good("b"), good("c")]
+    fetch = lambda limit, skip: feed[skip : skip + limit]
+    assert len(list(labels.pages(fetch, 2, target=2))) == 5 and len(list(labels.pages(fetch, 2, target=9))) == 6
+
+
 def test_labels(spark):
     item = {"n": {"generic_name": ["co-ALPHA acid"], "route": ["ORAL"]}, "indications_and_usage": ["For  a", "b"], "mechanism_of_action": ["m"], "adverse_reactions": ["s"]}
     fetch = lambda limit, skip: [item, item | {"adverse_reactions": ["later"]}, {"n": {"brand_name": ["Beta"]}, "indications_and_usage": ["x"]}][skip : skip + limit]
@@ -64,6 +91,7 @@ def test_trace(spark):
     rows = trace.step(1, "floor", before, before.where("score > 0.2"), "below floor")
     got = {r.query_id: r for r in rows.withColumn("line", trace.summary()).collect()}
     assert got[1].line == "kept 2 of 2" and got[2].line == "kept 0 of 1, dropped 1 below floor" and got[1].top_scores == [0.5, 0.25]
+    assert trace.total_ms([("a", 1.5), ("b", 2)]) == 3.5
     assert {r.reason: r.n for r in trace.drop_totals(rows).collect()} == {"below floor": 1}
     size = spark.range(1).select(trace.context_size(F.lit("[Source 1] a b\n\n[Source 2] c")).alias("s")).first().s
     assert (size.words, size.tokens, size.sources) == (7, 9, 2)
@@ -72,11 +100,21 @@ def test_trace(spark):
 def test_checks(spark, tmp_path):
     (tmp_path / "a.txt").write_text("fine\nkey = 'gsk_" + "a" * 24 + "'\n")
     assert checks.key_literals(spark, str(tmp_path)).count() == 1
-    assert checks.key_literals(spark, "/root/repo/ledgerwell/*/*.py").count() == 0
+    assert checks.key_literals(spark, str(Path(checks.__file__).parents[1] / "*/*.py")).count() == 0
     assert [checks.exit_code(x) for x in ({"a": "ok"}, {"a": "ok", "b": "degraded"}, {"a": "fail", "b": "degraded"})] == [0, 1, 2]
     assert "config" in checks.quick()
 
 
+def test_deep_check(spark, tmp_path):
+    records = [{"name": "Alphadrin", "category": "x", "description": "Alphadrin is a medicine of much noise, noise and more noise.", "indications": "Alphadrin is used for noise in the ear, noise at night and noise by day."}]
+    (tmp_path / "r.json").write_text(json.dumps(records))
+    found = checks.deep(spark, str(tmp_path / "r.json"), "alphadrin noise", "zorbax")
+    assert found["records"] == "ok" and found["absent"] == "ok" and found["rows"] == "ok"
+    (tmp_path / "r.json").write_text("[]")
+    assert checks.deep(spark, str(tmp_path / "r.json"), "a", "b")["records"] == "fail"
+    assert checks.main([]) in (0, 1)
+
+
 def test_stream_of_events(spark, tmp_path):
     path = "/root/testdata/sf0.001/events.parquet"
     batch = spark.read.parquet(path)
