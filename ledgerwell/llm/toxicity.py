@@ -34,7 +34,7 @@ from ledgerwell.llm.common import table
 from ledgerwell.llm.langid import held_out
 
 DECAY, SPAN, POWER = 0.6, 6, 3
-PER_LABEL, MOST_SENTENCES, MOST_WORDS = 2500, 200, 200
+PER_LABEL, MOST_SENTENCES, MOST_WORDS = 2500, 120, 200
 TOXIC_LANDMARKS, NEAR_LANDMARKS, BAR = 160, 48, 10.0
 ROUNDS, BENT_COST = 3, 0.5
 #: Words whose scores a worker keeps, and words worked on at once (12 bits of a key).
@@ -204,29 +204,33 @@ def choose_landmarks(docs: list[tuple[list[list[str]], int]]) -> tuple[list[str]
     return toxic + closest, np.array([strong[w] for w in toxic])
 
 
-def _machine(parts: list[np.ndarray], root: np.ndarray, y: np.ndarray, cost: np.ndarray, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Squared hinge loss with an L2 penalty on the rows of parts times root, by Newton steps on the rows inside the margin,
-    summed over blocks of rows."""
+def _machine(parts: list[np.ndarray], y: np.ndarray, cost: np.ndarray, start: np.ndarray, penalty: float = 1e-3) -> np.ndarray:
+    """Weights, the bias last, by squared hinge loss with an L2 penalty: Newton steps on the rows inside the margin, summed over
+    blocks of rows in single precision."""
     blocks = [p[at : at + 8192] for p in parts for at in range(0, len(p), 8192)]
-    n = root.shape[1]
-    w = np.zeros(n + 1)
+    n, w = parts[0].shape[1], start
     ridge = np.diag(np.r_[np.full(n, penalty), 1e-9])
     for _ in range(30):
         curve, pull, at = ridge.copy(), np.zeros(n + 1), 0
-        direction = root @ w[:-1]
+        direction = w[:-1].astype(np.float32)
         for block in blocks:
             label, weight = y[at : at + len(block)], cost[at : at + len(block)]
             inside = label * (block @ direction + w[-1]) < 1
             at += len(block)
-            label, weight = label[inside], weight[inside]
-            part = np.c_[block[inside] @ root, np.ones(len(label))]
-            curve += (part * weight[:, None]).T @ part
-            pull += part.T @ (weight * label)
+            label, weight, part = label[inside], weight[inside], block[inside]
+            heavy = part * weight.astype(np.float32)[:, None]
+            curve[:n, :n] += heavy.T @ part
+            ends = heavy.sum(0, dtype=np.float64)
+            curve[:n, n] += ends
+            curve[n, :n] += ends
+            curve[n, n] += weight.sum()
+            pull[:n] += heavy.T @ label.astype(np.float32)
+            pull[n] += weight @ label
         new = np.linalg.solve(curve, pull)
-        if np.allclose(new, w, atol=1e-6):
-            break
+        if np.allclose(new, w, rtol=1e-3, atol=1e-4):
+            return new
         w = new
-    return w[:-1], float(w[-1])
+    return w
 
 
 def bent(word: str) -> list[str]:
@@ -234,24 +238,25 @@ def bent(word: str) -> list[str]:
     return [f"{word[:k]}x{word[k:]}" for k in range(1, len(word))]
 
 
-def _bags(kernel: Kernel, docs: list[tuple[list[list[str]], int]]) -> list[np.ndarray]:
-    """Of each document the kernel values of its sentences with the landmarks, and an empty sentence."""
-    out = []
+def _values(kernel: Kernel, docs: list[tuple[list[list[str]], int]], first: np.ndarray) -> np.ndarray:
+    """The kernel values of all sentences with the landmarks; a document's begin at its place in first and end with an empty one."""
+    out = np.zeros((first[-1], len(kernel.landmarks)), np.float32)
     for at in range(0, len(docs), 256):
         part = [cut for cut, _ in docs[at : at + 256]]
         place = {w: k for k, w in enumerate(sorted({w for cut in part for s in cut for w in s}))}
         values = kernel.rows(list(place))
-        for cut in part:
+        for k, cut in enumerate(part, at):
             flat = np.array([place[w] for s in cut for w in s])
-            first = np.cumsum([0, *map(len, cut)])[:-1]
-            out.append(np.r_[np.add.reduceat(values[flat], first, axis=0), np.zeros((1, values.shape[1]), np.float32)])
+            np.add.reduceat(values[flat], np.cumsum([0, *map(len, cut)])[:-1], axis=0, out=out[first[k] : first[k + 1] - 1])
     return out
 
 
 def fit(labelled: list[tuple[str, int]]) -> Model | None:
     """A model from (text, label) pairs; None when a label is missing."""
-    docs = _without_copies(labelled)
-    if len({label for _, label in docs}) < 2:
+    docs = sorted(_without_copies(labelled), key=lambda d: d[1])  # clean ones first
+    label = np.array([y for _, y in docs])
+    n_clean = int((label == 0).sum())
+    if n_clean in (0, len(docs)):
         return None
     landmarks, strength = choose_landmarks(docs)
     n_toxic = len(strength)
@@ -260,22 +265,25 @@ def fit(labelled: list[tuple[str, int]]) -> Model | None:
     kernel = Kernel(landmarks)
     own = kernel.rows(landmarks).astype(float)
     value, vector = np.linalg.eigh((own + own.T) / 2 + 1e-3 * np.eye(len(own)))
-    root = (vector / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
-    vectors = _bags(kernel, docs)
-    label = np.array([y for _, y in docs])
-    rest = np.concatenate([v for v, y in zip(vectors, label, strict=True) if not y])
-    toxic = [v for v, y in zip(vectors, label, strict=True) if y]
-    virtual = [kernel.rows(bent(w)) for w in landmarks[:n_toxic]]
-    virtual_cost = np.concatenate([np.full(len(v), x / len(v)) for v, x in zip(virtual, strength, strict=True)])
+    root = ((vector / np.sqrt(np.maximum(value, 1e-3))) @ vector.T).astype(np.float32)
+    first = np.cumsum([0, *(len(cut) + 1 for cut, _ in docs)])
+    x = _values(kernel, docs, first)
+    spans = [slice(a, b) for a, b in zip(first[n_clean:-1], first[n_clean + 1 :], strict=True)]
+    chosen = [s.start + int(x[s, :n_toxic].sum(1).argmax()) for s in spans]
+    for at in range(0, len(x), 8192):
+        x[at : at + 8192] = x[at : at + 8192] @ root
+    virtual = [kernel.rows(bent(w)) @ root for w in landmarks[:n_toxic]]
+    virtual_cost = np.concatenate([np.full(len(v), s / len(v)) for v, s in zip(virtual, strength, strict=True)])
     virtual, virtual_cost = np.concatenate(virtual), BENT_COST * virtual_cost / virtual_cost.sum()
-    beta, bias = np.r_[np.ones(n_toxic), np.zeros(len(landmarks) - n_toxic)], 0.0
+    rest, w = x[: first[n_clean]], np.zeros(len(landmarks) + 1)
+    y = np.r_[np.ones(len(chosen) + len(virtual)), -np.ones(len(rest))]
+    cost = np.r_[np.full(len(chosen), 1 / len(chosen)), virtual_cost, np.full(len(rest), 1 / len(rest))]
     for _ in range(ROUNDS):
-        chosen = np.array([v[np.argmax(v @ beta)] for v in toxic])
-        y = np.r_[np.ones(len(chosen) + len(virtual)), -np.ones(len(rest))]
-        cost = np.r_[np.full(len(chosen), 1 / len(chosen)), virtual_cost, np.full(len(rest), 1 / len(rest))]
-        w, bias = _machine([chosen, virtual, rest], root, y, cost)
-        beta = root @ w
-    x = np.array([evidence((v @ beta).tolist(), bias, sum(map(len, cut))) for v, (cut, _) in zip(vectors, docs, strict=True)])
+        w = _machine([x[chosen], virtual, rest], y, cost, w)
+        sums = x @ w[:-1].astype(np.float32)
+        chosen = [s.start + int(sums[s].argmax()) for s in spans]
+    bias, beta = float(w[-1]), root @ w[:-1]
+    x = np.array([evidence(sums[a:b].tolist(), bias, sum(map(len, cut))) for a, b, (cut, _) in zip(first[:-1], first[1:], docs, strict=True)])
     x = np.r_[x, np.tile(evidence([], bias, 0), (20, 1))]  # the length alone must not speak against an empty text
     label = np.r_[label, np.zeros(20)]
     link = np.zeros(4)
