@@ -209,9 +209,10 @@ def training_sample(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> li
     size = F.length("text")
     pieces = F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), lambda i: F.substr("text", (1 + F.floor(i * F.greatest(size - STEPS, F.lit(0)) / (SEGMENTS - 1))).cast("int"), F.lit(STEPS)))
     usable = labelled.where("text is not null and lang is not null and doc_id is not null")
-    counts = usable.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n"))
-    cuts = counts.select("lang", (F.least(F.lit(1.0), SPARE * (per_language + 50) / F.col("n")) * 2.0**53).cast("long").alias("cut"))
-    rows = usable.select("doc_id", "lang", "text", F.shiftrightunsigned(F.xxhash64("doc_id"), 11).alias("h")).join(cuts, "lang").where("h <= cut")
+    counts = usable.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).collect()  # a row a language, as in the model
+    cut = F.create_map(*(F.lit(x) for r in counts for x in (r.lang, int(min(1.0, SPARE * (per_language + 50) / max(r.n, 1)) * 2**53)))) if counts else F.lit(None).cast("map<string,bigint>")
+    h = F.shiftrightunsigned(F.xxhash64("doc_id"), 11)
+    rows = usable.where(h <= F.element_at(cut, F.col("lang"))).select("doc_id", "lang", "text", h.alias("h"))
     one = rows.groupBy("lang", "h", "doc_id").agg(F.min(F.array_distinct(pieces)).alias("pieces"))
     first = Window.partitionBy("lang").orderBy("h", "doc_id")
     chosen = one.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_language)
