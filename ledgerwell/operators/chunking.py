@@ -37,10 +37,11 @@ def chunk_table(docs: DataFrame, size: int = 90, overlap: int = 25, profile: str
 def numbered(chunks: DataFrame) -> DataFrame:
     """Adds chunk_id, dense in order of (doc_id, win): counts of range partitions give the offsets, so no task ranks all rows.
 
-    The ranges are sampled, so the dealt rows are stored once, with their range, and both the counts and the rows read that.
+    The ranges are sampled, so the chunks are cut and stored before, and the dealt rows are stored with their range, which both
+    the counts and the rows read. The window over ranges runs over one row a range.
     """
     parts = max(1, int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = stored(chunks.repartitionByRange(parts, "doc_id", "win").withColumn("part", F.spark_partition_id()), "chunks")
+    ranged = stored(stored(chunks, "cut").repartitionByRange(parts, "doc_id", "win").withColumn("part", F.spark_partition_id()), "chunks")
     counts = ranged.groupBy("part").agg(F.count("*").alias("n"))
     offsets = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     rows = ranged.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("doc_id", "win")))

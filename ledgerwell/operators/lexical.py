@@ -71,10 +71,15 @@ def grams(words, n: int = 2):
     return F.concat(words, pairs) if n == 2 else words
 
 
-def _gram_counts(rows: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, term, tf) of words and pairs of words."""
+def _gram_counts(rows: DataFrame, key: str, column: str, hashed: bool = False) -> DataFrame:
+    """(key, term, tf) of words and pairs of words, or of their 64-bit hashes."""
     words = F.regexp_extract_all(F.lower(F.coalesce(column, F.lit(""))), F.lit("([A-Za-z0-9_]{2,})"), F.lit(1))
-    return rows.select(key, words.alias("w")).select(key, F.explode(grams(F.col("w"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    found = grams(F.col("w"))
+    if hashed:  # of a pair, the hash of both words, so that no string is built
+        w = F.col("w")
+        pairs = F.when(F.size(w) < 2, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1))))
+        found = F.concat(F.transform(w, lambda x: F.xxhash64(x)), pairs)
+    return rows.select(key, words.alias("w")).select(key, F.explode(found).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def _idf(tf: DataFrame, rows: DataFrame, min_df: int) -> DataFrame:
@@ -110,10 +115,11 @@ def tfidf_cosine(rows: DataFrame, queries: DataFrame, key: str, column: str, min
     """(query_id, key, cosine) of queries (query_id and the same column) with the rows that share a term.
 
     The space is learned from all rows, but only weights of query terms are kept: a row's other terms go into its norm where
-    they are summed, so that the shuffle by row carries one partial sum a task and the few weights that can score.
+    they are summed, so that the shuffle by row carries one partial sum a task and the few weights that can score. Terms are told by
+    64-bit hashes: among a billion different ones, two share a hash with a chance of 3 %.
     """
-    asked = _gram_counts(queries, "query_id", column).withColumnRenamed("tf", "qtf")
-    tf = _gram_counts(rows, key, column)
+    asked = _gram_counts(queries, "query_id", column, hashed=True).withColumnRenamed("tf", "qtf")
+    tf = _gram_counts(rows, key, column, hashed=True)
     idf = _idf(tf, rows, min_df)
     known = stored(idf.join(asked.select("term").distinct(), "term", "left_semi"), "idf")  # the terms of the queries
     q = asked.join(known, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerwell.functions import lists, text
 from ledgerwell.operators import answers, chunking, dense, evaluation, grounding, hybrid, lexical, pairs, routing
-from ledgerwell.session import new_path, stored
+from ledgerwell.session import dealt, new_path, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -36,7 +36,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _read(spark, sf_dir, "documents")
+    d = dealt(_read(spark, sf_dir, "documents"))
     return d.select("doc_id", F.col("source").alias("title"), F.col("lang").alias("field"), F.lit("doc").alias("category"), "text", F.lit(chunking.CORPUS).alias("origin"))
 
 
@@ -252,7 +252,8 @@ def _questions(spark, sf_dir) -> DataFrame:
 
 
 def _bm25(spark, sf_dir, **kw) -> DataFrame:
-    return lexical.bm25(lexical.build_index(_cleaned(spark, sf_dir)), _questions(spark, sf_dir), **kw)
+    cleaned = stored(_cleaned(spark, sf_dir).select("chunk_id", "clean"), "cleaned")  # read by postings, lengths and totals
+    return lexical.bm25(lexical.build_index(cleaned), _questions(spark, sf_dir), **kw)
 
 
 @query(f"WITH {_INDEX} SELECT term, doc_id AS chunk_id, tf FROM post")
@@ -883,7 +884,7 @@ WITH {_CHUNK_BM25} SELECT query_id, count(*) AS n_sources, round(max(bm25), 6) A
 FROM up WHERE rank = 1 OR upto <= 12000 GROUP BY 1""")
 def grounded_context(spark, sf_dir):
     """Documents to windows, index, scores, floor, top 5 and a packed context for every question."""
-    chunks = chunking.numbered(chunking.chunk_table(_docs(spark, sf_dir), profile="stopwords"))
+    chunks = stored(chunking.numbered(chunking.chunk_table(_docs(spark, sf_dir), profile="stopwords")), "numbered")
     scores = lexical.bm25(lexical.build_index(chunks), _questions(spark, sf_dir))
     best = lexical.top(scores.where("bm25 >= 1.0"), 5, "bm25").join(chunks.select("chunk_id", "drug", "field", "text"), "chunk_id")
     packed = answers.packed(best.withColumn("score", F.round("bm25", 9)))

@@ -24,6 +24,17 @@ def session(app: str = "ledgerwell", master: str | None = None, partitions: int
     return builder.getOrCreate()
 
 
+#: Bytes of files below which a table is dealt out.
+SMALL = 16 << 20
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A small table's rows over all cores: a file of one row group is read by one task, which would do all the work on its rows.
+    Larger tables are left as their files deal them."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL else df
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     """A path of its own in the folder that all executors share (spark.checkpoint.dir), deleted when the session's process ends.
 
