@@ -7,19 +7,27 @@ from pyspark.sql import functions as F
 
 from ledgerwell.llm.common import written
 
+#: Links that a task is given; small link tables are dealt to fewer tasks than the session's shuffles.
+LINKS = 100_000
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Each larger neighbour of a node is linked with the smallest node around it."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+def _tasks(edges: DataFrame, n: int) -> int:
+    return max(1, min(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // LINKS)))
+
+
+def _large_star(edges: DataFrame, tasks: int) -> DataFrame:
+    """Each larger neighbour of a node is linked with the smallest node around it. One exchange: the links meet by node."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).repartition(tasks, "a")
     low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-    return both.join(low, "a").where(F.col("b") > F.col("a")).select("b", "low").where("low < b").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+    return both.join(low.hint("merge"), "a").where(F.col("b") > F.col("a")).select("b", "low").where("low < b").select(F.col("b").alias("a"), F.col("low").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, tasks: int) -> DataFrame:
     """Each smaller neighbour of a node, and the node, are linked with the smallest of them; edges run from larger to smaller."""
-    low = edges.groupBy("a").agg(F.min("b").alias("low"))
-    moved = edges.join(low, "a").where("b > low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-    return moved.unionByName(low.select("a", F.col("low").alias("b"))).distinct()
+    own = edges.repartition(tasks, "a").distinct()
+    low = own.groupBy("a").agg(F.min("b").alias("low"))
+    moved = own.join(low.hint("merge"), "a").where("b > low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+    return moved.unionByName(low.select("a", F.col("low").alias("b"))).repartition(tasks, "a").distinct()
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -30,10 +38,12 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """
     clean = links.where("a is not null and b is not null and a <> b")
     edges = written(clean.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    before = None
+    state = lambda: edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    before = state()
     for _ in range(rounds):
-        edges = written(_small_star(_large_star(edges)), "stars")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        tasks = _tasks(edges, 2 * before[0])
+        edges = written(_small_star(_large_star(edges, tasks), tasks), "stars")
+        now = state()
         if now == before:
             break
         before = now
