@@ -119,7 +119,7 @@ def tfidf_cosine(rows: DataFrame, queries: DataFrame, key: str, column: str, min
     64-bit hashes: among a billion different ones, two share a hash with a chance of 3 %.
     """
     asked = _gram_counts(queries, "query_id", column, hashed=True).withColumnRenamed("tf", "qtf")
-    tf = _gram_counts(rows, key, column, hashed=True)
+    tf = stored(_gram_counts(rows, key, column, hashed=True), "gram-counts")  # read for the frequencies, and for the weights
     idf = _idf(tf, rows, min_df)
     known = stored(idf.join(asked.select("term").distinct(), "term", "left_semi"), "idf")  # the terms of the queries
     q = asked.join(known, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))

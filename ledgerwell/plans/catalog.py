@@ -886,7 +886,7 @@ def grounded_context(spark, sf_dir):
     """Documents to windows, index, scores, floor, top 5 and a packed context for every question."""
     chunks = stored(chunking.numbered(chunking.chunk_table(_docs(spark, sf_dir), profile="stopwords")), "numbered")
     scores = lexical.bm25(lexical.build_index(chunks), _questions(spark, sf_dir))
-    best = lexical.top(scores.where("bm25 >= 1.0"), 5, "bm25").join(chunks.select("chunk_id", "drug", "field", "text"), "chunk_id")
+    best = stored(lexical.top(scores.where("bm25 >= 1.0"), 5, "bm25").join(chunks.select("chunk_id", "drug", "field", "text"), "chunk_id"), "best")
     packed = answers.packed(best.withColumn("score", F.round("bm25", 9)))
     top = best.groupBy("query_id").agg(F.round(F.max("bm25"), 6).alias("best"))
     return packed.join(top, "query_id").select("query_id", "n_sources", "best", F.length("context").cast("long").alias("n_chars"), F.md5("context").alias("digest"))
