@@ -7,8 +7,10 @@ run inside small nodes; what is left of a node goes up a tree of nodes, a groupe
 a large share of their source duel first, and what the last of them gains or owes by rounding is spread over the fractions
 of the others, so that a source ends within half a small document of its target.
 
-Null text counts no words; a null source is a source of its own, ordered last; repeated rows are rounded one by one; an
-empty table gives an empty result; other columns are ignored.
+Null text counts no words; a null source is a source of its own, ordered last; repeated rows are rounded one by one, and
+those of one row that is repeated very often are dealt over tasks; a long text is counted whole, in one expression; ties are
+drawn by hashes of id, number of the copy and size; an empty table gives an empty result; other columns are ignored. The
+windows of the targets run over one row a source.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ from ledgerwell.llm.common import let, table, word_count, written
 FAN = 64
 #: Documents with more than 1 / n of their source's words are settled before the others, for each n in turn.
 LARGE = (50, 200)
-ITEM = "struct<doc_id:bigint,nth:int,size:bigint,p:double>"
-DECIDED = "struct<doc_id:bigint,nth:int,size:bigint,picked:int>"
+#: Copies of one row that a task numbers; rows with more are dealt over tasks.
+COPIES = 10_000
+ITEM = "struct<doc_id:bigint,nth:bigint,size:bigint,p:double>"
+DECIDED = "struct<doc_id:bigint,nth:bigint,size:bigint,picked:int>"
 
 
 def source_targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
@@ -108,18 +112,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, see
     targets = written(targets.withColumn("leaves", F.ceil(F.col("n_docs") / FAN)), "mix-targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     near = F.round(rate)
-    rows = (
+    counted = (
         sized.alias("d")
         .join(targets.alias("t"), F.expr("d.source <=> t.source"))
         .select("d.doc_id", "d.source", "d.size", "n", "source_size", "target", "leaves", F.when(F.abs(rate - near) < 1e-9, near).otherwise(rate).alias("rate"))
-        .withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
         .withColumn("whole", F.floor("rate").cast("long"))
         .withColumn("p", F.col("rate") - F.floor("rate"))
     )
+    few = counted.where(F.col("n") <= COPIES).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = counted.where(F.col("n") > COPIES).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES))))
+    begin = F.col("block") * COPIES
+    many = block.repartition(parts, "doc_id", "size", "block").withColumn("nth", F.explode(F.sequence(begin + 1, F.least(F.col("n"), begin + COPIES)))).drop("block")
+    rows = few.unionByName(many)
     open_ = (F.col("p") > 0) & (F.col("size") > 0)
     closed = rows.where(~open_).select("doc_id", "source", "size", "source_size", "target", F.col("whole").alias("copies"))
     of = ["source", "source_size", "target", "whole"]
-    item = F.struct("doc_id", F.col("nth").cast("int").alias("nth"), "size", "p").cast(ITEM)
+    item = F.struct("doc_id", "nth", "size", "p").cast(ITEM)
     parts, left, rest = [closed], rows.where(open_), F.col("out.rest")
     for n in LARGE:
         large = F.col("size") * n > F.col("source_size")

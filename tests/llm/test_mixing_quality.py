@@ -46,6 +46,14 @@ def test_mix(spark, save, prose):
     assert sorted(map(str, again)) == sorted(map(str, out))
 
 
+def test_a_row_repeated_very_often(spark, save, monkeypatch):
+    docs = [(None, "w w", None, "a")] * 500 + [(7, "w", None, "a")] * 95 + [(i, "w w w", None, "b") for i in range(100, 200)]
+    path = save(docs)
+    want = sorted(map(str, mixing.op10_mix_sources(spark, path).collect()))
+    monkeypatch.setattr(mixing, "COPIES", 30)
+    assert sorted(map(str, mixing.op10_mix_sources(spark, path).collect())) == want and len(want) == len(docs)
+
+
 def test_mix_of_nothing(spark, save):
     assert mixing.op10_mix_sources(spark, save([])).count() == 0
 
