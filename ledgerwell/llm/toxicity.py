@@ -34,7 +34,7 @@ from ledgerwell.llm.common import table
 from ledgerwell.llm.langid import held_out
 
 DECAY, SPAN, POWER = 0.6, 6, 3
-PER_LABEL, MOST_SENTENCES, MOST_WORDS = 2500, 120, 200
+PER_LABEL, MOST_SENTENCES, MOST_WORDS = 2500, 160, 200
 TOXIC_LANDMARKS, NEAR_LANDMARKS, BAR = 160, 48, 10.0
 ROUNDS, BENT_COST = 3, 0.5
 #: Words whose scores a worker keeps, and words worked on at once (12 bits of a key).
@@ -173,35 +173,48 @@ def choose_landmarks(docs: list[tuple[list[list[str]], int]]) -> tuple[list[str]
     Toxic ones are those whose share of toxic documents is beyond chance by BAR (twice the log likelihood ratio), and for a
     toxic document that holds none of them its strongest word that another document shares; at most TOXIC_LANDMARKS.
     """
-    bags = [({c for s in cut for w in s if len(c := _JUNK.sub("", w)) >= 3}, label) for cut, label in docs]
+    clean: dict[str, str] = {}
+
+    def bag(cut: list[list[str]]) -> set[str]:
+        """The different words of a document, cleaned."""
+        for w in (w for s in cut for w in s if w not in clean):
+            clean[w] = _JUNK.sub("", w)
+        return {clean[w] for s in cut for w in s if len(clean[w]) >= 3}
+
     with_toxic, with_clean = Counter(), Counter()
-    for bag, label in bags:
-        (with_toxic if label else with_clean).update(bag)
-    n1 = sum(label for _, label in docs)
-    share = n1 / len(docs)
+    for cut, label in docs:
+        if label:
+            with_toxic.update(bag(cut))
+    for cut, label in docs:
+        if not label:
+            with_clean.update(w for w in bag(cut) if w in with_toxic)  # other words are no sign of toxicity
+            clean.clear()
+    share = sum(label for _, label in docs) / len(docs)
 
     def strength(w: str) -> float:
         a, b = with_toxic[w], with_clean[w]
         p = a / (a + b)
         return 2 * (a * np.log(p / share) + (b * np.log((1 - p) / (1 - share)) if b else 0)) if p > share and a > 1 else 0.0
 
-    strong = {w: strength(w) for w in with_toxic}
+    strong = {w: s for w in with_toxic if (s := strength(w)) > 0}
     toxic = sorted((w for w, s in strong.items() if s > BAR), key=lambda w: (-strong[w], w))[:TOXIC_LANDMARKS]
     chosen = set(toxic)
-    for bag, label in bags:
-        if label and len(toxic) < TOXIC_LANDMARKS and not bag & chosen:
-            best = max(bag, key=lambda w: (strong[w], w), default=None)
-            if best and strong[best] > 0:
+    for cut, label in docs:
+        if label and len(toxic) < TOXIC_LANDMARKS:
+            held = bag(cut)
+            best = max(held & strong.keys(), key=lambda w: (strong[w], w), default=None)
+            if best and not held & chosen:
                 toxic.append(best)
                 chosen.add(best)
-    others = sorted(w for w in with_clean if w not in chosen)
-    near = [np.zeros(0, np.float32)]
+    near: dict[str, float] = {}
     kernel = Kernel(toxic) if toxic else None
-    for at in range(0, len(others) if kernel else 0, BLOCK):
-        near.append(kernel.rows(others[at : at + BLOCK]).max(1))
-    near = np.concatenate(near)
-    closest = [others[i] for i in np.argsort(-near, kind="stable")[:NEAR_LANDMARKS] if near[i] > 0]
-    return toxic + closest, np.array([strong[w] for w in toxic])
+    rest = [cut for cut, label in docs if not label]
+    for at in range(0, len(rest) if kernel else 0, 256):
+        words = sorted({w for cut in rest[at : at + 256] for w in bag(cut)} - chosen)
+        clean.clear()
+        near |= dict(zip(words, kernel.rows(words).max(1, initial=0.0).tolist(), strict=True))
+        near = dict(sorted(near.items(), key=lambda x: (-x[1], x[0]))[:NEAR_LANDMARKS])
+    return toxic + [w for w, x in near.items() if x > 0], np.array([strong[w] for w in toxic])
 
 
 def _machine(parts: list[np.ndarray], y: np.ndarray, cost: np.ndarray, start: np.ndarray, penalty: float = 1e-3) -> np.ndarray:
@@ -214,6 +227,7 @@ def _machine(parts: list[np.ndarray], y: np.ndarray, cost: np.ndarray, start: np
         curve, pull, at = ridge.copy(), np.zeros(n + 1), 0
         direction = w[:-1].astype(np.float32)
         for block in blocks:
+            block = block.astype(np.float32)
             label, weight = y[at : at + len(block)], cost[at : at + len(block)]
             inside = label * (block @ direction + w[-1]) < 1
             at += len(block)
@@ -240,14 +254,14 @@ def bent(word: str) -> list[str]:
 
 def _values(kernel: Kernel, docs: list[tuple[list[list[str]], int]], first: np.ndarray) -> np.ndarray:
     """The kernel values of all sentences with the landmarks; a document's begin at its place in first and end with an empty one."""
-    out = np.zeros((first[-1], len(kernel.landmarks)), np.float32)
+    out = np.zeros((first[-1], len(kernel.landmarks)), np.float16)  # half the memory of the driver, at 3 decimals
     for at in range(0, len(docs), 256):
         part = [cut for cut, _ in docs[at : at + 256]]
         place = {w: k for k, w in enumerate(sorted({w for cut in part for s in cut for w in s}))}
         values = kernel.rows(list(place))
         for k, cut in enumerate(part, at):
             flat = np.array([place[w] for s in cut for w in s])
-            np.add.reduceat(values[flat], np.cumsum([0, *map(len, cut)])[:-1], axis=0, out=out[first[k] : first[k + 1] - 1])
+            out[first[k] : first[k + 1] - 1] = np.add.reduceat(values[flat], np.cumsum([0, *map(len, cut)])[:-1], axis=0)
     return out
 
 
@@ -271,7 +285,7 @@ def fit(labelled: list[tuple[str, int]]) -> Model | None:
     spans = [slice(a, b) for a, b in zip(first[n_clean:-1], first[n_clean + 1 :], strict=True)]
     chosen = [s.start + int(x[s, :n_toxic].sum(1).argmax()) for s in spans]
     for at in range(0, len(x), 8192):
-        x[at : at + 8192] = x[at : at + 8192] @ root
+        x[at : at + 8192] = x[at : at + 8192].astype(np.float32) @ root
     virtual = [kernel.rows(bent(w)) @ root for w in landmarks[:n_toxic]]
     virtual_cost = np.concatenate([np.full(len(v), s / len(v)) for v, s in zip(virtual, strength, strict=True)])
     virtual, virtual_cost = np.concatenate(virtual), BENT_COST * virtual_cost / virtual_cost.sum()
@@ -280,7 +294,7 @@ def fit(labelled: list[tuple[str, int]]) -> Model | None:
     cost = np.r_[np.full(len(chosen), 1 / len(chosen)), virtual_cost, np.full(len(rest), 1 / len(rest))]
     for _ in range(ROUNDS):
         w = _machine([x[chosen], virtual, rest], y, cost, w)
-        sums = x @ w[:-1].astype(np.float32)
+        sums = np.concatenate([x[at : at + 8192].astype(np.float32) @ w[:-1].astype(np.float32) for at in range(0, len(x), 8192)])
         chosen = [s.start + int(sums[s].argmax()) for s in spans]
     bias, beta = float(w[-1]), root @ w[:-1]
     x = np.array([evidence(sums[a:b].tolist(), bias, sum(map(len, cut))) for a, b, (cut, _) in zip(first[:-1], first[1:], docs, strict=True)])
