@@ -205,6 +205,21 @@ def clean_plain(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.md5(text.clean(F.col("text"), punctuation=True, numbers=True)).alias("digest"))
 
 
+_SINGULAR = f"""CASE WHEN list_contains({_sql_list(lists.NEGATIONS)}, x) THEN x WHEN regexp_matches(x, '^[a-z]{{2,}}ies$') THEN regexp_replace(x, 'ies$', 'y') WHEN regexp_matches(x, '(ss|us|is)$') THEN x
+  WHEN regexp_matches(x, '(ch|sh|x|z)es$') THEN regexp_replace(x, 'es$', '') WHEN regexp_matches(x, '^[a-z]{{3,}}s$') THEN regexp_replace(x, 's$', '') ELSE x END"""
+_READABLE = f"list_transform(list_filter(regexp_extract_all({FLAT.format(_LOWER)}, '{_WORD}'), lambda x: NOT list_contains({_sql_list(_KEEP)}, x)), lambda x: {_SINGULAR})"
+
+
+@query(f"SELECT doc_id, md5(array_to_string({_READABLE}, ' ')) AS digest FROM documents")
+def clean_readable(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.md5(text.cleaned(F.col("text"), "readable")).alias("digest"))
+
+
+@query(f"SELECT doc_id, md5(array_to_string(list_transform(list_filter(regexp_extract_all({_PLAIN}, '{_WORD}'), lambda x: NOT list_contains({_sql_list(lists.STOP_WORDS)}, x)), lambda x: CASE WHEN list_contains({_sql_list(lists.NEGATIONS)}, x) THEN x ELSE regexp_replace({_SINGULAR}, '^([a-z]{{3,}}?)(ingly|edly|ing|ed|ly|ment|ness)$', '\\1') END), ' ')) AS digest FROM documents")
+def clean_aggressive(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.md5(text.cleaned(F.col("text"), "aggressive")).alias("digest"))
+
+
 @query(f"""
 WITH {_CLEAN_CTE}, a AS (SELECT *, CASE WHEN flat = '' THEN []::VARCHAR[] ELSE string_split(flat, ' ') END AS all_ws FROM k)
 SELECT doc_id, len(list_filter(all_ws, lambda x: list_contains({_sql_list(lists.NEGATIONS)}, x))) AS negations, len(list_filter(ws, lambda x: list_contains({_sql_list(lists.NEGATIONS)}, x))) AS negations_kept,
@@ -902,11 +917,6 @@ def _part_documents(spark, sf_dir) -> DataFrame:
     return chunking.documents_from_records(p.select(F.col("p_name").alias("name"), F.col("t").alias("category"), *field_texts))
 
 
-_SINGULAR = f"""CASE WHEN list_contains({_sql_list(lists.NEGATIONS)}, x) THEN x WHEN regexp_matches(x, '^[a-z]{{2,}}ies$') THEN regexp_replace(x, 'ies$', 'y') WHEN regexp_matches(x, '(ss|us|is)$') THEN x
-  WHEN regexp_matches(x, '(ch|sh|x|z)es$') THEN regexp_replace(x, 'es$', '') WHEN regexp_matches(x, '^[a-z]{{3,}}s$') THEN regexp_replace(x, 's$', '') ELSE x END"""
-_READABLE = f"list_transform(list_filter(regexp_extract_all({FLAT.format(_LOWER)}, '{_WORD}'), lambda x: NOT list_contains({_sql_list(_KEEP)}, x)), lambda x: {_SINGULAR})"
-
-
 @query(rf"""
 WITH {_GROUND}, {_INTENTS[_INTENTS.index('rules(k'):]}, {_FIELDS},
 p AS (SELECT p_name AS name, min(p_brand) AS b, min(p_type) AS t FROM part GROUP BY 1), fd(field, word) AS (SELECT * FROM {_values(_FIELD_WORDS)}),
