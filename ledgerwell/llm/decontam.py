@@ -273,6 +273,8 @@ def _reports(block: Items, docs: list[np.ndarray], named: bool, known: dict) ->
 
 
 def _pass(block: Items, named: bool, only_hits: bool):
+    block.suffixes()  # sorted once, here, and sent with the block
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get, known = block.vocab.get, {}
         for batch in batches:
