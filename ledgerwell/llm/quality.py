@@ -82,8 +82,8 @@ def host_verdicts(judged: DataFrame) -> DataFrame:
         mean = F.col(f"all_{r}") / F.col("n_all")
         chance = mean * (1 - mean)
         beyond = (F.col(f"between_{r}") - F.col("n_all") * mean * mean) - free * chance
-        share = beyond / (chance * (F.col("n_all") - F.col("n_squares") / F.col("n_all") - free))
-        strength = F.when((chance > 0) & (beyond > 1e-9) & (share > 0), F.least(F.lit(STRENGTH), F.greatest(F.lit(1.0), 1 / share - 1))).otherwise(STRENGTH)
+        room = F.col("n_all") - F.col("n_squares") / F.col("n_all") - free
+        strength = F.when((chance > 0) & (beyond > 1e-9) & (room > 0), F.least(F.lit(STRENGTH), F.greatest(F.lit(1.0), chance * room / beyond - 1))).otherwise(STRENGTH)
         both = both.withColumn(f"strength_{r}", strength).withColumn(f"rate_{r}", (F.col(f"bad_{r}") + F.col(f"strength_{r}") * mean) / (F.col("n_docs") + F.col(f"strength_{r}")))
         both = both.withColumn(f"limit_{r}", F.greatest(F.lit(LEAST), F.least(F.lit(MOST), mean + SPREADS * F.sqrt(chance / (F.col(f"strength_{r}") + 1)))))
     rejected = F.lit(False)

@@ -123,5 +123,15 @@ def test_limits_follow_the_prior(spark, save, prose, rates, gone):
     assert dict(found) == kept
 
 
+@pytest.mark.parametrize("hosts", [["a"], ["a", "b"], ["a", "a", "b"], [None, "b", "c"]])
+def test_few_hosts(spark, save, prose, hosts):
+    docs = [(k, "too short" if k == 0 else prose(60), None, host) for k, host in enumerate(hosts)]
+    path = save(docs)
+    kept = {r.doc_id: r.kept for r in quality.op5_quality_rules(spark, path).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet/*.parquet'")
+    assert dict(con.execute(f"SELECT doc_id, kept FROM ({quality.OP5_SQL})").fetchall()) == kept and not kept[0] and len(kept) == len(hosts)
+
+
 def test_quality_of_empty_table(spark, save):
     assert quality.op5_quality_rules(spark, save([])).count() == 0
