@@ -38,7 +38,7 @@ PER_LABEL, MOST_SENTENCES, MOST_WORDS = 2500, 160, 200
 TOXIC_LANDMARKS, NEAR_LANDMARKS, BAR = 160, 48, 10.0
 ROUNDS, BENT_COST = 3, 0.5
 #: Words whose scores a worker keeps, and words worked on at once (12 bits of a key).
-KEPT_WORDS, BLOCK = 1_000_000, 4096
+KEPT_WORDS, BLOCK = 250_000, 4096
 _STEPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN) if a + b < SPAN]
 _WEIGHT = np.array([DECAY ** (k + 3) for k in range(SPAN - 2)], np.float32)
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -135,8 +135,8 @@ class Model:
             self.cache.clear()
         known = self.cache
         new = list({w for ss in cut for s in ss for w in s if w not in known})
-        for at in range(0, len(new), 65536):
-            part = new[at : at + 65536]
+        for at in range(0, len(new), 4 * BLOCK):
+            part = new[at : at + 4 * BLOCK]
             known.update(zip(part, (self.kernel.rows(part) @ self.beta).tolist(), strict=True))
         get = known.__getitem__
         found = np.array([evidence([sum(map(get, s)) for s in ss], self.bias, sum(map(len, ss))) for ss in cut]).reshape(-1, 4)
