@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwell.llm.common import spread_join, table, written
+from ledgerwell.llm.common import CRC32_SQL, spread_join, table, written
 
 #: The grammar `(s?(ua)+)?` over role initials: where each symbol leads, and the states a text may end in.
 GRAMMAR = ({"s": 1, "u": 2}, {"u": 2}, {"a": 3}, {"u": 2})
@@ -440,9 +440,6 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: The unsigned CRC-32 of the bytes in a list, bit by bit.
-CRC32_SQL = """xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, {bytes}), lambda c, b:
-    list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: xor(x >> 1, 3988292384::BIGINT * (x & 1)))))"""
 _BLANK = "[\\x20\\x09-\\x0D]"
 OP11_SQL = f"""
 WITH RECURSIVE spaced AS (
