@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerwell.functions import lists
+from ledgerwell.functions import lists, stems
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: A word: letters and digits, with single inner hyphens, dots and apostrophes.
@@ -43,21 +43,6 @@ PROFILES = {
 DEFAULT_PROFILE = "readable"
 
 
-def _plural(word: Column) -> Column:
-    """A noun's singular by ending, in place of a dictionary."""
-    return (
-        F.when(word.rlike("^[a-z]{2,}ies$"), F.regexp_replace(word, "ies$", "y"))
-        .when(word.rlike("(ss|us|is)$"), word)
-        .when(word.rlike("(ch|sh|x|z)es$"), F.regexp_replace(word, "es$", ""))
-        .when(word.rlike("^[a-z]{3,}s$"), F.regexp_replace(word, "s$", ""))
-        .otherwise(word)
-    )
-
-
-def _stemmed(word: Column) -> Column:
-    return F.regexp_replace(_plural(word), "^([a-z]{3,}?)(ingly|edly|ing|ed|ly|ment|ness)$", "$1")
-
-
 def clean(text: Column, urls: bool = True, lower: bool = True, punctuation: bool = False, numbers: bool = False, spaces: bool = True, stop_words: bool = False, keep_negation: bool = True, stem: bool = False, lemmatize: bool = False) -> Column:
     """The cleaner with its switches, in fixed order. Only a token switch cuts words, and so drops the punctuation between them."""
     out = F.coalesce(text, F.lit(""))
@@ -77,9 +62,9 @@ def clean(text: Column, urls: bool = True, lower: bool = True, punctuation: bool
             drop = [w for w in lists.STOP_WORDS if not keep_negation or w not in lists.NEGATIONS]
             words = F.filter(words, lambda w: ~w.isin(*drop))
         if stem:
-            words = F.transform(words, lambda w: F.when(w.isin(*lists.NEGATIONS), w).otherwise(_stemmed(w)))
+            words = F.transform(words, stems.stem)
         if lemmatize:
-            words = F.transform(words, lambda w: F.when(w.isin(*lists.NEGATIONS), w).otherwise(_plural(w)))
+            words = F.transform(words, stems.lemma)
         out = F.array_join(words, " ")
     return out
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwell.functions import lists, text
+from ledgerwell.functions import lists, stems, text
 from ledgerwell.operators import answers, chunking, dense, evaluation, grounding, hybrid, lexical, pairs, routing
 from ledgerwell.session import dealt, new_path, stored
 
@@ -205,17 +205,94 @@ def clean_plain(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.md5(text.clean(F.col("text"), punctuation=True, numbers=True)).alias("digest"))
 
 
-_SINGULAR = f"""CASE WHEN list_contains({_sql_list(lists.NEGATIONS)}, x) THEN x WHEN regexp_matches(x, '^[a-z]{{2,}}ies$') THEN regexp_replace(x, 'ies$', 'y') WHEN regexp_matches(x, '(ss|us|is)$') THEN x
-  WHEN regexp_matches(x, '(ch|sh|x|z)es$') THEN regexp_replace(x, 'es$', '') WHEN regexp_matches(x, '^[a-z]{{3,}}s$') THEN regexp_replace(x, 's$', '') ELSE x END"""
+def _map_sql(table: dict[str, str]) -> str:
+    return f"MAP {{{', '.join(f"'{k}': '{v}'" for k, v in table.items())}}}"
+
+
+_SINGULAR = f"""CASE WHEN list_contains({_sql_list(lists.NEGATIONS)}, x) THEN x WHEN list_contains({_sql_list(lists.IRREGULAR_PLURALS)}, x) THEN {_map_sql(lists.IRREGULAR_PLURALS)}[x]
+  WHEN regexp_matches(x, '^[a-z]{{2,}}ies$') THEN regexp_replace(x, 'ies$', 'y') WHEN regexp_matches(x, '(ss|us|is)$') THEN x
+  WHEN regexp_matches(x, '(ch|sh|ss|x|z)es$') THEN regexp_replace(x, 'es$', '') WHEN regexp_matches(x, '^[a-z]{{3,}}s$') THEN regexp_replace(x, 's$', '') ELSE x END"""
 _READABLE = f"list_transform(list_filter(regexp_extract_all({FLAT.format(_LOWER)}, '{_WORD}'), lambda x: NOT list_contains({_sql_list(_KEEP)}, x)), lambda x: {_SINGULAR})"
 
 
+def _stem_sql(source: str) -> str:
+    """CTEs from source (w) to stems (w, stem), a step at a time; x is the word so far."""
+
+    def shape(x: str) -> str:
+        for pattern, new in (("[^aeiouy]", "c"), ("[aeiou]", "v"), ("(^|v)y", "\\1c"), ("yy", "vc"), ("y", "v")):
+            x = f"regexp_replace({x}, '{pattern}', '{new}', 'g')"
+        return x
+
+    cut = lambda x, n: f"left({x}, length({x}) - {n})"
+    least = lambda x, n: f"regexp_matches({shape(x)}, '{'.*'.join(['vc'] * n)}')"
+    closed = lambda x: f"CASE WHEN length({x}) = 2 THEN {shape(x)} = 'vc' ELSE right({shape(x)}, 3) = 'cvc' AND NOT regexp_matches({x}, '[wxy]$') END"
+    ends = lambda p: f"regexp_matches(x, '{p}$')"
+
+    def step(rules: dict[str, str], fits: str) -> str:
+        return f"CASE WHEN e <> '' AND {fits} THEN {cut('x', 'length(e)')} || {_map_sql(rules)}[e] ELSE x END", f"regexp_extract(x, '({'|'.join(rules)})$', 1)"
+
+    stem = cut("x", "length(e)")
+    last = f"CASE WHEN regexp_matches(x, '(at|bl|iz)$') THEN x || 'e' WHEN length(x) >= 2 AND right(x, 1) = substr(x, length(x) - 1, 1) AND right({shape('x')}, 1) = 'c' THEN CASE WHEN regexp_matches(x, '[lsz]$') THEN x ELSE {cut('x', 1)} END WHEN {least('x', 1)} AND NOT {least('x', 2)} AND {closed('x')} THEN x || 'e' ELSE x END"
+    steps = [
+        (f"CASE WHEN {ends('^.ies')} THEN {cut('x', 1)} WHEN {ends('(sses|ies)')} THEN {cut('x', 2)} WHEN {ends('([^s]|^)s')} THEN {cut('x', 1)} ELSE x END", "''"),
+        (f"CASE WHEN {ends('^.ied')} THEN {cut('x', 1)} WHEN {ends('ied')} THEN {cut('x', 2)} WHEN {ends('eed')} THEN CASE WHEN {least(cut('x', 3), 1)} THEN {cut('x', 1)} ELSE x END WHEN e <> '' AND contains({shape(stem)}, 'v') THEN '+' || {stem} ELSE x END", "regexp_extract(x, '(ed|ing)$', 1)"),
+        (f"CASE WHEN e = '+' THEN (SELECT {last} FROM (SELECT substr(o.x, 2) AS x)) ELSE x END", "left(x, 1)"),
+        (f"CASE WHEN {ends('^..+y')} AND right({shape(cut('x', 1))}, 1) = 'c' THEN {cut('x', 1)} || 'i' ELSE x END", "''"),
+        (f"CASE WHEN {ends('alli')} AND {least(cut('x', 4), 1)} THEN {cut('x', 2)} ELSE x END", "''"),
+        step(lists.STEM_DOUBLE, least(f"({stem} || CASE WHEN e = 'logi' THEN 'l' ELSE '' END)", 1)),
+        step(lists.STEM_SINGLE, least(stem, 1)),
+        step(lists.STEM_LAST, f"{least(stem, 2)} AND (e <> 'ion' OR regexp_matches({stem}, '[st]$'))"),
+        (f"CASE WHEN {ends('e')} AND ({least(cut('x', 1), 2)} OR {least(cut('x', 1), 1)} AND NOT {closed(cut('x', 1))}) THEN {cut('x', 1)} ELSE x END", "''"),
+        (f"CASE WHEN {ends('ll')} AND {least(cut('x', 1), 2)} THEN {cut('x', 1)} ELSE x END", "''"),
+    ]
+    out, before = "", f"(SELECT w, w AS x FROM {source})"
+    for k, (change, ending) in enumerate(steps):
+        out += f"st{k} AS (SELECT w, {change} AS x FROM (SELECT *, {ending} AS e FROM {before}) o), "
+        before = f"st{k}"
+    own = f"CASE WHEN length(w) <= 2 OR list_contains({_sql_list(lists.NEGATIONS)}, w) THEN w WHEN list_contains({_sql_list(lists.STEM_IRREGULAR)}, w) THEN {_map_sql(lists.STEM_IRREGULAR)}[w] ELSE x END"
+    return out + f"stems AS (SELECT w, {own} AS stem FROM {before})"
+
+
+def _all_words(flat: str) -> str:
+    return f"aw AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS k FROM (SELECT doc_id, regexp_extract_all({flat}, '{_WORD}') AS ws FROM documents)), dw AS (SELECT DISTINCT w FROM aw)"
+
+
+def _words(spark, sf_dir) -> DataFrame:
+    """The different words of the lower-cased documents."""
+    flat = text.cleaned(F.col("text"), "minimal")
+    return _docs(spark, sf_dir).select(F.explode(F.array_distinct(F.regexp_extract_all(flat, F.lit(text.WORD), F.lit(1)))).alias("word")).distinct()
+
+
+@query(f"WITH {_all_words(FLAT.format(_LOWER))}, {_stem_sql('dw')} SELECT w AS word, stem FROM stems")
+def word_stems(spark, sf_dir):
+    return _words(spark, sf_dir).select("word", stems.stem(F.col("word")).alias("stem"))
+
+
+@query(f"WITH {_all_words(FLAT.format(_LOWER))} SELECT x AS word, {_SINGULAR} AS lemma FROM (SELECT w AS x FROM dw)")
+def word_lemmas(spark, sf_dir):
+    return _words(spark, sf_dir).select("word", stems.lemma(F.col("word")).alias("lemma"))
+
+
+@query(f"""
+WITH {_all_words(FLAT.format(_LOWER))}, dict AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all({FLAT.format(_LOWER)}, '{_WORD}')) AS w FROM benchmark)),
+forms AS (SELECT w, unnest([w, {', '.join(f"CASE WHEN suffix(w, '{a}') THEN left(w, length(w) - {len(a)}) || '{b}' END" for a, b in lists.NOUN_ENDINGS)}]) AS form FROM dw)
+SELECT dw.w AS word, coalesce(arg_min(d.w, {{'n': length(d.w), 'f': d.w}}), dw.w) AS lemma FROM dw LEFT JOIN forms f ON f.w = dw.w LEFT JOIN dict d ON d.w = f.form GROUP BY dw.w""")
+def dictionary_lemmas(spark, sf_dir):
+    """The benchmark's words as the dictionary of the documents' words."""
+    flat = text.cleaned(F.col("text"), "minimal")
+    held = _read(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(flat, F.lit(text.WORD), F.lit(1))).alias("word"))
+    return stems.lemma_table(_words(spark, sf_dir), held)
+
+
 @query(f"SELECT doc_id, md5(array_to_string({_READABLE}, ' ')) AS digest FROM documents")
 def clean_readable(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.md5(text.cleaned(F.col("text"), "readable")).alias("digest"))
 
 
-@query(f"SELECT doc_id, md5(array_to_string(list_transform(list_filter(regexp_extract_all({_PLAIN}, '{_WORD}'), lambda x: NOT list_contains({_sql_list(lists.STOP_WORDS)}, x)), lambda x: CASE WHEN list_contains({_sql_list(lists.NEGATIONS)}, x) THEN x ELSE regexp_replace({_SINGULAR}, '^([a-z]{{3,}}?)(ingly|edly|ing|ed|ly|ment|ness)$', '\\1') END), ' ')) AS digest FROM documents")
+@query(f"""
+WITH {_all_words(_PLAIN)}, {_stem_sql('dw')}
+SELECT d.doc_id, md5(coalesce(string_agg(stem, ' ' ORDER BY k), '')) AS digest FROM documents d
+LEFT JOIN (SELECT * FROM aw JOIN stems USING (w) WHERE NOT list_contains({_sql_list(lists.STOP_WORDS)}, w)) s ON s.doc_id = d.doc_id GROUP BY d.doc_id""")
 def clean_aggressive(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.md5(text.cleaned(F.col("text"), "aggressive")).alias("digest"))
 
