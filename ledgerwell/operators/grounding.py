@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerwell.functions import text
@@ -75,20 +75,49 @@ def outcomes(queries: DataFrame, grounded: DataFrame) -> DataFrame:
     return rows.select("query_id", "query", written.alias("rewritten"), "matched", "unknown", aliases.alias("aliases"), "notes")
 
 
-def suggestions(unknown: DataFrame, vocab: DataFrame, cutoff: float = 0.82) -> DataFrame:
-    """(term, match, ratio): the nearest vocabulary word of each distinct unknown term, by sequence ratio.
+def _pairs_of(words: DataFrame, column: str) -> DataFrame:
+    """(word, pair, nth, n): the neighbouring characters of each padded word, the nth of equal ones, and how many a word has."""
+    padded = F.concat(F.lit("^"), F.col(column), F.lit("$"))
+    each = F.transform(F.sequence(F.lit(1), F.length(column) + 1), lambda i: F.substr(padded, i, F.lit(2)))
+    rows = words.select(F.col(column).alias("word"), (F.length(column) + 1).alias("n"), F.explode(each).alias("pair"))
+    counted = rows.groupBy("word", "n", "pair").agg(F.count("*").alias("times"))
+    return counted.select("word", "n", "pair", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("nth"))
+
 
-    A ratio of 2 * m / (a + b) with m common characters at most min(a, b) bounds the length of a match, and a common
-    character pair is needed at this cutoff; terms meet words by length and pair, not all with all.
+def candidates(terms: DataFrame, vocab: DataFrame, cutoff: float) -> DataFrame:
+    """(term, token) pairs that could reach the cutoff, by a filter on the rarest character pairs of each word.
+
+    A ratio r of words with a and b characters needs m >= r (a + b) / 2 characters in common blocks. The a + b - 2 m others end at
+    most as many blocks, so padded words share at least 3 m - (a + b) + 1 character pairs; and as m is at most the shorter length,
+    the longer is at most 2 / r - 1 times the shorter. If a word with n pairs shares at least t with another, then one of its
+    n - t + 1 rarest pairs is among the other's; so only these are joined, by an order that both sides share.
     """
-    pairs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(2))))
-    left = unknown.select("term").distinct().select("term", F.explode(pairs(F.col("term"))).alias("p"))
-    right = vocab.select("token").distinct().select("token", F.explode(pairs(F.col("token"))).alias("p"))
-    near = left.join(right, "p").where(2 * F.least(F.length("term"), F.length("token")) >= cutoff * (F.length("term") + F.length("token"))).select("term", "token").distinct()
+    spread = 2 / cutoff - 1
+    least = lambda size: F.greatest(F.lit(1), F.ceil((1.5 * cutoff - 1) * (size + size / spread) + 1 - 1e-9))
+    known = _pairs_of(vocab.select("token").distinct(), "token")
+    asked = _pairs_of(terms.select("term").distinct(), "term")
+    held = known.groupBy("pair", "nth").agg(F.count("*").alias("df"))
+
+    def rarest(rows: DataFrame) -> DataFrame:
+        order = Window.partitionBy("word").orderBy(F.coalesce("df", F.lit(0)), "pair", "nth")
+        ranked = rows.join(held, ["pair", "nth"], "left").withColumn("at", F.row_number().over(order))
+        return ranked.where(F.col("at") <= F.col("n") - least(F.col("n") - 1) + 1).select("word", "n", "pair", "nth")
+
+    left = rarest(asked).select(F.col("word").alias("term"), F.col("n").alias("n_term"), "pair", "nth")
+    right = rarest(known).select(F.col("word").alias("token"), F.col("n").alias("n_token"), "pair", "nth")
+    fits = F.greatest("n_term", "n_token") - 1 <= spread * (F.least("n_term", "n_token") - 1) + 1e-9
+    return left.join(right, ["pair", "nth"]).where(fits).select("term", "token").distinct()
+
+
+def suggestions(unknown: DataFrame, vocab: DataFrame, cutoff: float = 0.82) -> DataFrame:
+    """(term, match, ratio): the nearest vocabulary word of each distinct unknown term, by sequence ratio; above two thirds the
+    candidates come from rare character pairs, below that all words of a fitting length would qualify, which is refused."""
+    if cutoff <= 2 / 3:
+        raise ValueError("the cutoff must be above two thirds")
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([difflib.SequenceMatcher(None, y, x).ratio() for x, y in zip(a, b, strict=True)])
 
-    scored = near.withColumn("ratio", ratio("term", "token")).where(F.col("ratio") >= cutoff)
+    scored = candidates(unknown, vocab, cutoff).withColumn("ratio", ratio("term", "token")).where(F.col("ratio") >= cutoff)
     return scored.groupBy("term").agg(F.max_by("token", F.struct("ratio", "token")).alias("match"), F.max("ratio").alias("ratio"))

@@ -551,6 +551,31 @@ def fuzzy_suggestions(spark, sf_dir):
     return grounding.suggestions(asked, grounding.vocabulary(_read(spark, sf_dir, "part"), "p_name"))
 
 
+_TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[a-z][a-z\\-]{2,}')"
+_LETTERS = "list_transform(string_split('abcdefghijklmnopqrstuvwxyz-', ''), lambda c: length({0}) - length(replace({0}, c, '')))"
+
+
+@query(f"""
+WITH RECURSIVE vocab AS (SELECT w AS token, {_LETTERS.format('w')} AS cs FROM (SELECT unnest({_TOKENS}) AS w FROM documents) GROUP BY w HAVING count(*) >= 20),
+asked AS (SELECT w AS term, {_LETTERS.format('w')} AS cs FROM (SELECT DISTINCT unnest({_TOKENS}) AS w FROM benchmark) WHERE w NOT IN (SELECT token FROM vocab)),
+close AS (SELECT term, token FROM asked a, vocab v WHERE 2 * list_sum(list_transform(list_zip(a.cs, v.cs), lambda z: least(z[1], z[2]))) >= 0.82 * (length(term) + length(token))),
+todo AS (
+  SELECT term, token, 0::BIGINT AS alo, length(token) AS ahi, 0::BIGINT AS blo, length(term) AS bhi, 0::BIGINT AS k FROM close
+  UNION ALL
+  SELECT term, token, side.alo, side.ahi, side.blo, side.bhi, side.k FROM (
+    SELECT term, token, unnest([{{'alo': alo, 'ahi': -best.i, 'blo': blo, 'bhi': blo - best.j - 1, 'k': best.k}}, {{'alo': best.k - best.i, 'ahi': ahi, 'blo': blo - best.j - 1 + best.k, 'bhi': bhi, 'k': 0}}]) AS side FROM (
+      SELECT *, list_max(list_filter(flatten(list_transform(range(alo, ahi), lambda i: list_transform(range(1, ahi - i + 1), lambda n: {{'k': n, 'i': -i, 'j': -instr(substr(term, blo + 1, bhi - blo), substr(token, i + 1, n))}}))), lambda x: x.j < 0)) AS best
+      FROM todo WHERE alo < ahi AND blo < bhi) WHERE best IS NOT NULL)),
+scored AS (SELECT term, token, 2.0 * sum(k) / (length(term) + length(token)) AS ratio FROM todo GROUP BY term, token)
+SELECT term, max({{'r': ratio, 't': token}}).t AS match, max(ratio)::DOUBLE AS ratio FROM scored WHERE ratio >= 0.82 GROUP BY term""")
+def word_suggestions(spark, sf_dir):
+    """For the benchmark's words that the documents hardly have, the nearest of their usual words."""
+    words = lambda t: _read(spark, sf_dir, t).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z][a-z-]{2,})"), F.lit(1))).alias("token"))
+    usual = stored(words("documents").groupBy("token").agg(F.count("*").alias("n")).where("n >= 20").select("token"), "usual")
+    asked = words("benchmark").distinct().join(usual, "token", "left_anti").select(F.col("token").alias("term"))
+    return grounding.suggestions(asked, usual)
+
+
 # --- hybrid ----------------------------------------------------------------------------------------------------------
 
 _BOTH = _BM25 + ", " + _TFIDF.replace("tf AS (", "tf2 AS (", 1).replace("FROM tf GROUP", "FROM tf2 GROUP").replace("FROM tf JOIN", "FROM tf2 JOIN")

@@ -383,3 +383,25 @@ def test_audit_log(spark, tmp_path):
     answers.export_audit(spark, log, out)
     got = spark.read.csv(out, header=True).collect()
     assert len(got) == 2 and (got[0].query, got[0].cited, got[0].source_ids, got[0].provider, got[0].withheld_fields) == ("call [phone]", "1/2", "T·f", "—", "f")
+
+
+def test_suggestions_equal_all_pairs(spark):
+    rng = random.Random(8)
+    make = lambda n: {"".join(rng.choice("abcdeinorst-") for _ in range(rng.randrange(3, 14))) for _ in range(n)}
+    known = make(1500) | {"aaaaaaaa", "abababab", "a" * 400}
+    asked = make(200) | {"aaaaaaa", "babababa", "a" * 330 + "b"}
+    for w in list(known)[:400]:
+        k = rng.randrange(len(w))
+        asked.add((w[:k] + rng.choice(["", "x", "st"]) + w[k + rng.randrange(2) :]) or "x")
+    for cutoff in (0.82, 0.7):
+        want = {}
+        for x in asked:
+            best = max(((difflib.SequenceMatcher(None, y, x).ratio(), y) for y in known if 2 * min(len(x), len(y)) >= cutoff * (len(x) + len(y))), default=(0.0, ""))
+            if best[0] >= cutoff:
+                want[x] = (best[1], best[0])
+        frames = spark.createDataFrame([(x,) for x in asked], "term string"), spark.createDataFrame([(y,) for y in known], "token string")
+        out = grounding.suggestions(*frames, cutoff).collect()
+        assert {r.term: (r.match, r.ratio) for r in out} == want and len(want) > 200
+    assert grounding.candidates(*frames, 0.82).count() < len(asked) * len(known) / 20
+    with pytest.raises(ValueError):
+        grounding.suggestions(*frames, 0.6)
