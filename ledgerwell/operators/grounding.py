@@ -90,10 +90,12 @@ def candidates(terms: DataFrame, vocab: DataFrame, cutoff: float) -> DataFrame:
     A ratio r of words with a and b characters needs m >= r (a + b) / 2 characters in common blocks. The a + b - 2 m others end at
     most as many blocks, so padded words share at least 3 m - (a + b) + 1 character pairs; and as m is at most the shorter length,
     the longer is at most 2 / r - 1 times the shorter. If a word with n pairs shares at least t with another, then one of its
-    n - t + 1 rarest pairs is among the other's; so only these are joined, by an order that both sides share.
+    n - t + 1 rarest pairs is among the other's; so only these are joined, by an order that both sides share. A pair that the
+    words share at places i and j of that order leaves room for so many more, which must be enough, as must their common letters.
     """
     spread = 2 / cutoff - 1
-    least = lambda size: F.greatest(F.lit(1), F.ceil((1.5 * cutoff - 1) * (size + size / spread) + 1 - 1e-9))
+    needed = lambda both: F.greatest(F.lit(1), F.ceil((1.5 * cutoff - 1) * both + 1 - 1e-9))
+    least = lambda size: needed(size + size / spread)
     known = _pairs_of(vocab.select("token").distinct(), "token")
     asked = _pairs_of(terms.select("term").distinct(), "term")
     held = known.groupBy("pair", "nth").agg(F.count("*").alias("df"))
@@ -101,12 +103,18 @@ def candidates(terms: DataFrame, vocab: DataFrame, cutoff: float) -> DataFrame:
     def rarest(rows: DataFrame) -> DataFrame:
         order = Window.partitionBy("word").orderBy(F.coalesce("df", F.lit(0)), "pair", "nth")
         ranked = rows.join(held, ["pair", "nth"], "left").withColumn("at", F.row_number().over(order))
-        return ranked.where(F.col("at") <= F.col("n") - least(F.col("n") - 1) + 1).select("word", "n", "pair", "nth")
+        return ranked.where(F.col("at") <= F.col("n") - least(F.col("n") - 1) + 1).select("word", "n", "at", "pair", "nth")
 
-    left = rarest(asked).select(F.col("word").alias("term"), F.col("n").alias("n_term"), "pair", "nth")
-    right = rarest(known).select(F.col("word").alias("token"), F.col("n").alias("n_token"), "pair", "nth")
+    left = rarest(asked).select(F.col("word").alias("term"), F.col("n").alias("n_term"), F.col("at").alias("at_term"), "pair", "nth")
+    right = rarest(known).select(F.col("word").alias("token"), F.col("n").alias("n_token"), F.col("at").alias("at_token"), "pair", "nth")
+    both = F.col("n_term") + F.col("n_token") - 2
     fits = F.greatest("n_term", "n_token") - 1 <= spread * (F.least("n_term", "n_token") - 1) + 1e-9
-    return left.join(right, ["pair", "nth"]).where(fits).select("term", "token").distinct()
+    room = 1 + F.least(F.col("n_term") - F.col("at_term"), F.col("n_token") - F.col("at_token")) >= needed(both)
+    near = left.join(right, ["pair", "nth"]).where(fits & room).select("term", "token").distinct()
+    letters = F.array_distinct(F.split("token", ""))
+    times = lambda word, c: F.length(word) - F.length(F.replace(F.col(word), c, F.lit("")))
+    common = F.aggregate(letters, F.lit(0), lambda n, c: n + F.least(times("term", c), times("token", c)))
+    return near.where(2 * common >= cutoff * (F.length("term") + F.length("token")))
 
 
 def suggestions(unknown: DataFrame, vocab: DataFrame, cutoff: float = 0.82) -> DataFrame:
