@@ -12,18 +12,21 @@ randomness isn't, each with a share of at most FDR false rejections among all ca
 of log-spaced bins, so that no ranking of all candidates is needed.
 
 Null text is empty and gives the digest of the empty string; spans count code points, end exclusive; a text is scanned whole,
-in one expression, however long; repeated rows are judged one by one, and each counts in the steps; equal p-values share a bin
+in one expression whose work grows with its length and its spans, however long; repeated rows are judged one by one, and each counts in the steps; equal p-values share a bin
 and its fate; an empty table gives an empty result; other columns are ignored, and columns of the names used here don't clash.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerwell.llm.common import let, table, written
+from ledgerwell.llm.spans import clear_of, located, replaced
 
 #: The kinds in order, their patterns, and the least length of the group that decides.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -57,25 +60,16 @@ FDR = 0.01
 BIN, LEAST_P = 0.05, 1e-15
 #: The Chebyshev fit of Press et al. to erfc, whose relative error stays below 1.2e-7 in the tails too.
 ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
-SPAN = "array<struct<start:int,rank:int,end:int>>"
 
 
-def _spans(text: Column, pattern: str, group: int, least: int, rank: int) -> Column:
-    """Matches with a long enough group as (start, rank, end). What lies between matches gives the places."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    judged = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    zipped = F.arrays_zip(found.alias("m"), F.split(text, pattern, -1).alias("g"), judged.alias("v"))
-    empty = F.array().cast(SPAN)
+def _ranked(spans: Column, rank: int) -> Column:
+    return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end")))
 
-    def step(a: Column, x: Column) -> Column:
-        start = (a["at"] + F.length(x["g"])).cast("int")
-        end = (start + F.length(x["m"])).cast("int")
-        one = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"))).cast(SPAN)
-        return F.when(x["m"].isNull(), a).otherwise(F.struct(end.alias("at"), F.when(F.length(x["v"]) >= least, F.concat(a["out"], one)).otherwise(a["out"]).alias("out")))
 
-    state = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-    walked = F.aggregate(zipped, state, step, lambda a: a["out"])
-    return F.when(text.rlike(pattern), walked).otherwise(empty)
+def _matches(text: Column, pattern: str, group: int, least: int) -> Column:
+    """Matches with a long enough group, in order."""
+    found = located(text, pattern, lambda m: F.length(F.regexp_extract(m, pattern, group)) >= least if group else F.length(m) >= least)
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>"))
 
 
 def _log_upper(z: Column) -> Column:
@@ -152,11 +146,15 @@ def _length_class(n: Column) -> Column:
 def _tested(rows: DataFrame) -> DataFrame:
     """Adds base (spans of the patterns) and tested (other candidates with their tests) to rows with a text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = [_spans(text, p, g, least, k) for k, (_, p, g, least) in enumerate(KINDS)]
-    rows = rows.withColumn("base", F.array_sort(F.concat(*base))).withColumn("cand", _spans(text, CANDIDATE, 0, 20, len(KINDS)))
-    clear = F.filter("cand", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    tested = F.transform(clear, lambda c: F.struct(c.alias("span"), _battery(F.substr(text, c["start"] + 1, c["end"] - c["start"])).alias("t")))
-    return rows.withColumn("tested", tested).drop("cand")
+    own = [f"_k{k}" for k in range(len(KINDS))]
+    for name, (_, pattern, group, least) in zip(own, KINDS, strict=True):
+        rows = rows.withColumn(name, _matches(text, pattern, group, least))
+    rows = rows.withColumn("_cand", _matches(text, CANDIDATE, 0, 20))
+    clear = F.filter("_cand", lambda c: reduce(and_, (clear_of(c, F.col(n)) for n in own)))
+    span = lambda c: F.struct(c["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), c["end"].alias("end"))
+    tested = F.transform(clear, lambda c: F.struct(span(c).alias("span"), _battery(c["match"]).alias("t")))
+    base = F.array_sort(F.concat(*(_ranked(F.col(n), k) for k, n in enumerate(own))))
+    return rows.withColumn("base", base).withColumn("tested", tested).drop("_cand", *own)
 
 
 def _level(p: Column) -> Column:
@@ -196,20 +194,13 @@ def scan(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """docs with every found span replaced in text, and n_chars, where there is one, counted again.
 
-    The texts are read twice, once for the cutoffs; that needs no join of spans and texts. Overlapping spans are masked as one;
-    null and empty texts and texts without a span stay as they are, repeated rows too; all columns pass through, whatever
-    their names; an empty table stays empty.
+    Rows are written once with their tested candidates, from which both the cutoffs and the masked texts are made. Overlapping
+    spans are masked as one; null and empty texts and texts without a span stay as they are, repeated rows too; all columns
+    pass through, whatever their names; an empty table stays empty.
     """
-    cuts = cutoffs(written(_tested(docs.select("text")).drop("text"), "secrets"))
-    inner = _tested(docs.select(F.struct("*").alias("row"), "text"))
-    inner = inner.select("row", "text", F.array_sort(F.concat("base", _found(cuts))).alias("spans"))
-
-    def step(a: Column, s: Column) -> Column:
-        kept = F.concat(a["out"], F.substr("text", a["at"] + 1, s["start"] - a["at"]), F.lit(mask))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], kept).otherwise(a["out"]).alias("out"))
-
-    masked = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substr("text", a["at"] + 1, F.length("text"))))
-    inner = inner.withColumn("masked", F.when(F.size("spans") > 0, masked).otherwise(F.col("text")))
+    rows = written(_tested(docs.select(F.struct("*").alias("row"), "text")), "secrets")
+    spans = F.transform(F.array_sort(F.concat("base", _found(cutoffs(rows)))), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(mask).alias("mask")))
+    inner = rows.withColumn("spans", spans).withColumn("masked", F.when(F.size("spans") > 0, replaced(F.col("text"), F.col("spans"))).otherwise(F.col("text")))
     new = {"text": F.col("masked"), "n_chars": F.when(F.size("spans") > 0, F.length("masked").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
     return inner.select(*(new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns))
 

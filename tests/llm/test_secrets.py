@@ -2,8 +2,11 @@ import hashlib
 import math
 import random
 import re
+import string
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerwell.llm import secrets
 
@@ -203,3 +206,17 @@ def test_false_rejections_stay_below_the_share():
     patterned = ["".join(rng.choices(abc[:7], k=45)) for _ in range(400)] + ["".join(sorted(rng.choices(abc, k=70))) for _ in range(400)]
     spans = all_spans([f" {t} " for t in keys + patterned])
     assert sum("random" in x for x in spans[:400]) >= 390 and sum("random" in x for x in spans[400:]) <= 8
+
+
+def test_linear_in_the_spans_of_a_text(spark):
+    """A text of a megabyte with 10,000 hashes and 10,000 random tokens, scanned and masked."""
+    rng = random.Random(5)
+    letters = string.ascii_letters + string.digits
+    text = " ".join(f"{rng.getrandbits(160):040x} {''.join(rng.choice(letters) for _ in range(60))}" for _ in range(10_000))
+    frame = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    start = time.time()
+    row = secrets.scan(frame).select(F.size("base").alias("base"), F.size("found").alias("found")).first()
+    assert row.base == 10_000 and row.found > 9_000 and time.time() - start < 30
+    start = time.time()
+    masked = secrets.redact(frame).first().text
+    assert masked.count("[SECRET]") == row.base + row.found and time.time() - start < 30
