@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from ledgerwell.config import DISCLAIMER, Config, Retrieval, load
 from ledgerwell.functions import lists
-from ledgerwell.operators import answers, chunking, dense, evaluation, grounding, hybrid, lexical, pairs, routing
+from ledgerwell.operators import answers, chunking, dense, evaluation, grounding, hybrid, lexical, pairs, routing, shards
 from ledgerwell.plans import catalog
 from ledgerwell.plans.engine import Engine, health
 from ledgerwell.sources import records, uploads
@@ -405,3 +405,36 @@ def test_suggestions_equal_all_pairs(spark):
     assert grounding.candidates(*frames, 0.82).count() < len(asked) * len(known) / 20
     with pytest.raises(ValueError):
         grounding.suggestions(*frames, 0.6)
+
+
+@pytest.mark.parametrize(("documents", "queries", "idf"), [(50, 7, "plus1"), (16_384, 4096, "plus1"), (90, 4096, "okapi")])
+def test_packed_shards_give_the_best_of_all_scores(spark, monkeypatch, documents, queries, idf):
+    rng = random.Random(documents)
+    words = [f"w{min(rng.randrange(300), rng.randrange(300))}" for _ in range(4000)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([0, 3, 20, 200])))) for i in range(400)] + [(1000 + i, "w1 w2 w2") for i in range(12)]
+    asked = [(q, " ".join(rng.choice(words + ["unheard"]) for _ in range(rng.choice([0, 1, 2, 30])))) for q in range(40)]
+    index = lexical.build_index(spark.createDataFrame(rows, "chunk_id bigint, clean string"))
+    wanted = spark.createDataFrame(asked, "query_id bigint, clean string")
+    monkeypatch.setattr(shards, "QUERIES", queries)
+    shown = lambda df: sorted((r.query_id, r["rank"], r.chunk_id, round(r.bm25, 8)) for r in df.collect())
+    want = shown(lexical.top(lexical.bm25(index, wanted, idf=idf), 5, "bm25"))
+    assert len(want) > 100
+    for terms in (None, lexical.terms_of(wanted, "query_id", "clean")):
+        assert shown(shards.best(shards.packed(index, idf=idf, terms=terms, documents=documents), wanted, 5)) == want
+
+
+def test_shards_stop_early():
+    """Completing only what can still get among the best gives the same documents as adding everything."""
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        n, k = int(rng.integers(5, 400)), 5
+        terms = []
+        for _ in range(rng.integers(1, 20)):
+            at = np.sort(rng.choice(n, int(rng.integers(1, n + 1)), replace=False))
+            parts = rng.random(len(at)) * 2.5
+            terms.append((float(rng.exponential()), at, parts, float(parts.max())))
+        full = np.zeros(n)
+        for w, at, parts, _ in terms:
+            full[at] += w * parts
+        some, score = shards._scores(terms, n, k)
+        assert np.allclose(score, full[some]) and set(np.argsort(-full)[:k]) & set(np.flatnonzero(full)) <= set(some)
