@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerwell.operators.lexical import top
@@ -122,6 +122,29 @@ def batch_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_i
     return top(_union([visit(*block) for block in _query_blocks(queries)], vectors, schema), k, "score", key)
 
 
+def grouped_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", group: str = "field") -> DataFrame:
+    """(query_id, key, score, rank): the best k of each query in each group of the vectors (key, embedding, group), exact. What is
+    shuffled is k rows a batch, group and query, never a row for each pair."""
+    schema = f"query_id bigint, {key} bigint, {group} string, score double"
+
+    def visit(ids: np.ndarray, q: np.ndarray) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x, names, groups = matrix(b.column(1)), b.column(0).to_numpy(), np.array(b.column(2).to_pylist(), object)
+                for one in dict.fromkeys(groups.tolist()):
+                    own = np.flatnonzero(groups == one)
+                    for at in range(0, len(ids), STEP):
+                        scores = x[own] @ q[at : at + STEP].T
+                        row, column = best_rows(scores, names[own], k)
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[at + column]), pa.array(names[own][row]), pa.array([one] * len(row), pa.string()), pa.array(scores[row, column])], ["query_id", key, group, "score"])
+
+        return vectors.select(key, "embedding", group).mapInArrow(run, schema)
+
+    found = _union([visit(*block) for block in _query_blocks(queries)], vectors, schema)
+    order = Window.partitionBy("query_id", group).orderBy(F.desc(F.round("score", 9)), key)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def bounds(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, lo, hi): the least and the largest score of each query over all vectors, without a row for each pair."""
     schema = "query_id bigint, lo double, hi double"

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwell.config import Config
-from ledgerwell.functions import text
+from ledgerwell.functions import lists, text
 from ledgerwell.operators import answers, chunking, dense, grounding, hybrid, lexical, pairs, routing
 from ledgerwell.operators import trace as steps
 from ledgerwell.session import stored
@@ -58,7 +58,7 @@ class Engine:
             self.vectors = dense.require_aligned(self.chunks, dense.require_unit(self._table("vectors", make)))
         corpus = self.chunks.where(F.col("origin") == chunking.CORPUS)
         self.vocabulary = self._table("vocabulary", lambda: grounding.vocabulary(corpus))
-        self.uploads = self.chunks.where(F.col("origin") != chunking.CORPUS).select("chunk_id")
+        self.uploads = self.chunks.where(F.col("origin") != chunking.CORPUS).select("chunk_id", "field")
         self.has_uploads = not self.uploads.isEmpty()
 
     def _kept_at(self) -> str:
@@ -88,15 +88,23 @@ class Engine:
         self.steps.append((name, 1000 * (time.perf_counter() - start)))
         return out
 
-    def _allowed(self, asked: DataFrame, grounded: DataFrame) -> DataFrame:
-        """(query_id, chunk_id) a query may draw on: chunks that hold a matched entity, and uploads; all where that is nothing."""
-        wanted = grounded.where("entity is not null").select("query_id", F.col("entity").alias("token")).distinct()
-        allowed = grounding.chunk_tokens(self.chunks).join(wanted, "token").select("query_id", "chunk_id")
-        if self.has_uploads:  # a batch of questions by the few chunks of a user's files
-            allowed = allowed.unionByName(asked.select("query_id").crossJoin(self.uploads))
-        allowed = self._measured("allowed", allowed.join(asked.select("query_id"), "query_id", "left_semi").distinct())
-        without = asked.join(allowed, "query_id", "left_anti").select("query_id")
-        return allowed if without.isEmpty() else allowed.unionByName(without.crossJoin(self.chunks.select("chunk_id")))
+    def _allowed(self, asked: DataFrame, grounded: DataFrame, lex: DataFrame, wanted: DataFrame | None, n: int) -> DataFrame:
+        """(query_id, chunk_id) that can be among a query's results: chunks that hold a matched entity, and of the uploads those
+        with a word of the query and the n nearest of each field that a boost tells apart.
+
+        A chunk without a word of the query ranks by its dense score among those of its field, so the others of the uploads can't get
+        among the best n, and no table of all uploads by all queries is made. Each query is matched or may read uploads, so that
+        none has to draw on all chunks. Where words alone count (alpha 1) all of those rank alike, by number, and all are taken.
+        """
+        matched = grounded.where("entity is not null").select("query_id", F.col("entity").alias("token")).distinct()
+        allowed = grounding.chunk_tokens(self.chunks).join(matched, "token").select("query_id", "chunk_id")
+        if self.has_uploads:
+            allowed = allowed.unionByName(lex.join(self.uploads.select("chunk_id"), "chunk_id").select("query_id", "chunk_id"))
+            if wanted is not None:
+                boosted = F.when(F.col("field").isin(*lists.RECORD_FIELDS), F.col("field")).otherwise("other")
+                near = self.vectors.join(self.uploads, "chunk_id").select("chunk_id", "embedding", boosted.alias("field"))
+                allowed = allowed.unionByName(dense.grouped_topk(near, wanted, n).select("query_id", "chunk_id"))
+        return self._measured("allowed", allowed.join(asked.select("query_id"), "query_id", "left_semi").distinct())
 
     def retrieve(self, queries: DataFrame, persona: routing.Persona | None = None, k: int | None = None, rerank=None) -> tuple[DataFrame, DataFrame]:
         """(results, outcomes) for query_id, query. Scores are scaled over the whole corpus, then restricted, boosted, floored
@@ -111,14 +119,15 @@ class Engine:
         out = self._measured("outcomes", grounding.outcomes(queries, grounded))
         open_ = out if self.has_uploads else out.where(F.size("matched") > 0)
         asked = open_.select("query_id", F.col("rewritten").alias("text"), text.cleaned(F.col("rewritten")).alias("clean"))
-        lex = lexical.bm25(self.index, asked, r.k1, r.b, r.idf)
-        allowed = self._allowed(asked, grounded)
+        lex = self._measured("lexical", lexical.bm25(self.index, asked, r.k1, r.b, r.idf))
+        wanted = None if self.vectors is None else self._measured("queries", dense.encode(asked, self.encoder).select("query_id", "embedding"))
+        n = r.pool if rerank is not None else k
+        allowed = self._allowed(asked, grounded, lex, wanted, n if r.alpha < 1 or not self.has_uploads else self.uploads.count())
         if self.vectors is None:
             scored = hybrid.blend(lex, None, self.chunks, r.alpha).join(allowed, ["query_id", "chunk_id"], "left_semi")
         else:
-            wanted = self._measured("queries", dense.encode(asked, self.encoder).select("query_id", "embedding"))
             ends = dense.bounds(self.vectors, wanted)
-            scored = hybrid.blend_pairs(allowed, self._measured("lexical", lex), self.vectors, wanted.withColumnRenamed("embedding", "q"), ends, self.chunks, r.alpha)
+            scored = hybrid.blend_pairs(allowed, lex, self.vectors, wanted.withColumnRenamed("embedding", "q"), ends, self.chunks, r.alpha)
         scored = self._measured("scores", scored)
         kept = hybrid.boost(scored, self.chunks, routing.field_weights(queries, persona), persona.field_boost if persona else r.field_boost)
         rows = hybrid.reranked(kept, k, rerank, r.pool, r.emb_floor, r.bm25_floor) if rerank is not None else hybrid.ranked(kept, k, r.emb_floor, r.bm25_floor)

@@ -438,3 +438,24 @@ def test_shards_stop_early():
             full[at] += w * parts
         some, score = shards._scores(terms, n, k)
         assert np.allclose(score, full[some]) and set(np.argsort(-full)[:k]) & set(np.flatnonzero(full)) <= set(some)
+
+
+@pytest.mark.parametrize(("alpha", "encoder"), [(0.2, True), (1.0, True), (0.2, False)])
+def test_uploads_are_ranked_as_if_all_were_scored(spark, corpus, monkeypatch, alpha, encoder):
+    rng = random.Random(3)
+    words = "drops noise rash dose protocol zeta blue channel take daily".split()
+    fields = [*lists.RECORD_FIELDS, "page 1", "page 2", "row 3"]
+    uploads_ = [(f"u{i}", "u", rng.choice(fields), "upload", " ".join(rng.choice(words) for _ in range(rng.randrange(1, 9))), "upload:u", {"a": "b"}) for i in range(70)]
+    settings = Config(retrieval=Retrieval(bm25_floor=0.3, emb_floor=0.1, alpha=alpha))
+    engine = Engine(corpus.unionByName(spark.createDataFrame(uploads_, corpus.schema)), None, dense.hashing_encoder() if encoder else None, config=settings)
+    asked = spark.createDataFrame([(1, "noise of the blue channel"), (2, "what is the dose of alphadrin"), (3, "unheard words only"), (4, "side effects of zeta drops")], "query_id long, query string")
+    shown = lambda: sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 9)) for r in engine.retrieve(asked, k=3)[0].collect())
+    got = shown()
+
+    def every(self, asked, grounded, *rest):
+        matched = grounded.where("entity is not null").select("query_id", F.col("entity").alias("token")).distinct()
+        held = grounding.chunk_tokens(self.chunks).join(matched, "token").select("query_id", "chunk_id")
+        return held.unionByName(asked.select("query_id").crossJoin(self.uploads.select("chunk_id"))).distinct()
+
+    monkeypatch.setattr(Engine, "_allowed", every)
+    assert got == shown() and len(got) > 5
