@@ -19,9 +19,11 @@ from __future__ import annotations
 import html as entities
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerwell.llm.common import table
 
 MOST_INDENT, ALIGNED = 64, 6
+#: Blanks that align the cells of a table, for each of its other characters.
+PADDING = 4
 _NAME = re.compile(r"[a-zA-Z][^ \t\n\r\f/>]*")
 _GAP = re.compile(r"[ \t\n\r\f/]*")
 _BLANK = re.compile(r"[ \t\n\r\f]*")
@@ -400,12 +404,19 @@ def _parts(node: Node) -> tuple[list[list[list[Node]]], list[Node], list]:
 
 
 def _grid(section: list[list[Node]]) -> list[list[tuple[int, int, Node]]]:
-    """(first column, column after the last, cell) of each row, past columns that cells of earlier rows span."""
+    """(first column, column after the last, cell) of each row, past columns that cells of earlier rows span.
+
+    Neighbouring columns that are spanned until the same row are one entry. A table whose rows pass more entries than in
+    proportion to its cells goes on without spanned columns.
+    """
     out = []
     spanned: list[tuple[int, int, int]] = []  # first column, column after the last, row after the last
+    steps = 64 * sum(map(len, section)) + 65_536
     for r, row in enumerate(section):
-        spanned = sorted(s for s in spanned if s[2] > r)
-        placed, col, k = [], 0, 0
+        if any(s[2] <= r for s in spanned):
+            spanned = [s for s in spanned if s[2] > r]
+        steps -= len(spanned)
+        placed, col, k, new = [], 0, 0, []
         for cell in row:
             across = min(1000, max(1, integer(cell.attributes.get("colspan"), 1)))
             down = min(65534, max(0, integer(cell.attributes.get("rowspan"), 1)))
@@ -414,10 +425,17 @@ def _grid(section: list[list[Node]]) -> list[list[tuple[int, int, Node]]]:
                 k += 1
             placed.append((col, col + across, cell))
             col += across
-            if down != 1:
-                placed_until = r + down if down else len(section)
-                spanned.append((col - across, col, placed_until))
-        spanned.sort()
+            until = min(r + down, len(section)) if down else len(section)
+            if until > r + 1:
+                new.append((col - across, col, until))
+        if new:
+            joined: list[tuple[int, int, int]] = []
+            for s in sorted(spanned + new):
+                if joined and joined[-1][2] == s[2] and joined[-1][1] >= s[0]:
+                    joined[-1] = (joined[-1][0], max(joined[-1][1], s[1]), s[2])
+                else:
+                    joined.append(s)
+            spanned = joined if steps > 0 else []
         out.append(placed)
     return out
 
@@ -449,36 +467,57 @@ def _aligned(sections: list[list[list[Node]]], to: Lines, level: int) -> None:
                 cells.append((first, after, inner.text().split("\n")))
             rows.append(cells)
     starts = {c: k for k, c in enumerate(sorted({first for row in rows for first, _, _ in row}))}
-    ordered = sorted(starts)
-    wide = [0] * len(starts)
-    spanning = []
-    for row in rows:
-        for first, after, lines in row:
-            a, size = starts[first], max(map(width, lines))
-            b = a + 1
-            while b < len(ordered) and ordered[b] < after:
-                b += 1
-            if b == a + 1:
-                wide[a] = max(wide[a], size)
-            else:
-                spanning.append((a, b, size))
-    for a, b, size in spanning:
-        wide[b - 1] += max(0, size - sum(wide[a:b]) - 2 * (b - a - 1))
-    left = [0]
-    for w in wide:
-        left.append(left[-1] + w + 2)
+    left = _columns(rows, starts)
     for row in rows:
-        for k in range(max((len(lines) for _, _, lines in row), default=0)):
+        lines: dict[int, list[tuple[int, str]]] = {}
+        for first, _, own in row:
+            for k, line in enumerate(own):
+                if line:
+                    lines.setdefault(k, []).append((left[starts[first]], line))
+        for k in range(max((len(own) for _, _, own in row), default=0)):
             to.block(0)
             line, at = [], 0
-            for first, _, lines in row:
-                if k < len(lines) and lines[k]:
-                    line.append(" " * (left[starts[first]] - at) + lines[k])
-                    at = left[starts[first]] + width(lines[k])
+            for start, s in lines.get(k, ()):
+                place = max(start, at + 2) if line else start
+                line.append(" " * (place - at) + s)
+                at = place + width(s)
             if line:
                 to.word("".join(line))
 
 
+def _columns(rows: list[list[tuple[int, int, list[str]]]], starts: dict[int, int]) -> list[int]:
+    """Where the columns of a table begin. They are as wide as their widest cell, as long as the blanks that takes stay in
+    proportion to the text (PADDING); else wide cells count as less, and reach into the next column, or nothing is aligned."""
+    sizes = [[(starts[first], after, max(map(width, own))) for first, after, own in row] for row in rows]
+    ordered = sorted(starts)
+    room = 4096 + PADDING * sum(len(line) - line.count(" ") for row in rows for _, _, own in row for line in own)
+    for most in (1 << 30, 512, 128, 32, 8):
+        wide, spanning = [0] * len(starts), []
+        for row in sizes:
+            for a, after, size in row:
+                b = max(a + 1, bisect_left(ordered, after))
+                if b == a + 1:
+                    wide[a] = max(wide[a], min(size, most))
+                else:
+                    spanning.append((a, b, min(size, most)))
+        for a, b, size in spanning:
+            wide[b - 1] += max(0, size - sum(wide[a:b]) - 2 * (b - a - 1))
+        left = [0, *accumulate(w + 2 for w in wide)]
+        blanks = 0
+        for row in rows:
+            ends: dict[int, int] = {}
+            for first, _, own in row:
+                start = left[starts[first]]
+                for k, line in enumerate(own):
+                    if line:
+                        place = max(start, ends[k] + 2) if k in ends else start
+                        blanks += place - ends.get(k, 0)
+                        ends[k] = place + width(line)
+        if blanks <= room:
+            return left
+    return [0] * len(left)
+
+
 def _numbered(node: Node) -> list:
     """The children of a list, its items with their markers."""
     items = sum(not isinstance(c, str) and c.tag == "li" for c in node.children)

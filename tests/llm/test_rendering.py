@@ -1,3 +1,4 @@
+import re
 import random
 import time
 from html.parser import HTMLParser
@@ -175,3 +176,44 @@ def test_words_against_another_parser():
         slow.close()
         want = "".join(slow.words).split()
         assert [w for w in render(page).split() if w != "-"] == want, page
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<table>" + "<tr><td rowspan=65534>x<td>y" * 36_000, "<table>" + "<tr><td rowspan=0>x<td>y" * 36_000, "<table><tr><td>" + "w" * 20_000 + "<td>z" + "<tr><td>a<td>b" * 60_000,
+        "<table>" + "".join(f"<tr><td rowspan={20_000 - 7 * k % 9973}>x<td>y" for k in range(30_000)), "<table>" + "<tr><td colspan=1000>x<td>y" * 30_000,
+        "<table><tr>" + "<td>c" * 5000 + "<td>" + "l<br>" * 100_000, "<table>" + ("<tr>" + "<td>" * 300 + "e") * 800,
+    ],
+    ids=["rowspan", "rest", "wide", "mixed", "colspan", "tall", "sparse"],
+)
+def test_tables_stay_in_proportion(page):
+    start = time.time()
+    text = render(page)
+    assert time.time() - start < 20 and len(text) < 2 * len(page)
+    assert len(text.split()) == sum(len(x.split()) for x in re.split("<[^>]*>", page))
+
+
+def test_random_tables_keep_every_cell_in_its_column():
+    """Random spans against a grid that is filled cell by cell."""
+    rng = random.Random(8)
+    for _ in range(300):
+        rows = [[(rng.choice([1, 1, 2, 3]), rng.choice([1, 1, 1, 2, 3, 0])) for _ in range(rng.randrange(1, 5))] for _ in range(rng.randrange(2, 7))]
+        page, taken, want = "<table>", set(), []
+        for r, row in enumerate(rows):
+            page, col = page + "<tr>", 0
+            want.append([])
+            for k, (across, down) in enumerate(row):
+                page += f"<td colspan={across} rowspan={down}>r{r}c{k}"
+                while (r, col) in taken:
+                    col += 1
+                want[-1].append((f"r{r}c{k}", col))
+                taken |= {(y, x) for y in range(r, r + down if down else len(rows)) for x in range(col, col + across)}
+                col += across
+        lines = render(page).split("\n")
+        assert [x.split() for x in lines] == [[name for name, _ in row] for row in want]
+        places = {}
+        for line, row in zip(lines, want):
+            for name, col in row:
+                places.setdefault(col, set()).add(line.index(name))
+        assert all(len(at) == 1 for at in places.values()) and [min(places[c]) for c in sorted(places)] == sorted(min(at) for at in places.values())
