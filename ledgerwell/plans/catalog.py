@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerwell.functions import lists, stems, text
@@ -666,19 +666,41 @@ def result_set_diff(spark, sf_dir):
 # --- intents and personas --------------------------------------------------------------------------------------------
 
 _SCORES = ", ".join(f"({k}, '{i}', {w}, '{p.replace(chr(39), chr(39) * 2)}')" for k, (i, w, p) in enumerate(lists.INTENT_RULES))
-_INTENTS = f"""qs(query_id, query) AS (SELECT * FROM {_values(QUESTIONS)}), rules(k, intent, w, p) AS (VALUES {_SCORES}),
+#: What users of the conversations ask, after a form that their place chooses; {} is the first word they said.
+FORMS = (
+    "What are the side effects of {}?", "how does {} work with a cold gizmo", "What is the dosage of {}?", "tell me about {}", "does {} interact with glonk",
+    "Is {} safe to take with ring?", "what is the mechanism of action of {} and how does it work", "how much {} should patients take per day, 500 mg bid?",
+    "who should not take {} during pregnancy", "I have chest pain since {}", "should I increase my dose of {}?", "what is {} used for?", "can I just stop {}",
+    "where is {} stored and what is its half-life", "", "is too much {} harmful, or an OVERDOSE?", "I feel dizzy after {} and passed out",
+)
+_FIRST = "regexp_extract(lower(coalesce(text, '')), '[a-z]+')"
+_FORMS_SQL = f"qs AS (SELECT conv_id * 1000 + turn AS query_id, replace({_sql_list(FORMS)}[(conv_id * 7 + turn * 3) % {len(FORMS)} + 1], '{{}}', {_FIRST}) AS query FROM conversations WHERE role = 'user')"
+
+
+def _chosen(forms: tuple, by: int = 7) -> Column:
+    """The form that a turn's place chooses."""
+    return F.element_at(F.array(*map(F.lit, forms)), ((F.col("conv_id") * by + F.col("turn") * 3) % len(forms) + 1).cast("int"))
+
+
+def _asked_turns(spark, sf_dir) -> DataFrame:
+    first = F.regexp_extract(F.lower(F.coalesce("text", F.lit(""))), "[a-z]+", 0)
+    turns = _read(spark, sf_dir, "conversations").where("role = 'user'")
+    return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.replace(_chosen(FORMS), F.lit("{}"), first).alias("query"))
+
+
+_INTENTS = f"""{_FORMS_SQL}, rules(k, intent, w, p) AS (VALUES {_SCORES}),
 hit AS (SELECT query_id, intent, sum(w::DOUBLE) AS w, min(k) AS k FROM qs JOIN rules ON regexp_matches(query, p, 'i') GROUP BY ALL),
 dist AS (SELECT query_id, intent, round(w / sum(w) OVER (PARTITION BY query_id), 4) AS confidence, k FROM hit)"""
 
 
 @query(f"WITH {_INTENTS} SELECT query_id, intent, confidence FROM dist")
 def intent_distribution(spark, sf_dir):
-    return routing.intent_rows(_inline(spark))
+    return routing.intent_rows(_asked_turns(spark, sf_dir))
 
 
 @query(f"WITH {_INTENTS} SELECT query_id, arg_min(intent, (-confidence, k)) AS intent FROM dist GROUP BY 1")
 def top_intents(spark, sf_dir):
-    return _inline(spark).select("query_id", routing.top_intent(routing.intents(F.col("query"))).alias("intent")).where("intent is not null")
+    return _asked_turns(spark, sf_dir).select("query_id", routing.top_intent(routing.intents(F.col("query"))).alias("intent")).where("intent is not null")
 
 
 @query(f"""
@@ -696,7 +718,7 @@ _ALLOWED = ", ".join(f"'{f}'" for f in sorted(routing.PATIENT.allowed))
 
 @query(f"WITH {_INTENTS}, {_FIELDS} SELECT query_id, field, round(sum(confidence * weight), 6)::DOUBLE AS weight FROM dist JOIN fw USING (intent) WHERE field IN ({_ALLOWED}) GROUP BY ALL")
 def patient_field_weights(spark, sf_dir):
-    return routing.field_weights(_inline(spark), routing.PATIENT).select("query_id", "field", F.round("weight", 6).alias("weight"))
+    return routing.field_weights(_asked_turns(spark, sf_dir), routing.PATIENT).select("query_id", "field", F.round("weight", 6).alias("weight"))
 
 
 _PICK = "s AS (SELECT vec_id % 7 AS query_id, vec_id AS chunk_id, 'drug-corpus' AS origin, ['description', 'mechanism', 'indications', 'dosage', 'side_effects', 'contraindications', 'interactions'][label % 7 + 1] AS field, embedding[1]::DOUBLE AS score FROM embeddings)"
@@ -720,15 +742,11 @@ def dropped_fields(spark, sf_dir):
     return routing.dropped_fields(rows, routing.select_for(routing.PATIENT, rows)).select("query_id", F.array_join("dropped", ",").alias("dropped"))
 
 
-SCREENED = ((1, "I have chest pain since noon", "red_flag"), (2, "should I increase my dose?", "medication_change"), (3, "does ring interact with rod?", "interaction"), (4, "what is the ring used for?", None), (5, "can I just stop", "medication_change"), (6, None, None))
-
-
 @query(f"""
-WITH {_INTENTS.replace(_values(QUESTIONS), _values([r[:2] for r in SCREENED]))}, top AS (SELECT query_id, arg_min(intent, (-confidence, k)) AS intent FROM dist GROUP BY 1), rf(flag) AS (SELECT unnest({_sql_list(lists.RED_FLAGS)}))
-SELECT qs.query_id::INT AS query_id, query, CASE WHEN EXISTS (SELECT 1 FROM rf WHERE contains(lower(query), flag)) THEN 'red_flag' WHEN regexp_matches(query, '{lists.MEDICATION_CHANGE.replace(chr(39), chr(39) * 2)}', 'i') THEN 'medication_change' WHEN intent = 'interactions' THEN 'interaction' END AS screen FROM qs LEFT JOIN top USING (query_id)""")
+WITH {_INTENTS}, top AS (SELECT query_id, arg_min(intent, (-confidence, k)) AS intent FROM dist GROUP BY 1), rf(flag) AS (SELECT unnest({_sql_list(lists.RED_FLAGS)}))
+SELECT qs.query_id, query, CASE WHEN EXISTS (SELECT 1 FROM rf WHERE contains(lower(query), flag)) THEN 'red_flag' WHEN regexp_matches(query, '{lists.MEDICATION_CHANGE.replace(chr(39), chr(39) * 2)}', 'i') THEN 'medication_change' WHEN intent = 'interactions' THEN 'interaction' END AS screen FROM qs LEFT JOIN top USING (query_id)""")
 def persona_screens(spark, sf_dir):
-    rows = spark.createDataFrame([r[:2] for r in SCREENED], "query_id int, query string")
-    return rows.select("query_id", "query", answers.screen(F.col("query"), routing.top_intent(routing.intents(F.col("query")))).alias("screen"))
+    return _asked_turns(spark, sf_dir).select("query_id", "query", answers.screen(F.col("query"), routing.top_intent(routing.intents(F.col("query")))).alias("screen"))
 
 
 # --- answers ---------------------------------------------------------------------------------------------------------
@@ -763,26 +781,36 @@ def answer_overlap(spark, sf_dir):
     return _turns(spark, sf_dir).select("conv_id", "turn", F.round(text.overlap(F.col("text"), F.col("context")), 6).alias("overlap"))
 
 
-ANSWERED = ((1, "Take care [Source 1] and [Source 3]. This is NOT medical advice.", "alpha beta 12.5 mg", 2), (2, "No citation, 40 mg", "40 mg daily", 1), (3, "[Source 2][Source  2] fine 7 and 8.25", "fine 8.25", 2), (4, "<think>[Source 9]</think> ok [Source 1]", None, 1))
+#: What stands before and after an answer and before its context, with the number of its sources, by the turn's place.
+SAID = (
+    ("Take care [Source 1] and [Source 3]. This is NOT medical advice.", "", "alpha beta 12.5 mg", 2), ("No citation, 40 mg", "", "40 mg daily", 1),
+    ("[Source 2][Source  2] fine 7 and 8.25", " [Source 1]", "fine 8.25", 2), ("<think>[Source 9]</think> ok [Source 1]", "", "", 1),
+    ("<think>only this 3</think>", "", "7 times", 3), ("In 2 of 30 cases", " (see [Source 2], [Source 4])", "2 of 31", 4),
+)
+_SAID = f"""said AS (SELECT *, (conv_id * 5 + turn * 3) % {len(SAID)} + 1 AS f, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),
+a AS (SELECT conv_id, turn, {_sql_list([x[0] for x in SAID])}[f] || ' ' || text || {_sql_list([x[1] for x in SAID])}[f] AS answer, {_sql_list([x[2] for x in SAID])}[f] || ' ' || coalesce(before, '') AS context, {[x[3] for x in SAID]}[f] AS n FROM said WHERE role = 'assistant')"""
+
+
+def _answers(spark, sf_dir) -> DataFrame:
+    form = lambda k: _chosen(tuple(x[k] for x in SAID), 5)
+    return _turns(spark, sf_dir).select("conv_id", "turn", F.concat(form(0), F.lit(" "), "text", form(1)).alias("answer"), F.concat(form(2), F.lit(" "), F.coalesce("context", F.lit(""))).alias("context"), form(3).alias("n"))
 
 
 @query(rf"""
-WITH a(query_id, answer, context, n) AS (SELECT a::INT, b, c, d FROM {_values(ANSWERED)} AS t(a, b, c, d)), u AS (SELECT query_id, n, trim(regexp_replace(answer, '<think>.*?</think>', '', 'gs')) AS said FROM a),
-c AS (SELECT query_id, n, said, list_sort(list_distinct(list_transform(regexp_extract_all(said, '\[Source\s+([0-9]+)\]', 1), lambda x: x::INT))) AS cited FROM u),
+WITH {_SAID}, u AS (SELECT conv_id, turn, n, trim(regexp_replace(answer, '<think>.*?</think>', '', 'gs')) AS said FROM a),
+c AS (SELECT *, list_sort(list_distinct(list_transform(regexp_extract_all(said, '\[Source\s+([0-9]+)\]', 1), lambda x: x::INT))) AS cited FROM u),
 v AS (SELECT *, list_filter(cited, lambda x: x BETWEEN 1 AND n) AS good, list_filter(cited, lambda x: x NOT BETWEEN 1 AND n) AS bad FROM c)
-SELECT query_id, array_to_string(good, ',') AS citations, array_to_string(bad, ',') AS invalid, contains(lower(said), 'not medical advice') AS has_disclaimer, len(good) > 0 AND len(bad) = 0 AS grounded FROM v""")
+SELECT conv_id, turn, array_to_string(good, ',') AS citations, array_to_string(bad, ',') AS invalid, contains(lower(said), 'not medical advice') AS has_disclaimer, len(good) > 0 AND len(bad) = 0 AS grounded FROM v""")
 def citation_verify(spark, sf_dir):
-    rows = spark.createDataFrame(ANSWERED, "query_id int, answer string, context string, n int")
     v = answers.verification(text.without_scratchpad(F.col("answer")), F.col("context"), F.col("n"))
-    return rows.withColumn("v", v).select("query_id", F.array_join(F.transform("v.citations", lambda x: x.cast("string")), ",").alias("citations"), F.array_join(F.transform("v.invalid", lambda x: x.cast("string")), ",").alias("invalid"), "v.has_disclaimer", "v.grounded")
+    return _answers(spark, sf_dir).withColumn("v", v).select("conv_id", "turn", F.array_join(F.transform("v.citations", lambda x: x.cast("string")), ",").alias("citations"), F.array_join(F.transform("v.invalid", lambda x: x.cast("string")), ",").alias("invalid"), "v.has_disclaimer", "v.grounded")
 
 
 @query(rf"""
-WITH a(query_id, answer, context) AS (SELECT a::INT, b, c FROM {_values([r[:3] for r in ANSWERED])} AS t(a, b, c)), n AS (SELECT query_id, regexp_extract_all(answer, '[0-9]+(?:\.[0-9]+)?') AS x, regexp_extract_all(coalesce(context, ''), '[0-9]+(?:\.[0-9]+)?') AS y FROM a)
-SELECT query_id, array_to_string(list_sort(list_distinct(list_filter(x, lambda v: NOT list_contains(y, v)))), ',') AS unsupported FROM n""")
+WITH {_SAID}, n AS (SELECT conv_id, turn, regexp_extract_all(answer, '[0-9]+(?:\.[0-9]+)?') AS x, regexp_extract_all(context, '[0-9]+(?:\.[0-9]+)?') AS y FROM a)
+SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_filter(x, lambda v: NOT list_contains(y, v)))), ',') AS unsupported FROM n""")
 def unsupported_numbers(spark, sf_dir):
-    rows = spark.createDataFrame(ANSWERED, "query_id int, answer string, context string, n int")
-    return rows.select("query_id", F.array_join(text.unsupported_numbers(F.col("answer"), F.col("context")), ",").alias("unsupported"))
+    return _answers(spark, sf_dir).select("conv_id", "turn", F.array_join(text.unsupported_numbers(F.col("answer"), F.col("context")), ",").alias("unsupported"))
 
 
 @query(r"""
@@ -806,16 +834,18 @@ def prefix_strip(spark, sf_dir):
     return rows.select("doc_id", F.md5(text.without_prefix(F.col("text"))).alias("digest"))
 
 
-NOTES = ((1, "SOB and htn, 5 mg bid."), (2, "  What about   (CKD)? "), (3, ""), (4, "po prn!"))
+#: Shorthand that stands before a turn's text, by its place.
+NOTES = ("SOB and htn, 5 mg bid.", "  What about   (CKD)? ", "", "po prn!", "T2DM;uti", "GI (iv),")
 
 
 @query(rf"""
-WITH n(note_id, note) AS (SELECT * FROM {_values(NOTES)}), ab(short, long) AS (SELECT * FROM {_values(lists.ABBREVIATIONS.items())}),
-w AS (SELECT note_id, unnest(string_split({FLAT.format('lower(note)')}, ' ')) AS t, generate_subscripts(string_split({FLAT.format('lower(note)')}, ' '), 1) AS pos FROM n),
-x AS (SELECT note_id, pos, t, regexp_replace(t, '^[.,;:?!()]+|[.,;:?!()]+$', '', 'g') AS bare FROM w)
-SELECT note_id, string_agg(CASE WHEN long IS NULL THEN t ELSE replace(t, bare, long) END, ' ' ORDER BY pos) AS normalised FROM x LEFT JOIN ab ON short = bare GROUP BY 1""")
+WITH n AS (SELECT conv_id, turn, {_sql_list(NOTES)}[(conv_id * 7 + turn * 3) % {len(NOTES)} + 1] || ' ' || coalesce(text, '') AS note FROM conversations), ab(short, long) AS (SELECT * FROM {_values(lists.ABBREVIATIONS.items())}),
+w AS (SELECT conv_id, turn, unnest(string_split({FLAT.format('lower(note)')}, ' ')) AS t, generate_subscripts(string_split({FLAT.format('lower(note)')}, ' '), 1) AS pos FROM n),
+x AS (SELECT conv_id, turn, pos, t, regexp_replace(t, '^[.,;:?!()]+|[.,;:?!()]+$', '', 'g') AS bare FROM w)
+SELECT conv_id, turn, string_agg(CASE WHEN long IS NULL THEN t ELSE replace(t, bare, long) END, ' ' ORDER BY pos) AS normalised FROM x LEFT JOIN ab ON short = bare GROUP BY 1, 2""")
 def query_normalise(spark, sf_dir):
-    return spark.createDataFrame(NOTES, "note_id int, note string").select("note_id", text.normalise(F.col("note")).alias("normalised"))
+    note = F.concat(_chosen(NOTES), F.lit(" "), F.coalesce("text", F.lit("")))
+    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", text.normalise(note).alias("normalised"))
 
 
 @query("SELECT user_id, count(*) AS answers, count(*) FILTER (event_type <> 'view') AS refused, count(*) FILTER (event_type = 'click') AS grounded, count(DISTINCT event_type) AS personas FROM events GROUP BY 1")
