@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerwell.functions import lists, stems, text
-from ledgerwell.operators import answers, chunking, dense, evaluation, grounding, hybrid, lexical, pairs, routing, shards
+from ledgerwell.operators import answers, chunking, dense, evaluation, grounding, hybrid, lexical, pairs, phrases, routing, shards
 from ledgerwell.session import dealt, new_path, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -749,6 +749,36 @@ def persona_screens(spark, sf_dir):
     return _asked_turns(spark, sf_dir).select("query_id", "query", answers.screen(F.col("query"), routing.top_intent(routing.intents(F.col("query")))).alias("screen"))
 
 
+# --- phrases ---------------------------------------------------------------------------------------------------------
+
+_FIXED = tuple(dict.fromkeys((*lists.RED_FLAGS, *lists.INTERACTION_PHRASES, *lists.INTERACTION_WORDS)))
+#: Three words from inside each question of the benchmark, and the fixed phrases of the screens after them.
+_PHRASES_SQL = f"""phrases AS (SELECT item_id AS phrase_id, array_to_string(string_split(lower({FLAT.format('text')}), ' ')[3:5], ' ') AS phrase FROM benchmark
+UNION ALL SELECT 1000000 + k, p FROM (SELECT unnest({_sql_list(_FIXED)}) AS p, unnest(range({len(_FIXED)})) AS k))"""
+
+
+def _phrases(spark, sf_dir) -> DataFrame:
+    inner = F.array_join(F.slice(F.split(F.lower(text.collapse(F.col("text"))), " "), 3, 3), " ")
+    fixed = spark.createDataFrame([(1_000_000 + k, p) for k, p in enumerate(_FIXED)], "phrase_id bigint, phrase string")
+    return _read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("bigint").alias("phrase_id"), inner.alias("phrase")).unionByName(fixed)
+
+
+_WHOLE = "NOT regexp_matches(substr(' ' || t, i, 1), '[\\p{L}\\p{N}]') AND NOT regexp_matches(substr(t || ' ', i + length(phrase), 1), '[\\p{L}\\p{N}]')"
+
+
+@query(f"WITH {_PHRASES_SQL} SELECT doc_id, phrase_id, instr(t, phrase) - 1 AS first FROM (SELECT doc_id, lower(text) AS t FROM documents), phrases WHERE phrase <> '' AND contains(t, phrase)")
+def phrase_hits(spark, sf_dir):
+    return phrases.hits(_docs(spark, sf_dir), "doc_id", "text", _phrases(spark, sf_dir)).drop("n")
+
+
+@query(f"""WITH {_FORMS_SQL}, {_PHRASES_SQL} SELECT query_id, phrase_id, len(places) AS n, places[1] - 1 AS first FROM (
+  SELECT query_id, phrase_id, list_filter(range(1, length(t) - length(phrase) + 2), lambda i: substr(t, i, length(phrase)) = phrase AND {_WHOLE}) AS places
+  FROM (SELECT query_id, lower(query) AS t FROM qs), phrases WHERE phrase <> '' AND contains(t, phrase)) WHERE len(places) > 0""")
+def phrase_screens(spark, sf_dir):
+    """The fixed phrases of the screens in what users ask, as whole words."""
+    return phrases.hits(_asked_turns(spark, sf_dir), "query_id", "query", _phrases(spark, sf_dir), words=True)
+
+
 # --- answers ---------------------------------------------------------------------------------------------------------
 
 

@@ -1,10 +1,11 @@
 import json
+import random
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerwell.operators import generation, trace
+from ledgerwell.operators import generation, phrases, trace
 from ledgerwell.operators.generation import GenerationError, Provider, generate
 from ledgerwell.plans import checks
 from ledgerwell.sources import labels
@@ -125,3 +126,25 @@ def test_stream_of_events(spark, tmp_path):
     got = {(str(r.start), r.event_type): (r.n, round(r.total, 6)) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     every = {(str(r.w.start), r.event_type): (r.n, round(r.total, 6)) for r in audit.windowed(batch).collect()}
     assert got and all(every[k] == v for k, v in got.items()) and len(got) > 0.9 * len(every)
+
+
+def test_phrases_in_one_pass_equal_one_test_each(spark, monkeypatch):
+    rng = random.Random(4)
+    make = lambda n: "".join(rng.choice("abé -1") for _ in range(n))
+    texts = [(k, make(rng.randrange(0, 300)).upper() if k % 3 else make(80)) for k in range(60)] + [(60, None), (61, "")]
+    found = [(k, make(rng.randrange(0, 4))) for k in range(80)] + [(500, "AB"), (501, "ab"), (502, "aa"), (503, None)]
+    rows = spark.createDataFrame(texts, "k int, t string")
+    table = spark.createDataFrame(found, "phrase_id int, phrase string")
+    for block in (1 << 20, 40):  # all in one automaton, and in many passes
+        monkeypatch.setattr(phrases, "BLOCK", block)
+        for words in (False, True):
+            want = set()
+            for k, t in texts:
+                t = (t or "").lower()
+                for number, p in found:
+                    p = (p or "").lower()
+                    at = [i for i in range(len(t) - len(p) + 1) if p and t[i : i + len(p)] == p and not (words and (t[i - 1 : i].isalnum() or t[i + len(p) : i + len(p) + 1].isalnum()))]
+                    if at:
+                        want.add((k, number, len(at), at[0]))
+            out = phrases.hits(rows, "k", "t", table, words)
+            assert {tuple(r) for r in out.collect()} == want and len(want) > 50
