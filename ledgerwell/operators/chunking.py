@@ -48,14 +48,18 @@ def numbered(chunks: DataFrame) -> DataFrame:
     return rows.join(offsets, "part").withColumn("chunk_id", (F.col("before") + F.col("k") - 1).cast("long")).drop("part", "k", "before")
 
 
+def numbered_on(base: DataFrame, extra: DataFrame) -> DataFrame:
+    """Further chunks, numbered on from the largest number of the base; the base's own rows aren't among them."""
+    start = base.agg(F.coalesce(F.max("chunk_id") + 1, F.lit(0)).alias("_start"))  # one row
+    return numbered(extra.drop("chunk_id")).crossJoin(start).withColumn("chunk_id", F.col("chunk_id") + F.col("_start")).drop("_start")
+
+
 def appended(base: DataFrame, *more: DataFrame) -> DataFrame:
     """Numbered chunks with further chunk tables after them: those are numbered on from the largest number so far, and the base
     keeps its numbers. Empty tables add nothing."""
     out = base
     for extra in more:
-        start = out.agg(F.coalesce(F.max("chunk_id") + 1, F.lit(0)).alias("_start"))  # one row
-        new = numbered(extra.drop("chunk_id")).crossJoin(start).withColumn("chunk_id", F.col("chunk_id") + F.col("_start")).drop("_start")
-        out = out.unionByName(new)
+        out = out.unionByName(numbered_on(out, extra))
     return out
 
 

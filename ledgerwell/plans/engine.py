@@ -14,6 +14,9 @@ from ledgerwell.operators import answers, chunking, dense, grounding, hybrid, le
 from ledgerwell.operators import trace as steps
 from ledgerwell.session import stored
 
+#: Additions to an engine after which its tables are written as one again, so that a batch reads few parts.
+PARTS = 8
+
 
 @dataclass
 class Engine:
@@ -34,33 +37,47 @@ class Engine:
     base: Engine | None = None
 
     def __post_init__(self):
-        """Builds the tables that every batch of queries reads."""
+        """Builds the tables that every batch of queries reads, or adds the rows of further documents to those of the base."""
         c, base = self.config, self.base
         self.steps: list[tuple[str, float]] = []
         self.trace: DataFrame | None = None
+        self.added = 0 if base is None else base.added + 1
         cut = chunking.chunk_table(self.documents, c.chunking.size, c.chunking.overlap)
         self._at = self._kept_at() if self.store and base is None else None
-        if base is None:
-            self.chunks = fresh = self._table("chunks", lambda: chunking.numbered(cut))
-        else:
-            self.chunks = stored(chunking.appended(base.chunks, cut), "engine-chunks")
-            fresh = self.chunks.join(base.chunks.select("chunk_id"), "chunk_id", "left_anti")
+        fresh = self._table("chunks", lambda: chunking.numbered(cut) if base is None else chunking.numbered_on(base.chunks, cut))
         built = lexical.build_index(fresh)
-        postings = self._table("postings", lambda: built.postings if base is None else base.index.postings.unionByName(built.postings))
-        lengths = self._table("lengths", lambda: built.lengths if base is None else base.index.lengths.unionByName(built.lengths))
+        postings, lengths = self._table("postings", lambda: built.postings), self._table("lengths", lambda: built.lengths)
         frequencies = self._table("frequencies", lambda: postings.groupBy("term").agg(F.count("*").alias("df")))
-        self.index = lexical.Index(postings, lengths, frequencies, lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
-        self.vectors = None
+        corpus = fresh.where(F.col("origin") == chunking.CORPUS)
+        words = grounding.vocabulary(corpus)
+        vocabulary = self._table("vocabulary", lambda: words if base is None else words.join(base.vocabulary, "token", "left_anti"))
+        vectors = None
         if self.encoder:
-            make = lambda: dense.encode(self.chunks.select("chunk_id", "text"), self.encoder).select("chunk_id", "embedding")
-            if base is not None and base.vectors is not None:
-                make = lambda: dense.appended(base.vectors, self.chunks, self.encoder)
-            self.vectors = dense.require_aligned(self.chunks, dense.require_unit(self._table("vectors", make)))
-        corpus = self.chunks.where(F.col("origin") == chunking.CORPUS)
-        self.vocabulary = self._table("vocabulary", lambda: grounding.vocabulary(corpus))
+            made = self._table("vectors", lambda: dense.encode(fresh.select("chunk_id", "text"), self.encoder).select("chunk_id", "embedding"))
+            vectors = dense.require_aligned(fresh, dense.require_unit(made))
+            if base is not None and base.vectors is None:
+                old = base.chunks.select("chunk_id", "text")
+                vectors = vectors.unionByName(stored(dense.encode(old, self.encoder).select("chunk_id", "embedding"), "engine-vectors"))
+            elif base is not None:
+                vectors = self._joined("vectors", base.vectors, vectors)
+        self.chunks = self._joined("chunks", base and base.chunks, fresh)
+        postings, lengths = self._joined("postings", base and base.index.postings, postings), self._joined("lengths", base and base.index.lengths, lengths)
+        if base is not None:
+            frequencies = self._joined("frequencies", base.frequencies, frequencies)
+        self.frequencies = frequencies  # a row for each term and part
+        counts = frequencies if base is None else frequencies.groupBy("term").agg(F.sum("df").alias("df"))
+        self.index = lexical.Index(postings, lengths, counts, lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+        self.vectors, self.vocabulary = vectors, self._joined("vocabulary", base and base.vocabulary, vocabulary)
         self.uploads = self.chunks.where(F.col("origin") != chunking.CORPUS).select("chunk_id", "field")
         self.has_uploads = not self.uploads.isEmpty()
 
+    def _joined(self, name: str, old: DataFrame | None, new: DataFrame) -> DataFrame:
+        """The base's rows and the added ones, each where they are written; every PARTS additions all are written together."""
+        if old is None:
+            return new
+        both = old.unionByName(new)
+        return both if self.added % PARTS else stored(both, f"engine-{name}")
+
     def _kept_at(self) -> str:
         """The folder of this corpus under these settings and this encoder."""
         c = self.config.chunking
@@ -78,7 +95,7 @@ class Engine:
         return spark.read.parquet(path)
 
     def extended(self, documents: DataFrame) -> Engine:
-        """An engine with further documents; only their chunks are cut, counted and encoded."""
+        """An engine with further documents; only their chunks are cut, counted, encoded and written."""
         return replace(self, documents=documents, base=self)
 
     def _measured(self, name: str, df: DataFrame) -> DataFrame:

@@ -459,3 +459,27 @@ def test_uploads_are_ranked_as_if_all_were_scored(spark, corpus, monkeypatch, al
 
     monkeypatch.setattr(Engine, "_allowed", every)
     assert got == shown() and len(got) > 5
+
+
+def test_an_addition_writes_only_its_own_rows(spark, corpus, monkeypatch):
+    monkeypatch.setattr("ledgerwell.plans.engine.PARTS", 3)
+    low = Config(retrieval=Retrieval(bm25_floor=0.3))
+    engine = Engine(corpus, None, dense.hashing_encoder(), config=low)
+    one = lambda k: spark.createDataFrame([(f"n{k}", f"Newmed{k}", "dosage", "x", f"Newmed{k} needs {k} drops", chunking.CORPUS if k % 2 else "upload:n", {"a": "b"})], corpus.schema)
+    grown, files = engine, lambda e: set(e.chunks.inputFiles()) | set(e.index.postings.inputFiles()) | set(e.vectors.inputFiles()) | set(e.frequencies.inputFiles())
+    for k in range(1, 5):
+        before, grown = files(grown), grown.extended(one(k))
+        if k % 3:
+            new = files(grown) - before
+            assert before <= files(grown) and spark.read.parquet(*[f for f in new if "chunks" in f]).count() == 1
+            assert spark.read.parquet(*[f for f in new if "vectors" in f]).count() == 1
+        else:
+            assert not before & files(grown)  # written together
+    whole = corpus
+    for k in range(1, 5):
+        whole = whole.unionByName(one(k))
+    full = Engine(whole, None, dense.hashing_encoder(), config=low)
+    asked = spark.createDataFrame([(1, "how many drops of newmed3"), (2, "side effects of alphadrin"), (3, "newmed2 drops")], "query_id long, query string")
+    shown = lambda e: sorted((r.query_id, r["rank"], r.text, round(r.score, 9)) for r in e.retrieve(asked)[0].collect())
+    assert shown(grown) == shown(full) and {r.token for r in grown.vocabulary.collect()} == {r.token for r in full.vocabulary.collect()}
+    assert {r.term: r.df for r in grown.index.frequencies.collect()} == {r.term: r.df for r in full.index.frequencies.collect()}
