@@ -111,15 +111,21 @@ def tfidf_scores(docs: DataFrame, queries: DataFrame, key: str) -> DataFrame:
     return docs.join(q, "term").groupBy("query_id", key).agg(F.sum(F.col("weight") * F.col("qw")).alias("cosine"))
 
 
-def tfidf_cosine(rows: DataFrame, queries: DataFrame, key: str, column: str, min_df: int = 1) -> DataFrame:
+def gram_counts(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, term, tf) of hashed words and pairs of words, written: what tfidf_cosine reads of a corpus."""
+    return stored(_gram_counts(rows, key, column, hashed=True), "gram-counts")
+
+
+def tfidf_cosine(rows: DataFrame, queries: DataFrame, key: str, column: str, min_df: int = 1, counts: DataFrame | None = None) -> DataFrame:
     """(query_id, key, cosine) of queries (query_id and the same column) with the rows that share a term.
 
     The space is learned from all rows, but only weights of query terms are kept: a row's other terms go into its norm where
     they are summed, so that the shuffle by row carries one partial sum a task and the few weights that can score. Terms are told by
-    64-bit hashes: among a billion different ones, two share a hash with a chance of 3 %.
+    64-bit hashes: among a billion different ones, two share a hash with a chance of 3 %. counts: gram_counts() of the rows, where
+    they are kept.
     """
     asked = _gram_counts(queries, "query_id", column, hashed=True).withColumnRenamed("tf", "qtf")
-    tf = stored(_gram_counts(rows, key, column, hashed=True), "gram-counts")  # read for the frequencies, and for the weights
+    tf = gram_counts(rows, key, column) if counts is None else counts  # read for the frequencies, and for the weights
     idf = _idf(tf, rows, min_df)
     known = stored(idf.join(asked.select("term").distinct(), "term", "left_semi"), "idf")  # the terms of the queries
     q = asked.join(known, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))

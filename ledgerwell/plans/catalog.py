@@ -343,9 +343,32 @@ def _questions(spark, sf_dir) -> DataFrame:
     return _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", text.cleaned(F.col("text"), "stopwords").alias("clean"))
 
 
+_kept_tables: dict = {}
+
+
+def _kept(spark, sf_dir, name: str, make):
+    """What several queries read of the documents, made once a session and table; a table that was written anew counts as another."""
+    seen = _read(spark, sf_dir, "documents").select(F.max("_metadata.file_modification_time"), F.count("*")).first()
+    key = spark.sparkContext.applicationId, sf_dir, tuple(map(str, seen)), name
+    if key not in _kept_tables:
+        _kept_tables[key] = make()
+    return _kept_tables[key]
+
+
+def _index(spark, sf_dir) -> lexical.Index:
+    """The stored word index of the documents."""
+
+    def make() -> lexical.Index:
+        built = lexical.build_index(stored(_cleaned(spark, sf_dir).select("chunk_id", "clean"), "cleaned"))
+        postings, lengths = stored(built.postings, "postings"), stored(built.lengths, "lengths")
+        counts = stored(postings.groupBy("term").agg(F.count("*").alias("df")), "frequencies")
+        return lexical.Index(postings, lengths, counts, lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+
+    return _kept(spark, sf_dir, "index", make)
+
+
 def _bm25(spark, sf_dir, **kw) -> DataFrame:
-    cleaned = stored(_cleaned(spark, sf_dir).select("chunk_id", "clean"), "cleaned")  # read by postings, lengths and totals
-    return lexical.bm25(lexical.build_index(cleaned), _questions(spark, sf_dir), **kw)
+    return lexical.bm25(_index(spark, sf_dir), _questions(spark, sf_dir), **kw)
 
 
 @query(f"WITH {_INDEX} SELECT term, doc_id AS chunk_id, tf FROM post")
@@ -379,8 +402,7 @@ _TOP = "row_number() OVER (PARTITION BY query_id ORDER BY round({0}, 9) DESC, {1
 @query(f"WITH {_BM25}, r AS (SELECT *, {_TOP.format('bm25', 'doc_id')} AS rank FROM bm) SELECT query_id, doc_id AS chunk_id, round(bm25, 6) AS bm25, rank::INT AS rank FROM r WHERE rank <= 5")
 def bm25_batch(spark, sf_dir):
     asked = stored(_questions(spark, sf_dir).select("query_id", "clean"), "questions")
-    index = lexical.build_index(stored(_cleaned(spark, sf_dir).select("chunk_id", "clean"), "cleaned"))
-    packed = shards.packed(index, terms=lexical.terms_of(asked, "query_id", "clean"))
+    packed = shards.packed(_index(spark, sf_dir), terms=lexical.terms_of(asked, "query_id", "clean"))
     return shards.best(packed, asked, 5).select("query_id", "chunk_id", F.round("bm25", 6).alias("bm25"), "rank")
 
 
@@ -402,7 +424,9 @@ tfs AS (SELECT query_id, doc_id, sum(rw.w / nrm.norm * (qw.w / qn.norm)) AS cosi
 
 
 def _tfidf(spark, sf_dir) -> DataFrame:
-    return lexical.tfidf_cosine(_docs(spark, sf_dir), _questions(spark, sf_dir), "doc_id", "text").withColumnRenamed("doc_id", "chunk_id")
+    docs = _docs(spark, sf_dir)
+    counts = _kept(spark, sf_dir, "grams", lambda: lexical.gram_counts(docs, "doc_id", "text"))
+    return lexical.tfidf_cosine(docs, _questions(spark, sf_dir), "doc_id", "text", counts=counts).withColumnRenamed("doc_id", "chunk_id")
 
 
 @query(f"WITH {_TFIDF}, r AS (SELECT *, {_TOP.format('cosine', 'doc_id')} AS rank FROM tfs) SELECT query_id, doc_id AS chunk_id, round(cosine, 6) AS cosine, rank::INT AS rank FROM r WHERE rank <= 5")
@@ -1065,8 +1089,9 @@ FROM up WHERE rank = 1 OR upto <= 12000 GROUP BY 1""")
 def grounded_context(spark, sf_dir):
     """Documents to windows, index, scores, floor, top 5 and a packed context for every question."""
     chunks = stored(chunking.numbered(chunking.chunk_table(_docs(spark, sf_dir), profile="stopwords")), "numbered")
-    scores = lexical.bm25(lexical.build_index(chunks), _questions(spark, sf_dir))
-    best = stored(lexical.top(scores.where("bm25 >= 1.0"), 5, "bm25").join(chunks.select("chunk_id", "drug", "field", "text"), "chunk_id"), "best")
+    asked = stored(_questions(spark, sf_dir).select("query_id", "clean"), "questions")
+    packed = shards.packed(lexical.build_index(chunks), terms=lexical.terms_of(asked, "query_id", "clean"))
+    best = stored(shards.best(packed, asked, 5).where("bm25 >= 1.0").join(chunks.select("chunk_id", "drug", "field", "text"), "chunk_id"), "best")
     packed = answers.packed(best.withColumn("score", F.round("bm25", 9)))
     top = best.groupBy("query_id").agg(F.round(F.max("bm25"), 6).alias("best"))
     return packed.join(top, "query_id").select("query_id", "n_sources", "best", F.length("context").cast("long").alias("n_chars"), F.md5("context").alias("digest"))
