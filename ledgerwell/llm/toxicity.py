@@ -44,11 +44,12 @@ _WEIGHT = np.array([DECAY ** (k + 3) for k in range(SPAN - 2)], np.float32)
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _JUNK = re.compile(r"[\W_]+")
 _SPELLED = re.compile(r"(?<!\S)(?:\S\s){3,}\S(?!\S)")
+_STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
 
 
 def sentences(text: str | None) -> list[list[str]]:
-    """The words of each sentence in lower case; letters spelled one by one are joined."""
-    low = (text or "").lower()
+    """The words of each sentence in lower case; letters spelled one by one are joined, three or more of one letter are one."""
+    low = _STRETCHED.sub(r"\1", (text or "").lower())
     if _SPELLED.search(low):
         low = _SPELLED.sub(lambda m: "".join(m[0].split()), low)
     cut = (s.split() for s in _SENTENCE.split(low))

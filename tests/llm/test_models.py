@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -127,6 +128,15 @@ def test_long_training_texts_count(spark, prose):
     assert len(toxicity.sentences("ww " * 100_000)) == 500
 
 
+def test_stretched_insults_count_like_plain_ones(prose):
+    rng = random.Random(4)
+    docs = [(" ".join([*prose(12).split(), *(["idiot"] if k % 2 else []), *prose(12).split()]), k % 2) for k in range(200)]
+    model = toxicity.fit(docs)
+    said = [f"{prose(9)} {w} {prose(9)}" for w in ("idiot", "idioooot", "IDIOOOOOOT", "iiidiottt", "i d i o t", "w" * rng.randrange(50, 90))]
+    assert [s >= 0.5 for s in model.scores(said)] == [True] * 5 + [False]
+    assert toxicity.sentences("Aaa bbb. www www 1000 ---- __") == [["a", "b."], ["w", "w", "1000", "----", "__"]]
+
+
 def test_toxicity_held_out_and_edges(spark, save, prose):
     rng = np.random.default_rng(5)
     bad = ["zorgface", "blutwurm", "grumplug"]
