@@ -185,3 +185,39 @@ def op13_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = F.transform("base", lambda s: F.struct(F.element_at(names, s["kind"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     more = F.array_sort(F.transform("added", lambda s: F.struct(s["action"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
     return spans.select("doc_id", *(count(k).alias(f"n_{KINDS[k]}") for k in range(len(KINDS))), F.sha2(_joined(named), 256).alias("base_sha256"), _joined(F.concat(named, more)).alias("spans"))
+
+
+_CUT = "SELECT *, sum(length(g) + length(m)) OVER (PARTITION BY {by} ORDER BY i)::BIGINT AS z FROM (SELECT {by}, unnest(ms) AS m, unnest(range(len(ms))) AS i, unnest(gs[1:len(ms)]) AS g, unnest(gs[2:]) AS g2 FROM {of})"
+_TERM_SQL = TERM.replace("}+", "}")
+_HIGH = f"log2(({{together}} + {PRIOR} * n_entity / n_docs) / ({{n}} + {PRIOR}) * n_docs / n_entity) >= {DISCLOSED} * -log2(n_entity / n_docs)"
+OP13_SQL = rf"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, (SELECT count(*) FROM documents)::DOUBLE AS n_docs FROM documents),
+kinds(k, pattern) AS (VALUES (0, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'), (1, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), (2, '[0-9]([ -]?[0-9])+'), (3, '\+[0-9][ ().0-9-]+[0-9]')),
+matched AS ({" UNION ALL ".join(f"SELECT row, {k} AS k, regexp_extract_all(text, (SELECT pattern FROM kinds WHERE k = {k})) AS ms, string_split_regex(text, (SELECT pattern FROM kinds WHERE k = {k})) AS gs FROM docs" for k in range(4))}),
+cut AS ({_CUT.format(by="row, k", of="matched")}),
+judged AS (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS d FROM cut),
+base AS (
+  SELECT row, k, z - length(m) AS a, z, g, g2, CASE k WHEN 0 THEN 'email:' || lower(m) WHEN 1 THEN 'ip:' || lower(m) WHEN 2 THEN 'card:' || d ELSE 'phone:' || d END AS entity FROM judged
+  WHERE CASE k WHEN 0 THEN true WHEN 3 THEN length(d) BETWEEN 8 AND 15
+    WHEN 1 THEN len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(try_cast(ltrim(x, '0') AS INT), 0) > 255)) = 0
+    ELSE length(d) BETWEEN 16 AND 19 AND list_sum(list_transform(range(length(d)), lambda j: substr(d, length(d) - j, 1)::INT * (1 + j % 2) - CASE WHEN substr(d, length(d) - j, 1)::INT * (1 + j % 2) > 9 THEN 9 ELSE 0 END)) % 10 = 0 END),
+windows AS (SELECT row, entity, list_concat(regexp_extract_all(lower(right(g, {AROUND})), '{_TERM_SQL}')[-{NEAR}:], regexp_extract_all(lower(left(g2, {AROUND})), '{_TERM_SQL}')[1:{NEAR}]) AS context FROM base),
+mentions AS (SELECT row, entity, context, unnest(list_distinct(context)) AS term FROM windows),
+near AS (SELECT entity, term, left(term, {STEM}) || '*' AS stem, count(DISTINCT row) AS together FROM mentions GROUP BY entity, term HAVING count(DISTINCT context) >= {CONTEXTS}),
+classes AS (SELECT entity, left(term, {STEM}) || '*' AS stem, count(DISTINCT row) AS stem_together FROM mentions GROUP BY ALL),
+entities AS (SELECT entity, count(DISTINCT row) AS n_entity FROM windows GROUP BY entity HAVING count(DISTINCT row) * {PUBLIC} <= (SELECT count(*) FROM documents)),
+words AS (SELECT row, unnest(list_distinct(regexp_extract_all(lower(text), '{_TERM_SQL}'))) AS word FROM docs),
+counts AS (SELECT word AS key, count(*) AS n FROM words GROUP BY 1 UNION ALL SELECT left(word, {STEM}) || '*', count(DISTINCT row) FROM words GROUP BY 1),
+risky AS (
+  SELECT term, CASE WHEN bool_or({_HIGH.format(together="stem_together", n="s.n")}) THEN '{REMOVED}' ELSE '{GENERAL}' END AS action
+  FROM near JOIN entities USING (entity) JOIN classes USING (entity, stem) JOIN counts t ON t.key = term JOIN counts s ON s.key = stem, (SELECT count(*)::DOUBLE AS n_docs FROM documents)
+  WHERE {_HIGH.format(together="together", n="t.n")} GROUP BY term),
+held AS (SELECT row, regexp_extract_all(text, '{_TERM_SQL}') AS ms, string_split_regex(text, '{_TERM_SQL}') AS gs FROM docs WHERE row IN (SELECT row FROM words JOIN risky ON term = word)),
+said AS ({_CUT.format(by="row", of="held")}),
+added AS (SELECT row, action, z - length(m) AS a, z FROM said s JOIN risky ON term = lower(m) WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.row = s.row AND b.a < s.z AND s.z - length(s.m) < b.z)),
+names AS (SELECT row, count(*) FILTER (k = 0) AS n_email, count(*) FILTER (k = 1) AS n_ip, count(*) FILTER (k = 2) AS n_card, count(*) FILTER (k = 3) AS n_phone,
+  string_agg(['email', 'ip', 'card', 'phone'][k + 1] || ':' || a || ':' || z, ',' ORDER BY k, a) AS own FROM base GROUP BY row),
+more AS (SELECT row, string_agg(action || ':' || a || ':' || z, ',' ORDER BY action, a) AS extra FROM added GROUP BY row)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(own, '')) AS base_sha256, concat_ws(',', own, extra) AS spans
+FROM docs LEFT JOIN names USING (row) LEFT JOIN more USING (row)
+"""

@@ -5,11 +5,12 @@ import re
 import time
 from collections import defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerwell.llm import pii, spans
-from ledgerwell.llm.queries import QUERIES
+from ledgerwell.llm.queries import ORACLE, QUERIES
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
 IP = r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
@@ -165,3 +166,10 @@ def test_merged_and_replaced(spark):
             out += [text[at:s], m]
             at = e
         assert r.t == "".join(out) + text[at:]
+
+
+def test_sql(save, docs):
+    path = save([(i, t) for i, t in docs])
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{path}/documents.parquet/*.parquet'")
+    rows = duckdb.sql(f"SELECT doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans FROM ({ORACLE['op13_private_data']})").fetchall()
+    assert sorted(map(str, rows)) == wanted(docs)
