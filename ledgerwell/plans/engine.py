@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
+from itertools import islice
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ledgerwell.config import Config
@@ -16,6 +18,8 @@ from ledgerwell.session import stored
 
 #: Additions to an engine after which its tables are written as one again, so that a batch reads few parts.
 PARTS = 8
+#: Calls of a generator at a time.
+CALLS = 8
 
 
 @dataclass
@@ -23,7 +27,7 @@ class Engine:
     """Tables of a corpus and the settings that all steps read.
 
     documents: doc_id, title, field, category, text, origin. encoder: texts to unit rows, or None for lexical search alone.
-    generate: (prompt) -> answer on the driver, or None to quote. store: a folder in which the tables of a corpus are kept under
+    generate: (prompt) -> answer on the driver, from several threads, or None to quote. store: a folder in which the tables of a corpus are kept under
     its fingerprint, so that a later engine of the same corpus and settings reads them. base: an engine whose tables are kept, while
     documents are added to them.
     """
@@ -40,6 +44,7 @@ class Engine:
         """Builds the tables that every batch of queries reads, or adds the rows of further documents to those of the base."""
         c, base = self.config, self.base
         self.steps: list[tuple[str, float]] = []
+        self.rows: dict[str, int] = {}
         self.trace: DataFrame | None = None
         self.added = 0 if base is None else base.added + 1
         cut = chunking.chunk_table(self.documents, c.chunking.size, c.chunking.overlap)
@@ -99,10 +104,11 @@ class Engine:
         return replace(self, documents=documents, base=self)
 
     def _measured(self, name: str, df: DataFrame) -> DataFrame:
-        """df, written; the time that took is the step's."""
-        start = time.perf_counter()
-        out = stored(df, f"engine-{name}")
+        """df, written; the time that took is the step's, and the rows are counted as they pass."""
+        start, seen = time.perf_counter(), Observation()
+        out = stored(df.observe(seen, F.count(F.lit(1)).alias("rows")), f"engine-{name}")
         self.steps.append((name, 1000 * (time.perf_counter() - start)))
+        self.rows[name] = seen.get["rows"]
         return out
 
     def _allowed(self, asked: DataFrame, grounded: DataFrame, lex: DataFrame, wanted: DataFrame | None, n: int) -> DataFrame:
@@ -125,13 +131,13 @@ class Engine:
 
     def retrieve(self, queries: DataFrame, persona: routing.Persona | None = None, k: int | None = None, rerank=None) -> tuple[DataFrame, DataFrame]:
         """(results, outcomes) for query_id, query. Scores are scaled over the whole corpus, then restricted, boosted, floored
-        and cut; every query has an outcome with a status. trace and steps tell what each step of the batch took.
+        and cut; every query has an outcome with a status. trace, steps and rows tell what each step of the batch took and gave.
 
         Bounds over all chunks come from one pass over the vectors that keeps two numbers a query; scores are made for the chunks
         that a query may draw on."""
         r = self.config.retrieval
         k = (persona.fetch_k(k) if persona else k) or r.top_k
-        self.steps = []
+        self.steps, self.rows = [], {}
         grounded = self._measured("grounded", grounding.ground(queries, self.vocabulary, self.brands))
         out = self._measured("outcomes", grounding.outcomes(queries, grounded))
         open_ = out if self.has_uploads else out.where(F.size("matched") > 0)
@@ -197,15 +203,20 @@ class Engine:
         return rows, answers.audit_rows(rows.withColumn("time", F.current_timestamp()).withColumn("persona", F.lit(persona.id)))
 
     def _generated(self, rows: DataFrame) -> DataFrame:
-        """Answers of the generator for queries with a context, one call a query on the driver; a failed call falls back to
-        quoting and says so. A batch of questions is small; its answers are the only rows that come to the driver."""
-        made = []
-        for query_id, prompt in rows.where("status = 'ok'").select("query_id", "prompt").toLocalIterator():
+        """Answers of the generator for queries with a context, CALLS at a time; a failed call falls back to quoting and says so.
+        A batch of questions is small; its prompts pass through the driver a few at a time, and its answers are kept there."""
+
+        def call(row) -> tuple:
             try:
-                said = self.generate(prompt)
-                made.append((query_id, said, "llm" if said and said.strip() else "llm_failed"))
+                said = self.generate(row.prompt)
+                return row.query_id, said, "llm" if said and said.strip() else "llm_failed"
             except Exception:  # a generator must not take the batch down
-                made.append((query_id, None, "llm_failed"))
+                return row.query_id, None, "llm_failed"
+
+        made, asked = [], rows.where("status = 'ok'").select("query_id", "prompt").toLocalIterator()
+        with ThreadPoolExecutor(CALLS) as pool:
+            while some := list(islice(asked, 4 * CALLS)):
+                made += pool.map(call, some)
         got = rows.sparkSession.createDataFrame(made, "query_id long, said string, how string")
         rows = rows.join(got, "query_id", "left")
         clean = text.with_disclaimer(text.without_scratchpad(F.col("said")), self.config.answering.disclaimer)

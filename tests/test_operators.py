@@ -483,3 +483,34 @@ def test_an_addition_writes_only_its_own_rows(spark, corpus, monkeypatch):
     shown = lambda e: sorted((r.query_id, r["rank"], r.text, round(r.score, 9)) for r in e.retrieve(asked)[0].collect())
     assert shown(grown) == shown(full) and {r.token for r in grown.vocabulary.collect()} == {r.token for r in full.vocabulary.collect()}
     assert {r.term: r.df for r in grown.index.frequencies.collect()} == {r.term: r.df for r in full.index.frequencies.collect()}
+
+
+def test_steps_count_their_rows_as_they_pass(spark, corpus):
+    engine = Engine(corpus, None, dense.hashing_encoder(), config=Config(retrieval=Retrieval(bm25_floor=0.3)))
+    asked = spark.createDataFrame([(1, "side effects of alphadrin"), (2, "dose of alphadrin"), (3, "nothing known")], "query_id long, query string")
+    results, _ = engine.retrieve(asked, k=2)
+    assert engine.rows["results"] == results.count() > 0 and engine.rows["outcomes"] == 3 and engine.rows["queries"] == 2
+    assert [name for name, _ in engine.steps] == list(engine.rows) and engine.rows["scores"] == engine.trace.where("name = 'floor'").agg(F.sum("rows_in")).first()[0]
+
+
+def test_generators_are_called_side_by_side(spark, corpus):
+    import threading
+    import time
+
+    running, most, lock = set(), [0], threading.Lock()
+
+    def generate(prompt):
+        with lock:
+            running.add(threading.get_ident())
+            most[0] = max(most[0], len(running))
+        time.sleep(0.05)
+        with lock:
+            running.discard(threading.get_ident())
+        if "dose" in prompt.rpartition("QUESTION")[2]:
+            raise OSError("no answer")
+        return "Fine [Source 1]"
+
+    engine = Engine(corpus, None, None, generate, Config(retrieval=Retrieval(bm25_floor=0.3)))
+    asked = spark.createDataFrame([(k, "side effects of alphadrin" if k % 3 else "dose of alphadrin") for k in range(30)], "query_id long, query string")
+    modes = {r.query_id: r.mode for r in engine.answer(asked).select("query_id", "mode").collect()}
+    assert most[0] > 1 and {k for k, m in modes.items() if m == "llm"} >= {k for k in range(30) if k % 3} and len(modes) == 30
