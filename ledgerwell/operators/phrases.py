@@ -1,7 +1,7 @@
 """Many phrases at once: which of a table of phrases occur in which texts, by one automaton over all of them.
 
 The phrases go to the tasks with their code, in blocks of at most BLOCK characters; a block is one pass over the texts and reads
-each character once, however many phrases it holds. Texts are compared in lower case; a phrase counts at every place it occurs,
+each character once, however many phrases it holds. Texts are compared in lower case, or as they are; a phrase counts at every place it occurs,
 overlaps included, and inside words as well, unless whole words are asked for. Null texts and empty phrases have no hits.
 """
 
@@ -21,10 +21,10 @@ from ledgerwell.operators.dense import _union
 BLOCK = 1 << 20
 
 
-def _blocks(phrases: DataFrame) -> Iterator[list[tuple[int, str]]]:
+def _blocks(phrases: DataFrame, lower: bool) -> Iterator[list[tuple[int, str]]]:
     """Phrases in blocks, in order of their numbers, one partition at a time."""
     block, size = [], 0
-    rows = phrases.select(F.col("phrase_id").cast("long"), F.lower("phrase").alias("phrase")).where("phrase <> ''").orderBy("phrase_id")
+    rows = phrases.select(F.col("phrase_id").cast("long"), (F.lower("phrase") if lower else F.col("phrase")).alias("phrase")).where("phrase <> ''").orderBy("phrase_id")
     for number, phrase in rows.toLocalIterator():
         if block and size + len(phrase) > BLOCK:
             yield block
@@ -35,10 +35,10 @@ def _blocks(phrases: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
-def hits(rows: DataFrame, key: str, column: str, phrases: DataFrame, words: bool = False) -> DataFrame:
+def hits(rows: DataFrame, key: str, column: str, phrases: DataFrame, words: bool = False, lower: bool = True) -> DataFrame:
     """(key, phrase_id, n, first) of the phrases (phrase_id, phrase) in each text: how often, and the first place (from 0).
 
-    words: only where neither a letter nor a digit stands next to a phrase's ends."""
+    words: only where neither a letter nor a digit stands next to a phrase's ends. lower: without regard to case."""
     kind = rows.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, phrase_id bigint, n bigint, first bigint"
 
@@ -70,6 +70,6 @@ def hits(rows: DataFrame, key: str, column: str, phrases: DataFrame, words: bool
                 names = b.column(0).take(pa.array(at, pa.int64()))
                 yield pa.RecordBatch.from_arrays([names, pa.array(found, pa.int64()), pa.array(counts, pa.int64()), pa.array(firsts, pa.int64())], [key, "phrase_id", "n", "first"])
 
-        return rows.select(key, F.lower(column).alias(column)).mapInArrow(run, schema)
+        return rows.select(key, (F.lower(column) if lower else F.col(column)).alias(column)).mapInArrow(run, schema)
 
-    return _union([visit(block) for block in _blocks(phrases)], rows, schema)
+    return _union([visit(block) for block in _blocks(phrases, lower)], rows, schema)

@@ -981,24 +981,14 @@ _TRUTH = "truth AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN doc
 
 
 def _truth(spark, sf_dir) -> DataFrame:
-    """Verbatim matches, found through the operator for word windows of whole items: the text of an item, then a containment check.
-    The key is of up to four inner words, which a match holds whole; an item of two words at most has none and meets all texts."""
-    words = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
-    b = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), words(F.col("text")).alias("bw"))
-    b = b.withColumn("k", F.least(F.lit(4), F.size("bw") - 2))
-    d = _read(spark, sf_dir, "documents").select("doc_id", "text", words(F.col("text")).alias("w"))
-    sizes = [r.k for r in b.select(F.greatest("k", F.lit(0)).alias("k")).distinct().collect()]  # five at most
-    out = d.join(b.where("k < 1").select("query_id", "passage"), F.contains("text", "passage")).select("query_id", "doc_id") if 0 in sizes else None
-    if any(sizes):
-        windows = lambda k: F.when(F.size("w") < k, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda i: F.array_join(F.slice("w", i, F.lit(k)), " ")))
-        keyed = d.select("doc_id", F.explode(F.array_distinct(F.concat(*(windows(k) for k in sizes if k)))).alias("key"))
-        asked = b.where("k >= 1").select("query_id", F.array_join(F.slice("bw", F.lit(2), F.col("k")), " ").alias("key"))
-        near = keyed.join(asked, "key").select("query_id", "doc_id").distinct()  # ids alone; texts come back for these pairs
-        texts = d.select("doc_id", "text").join(near, "doc_id").join(b.select("query_id", "passage"), "query_id")
-        found = texts.where(F.contains("text", "passage")).select("query_id", "doc_id")
-        out = found if out is None else out.unionByName(found)
-    out = d.select(F.lit(0).alias("query_id"), "doc_id").limit(0) if out is None else out
-    return out.select("query_id", F.col("doc_id").alias("chunk_id")).distinct()
+    """The documents that hold an item's whole text, as it stands: all items are one automaton, and each document is read once.
+    An empty item is in every text."""
+    items = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("phrase_id"), F.col("text").alias("phrase"))
+    docs = _read(spark, sf_dir, "documents")
+    found = phrases.hits(docs, "doc_id", "text", items, lower=False).select("doc_id", "phrase_id")
+    everywhere = docs.where("text is not null").select("doc_id", F.lit("").alias("phrase")).join(items.where("phrase = ''"), "phrase")
+    found = found.unionByName(everywhere.select("doc_id", "phrase_id"))
+    return found.select(F.col("phrase_id").alias("query_id"), F.col("doc_id").alias("chunk_id")).distinct()
 
 
 @query(f"""
