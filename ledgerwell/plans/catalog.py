@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ledgerwell.functions import lists, stems, text
 from ledgerwell.operators import answers, chunking, dense, evaluation, grounding, hybrid, lexical, pairs, phrases, routing, shards
 from ledgerwell.session import dealt, new_path, stored
+from ledgerwell.sources import records, uploads
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -1087,6 +1088,121 @@ def grounded_context(spark, sf_dir):
     return packed.join(top, "query_id").select("query_id", "n_sources", "best", F.length("context").cast("long").alias("n_chars"), F.md5("context").alias("digest"))
 
 
+# --- the answer path over the tables ---------------------------------------------------------------------------------
+
+#: What stands before and after a reply, by the turn's place: orders, advice and headings of a clinical answer.
+REPLIES = (
+    ("Take 2 tablets now. ", ""), ("You should  stop it ", " Ask your doctor or pharmacist."), ("Indication: ", ""), ("", " you may combine both  "),
+    ("Dosing and INDICATION: ", " Contraindications: none"), (", ".join(lists.CLINICAL_HEADINGS) + " ", "   "), ("nothing of note ", ""),
+)
+_REPLIES = f"replies AS (SELECT conv_id, turn, {_sql_list([x[0] for x in REPLIES])}[f] || text || {_sql_list([x[1] for x in REPLIES])}[f] AS answer FROM (SELECT *, (conv_id * 5 + turn * 3) % {len(REPLIES)} + 1 AS f FROM conversations WHERE role = 'assistant'))"
+_quoted = lambda s: "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+@query(f"""
+WITH {_REPLIES}, framed AS (SELECT *, CASE WHEN regexp_matches(answer, '(?im){lists.DOSING_IMPERATIVE}') THEN rtrim(answer) || {_quoted(chr(10) * 2 + answers.ADVISORY)} ELSE answer END AS framed,
+  list_filter({_sql_list(lists.CLINICAL_HEADINGS)}, lambda h: NOT contains(lower(answer), lower(h))) AS missing FROM replies)
+SELECT conv_id, turn, md5(CASE WHEN contains(lower(framed), 'doctor or pharmacist') THEN framed ELSE rtrim(framed) || {_quoted(chr(10) * 2 + answers.ESCALATION)} END) AS plain,
+  md5(CASE WHEN len(missing) IN (0, {len(lists.CLINICAL_HEADINGS)}) THEN answer ELSE rtrim(answer) || {_quoted(chr(10) * 2 + '---' + chr(10) + '**Not covered by the retrieved sections:** ')} || array_to_string(missing, ' · ') || {_quoted(chr(10) * 2 + answers.MISSING)} END) AS headed FROM framed""")
+def answer_enforcement(spark, sf_dir):
+    """Replies as a lay and as a clinical persona gives them."""
+    form = lambda k: _chosen(tuple(x[k] for x in REPLIES), 5)
+    rows = _read(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.concat(form(0), "text", form(1)).alias("answer"))
+    return rows.select("conv_id", "turn", F.md5(answers.enforce_plain(F.col("answer"))).alias("plain"), F.md5(answers.enforce_headings(F.col("answer"))).alias("headed"))
+
+
+@query(f"""
+WITH q AS (SELECT conv_id, turn, ['unknown_entity', 'no_relevant_context', 'no_entity', 'ok'][(conv_id + turn) % 4 + 1] AS status, regexp_extract_all(lower(text), '[a-z]+')[1:2] AS unknown,
+  regexp_extract_all(lower(text), '[a-z]+')[3:2 + conv_id % 3] AS matched, CASE WHEN turn % 3 = 1 THEN 'a → ' || role END AS suggestion FROM conversations)
+SELECT conv_id, turn, CASE status WHEN 'unknown_entity' THEN 'No information on ' || array_to_string(unknown, ', ') || ' is held here.' || CASE WHEN suggestion IS NOT NULL THEN chr(10) || chr(10) || 'Closest match: ' || suggestion ELSE '' END
+  WHEN 'no_relevant_context' THEN CASE WHEN len(matched) = 0 THEN 'That source' ELSE array_to_string(matched, ', ') END || ' is held here, but nothing relevant enough to this question.'
+  WHEN 'no_entity' THEN 'Please name a drug in the question.' END || {_quoted(chr(10) * 2 + answers.DISCLAIMER)} AS message FROM q""")
+def refusal_messages(spark, sf_dir):
+    place = F.col("conv_id") + F.col("turn")
+    found = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))
+    status = F.element_at(F.array(*map(F.lit, ("unknown_entity", "no_relevant_context", "no_entity", "ok"))), (place % 4 + 1).cast("int"))
+    matched = F.slice(found, F.lit(3), (F.col("conv_id") % 3).cast("int"))
+    suggestion = F.when(F.col("turn") % 3 == 1, F.concat(F.lit("a → "), "role"))
+    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", answers.refusal(status, F.slice(found, 1, 2), matched, suggestion).alias("message"))
+
+
+@query(f"""
+WITH r AS (SELECT conv_id, turn + 1 AS rank, role, CASE WHEN length(trim(text)) > 400 THEN substr(trim(text), 1, 400) || '…' ELSE trim(text) END AS said, text FROM conversations),
+c AS (SELECT conv_id, string_agg('[Source ' || rank || '] ' || text, chr(10) ORDER BY rank) AS context FROM r GROUP BY 1)
+SELECT conv_id, md5({_quoted(answers.QUOTED + chr(10) * 2)} || string_agg('**[Source ' || rank || '] ' || role || ' — side effects**  ' || chr(10) || said, chr(10) || chr(10) ORDER BY rank) || {_quoted(chr(10) * 2 + answers.DISCLAIMER)}) AS quoted,
+  md5({_quoted(answers.RULES + chr(10) * 2 + '---' + chr(10) + 'CONTEXT:' + chr(10))} || any_value(context) || {_quoted(chr(10) + '---' + chr(10) * 2 + 'QUESTION: ')} || 'turn ' || conv_id || {_quoted(chr(10) * 2 + 'ANSWER (with [Source N] citations):')}) AS prompt
+FROM r JOIN c USING (conv_id) GROUP BY conv_id""")
+def quoted_and_prompted(spark, sf_dir):
+    """Conversations as results: quoted as an extractive answer, and packed in a prompt."""
+    rows = _read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), (F.col("turn") + 1).alias("rank"), F.col("role").alias("title"), F.lit("side_effects").alias("field"), "text")
+    blocks = F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: F.concat(F.lit("[Source "), x["rank"].cast("string"), F.lit("] "), x["text"]))
+    context = rows.groupBy("query_id").agg(F.array_join(blocks, "\n").alias("context"))
+    both = answers.quoted(rows).join(context, "query_id")
+    return both.select(F.col("query_id").alias("conv_id"), F.md5("answer").alias("quoted"), F.md5(answers.prompt(F.col("context"), F.concat(F.lit("turn "), F.col("query_id").cast("string")))).alias("prompt"))
+
+
+_CASES = f"""cases AS (SELECT ['ok', 'ok', 'red_flag', 'no_relevant_context'][user_id % 4 + 1] AS status, value > 50 AS drug_hit, {_sql_list(lists.RECORD_FIELDS)}[event_id % 7 + 1] AS field,
+  nullif(event_id % 6, 0) AS first_rank, event_id % 500 AS context_chars, value AS ms, event_id % 5 = 0 AS must_refuse, event_type FROM events)"""
+
+
+@query(f"""
+WITH {_CASES}, c AS (SELECT *, NOT must_refuse AS asked, status <> 'ok' AS refused, status = 'red_flag' AS policy, field IN ({_ALLOWED}) AS may FROM cases)
+SELECT count(*) FILTER (asked AND NOT refused) AS answered, count(*) FILTER (asked AND NOT refused AND may) AS in_policy, count(*) FILTER (asked AND NOT refused AND NOT may) AS out_of_policy,
+  round(avg(drug_hit::INT) FILTER (asked AND NOT refused), 6) AS drug_recall, round(avg((first_rank IS NOT NULL)::INT) FILTER (asked AND NOT refused AND may), 6) AS field_recall,
+  round(avg(coalesce(1.0 / first_rank, 0.0)) FILTER (asked AND NOT refused AND may), 6)::DOUBLE AS field_mrr, count(*) FILTER (asked AND policy) AS policy_refusals, count(*) FILTER (asked AND refused AND NOT policy) AS retrieval_misses,
+  round(avg(refused::INT) FILTER (NOT asked), 6) AS refusal_accuracy, round(avg(context_chars) FILTER (asked AND NOT refused), 6) AS mean_context_chars, round(avg(ms) FILTER (asked), 4) AS mean_ms FROM c""")
+def persona_measures(spark, sf_dir):
+    """Events as the cases of a lay persona."""
+    e, fields = _read(spark, sf_dir, "events"), F.array(*map(F.lit, lists.RECORD_FIELDS))
+    status = F.element_at(F.array(*map(F.lit, ("ok", "ok", "red_flag", "no_relevant_context"))), (F.col("user_id") % 4 + 1).cast("int"))
+    cases = e.select(status.alias("status"), (F.col("value") > 50).alias("drug_hit"), F.element_at(fields, (F.col("event_id") % 7 + 1).cast("int")).alias("field"), F.nullif(F.col("event_id") % 6, F.lit(0)).alias("first_rank"), (F.col("event_id") % 500).alias("context_chars"), F.col("value").alias("ms"), (F.col("event_id") % 5 == 0).alias("must_refuse"))
+    out = evaluation.persona_metrics(cases, routing.PATIENT.allowed)
+    exact = ("drug_recall", "field_recall", "field_mrr", "refusal_accuracy", "mean_context_chars")
+    return out.select(*(F.round(c, 6).alias(c) if c in exact else F.round(c, 4).alias(c) if c == "mean_ms" else c for c in out.columns))
+
+
+@query("SELECT event_type AS persona, count(*) AS answers, count(*) FILTER (value <= 50) AS refused, min(ts) AS first, max(ts) AS last FROM events GROUP BY 1")
+def audit_log(spark, sf_dir):
+    """Events as audit rows, appended to a log in two batches and read back."""
+    path = new_path(spark, "audit")
+    rows = _read(spark, sf_dir, "events").select(F.col("ts").alias("time"), F.col("event_type").alias("persona"), F.when(F.col("value") > 50, "ok").otherwise("refused").alias("status"))
+    for part in (0, 1):
+        answers.append_audit(rows.where(F.pmod(F.xxhash64("time"), F.lit(2)) == part), path)
+    log = spark.read.parquet(path)
+    return log.groupBy("persona").agg(F.count("*").alias("answers"), F.count_if(F.col("status") != "ok").alias("refused"), F.min("time").alias("first"), F.max("time").alias("last"))
+
+
+@query("SELECT p_name AS brand, min(p_type) AS generic, CASE WHEN min(p_size) % 3 = 0 THEN 'combination' WHEN min(p_size) % 3 = 1 THEN 'absent' ELSE 'resolve' END AS kind FROM part GROUP BY 1")
+def brand_store(spark, sf_dir):
+    """A brand map of the part names, written as one object and read back."""
+    path, size = new_path(spark, "brands"), F.min("p_size") % 3
+    kind = F.when(size == 0, "combination").when(size == 1, "absent").otherwise("resolve")
+    brands = _read(spark, sf_dir, "part").groupBy(F.col("p_name").alias("brand")).agg(F.min("p_type").alias("generic"), kind.alias("kind"), F.lit(None).cast("string").alias("record"))
+    records.write_brands(brands, path)
+    return records.read_brands(spark, path).select("brand", "generic", "kind")
+
+
+@query("SELECT concat_ws(' | ', 'p_partkey: ' || p_partkey, 'p_name: ' || nullif(p_name, ''), 'p_brand: ' || CASE WHEN p_size % 5 <> 0 THEN p_brand END, 'p_size: ' || p_size) AS text, count(*) AS n FROM part GROUP BY 1")
+def uploaded_rows(spark, sf_dir):
+    """The part table as CSV files with empty cells, read as uploads."""
+    path = new_path(spark, "csv")
+    cells = [F.col("p_partkey"), F.col("p_name"), F.when(F.col("p_size") % 5 != 0, F.col("p_brand")).alias("p_brand"), F.col("p_size")]
+    _read(spark, sf_dir, "part").select(*cells).repartition(4, "p_partkey").write.csv(path, header=True)
+    files = [r.path for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select("path").collect()]  # four files
+    return uploads.tables(spark, files).groupBy("text").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'name: ' || p_name || ' | size: ' || p_size || ' | old: ' || CASE WHEN p_size > 25 THEN 'True' ELSE 'False' END AS text, count(*) AS n FROM part GROUP BY 1")
+def uploaded_records(spark, sf_dir):
+    """The part table as JSON files of lists, 500 parts each, read as uploads."""
+    path = new_path(spark, "json")
+    item = F.struct(F.col("p_name").alias("name"), F.col("p_size").alias("size"), (F.col("p_size") > 25).alias("old"), F.array(F.lit(1)).alias("inner"), F.lit(" ").alias("blank"))
+    lists_ = _read(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / 500).alias("g")).agg(F.to_json(F.collect_list(item)).alias("value"))
+    lists_.write.partitionBy("g").text(path)
+    files = [r.path for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", True).load(path).select("path").collect()]  # a file for 500 parts
+    return uploads.json_files(spark, files).groupBy("text").agg(F.count("*").alias("n"))
+
+
 _FIELD_WORDS = (("description", "is made by"), ("mechanism", "works by the mechanism of"), ("indications", "is indicated for"), ("dosage", "dose per day of"), ("side_effects", "has side effects like"), ("contraindications", "should not be used with"), ("interactions", "interacts with"))
 
 
