@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerwell.functions import lists, stems, text
 from ledgerwell.operators import answers, chunking, dense, evaluation, grounding, hybrid, lexical, pairs, phrases, routing, shards
+from ledgerwell.operators import trace as steps
 from ledgerwell.session import dealt, new_path, stored
 from ledgerwell.sources import records, uploads
 
@@ -1203,6 +1204,50 @@ def uploaded_records(spark, sf_dir):
     return uploads.json_files(spark, files).groupBy("text").agg(F.count("*").alias("n"))
 
 
+@query("SELECT 'same' AS fingerprint, count(*) AS n, round(sum(embedding[1]), 4)::DOUBLE AS first FROM embeddings UNION ALL SELECT 'other', 0, NULL UNION ALL SELECT 'fewer', 0, NULL")
+def vector_cache(spark, sf_dir):
+    """Vectors kept beside what they belong to: read back under their fingerprint and count, and under no other."""
+    path = new_path(spark, "vectors")
+    v = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    records.write_vectors(v, path, "same", "model")
+    n, out = v.count(), None
+    for name, asked, count in (("same", "same", n), ("other", "other", n), ("fewer", "same", n - 1)):
+        held = records.cached_vectors(spark, path, asked, count)
+        held = v.limit(0) if held is None else held
+        row = held.agg(F.lit(name).alias("fingerprint"), F.count("*").alias("n"), F.round(F.sum(F.col("embedding")[0].cast("double")), 4).alias("first"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("SELECT true AS whole, (SELECT count(*) FROM embeddings WHERE label = 0) = 0 AS part, (SELECT count(*) FROM embeddings) = 0 AS shifted")
+def vector_alignment(spark, sf_dir):
+    """Whether vectors belong to rows: all of them, those of some labels, and under other keys."""
+    v = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "label")
+    found = [(dense.aligned(v, v, "chunk_id"), dense.aligned(v, v.where("label <> 0"), "chunk_id"), dense.aligned(v, v.withColumn("chunk_id", F.col("chunk_id") + 1), "chunk_id"))]
+    return spark.createDataFrame(found, "whole boolean, part boolean, shifted boolean")
+
+
+@query("""
+WITH b AS (SELECT vec_id % 50 AS query_id, embedding[1]::DOUBLE AS score FROM embeddings), n AS (SELECT query_id, count(*) AS rows_in, count(*) FILTER (score > 0.05) AS rows_out FROM b GROUP BY 1),
+t AS (SELECT query_id, array_to_string(list_transform(list_reverse_sort(list_distinct(list(round(score, 4))))[1:3], lambda x: printf('%.4f', x)), ',') AS top_scores FROM b WHERE score > 0.05 GROUP BY 1)
+SELECT query_id, rows_in, rows_out, coalesce(top_scores, '') AS top_scores, 'kept ' || rows_out || ' of ' || rows_in || CASE WHEN rows_in > rows_out THEN ', dropped ' || (rows_in - rows_out) || ' below floor' ELSE '' END AS line FROM n LEFT JOIN t USING (query_id)""")
+def trace_steps(spark, sf_dir):
+    b = _read(spark, sf_dir, "embeddings").select((F.col("vec_id") % 50).alias("query_id"), F.col("embedding")[0].cast("double").alias("score"))
+    rows = steps.step(1, "floor", b, b.where("score > 0.05"), "below floor")
+    return rows.select("query_id", "rows_in", "rows_out", F.array_join(F.transform("top_scores", lambda x: F.format_string("%.4f", x)), ",").alias("top_scores"), steps.summary().alias("line"))
+
+
+@query(f"WITH t AS (SELECT conv_id, turn, '[Source 1] ' || text || CASE WHEN turn % 2 = 0 THEN ' [Source 2]' ELSE '' END AS c FROM conversations), w AS (SELECT *, len(string_split({FLAT.format('c')}, ' ')) AS n FROM t) SELECT conv_id, turn, length(c) AS chars, n AS words, floor(n * 1.3)::BIGINT AS tokens, 1 + (turn % 2 = 0)::INT AS sources FROM w")
+def context_sizes(spark, sf_dir):
+    c = F.concat(F.lit("[Source 1] "), "text", F.when(F.col("turn") % 2 == 0, " [Source 2]").otherwise(""))
+    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", steps.context_size(c).alias("s")).select("conv_id", "turn", "s.*")
+
+
+@query(f"WITH {_FORMS_SQL} SELECT query_id, list_has_any(regexp_extract_all(lower(query), '[a-z]+'), {_sql_list(lists.INTERACTION_WORDS)}) OR {' OR '.join(f"contains(lower(query), '{p}')" for p in lists.INTERACTION_PHRASES)} AS asks FROM qs")
+def interaction_questions(spark, sf_dir):
+    return _asked_turns(spark, sf_dir).select("query_id", text.asks_interaction(F.col("query")).alias("asks"))
+
+
 _FIELD_WORDS = (("description", "is made by"), ("mechanism", "works by the mechanism of"), ("indications", "is indicated for"), ("dosage", "dose per day of"), ("side_effects", "has side effects like"), ("contraindications", "should not be used with"), ("interactions", "interacts with"))
 
 
