@@ -15,7 +15,7 @@ from ledgerwell.functions import lists, stems, text
 from ledgerwell.operators import answers, chunking, dense, evaluation, grounding, hybrid, lexical, pairs, phrases, routing, shards
 from ledgerwell.operators import trace as steps
 from ledgerwell.session import dealt, new_path, stored
-from ledgerwell.sources import records, uploads
+from ledgerwell.sources import labels, records, uploads
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -1248,6 +1248,30 @@ def interaction_questions(spark, sf_dir):
     return _asked_turns(spark, sf_dir).select("query_id", text.asks_interaction(F.col("query")).alias("asks"))
 
 
+_TITLE = r"array_to_string(list_transform(regexp_extract_all({0}, '(\p{{L}}+|\P{{L}}+)'), lambda p: upper(p[1:1]) || lower(p[2:])), '')"
+
+
+@query(f"""
+WITH l AS (SELECT p_partkey AS arrival, coalesce(CASE WHEN p_partkey % 4 <> 0 THEN nullif(trim(p_name || ' ' || p_partkey % 50), '') END, p_brand) AS raw, CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE 'Unclassified' END AS class,
+  'Used for ' || p_type AS indications, CASE WHEN p_partkey % 5 <> 0 THEN 'Acts on ' || p_name END AS mechanism, CASE WHEN p_size > 10 THEN 'Take ' || p_size ELSE '' END AS dosage, CASE WHEN p_size % 2 = 0 THEN 'Noise of ' || p_brand ELSE '' END AS side_effects,
+  CASE WHEN p_size % 3 = 0 THEN 'Not with ' || p_brand ELSE '' END AS contraindications, '' AS interactions, CASE WHEN p_partkey % 7 = 0 THEN 'About ' || p_name ELSE '' END AS description FROM part),
+r AS (SELECT arrival, {_TITLE.format('raw')} AS name, {_TITLE.format('class')} AS category, indications, mechanism, dosage, side_effects, contraindications, interactions, CASE WHEN description = '' THEN left(indications, 600) ELSE description END AS description FROM l WHERE mechanism IS NOT NULL),
+k AS (SELECT *, row_number() OVER (PARTITION BY lower(name) ORDER BY arrival) AS k FROM r WHERE 3 + (dosage <> '')::INT + (side_effects <> '')::INT + (contraindications <> '')::INT >= 4)
+SELECT name, category, indications, mechanism, dosage, side_effects, contraindications, interactions, description FROM k WHERE k = 1""")
+def label_records(spark, sf_dir):
+    """Parts as labels of a feed: the first record of each name, of labels that hold enough."""
+    c, one = F.col, lambda ok, text_: F.when(ok, F.array(text_))
+    fields = {
+        "generic_name": one(c("p_partkey") % 4 != 0, F.concat_ws(" ", "p_name", c("p_partkey") % 50)), "brand_name": F.array("p_brand"), "pharm_class_epc": one(c("p_partkey") % 3 == 0, c("p_type")),
+        "indications_and_usage": F.array(F.lit("Used"), F.lit(" for"), c("p_type")), "mechanism_of_action": one(c("p_partkey") % 5 != 0, F.concat(F.lit("Acts  on "), "p_name")),
+        "dosage_and_administration": one(c("p_size") > 10, F.concat(F.lit("Take "), c("p_size").cast("string"))), "adverse_reactions": one(c("p_size") % 2 == 0, F.concat(F.lit("Noise of "), "p_brand")),
+        "contraindications": one(c("p_size") % 3 == 0, F.concat(F.lit(" Not with "), "p_brand")), "description": one(c("p_partkey") % 7 == 0, F.concat(F.lit("About\n"), "p_name")),
+    }
+    held = (*labels.NAMES, *labels.CLASSES, *labels.LABEL_FIELDS.values())
+    rows = _read(spark, sf_dir, "part").select(*(fields.get(n, F.lit(None).cast("array<string>")).alias(n) for n in held), F.col("p_partkey").alias("arrival"))
+    return labels.records_from_labels(rows).drop("source")
+
+
 _FIELD_WORDS = (("description", "is made by"), ("mechanism", "works by the mechanism of"), ("indications", "is indicated for"), ("dosage", "dose per day of"), ("side_effects", "has side effects like"), ("contraindications", "should not be used with"), ("interactions", "interacts with"))
 
 
