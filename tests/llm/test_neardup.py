@@ -91,3 +91,15 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100, 200: 200, 201: 200}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_recall_at_the_threshold(spark, save):
+    """Of 600 pairs at a similarity of exactly 0.8 all are linked, and of 300 just below it none."""
+    pairs, rows = 900, []
+    for i in range(pairs):
+        words = [f"p{i}w{j}" for j in range(93)]  # 90 shingles, of which 80 stay when the last 10 words change
+        changed = 10 if i < 600 else 11
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-changed], *(f"p{i}x{j}" for j in range(changed))]))]
+    out = {r.doc_id: r.component_id for r in neardup.op9_minhash_groups(spark, save(rows)).collect()}
+    linked = sum(out[2 * i + 1] == 2 * i for i in range(600))
+    assert linked == 600 and all(out[2 * i + 1] == 2 * i + 1 for i in range(600, pairs))
