@@ -568,7 +568,9 @@ def matched_entities(spark, sf_dir):
     return out.select("query_id", F.nullif(F.array_join("matched", ","), F.lit("")).alias("matched"), F.size("aliases").cast("long").alias("n_aliases"))
 
 
-@query("SELECT * FROM (VALUES (3, 'What is the dosage of plate?'), (6, 'Is widget safe to take with ring?')) AS t(query_id, rewritten)")
+@query(rf"""
+WITH {_GROUND}, ps AS (SELECT query_id, list(term || '=>' || entity ORDER BY position) AS pairs FROM gr WHERE kind = 'alias' GROUP BY 1)
+SELECT query_id::INT AS query_id, list_reduce(list_prepend(query, pairs), lambda said, p: regexp_replace(said, '\b' || split_part(p, '=>', 1) || '\b', split_part(p, '=>', 2), 'gi')) AS rewritten FROM qs JOIN ps USING (query_id)""")
 def alias_rewrite(spark, sf_dir):
     out = grounding.outcomes(_inline(spark), _grounded(spark, sf_dir)).where(F.size("aliases") > 0)
     return out.select(F.col("query_id").cast("int").alias("query_id"), "rewritten")
