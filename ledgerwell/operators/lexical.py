@@ -71,15 +71,24 @@ def grams(words, n: int = 2):
     return F.concat(words, pairs) if n == 2 else words
 
 
+def _gram_words(column):
+    return F.regexp_extract_all(F.lower(F.coalesce(column, F.lit(""))), F.lit("([A-Za-z0-9_]{2,})"), F.lit(1))
+
+
+def gram_hashes(column):
+    """64-bit hashes of the words of a text and of their pairs: of a pair, the hash of both words, so that no string is built."""
+
+    def every(w):
+        pairs = F.when(F.size(w) < 2, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1))))
+        return F.concat(F.transform(w, lambda x: F.xxhash64(x)), pairs)
+
+    return F.transform(F.array(_gram_words(column)), every)[0]
+
+
 def _gram_counts(rows: DataFrame, key: str, column: str, hashed: bool = False) -> DataFrame:
     """(key, term, tf) of words and pairs of words, or of their 64-bit hashes."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(column, F.lit(""))), F.lit("([A-Za-z0-9_]{2,})"), F.lit(1))
-    found = grams(F.col("w"))
-    if hashed:  # of a pair, the hash of both words, so that no string is built
-        w = F.col("w")
-        pairs = F.when(F.size(w) < 2, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1))))
-        found = F.concat(F.transform(w, lambda x: F.xxhash64(x)), pairs)
-    return rows.select(key, words.alias("w")).select(key, F.explode(found).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    found = rows.select(key, F.explode(gram_hashes(F.col(column))).alias("term")) if hashed else rows.select(key, _gram_words(column).alias("w")).select(key, F.explode(grams(F.col("w"))).alias("term"))
+    return found.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def _idf(tf: DataFrame, rows: DataFrame, min_df: int) -> DataFrame:

@@ -6,13 +6,15 @@ the entity names, `lineitem` the pair table. Where the tables hold no case of an
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerwell.functions import lists, stems, text
-from ledgerwell.operators import answers, chunking, dense, evaluation, grounding, hybrid, lexical, pairs, phrases, routing, shards
+from ledgerwell.operators import answers, chunking, dense, evaluation, grounding, hybrid, lexical, packs, pairs, phrases, routing, shards
 from ledgerwell.operators import trace as steps
 from ledgerwell.session import dealt, new_path, stored
 from ledgerwell.sources import labels, records, uploads
@@ -348,9 +350,9 @@ def _questions(spark, sf_dir) -> DataFrame:
 _kept_tables: dict = {}
 
 
-def _kept(spark, sf_dir, name: str, make):
+def _kept(spark, sf_dir, name: str, make, tables: tuple[str, ...] = ("documents",)):
     """What several queries read of the documents, made once a session and table; a table that was written anew counts as another."""
-    seen = _read(spark, sf_dir, "documents").select(F.max("_metadata.file_modification_time"), F.count("*")).first()
+    seen = [_read(spark, sf_dir, t).select(F.max("_metadata.file_modification_time"), F.count("*")).first() for t in tables]
     key = spark.sparkContext.applicationId, sf_dir, tuple(map(str, seen)), name
     if key not in _kept_tables:
         _kept_tables[key] = make()
@@ -369,6 +371,44 @@ def _index(spark, sf_dir) -> lexical.Index:
     return _kept(spark, sf_dir, "index", make)
 
 
+def _own_ids(spark, sf_dir) -> bool:
+    """Whether every document has an id of its own. Where some share one or have none, their words meet by id in joins."""
+
+    def make() -> bool:
+        rows, ids = _read(spark, sf_dir, "documents").agg(F.count("*"), F.countDistinct("doc_id")).first()
+        return rows == ids
+
+    return _kept(spark, sf_dir, "own-ids", make)
+
+
+def _packs(spark, sf_dir, grams: bool = False) -> list[packs.Packs]:
+    """The documents packed for the questions, with the title and the field as tags."""
+
+    def make() -> list[packs.Packs]:
+        docs, asked = _cleaned(spark, sf_dir), _questions(spark, sf_dir)
+        rows = docs.select("chunk_id", F.lit(0).alias("win"), F.array("title", "field").alias("tags"), *packs.hashed(F.col("text"), F.col("clean")))
+        return packs.packs(rows, asked.select("query_id", *packs.hashed(F.col("text"), F.col("clean"))), grams)
+
+    return _kept(spark, sf_dir, f"packs-{grams}", make, ("documents", "benchmark"))
+
+
+_lexical = lambda r: np.where(r.bm25 > 0, r.bm25, -np.inf)
+
+
+def _best_bm25(spark, sf_dir, k: int) -> DataFrame:
+    """(query_id, chunk_id, bm25, rank) of the best k of each question."""
+    if not _own_ids(spark, sf_dir):
+        return lexical.top(_bm25(spark, sf_dir), k, "bm25").select("query_id", "chunk_id", "bm25", "rank")
+    return lexical.top(packs.best(_packs(spark, sf_dir), [(_lexical, k)], scaled=False), k, "bm25").select("query_id", "chunk_id", "bm25", "rank")
+
+
+def _bm25_ends(spark, sf_dir) -> DataFrame:
+    """(query_id, matched, best, mean) of the BM25 scores of each question."""
+    if not _own_ids(spark, sf_dir):
+        return _bm25(spark, sf_dir).groupBy("query_id").agg(F.count("*").alias("matched"), F.max("bm25").alias("best"), F.avg("bm25").alias("mean"))
+    return packs.ends(_packs(spark, sf_dir)).where("bn > 0").select("query_id", F.col("bn").alias("matched"), F.col("bhi").alias("best"), (F.col("bsum") / F.col("bn")).alias("mean"))
+
+
 def _bm25(spark, sf_dir, **kw) -> DataFrame:
     return lexical.bm25(_index(spark, sf_dir), _questions(spark, sf_dir), **kw)
 
@@ -617,8 +657,20 @@ al2 AS (SELECT coalesce(bm.query_id, tfs.query_id) AS query_id, coalesce(bm.doc_
 mix AS (SELECT al2.*, 0.2 * CASE WHEN bhi - blo < 1e-12 THEN 0.5 ELSE (bm25 - blo) / (bhi - blo) END + 0.8 * CASE WHEN chi - clo < 1e-12 THEN 0.5 ELSE (dense - clo) / (chi - clo) END AS score FROM al2 JOIN bb USING (query_id) JOIN cb USING (query_id))"""
 
 
-def _blended(spark, sf_dir, alpha=0.2) -> DataFrame:
-    return hybrid.blend(_bm25(spark, sf_dir), _tfidf(spark, sf_dir).withColumnRenamed("cosine", "dense"), _cleaned(spark, sf_dir), alpha)
+ALPHA = 0.2
+_floored = lambda r, score: np.where(r.floor(), score, -np.inf)
+
+
+def _scaled(spark, sf_dir, rankings: list[tuple[packs.Ranking, int]]) -> DataFrame:
+    """The rows of hybrid.scale: all, or at least those that can be among the best of the rankings."""
+    if not _own_ids(spark, sf_dir):
+        return hybrid.scale(_bm25(spark, sf_dir), _tfidf(spark, sf_dir).withColumnRenamed("cosine", "dense"), _cleaned(spark, sf_dir))
+    return stored(packs.best(_packs(spark, sf_dir, grams=True), rankings).drop("win"), "scaled")
+
+
+def _blended(spark, sf_dir, *rankings: tuple[packs.Ranking, int]) -> DataFrame:
+    score = ALPHA * F.col("lexical_part") + (1 - ALPHA) * F.col("dense_part")
+    return _scaled(spark, sf_dir, list(rankings)).select("query_id", "chunk_id", "bm25", "dense", score.alias("score"))
 
 
 @query(f"WITH {_BLEND} SELECT query_id, count(*) AS n, round(max(score), 6) AS best, round(avg(score), 6) AS mean FROM mix GROUP BY 1")
@@ -628,15 +680,18 @@ def minmax_blend(spark, sf_dir):
 
 @query(f"WITH {_BLEND}, r AS (SELECT *, {_TOP.format('score', 'doc_id')} AS rank FROM mix WHERE dense >= 0.25 OR bm25 >= 1.0) SELECT query_id, doc_id AS chunk_id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 5")
 def hybrid_topk(spark, sf_dir):
-    return hybrid.ranked(_blended(spark, sf_dir), 5).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return hybrid.ranked(_blended(spark, sf_dir, (lambda r: _floored(r, r.blend(ALPHA)), 5)), 5).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+    if _own_ids(spark, sf_dir):
+        return packs.blended(_packs(spark, sf_dir, grams=True), ALPHA).select("query_id", "n", F.round("best", 6).alias("best"), F.round(F.col("total") / F.col("n"), 6).alias("mean"))
 @query(f"""
 WITH {_BLEND}, bo AS (SELECT query_id, doc_id, bm25, dense, score * CASE lang WHEN 'fr' THEN 1.2 WHEN 'de' THEN 1.1 ELSE 1.0 END AS score FROM mix JOIN documents USING (doc_id)),
 r AS (SELECT *, {_TOP.format('score', 'doc_id')} AS rank FROM bo WHERE dense >= 0.25 OR bm25 >= 1.0) SELECT query_id, doc_id AS chunk_id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 5""")
 def field_boost_topk(spark, sf_dir):
     weights = _questions(spark, sf_dir).select("query_id", F.explode(F.array(F.struct(F.lit("fr").alias("field"), F.lit(1.0).alias("weight")), F.struct(F.lit("de").alias("field"), F.lit(0.5).alias("weight")))).alias("x")).select("query_id", "x.*")
-    boosted = hybrid.boost(_blended(spark, sf_dir), _cleaned(spark, sf_dir), weights)
+    factor = lambda r: np.where(r.has(1, "fr"), 1.2, np.where(r.has(1, "de"), 1.1, 1.0))
+    boosted = hybrid.boost(_blended(spark, sf_dir, (lambda r: _floored(r, r.blend(ALPHA) * factor(r)), 5)), _cleaned(spark, sf_dir).select("chunk_id", "field"), weights)
     return hybrid.ranked(boosted, 5).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -646,7 +701,11 @@ r AS (SELECT *, {_TOP.format('score', 'doc_id')} AS rank FROM re WHERE (ok OR NO
 def restricted_topk(spark, sf_dir):
     docs = _cleaned(spark, sf_dir)
     wanted = _questions(spark, sf_dir).select("query_id", F.concat(F.lit("src"), F.col("query_id") % 25).alias("token"))
-    kept = hybrid.restrict(_blended(spark, sf_dir), wanted, docs.select("chunk_id", F.col("title").alias("token")))
+    own = lambda r: r.has(0, f"src{int(math.fmod(r.query, 25))}")
+    score = lambda r: r.blend(ALPHA)
+    # one of a question's own, whatever its scores, tells that there are some
+    rankings = (lambda r: np.where(own(r), score(r), -np.inf), 3), (lambda r: np.where(own(r), _floored(r, score(r)), -np.inf), 3), (lambda r: _floored(r, score(r)), 3)
+    kept = hybrid.restrict(_blended(spark, sf_dir, *rankings), wanted, docs.select("chunk_id", F.col("title").alias("token")))
     return hybrid.ranked(kept, 3).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -654,7 +713,7 @@ def restricted_topk(spark, sf_dir):
 WITH {_BLEND}, a AS (SELECT *, {_TOP.format('score', 'doc_id')} AS r1 FROM mix), p AS (SELECT query_id, doc_id, dense AS score FROM a WHERE r1 <= 40 AND (dense >= 0.25 OR bm25 >= 1.0)),
 r AS (SELECT *, {_TOP.format('score', 'doc_id')} AS rank FROM p) SELECT query_id, doc_id AS chunk_id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 5""")
 def rerank_cascade(spark, sf_dir):
-    return hybrid.reranked(_blended(spark, sf_dir), 5, F.col("dense")).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return hybrid.reranked(_blended(spark, sf_dir, (lambda r: r.blend(ALPHA), 40)), 5, F.col("dense")).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"""
@@ -677,7 +736,7 @@ def floor_abstain_status(spark, sf_dir):
 WITH {_BLEND}, r AS (SELECT *, {_TOP.format('score', 'doc_id')} AS rank FROM mix), s AS (SELECT *, greatest(0.2 * bm25 + 0.8 * dense, 1e-9) AS tot FROM r WHERE rank <= 3)
 SELECT query_id, doc_id AS chunk_id, round(0.2 * bm25 / tot, 6) AS lexical_share, round(0.8 * dense / tot, 6) AS dense_share FROM s""")
 def score_shares(spark, sf_dir):
-    best = lexical.top(_blended(spark, sf_dir), 3, "score")
+    best = lexical.top(_blended(spark, sf_dir, (lambda r: r.blend(ALPHA), 3)), 3, "score")
     out = best.select("query_id", "chunk_id", *hybrid.shares(0.2))
     return out.select("query_id", "chunk_id", F.round("lexical_share", 6).alias("lexical_share"), F.round("dense_share", 6).alias("dense_share"))
 
