@@ -469,11 +469,21 @@ def _tfidf(spark, sf_dir) -> DataFrame:
     docs = _docs(spark, sf_dir)
     counts = _kept(spark, sf_dir, "grams", lambda: lexical.gram_counts(docs, "doc_id", "text"))
     return lexical.tfidf_cosine(docs, _questions(spark, sf_dir), "doc_id", "text", counts=counts).withColumnRenamed("doc_id", "chunk_id")
+_nearest = lambda r: np.where(r.dense > 0, r.dense, -np.inf)
+
+
+def _cosines(spark, sf_dir, k: int) -> DataFrame:
+    """(query_id, chunk_id, cosine): all, or at least those that can be among the best k of a question."""
+    if not _own_ids(spark, sf_dir):
+        return _tfidf(spark, sf_dir)
+    return packs.best(_packs(spark, sf_dir, grams=True), [(_nearest, k)], scaled=False).select("query_id", "chunk_id", F.col("dense").alias("cosine"))
+
+
 
 
 @query(f"WITH {_TFIDF}, r AS (SELECT *, {_TOP.format('cosine', 'doc_id')} AS rank FROM tfs) SELECT query_id, doc_id AS chunk_id, round(cosine, 6) AS cosine, rank::INT AS rank FROM r WHERE rank <= 5")
 def tfidf_cosine(spark, sf_dir):
-    return lexical.top(_tfidf(spark, sf_dir), 5, "cosine").select("query_id", "chunk_id", F.round("cosine", 6).alias("cosine"), "rank")
+    return lexical.top(_cosines(spark, sf_dir, 5), 5, "cosine").select("query_id", "chunk_id", F.round("cosine", 6).alias("cosine"), "rank")
 
 
 # --- dense -----------------------------------------------------------------------------------------------------------
