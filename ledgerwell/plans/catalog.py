@@ -1100,8 +1100,8 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY alpha, query_id ORDER BY round(
 
 
 def _lab(spark, sf_dir, floor: bool = True) -> DataFrame:
-    scaled = hybrid.scale(_bm25(spark, sf_dir), _tfidf(spark, sf_dir).withColumnRenamed("cosine", "dense"), _cleaned(spark, sf_dir))
-    return hybrid.lab(scaled, ALPHAS, 5, floor)
+    rankings = [(lambda r, a=a: _floored(r, r.blend(a)) if floor else r.blend(a), 5) for a in ALPHAS]
+    return hybrid.lab(_scaled(spark, sf_dir, rankings), ALPHAS, 5, floor)
 
 
 @query(f"WITH {_LAB} SELECT alpha, query_id, doc_id AS chunk_id, round(score, 6) AS score, rank::INT AS rank FROM rk WHERE rank <= 5")
