@@ -755,9 +755,12 @@ def score_shares(spark, sf_dir):
 WITH {_BLEND}, a AS (SELECT query_id, doc_id FROM (SELECT *, {_TOP.format('bm25', 'doc_id')} AS rank FROM bm) WHERE rank <= 5), b AS (SELECT query_id, doc_id FROM (SELECT *, {_TOP.format('cosine', 'doc_id')} AS rank FROM tfs) WHERE rank <= 5)
 SELECT query_id, doc_id AS chunk_id, 'only_a' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT query_id, doc_id, 'only_b' FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT query_id, doc_id, 'both' FROM (SELECT * FROM a INTERSECT SELECT * FROM b)""")
 def result_set_diff(spark, sf_dir):
-    a = lexical.top(_bm25(spark, sf_dir), 5, "bm25").select("query_id", "chunk_id")
-    b = lexical.top(_tfidf(spark, sf_dir), 5, "cosine").select("query_id", "chunk_id")
-    return hybrid.differences(a, b)
+    if _own_ids(spark, sf_dir):
+        rows = stored(packs.best(_packs(spark, sf_dir, grams=True), [(_lexical, 5), (_nearest, 5)], scaled=False), "both-best")
+        a, b = rows.where("bm25 > 0"), rows.where("dense > 0").withColumnRenamed("dense", "cosine")
+    else:
+        a, b = _bm25(spark, sf_dir), _tfidf(spark, sf_dir)
+    return hybrid.differences(lexical.top(a, 5, "bm25").select("query_id", "chunk_id"), lexical.top(b, 5, "cosine").select("query_id", "chunk_id"))
 
 
 # --- intents and personas --------------------------------------------------------------------------------------------
