@@ -443,9 +443,7 @@ _TOP = "row_number() OVER (PARTITION BY query_id ORDER BY round({0}, 9) DESC, {1
 
 @query(f"WITH {_BM25}, r AS (SELECT *, {_TOP.format('bm25', 'doc_id')} AS rank FROM bm) SELECT query_id, doc_id AS chunk_id, round(bm25, 6) AS bm25, rank::INT AS rank FROM r WHERE rank <= 5")
 def bm25_batch(spark, sf_dir):
-    asked = stored(_questions(spark, sf_dir).select("query_id", "clean"), "questions")
-    packed = shards.packed(_index(spark, sf_dir), terms=lexical.terms_of(asked, "query_id", "clean"))
-    return shards.best(packed, asked, 5).select("query_id", "chunk_id", F.round("bm25", 6).alias("bm25"), "rank")
+    return _best_bm25(spark, sf_dir, 5).select("query_id", "chunk_id", F.round("bm25", 6).alias("bm25"), "rank")
 
 
 @query(f"WITH {_INDEX}, raw AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM dfreq, tot) SELECT term, round(CASE WHEN idf < 0 THEN 0.25 * mean ELSE idf END, 6) AS idf FROM (SELECT term, idf, avg(idf) OVER () AS mean FROM raw)")
