@@ -1152,10 +1152,20 @@ WITH {_CHUNK_BM25} SELECT query_id, count(*) AS n_sources, round(max(bm25), 6) A
 FROM up WHERE rank = 1 OR upto <= 12000 GROUP BY 1""")
 def grounded_context(spark, sf_dir):
     """Documents to windows, index, scores, floor, top 5 and a packed context for every question."""
-    chunks = stored(chunking.numbered(chunking.chunk_table(_docs(spark, sf_dir), profile="stopwords")), "numbered")
-    asked = stored(_questions(spark, sf_dir).select("query_id", "clean"), "questions")
-    packed = shards.packed(lexical.build_index(chunks), terms=lexical.terms_of(asked, "query_id", "clean"))
-    best = stored(shards.best(packed, asked, 5).where("bm25 >= 1.0").join(chunks.select("chunk_id", "drug", "field", "text"), "chunk_id"), "best")
+    docs, asked = _docs(spark, sf_dir), _questions(spark, sf_dir)
+    chunks = chunking.chunk_table(docs, profile="stopwords")
+    if _own_ids(spark, sf_dir):  # chunks rank by document and window; only the texts of the best are cut again
+        none = F.array().cast("array<bigint>").alias("grams")
+        rows = chunks.select(F.col("doc_id").alias("chunk_id"), "win", F.array().cast("array<string>").alias("tags"), packs.hashed(F.lit(""), F.col("clean"))[0], none)
+        held = packs.packs(rows, asked.select("query_id", packs.hashed(F.lit(""), F.col("clean"))[0], none), grams=False)
+        scores = packs.best(held, [(lambda r: np.where(r.bm25 >= 1.0 - 1e-6, r.bm25, -np.inf), 5)], scaled=False).where("bm25 >= 1.0").withColumnRenamed("chunk_id", "doc_id")
+        scores = stored(lexical.top(scores, 5, "bm25", F.struct("doc_id", "win")).select("query_id", "doc_id", "win", "bm25", "rank"), "scores")
+        some = chunking.chunk_table(docs.join(scores.select("doc_id").distinct(), "doc_id", "left_semi"), profile="stopwords")
+        best = stored(scores.join(some.select("doc_id", "win", "drug", "field", "text"), ["doc_id", "win"]), "best")
+    else:
+        chunks, asked = stored(chunking.numbered(chunks), "numbered"), stored(asked.select("query_id", "clean"), "questions")
+        packed = shards.packed(lexical.build_index(chunks), terms=lexical.terms_of(asked, "query_id", "clean"))
+        best = stored(shards.best(packed, asked, 5).where("bm25 >= 1.0").join(chunks.select("chunk_id", "drug", "field", "text"), "chunk_id"), "best")
     packed = answers.packed(best.withColumn("score", F.round("bm25", 9)))
     top = best.groupBy("query_id").agg(F.round(F.max("bm25"), 6).alias("best"))
     return packed.join(top, "query_id").select("query_id", "n_sources", "best", F.length("context").cast("long").alias("n_chars"), F.md5("context").alias("digest"))
