@@ -435,7 +435,7 @@ def bm25_totals(spark, sf_dir):
 
 @query(f"WITH {_BM25} SELECT query_id, count(*) AS matched, round(max(bm25), 6) AS best, round(avg(bm25), 6) AS mean FROM bm GROUP BY 1")
 def bm25_scores(spark, sf_dir):
-    return _bm25(spark, sf_dir).groupBy("query_id").agg(F.count("*").alias("matched"), F.round(F.max("bm25"), 6).alias("best"), F.round(F.avg("bm25"), 6).alias("mean"))
+    return _bm25_ends(spark, sf_dir).select("query_id", "matched", F.round("best", 6).alias("best"), F.round("mean", 6).alias("mean"))
 
 
 _TOP = "row_number() OVER (PARTITION BY query_id ORDER BY round({0}, 9) DESC, {1})"
@@ -1069,7 +1069,7 @@ def _truth(spark, sf_dir) -> DataFrame:
 WITH {_BM25}, {_TRUTH}, r AS (SELECT *, {_TOP.format('bm25', 'doc_id')} AS rank FROM bm), f AS (SELECT query_id, min(rank) AS first_rank FROM truth JOIN r USING (query_id, doc_id) WHERE rank <= 20 GROUP BY 1), c AS (SELECT DISTINCT query_id FROM truth)
 SELECT count(*) AS cases, round(avg(CASE WHEN first_rank <= 5 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS recall, round(avg(coalesce(1.0 / first_rank, 0.0)), 6)::DOUBLE AS mrr FROM c LEFT JOIN f USING (query_id)""")
 def recall_and_mrr(spark, sf_dir):
-    results = lexical.top(_bm25(spark, sf_dir), 20, "bm25")
+    results = _best_bm25(spark, sf_dir, 20)
     out = evaluation.recall_mrr(_truth(spark, sf_dir), results, ["query_id", "chunk_id"])
     return out.select("cases", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"))
 
@@ -1078,7 +1078,7 @@ def recall_and_mrr(spark, sf_dir):
 WITH {_BM25}, {_TRUTH}, r AS (SELECT *, {_TOP.format('bm25', 'doc_id')} AS rank FROM bm), h AS (SELECT query_id, count(*) AS hits FROM (SELECT DISTINCT * FROM truth) JOIN r USING (query_id, doc_id) WHERE rank <= 5 GROUP BY 1), w AS (SELECT query_id, count(*) AS n FROM (SELECT DISTINCT * FROM truth) GROUP BY 1)
 SELECT round(avg(coalesce(hits, 0) / 5), 6) AS precision, round(avg(coalesce(hits, 0) / n), 6) AS recall, round(avg(CASE WHEN coalesce(hits, 0) > 0 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS hit_rate FROM w LEFT JOIN h USING (query_id)""")
 def precision_recall_at_5(spark, sf_dir):
-    results = lexical.top(_bm25(spark, sf_dir), 5, "bm25").select("query_id", "chunk_id", "rank")
+    results = _best_bm25(spark, sf_dir, 5).select("query_id", "chunk_id", "rank")
     out = evaluation.precision_at(_truth(spark, sf_dir), results, ["query_id", "chunk_id"])
     return out.select(*(F.round(c, 6).alias(c) for c in ("precision", "recall", "hit_rate")))
 
@@ -1087,7 +1087,7 @@ def precision_recall_at_5(spark, sf_dir):
 WITH {_BM25}, {_TRUTH}, s AS (SELECT item_id AS query_id, item_id NOT IN (SELECT query_id FROM truth) AS must_refuse, coalesce((SELECT max(bm25) FROM bm WHERE bm.query_id = item_id), 0) >= 60 AS ok FROM benchmark)
 SELECT round(avg(CASE WHEN must_refuse THEN CASE WHEN ok THEN 0.0 ELSE 1.0 END END), 6)::DOUBLE AS refusal_accuracy, round(avg(CASE WHEN NOT must_refuse THEN CASE WHEN ok THEN 0.0 ELSE 1.0 END END), 6)::DOUBLE AS false_refusals FROM s""")
 def refusal_accuracy(spark, sf_dir):
-    best = _bm25(spark, sf_dir).groupBy("query_id").agg(F.max("bm25").alias("best"))
+    best = _bm25_ends(spark, sf_dir).select("query_id", "best")
     known = _truth(spark, sf_dir).select("query_id").distinct().withColumn("known", F.lit(True))
     rows = _questions(spark, sf_dir).select("query_id").join(best, "query_id", "left").join(known, "query_id", "left")
     rows = rows.select(F.when(F.coalesce("best", F.lit(0.0)) >= 60, "ok").otherwise("refused").alias("status"), F.col("known").isNull().alias("must_refuse"))
