@@ -1130,7 +1130,7 @@ WITH {_BM25}, r AS (SELECT *, {_TOP.format('bm25', 'doc_id')} AS rank FROM bm),
 SELECT round(avg(CASE WHEN truth = guess THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS accuracy, count(*) FILTER (guess IS NULL) AS unmatched FROM t LEFT JOIN best USING (query_id)""")
 def field_accuracy(spark, sf_dir):
     docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "field")
-    guess = lexical.top(_bm25(spark, sf_dir), 1, "bm25").join(docs, "chunk_id").select("query_id", F.col("field").alias("guess"))
+    guess = _best_bm25(spark, sf_dir, 1).join(docs, "chunk_id").select("query_id", F.col("field").alias("guess"))
     truth = _truth(spark, sf_dir).groupBy("query_id").agg(F.min("chunk_id").alias("chunk_id")).join(docs, "chunk_id").select("query_id", F.col("field").alias("truth"))
     return evaluation.accuracy(truth.join(guess, "query_id", "left"), "truth", "guess").select(F.round("accuracy", 6).alias("accuracy"), "unmatched")
 
